@@ -69,3 +69,284 @@ def holdout_split_counts(spark, sf_dir):
 def holdout_mix_counts(spark, sf_dir):
     """H2 murmur-mixed id hash -> train/valid side; class counts and balanced weights per side."""
     return _holdout_counts(spark, sf_dir, "mix")
+
+
+# ---------------------------------------------------------------- helpers
+def _r(c, n: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def _t1(spark, sf_dir):
+    return fx.labelled_orders(spark, sf_dir)
+
+
+T1_CATS = ["price_txt", "priority", "segment"]
+MAX_CATS = 2000
+N_FOLDS = 5
+
+_SQL_LONG_CATS = " UNION ALL ".join(
+    f"SELECT id, '{c}' AS feature, coalesce({c}, '__MISSING__') AS value FROM t1" for c in T1_CATS)
+
+
+# ---------------------------------------------------------------- numeric policies
+from .operators import encode as E  # noqa: E402
+
+
+@register("coerce_numeric_policies", f"""
+WITH t AS (SELECT id, part, TRY_CAST(price_txt AS DOUBLE) AS pr, acctbal FROM ({fx.T1_SQL})),
+z AS (SELECT avg(coalesce(pr, 0)) AS m1p, stddev_pop(coalesce(pr, 0)) AS s1p,
+             avg(CASE WHEN isfinite(pr) THEN pr END) AS m3p, stddev_pop(CASE WHEN isfinite(pr) THEN pr END) AS s3p,
+             avg(coalesce(acctbal, 0)) AS m1a, stddev_pop(coalesce(acctbal, 0)) AS s1a,
+             avg(CASE WHEN isfinite(acctbal) THEN acctbal END) AS m3a,
+             stddev_pop(CASE WHEN isfinite(acctbal) THEN acctbal END) AS s3a
+      FROM t WHERE part = 'train')
+SELECT id, part,
+  round((coalesce(pr, 0) - m1p) / CASE WHEN s1p = 0 THEN 1 ELSE s1p END, 6) AS n1_price_txt,
+  round((coalesce(pr, m3p) - m3p) / CASE WHEN s3p < 1e-6 THEN 1 ELSE s3p END, 6) AS n3_price_txt,
+  round(coalesce((pr - m3p) / CASE WHEN s3p < 1e-6 THEN 1 ELSE s3p END, 0), 6) AS n4_price_txt,
+  round((coalesce(acctbal, 0) - m1a) / CASE WHEN s1a = 0 THEN 1 ELSE s1a END, 6) AS n1_acctbal,
+  round((coalesce(acctbal, m3a) - m3a) / CASE WHEN s3a < 1e-6 THEN 1 ELSE s3a END, 6) AS n3_acctbal,
+  round(coalesce((acctbal - m3a) / CASE WHEN s3a < 1e-6 THEN 1 ELSE s3a END, 0), 6) AS n4_acctbal
+FROM t, z
+""")
+def coerce_numeric_policies(spark, sf_dir):
+    """PRJ5/PRJ16 coercion and numeric policies N1 (null->0, scale), N3 (mean impute, scale)
+    and N4 (scale, then non-finite->0); statistics (AG3/AG4) from train rows only."""
+    t = _t1(spark, sf_dir)
+    tr = t.where(F.col("part") == "train")
+    cols = ["price_txt", "acctbal"]
+    s1 = E.fit_numeric_stats(tr, cols, "zero")
+    s3 = E.fit_numeric_stats(tr, cols, "nan")
+    s4 = E.fit_numeric_stats(tr, cols, "nan_keep_inf")
+    out = [F.col("id"), F.col("part")]
+    for c in cols:
+        out += [_r(E.numeric_policy(c, s1[c], "zero")).alias(f"n1_{c}"),
+                _r(E.numeric_policy(c, s3[c], "impute_mean")).alias(f"n3_{c}"),
+                _r(E.numeric_policy(c, s4[c], "std_then_zero")).alias(f"n4_{c}")]
+    return t.select(*out)
+
+
+# ---------------------------------------------------------------- vocabularies
+def _t1_frames(spark, sf_dir):
+    t = _t1(spark, sf_dir)
+    return [t.where(F.col("part") == p) for p in ("train", "test", "extra")]
+
+
+_SQL_VC = f"""
+t1 AS ({fx.T1_SQL}),
+long AS ({_SQL_LONG_CATS}),
+vc AS (SELECT feature, value, count(*) AS n FROM long GROUP BY 1, 2),
+nd AS (SELECT feature, count(*) AS nd FROM vc GROUP BY 1),
+rk AS (SELECT vc.*, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) AS r FROM vc)"""
+
+_SQL_ALPHA = f"""{_SQL_VC},
+kept AS (SELECT feature, value, n FROM rk WHERE r <= {MAX_CATS}),
+oth AS (SELECT rk.feature, '__OTHER__' AS value, sum(n) AS n FROM rk JOIN nd USING (feature)
+        WHERE nd > {MAX_CATS} AND r > {MAX_CATS} GROUP BY 1),
+v AS (SELECT feature, value, sum(n)::BIGINT AS n FROM (SELECT * FROM kept UNION ALL SELECT * FROM oth) GROUP BY 1, 2),
+va AS (SELECT feature, value, n, (row_number() OVER (PARTITION BY feature ORDER BY value) - 1)::INTEGER AS code FROM v)"""
+
+
+@register("vocab_alpha", f"WITH {_SQL_ALPHA} SELECT * FROM va")
+def vocab_alpha(spark, sf_dir):
+    """C2 vocabulary: value counts over train+test+extra (AG5, ST3), top-K by count with
+    ties by value (TK1), rest -> __OTHER__, codes by sorted value (WN2a)."""
+    counts = E.value_counts(_t1_frames(spark, sf_dir), T1_CATS)
+    return E.vocab_alpha(counts, MAX_CATS)
+
+
+@register("vocab_freq", f"""WITH {_SQL_VC},
+top AS (SELECT * FROM rk WHERE r <= {MAX_CATS - 2}),
+rl AS (SELECT feature, value, n::BIGINT AS n,
+              (row_number() OVER (PARTITION BY feature ORDER BY r) + 1)::INTEGER AS code
+       FROM top WHERE value NOT IN ('__MISSING__', '__OTHER__')),
+sp AS (SELECT f.feature, s.value, vc.n::BIGINT AS n, s.code::INTEGER AS code
+       FROM (SELECT DISTINCT feature FROM vc) f CROSS JOIN (VALUES ('__MISSING__', 0), ('__OTHER__', 1)) s(value, code)
+       LEFT JOIN vc ON vc.feature = f.feature AND vc.value = s.value)
+SELECT * FROM rl UNION ALL SELECT * FROM sp""")
+def vocab_freq(spark, sf_dir):
+    """C4 vocabulary with reserved slots: 0 __MISSING__, 1 __OTHER__, then the
+    max_categories-2 most frequent values by count (WN2b)."""
+    counts = E.value_counts(_t1_frames(spark, sf_dir), T1_CATS)
+    return E.vocab_freq(counts, MAX_CATS)
+
+
+@register("encode_topk_other", f"""WITH {_SQL_ALPHA},
+oc AS (SELECT feature, code FROM va WHERE value = '__OTHER__'),
+coded AS (SELECT l.id, l.feature, coalesce(va.code, oc.code) AS code
+          FROM long l LEFT JOIN va ON va.feature = l.feature AND va.value = l.value
+          LEFT JOIN oc ON oc.feature = l.feature)
+SELECT id,
+  max(CASE WHEN feature = 'price_txt' THEN code END)::INTEGER AS price_txt_code,
+  max(CASE WHEN feature = 'priority' THEN code END)::INTEGER AS priority_code,
+  max(CASE WHEN feature = 'segment' THEN code END)::INTEGER AS segment_code
+FROM coded GROUP BY id""")
+def encode_topk_other(spark, sf_dir):
+    """C2 transform (JN6): every T1 row's categories -> codes; values outside the top-K
+    take the __OTHER__ code. One broadcast lookup per column, no shuffle of the rows."""
+    t = _t1(spark, sf_dir)
+    counts = E.value_counts([t], T1_CATS)
+    vocab = E.vocab_alpha(counts, MAX_CATS)
+    oc = E.other_code(vocab)
+    default = {c: oc.get(c, -1) for c in T1_CATS}
+    coded = E.lookup_codes(t.select("id", *T1_CATS), vocab, T1_CATS, default, MAX_CATS)
+    return coded.select("id", *[f"{c}_code" for c in T1_CATS])
+
+
+# ---------------------------------------------------------------- types
+from .operators import roles as R  # noqa: E402
+
+
+@register("low_card_types", f"""
+WITH tr AS (SELECT * FROM ({fx.T1_SQL}) WHERE part = 'train'),
+nn AS (SELECT (count(DISTINCT nation) + max(CASE WHEN nation IS NULL THEN 1 ELSE 0 END))::BIGINT AS n FROM tr)
+SELECT 'price_txt' AS feature, 'string' AS kind, NULL::BIGINT AS n_unique, 'cat' AS role_16, 'cat' AS role_32
+UNION ALL SELECT 'acctbal', 'float', NULL::BIGINT, 'num', 'num'
+UNION ALL SELECT 'nation', 'int', n, CASE WHEN n <= 16 THEN 'cat' ELSE 'num' END,
+                 CASE WHEN n <= 32 THEN 'cat' ELSE 'num' END FROM nn
+UNION ALL SELECT 'priority', 'string', NULL::BIGINT, 'cat', 'cat'
+UNION ALL SELECT 'segment', 'string', NULL::BIGINT, 'cat', 'cat'""")
+def low_card_types(spark, sf_dir):
+    """PRJ3c/AG6: string in train or test -> categorical; integer columns with at most
+    `threshold` distinct values (null counted) -> categorical, at thresholds 16 and 32."""
+    t = _t1(spark, sf_dir)
+    tr, te = t.where(F.col("part") == "train"), t.where(F.col("part") == "test")
+    prof = R.low_card_profile(tr, te, fx.T1_FEATURES)
+    return prof.select("feature", "kind", "n_unique", R.role_at(16).alias("role_16"), R.role_at(32).alias("role_32"))
+
+
+# ---------------------------------------------------------------- per-fold imputation
+@register("median_mode_impute_by_fold", f"""
+WITH t AS (SELECT (id % 5)::INTEGER AS fold, TRY_CAST(price_txt AS DOUBLE) AS price, acctbal, priority, segment
+           FROM ({fx.T1_SQL}) WHERE part = 'train'),
+k AS (SELECT range::INTEGER AS k FROM range(5)),
+med AS (SELECT k, 'price_txt' AS feature, quantile_cont(price, 0.5) AS fill_num FROM t JOIN k ON t.fold <> k.k
+        WHERE price IS NOT NULL AND isfinite(price) GROUP BY k
+        UNION ALL
+        SELECT k, 'acctbal', quantile_cont(acctbal, 0.5) FROM t JOIN k ON t.fold <> k.k
+        WHERE acctbal IS NOT NULL AND isfinite(acctbal) GROUP BY k),
+lc AS (SELECT fold, 'priority' AS feature, priority AS v FROM t UNION ALL SELECT fold, 'segment', segment FROM t),
+cnt AS (SELECT k, feature, v, count(*) AS c FROM lc JOIN k ON lc.fold <> k.k WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+md AS (SELECT k, feature, v FROM (SELECT *, row_number() OVER (PARTITION BY k, feature ORDER BY c DESC, v) AS r FROM cnt) WHERE r = 1)
+SELECT k AS fold, feature, round(fill_num, 6) AS fill_num, NULL::VARCHAR AS fill_str FROM med
+UNION ALL SELECT k, feature, NULL::DOUBLE, v FROM md""")
+def median_mode_impute_by_fold(spark, sf_dir):
+    """AG11/N6 exact median and AG12 mode (ties -> smallest) of each fold's training
+    rows, for all folds in one pass over distinct values (no per-fold rescans)."""
+    t = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    med = E.fold_medians(t, ["price_txt", "acctbal"], "fold", N_FOLDS)
+    mode = E.fold_modes(t, ["priority", "segment"], "fold", N_FOLDS)
+    return (med.select("fold", "feature", _r("median").alias("fill_num"), F.lit(None).cast("string").alias("fill_str"))
+            .unionByName(mode.select("fold", "feature", F.lit(None).cast("double").alias("fill_num"),
+                                     F.col("mode").alias("fill_str"))))
+
+
+# ---------------------------------------------------------------- folds and samples
+from .operators import rank as RK  # noqa: E402
+
+_SQL_FOLDS = f"""
+t AS (SELECT id, y FROM ({fx.T1_SQL}) WHERE part = 'train'),
+f AS (SELECT id, y, ((row_number() OVER (PARTITION BY y ORDER BY {H.sql_mix64('id', SEED)}, id) - 1) % {N_FOLDS})::INTEGER AS fold FROM t)"""
+
+
+def _folds(spark, sf_dir):
+    t = _t1_train(spark, sf_dir).select("id", "y")
+    return RK.stratified_folds(t, "id", "y", N_FOLDS, SEED)
+
+
+@register("stratified_folds", f"WITH {_SQL_FOLDS} SELECT * FROM f")
+def stratified_folds(spark, sf_dir):
+    """WN1: per class, rows in hash order dealt round-robin into 5 folds (two-level rank)."""
+    return _folds(spark, sf_dir)
+
+
+@register("fold_balance", f"WITH {_SQL_FOLDS} SELECT fold, y, count(*) AS n FROM f GROUP BY fold, y")
+def fold_balance(spark, sf_dir):
+    """WN1 + PRJ9 check: rows per (fold, class); balanced to within one row."""
+    return _folds(spark, sf_dir).groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sample_n", f"""SELECT id, y, part FROM ({fx.T1_SQL}) ORDER BY {H.sql_mix64('id', SEED)}, id LIMIT 1000""")
+def sample_n(spark, sf_dir):
+    """TK4: exactly min(1000, rows) rows, reproducible by id hash order."""
+    t = _t1(spark, sf_dir).select("id", "y", "part")
+    return RK.sample_n(t, 1000, "id", SEED)
+
+
+# ---------------------------------------------------------------- extra rows
+from .operators import joins as J  # noqa: E402
+
+
+@register("extra_union_weights", f"""
+WITH t3 AS ({fx.T3_SQL}),
+u AS (SELECT fold, coalesce(weight, 1.0) AS w, 0 AS is_extra FROM t3 WHERE part = 'train'
+      UNION ALL SELECT -1, 0.3, 1 FROM t3 WHERE part = 'extra'),
+k AS (SELECT range::INTEGER AS k FROM range(5))
+SELECT k AS fold, count(*) AS n_rows, sum(is_extra)::BIGINT AS n_extra, round(sum(w), 6) AS sum_weight
+FROM u JOIN k ON u.fold <> k.k GROUP BY k""")
+def extra_union_weights(spark, sf_dir):
+    """ST2: extra labelled rows join every fold's training side (never validation) at
+    weight 0.3; base rows keep their weight (1.0 when absent). Per-fold totals come
+    from one aggregation by fold (total minus own fold), not K filtered copies."""
+    t3 = fx.closed_form_scores(_t1(spark, sf_dir))
+    tr = t3.where(F.col("part") == "train").select("fold", F.coalesce("weight", F.lit(1.0)).alias("w"))
+    ex = t3.where(F.col("part") == "extra").select(F.lit(1).alias("_"))
+    u = J.union_extra(tr, ex.drop("_"), fold="fold", weight="w", extra_weight=0.3)
+    return J.fold_train_totals(u, "fold", "w", N_FOLDS).select(
+        "fold", "n_rows", "n_extra", _r("sum_weight").alias("sum_weight"))
+
+
+# ---------------------------------------------------------------- metrics
+from .operators import metrics as M  # noqa: E402
+
+_SQL_LONG_MODELS = " UNION ALL ".join(
+    f"SELECT id, y, fold, weight, '{m}' AS model, {m} AS p FROM t3 WHERE part = 'train'" for m in fx.MODELS)
+
+
+def _long_scores(spark, sf_dir):
+    t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    return t3.unpivot(["id", "y", "fold", "weight"], fx.MODELS, "model", "p")
+
+
+def _sql_auc(src: str, g: str) -> str:
+    return f"""
+s AS (SELECT {g}, p, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END)::DOUBLE AS pos,
+             sum(CASE WHEN y > 0 THEN 0 ELSE 1 END)::DOUBLE AS neg FROM {src} GROUP BY {g}, p),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {g} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM s),
+a AS (SELECT {g}, sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY {g})"""
+
+
+@register("logloss_weighted", f"""
+WITH t3 AS ({fx.T3_SQL}), l AS ({_SQL_LONG_MODELS}),
+x AS (SELECT *, greatest(1e-15, least(1 - 1e-15, p)) AS q, coalesce(weight, 1.0) AS w FROM l)
+SELECT model, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS logloss,
+       round(sum(w * -(y * ln(q) + (1 - y) * ln(1 - q))) / sum(w), 6) AS logloss_w, count(*) AS n
+FROM x GROUP BY model""")
+def logloss_weighted(spark, sf_dir):
+    """AG13: per model, mean log-loss and weight-weighted log-loss (absent weight -> 1.0)."""
+    x = _long_scores(spark, sf_dir).withColumn("w", F.coalesce("weight", F.lit(1.0)))
+    u = M.logloss(x, "y", "p", None, ["model"])
+    w = M.logloss(x, "y", "p", "w", ["model"]).select("model", F.col("logloss").alias("logloss_w"))
+    return u.join(w, "model").select("model", _r("logloss").alias("logloss"), _r("logloss_w").alias("logloss_w"), "n")
+
+
+@register("auc_exact", f"""WITH t3 AS ({fx.T3_SQL}), l AS ({_SQL_LONG_MODELS}), {_sql_auc('l', 'model')}
+SELECT model, round(auc, 6) AS auc FROM a""")
+def auc_exact(spark, sf_dir):
+    """AG14/WN4: exact ROC AUC per model with ties counted half (p2 has heavy ties)."""
+    a = M.auc(_long_scores(spark, sf_dir), "y", "p", ["model"], max_groups=len(fx.MODELS))
+    return a.select("model", _r("auc").alias("auc"))
+
+
+@register("cv_metrics", f"""
+WITH t3 AS ({fx.T3_SQL}), l AS (SELECT id, y, fold, p1 AS p FROM t3 WHERE part = 'train'
+  UNION ALL SELECT id, y, -1, p1 FROM t3 WHERE part = 'train'),
+{_sql_auc('l', 'fold')},
+ll AS (SELECT fold, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS logloss,
+              count(*) AS n FROM l GROUP BY fold)
+SELECT ll.fold::INTEGER AS fold, round(logloss, 6) AS logloss, round(auc, 6) AS auc, n FROM ll JOIN a USING (fold)""")
+def cv_metrics(spark, sf_dir):
+    """AG15: log-loss and AUC of the p1 OOF scores per fold and overall (fold -1)."""
+    t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    m = M.cv_metrics(t3, "y", "p1", "fold", None, N_FOLDS)
+    return m.select("fold", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")

@@ -7,8 +7,12 @@ treated as the uint64 value (negative ids wrap, as a C cast would).
 
 Each step is added as its own projected column: Catalyst keeps a projection
 whose expensive result is referenced more than once instead of inlining it,
-so chained multiplies do not grow into an exponentially large expression;
-whole-stage codegen still fuses all of it into one loop.
+so chained multiplies do not grow into an exponentially large expression.
+The finished hash leaves through a one-element ``explode``: a predicate on it
+(a user filter, or the ``isnotnull`` Catalyst infers for a join key) then
+stops at the generator instead of being rewritten through every alias below
+it, which would again inline the chain and overflow the 64 KB codegen method
+limit. Whole-stage codegen still fuses the steps and the generator.
 
 Two hashes are provided:
 
@@ -61,28 +65,29 @@ def _limbs(x: Column) -> list[Column]:
             for i in range(4)]
 
 
-def _mul_const(df: DataFrame, src: str, const: int, dst: str) -> DataFrame:
-    """``dst = (src * const) mod 2^64`` with src read as uint64 bits."""
+def _mul_expr(x: Column, const: int) -> Column:
+    """``(x * const) mod 2^64`` with x read as uint64 bits, as one expression.
+
+    Limb products are at most 2^32 and carries stay below 2^20, so no step
+    can overflow a signed bigint. Repeated sub-terms are shared by Catalyst's
+    subexpression elimination inside the single projection.
+    """
     m = [(const >> (16 * j)) & _MASK16 for j in range(4)]
-    names = [_tmp() for _ in range(4)]
-    df = df.select("*", *[c.alias(n) for c, n in zip(_limbs(F.col(src)), names)])
-    a = [F.col(n) for n in names]
-
-    def partial(k: int) -> Column:
-        terms = [a[i] * F.lit(m[k - i]).cast("bigint") for i in range(k + 1) if m[k - i]]
-        out = F.lit(0).cast("bigint")
-        for t in terms:
-            out = out + t
-        return out
-
-    r = [_tmp() for _ in range(4)]
-    df = df.select("*", partial(0).alias(r[0]))
-    for k in range(1, 4):
-        df = df.select("*", (partial(k) + F.shiftright(F.col(r[k - 1]), 16)).alias(r[k]))
-    out = F.lit(0).cast("bigint")
+    a = _limbs(x)
+    mask = F.lit(_MASK16).cast("bigint")
+    out, carry = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for k in range(4):
-        out = out.bitwiseOR(F.shiftleft(F.col(r[k]).bitwiseAND(F.lit(_MASK16).cast("bigint")), 16 * k))
-    return df.select("*", out.alias(dst)).drop(*names, *r)
+        r = carry
+        for i in range(k + 1):
+            if m[k - i]:
+                r = r + a[i] * F.lit(m[k - i]).cast("bigint")
+        out = out.bitwiseOR(F.shiftleft(r.bitwiseAND(mask), 16 * k))
+        carry = F.shiftright(r, 16)
+    return out
+
+
+def _mul_const(df: DataFrame, src: str, const: int, dst: str) -> DataFrame:
+    return df.select("*", _mul_expr(F.col(src), const).alias(dst))
 
 
 def _xorshift(df: DataFrame, src: str, shift: int, dst: str) -> DataFrame:
@@ -90,6 +95,16 @@ def _xorshift(df: DataFrame, src: str, shift: int, dst: str) -> DataFrame:
     return df.select("*", x.bitwiseXOR(F.shiftrightunsigned(x, shift)).alias(dst))
 
 
+def _fence(df: DataFrame, expr: Column, dst: str) -> DataFrame:
+    """Add ``expr`` as ``dst`` behind a Generate node (an optimizer barrier, see module doc)."""
+    return df.select("*", F.explode(F.array(expr)).alias(dst))
+
+
+def _id_bits(id_col: str) -> Column:
+    """The id as bigint bits; null -> 0 as in the reference's id coercion."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def _unsigned_mod(x: Column, m: int) -> Column:
     """(x as uint64) mod m, for m < 2^31, without overflow."""
     hi = F.shiftrightunsigned(x, 32)
@@ -101,22 +116,22 @@ def _unsigned_mod(x: Column, m: int) -> Column:
 def with_mul_bucket(df: DataFrame, id_col: str, seed: int, out: str = "bucket") -> DataFrame:
     """Add H1: ``((id ^ seed) * K >> 32) mod 1e6`` as ``out`` (bigint in [0, 1e6))."""
     t0, t1 = _tmp(), _tmp()
-    df = df.select("*", F.col(id_col).cast("bigint").bitwiseXOR(_lit64(seed)).alias(t0))
+    df = df.select("*", _id_bits(id_col).bitwiseXOR(_lit64(seed)).alias(t0))
     df = _mul_const(df, t0, GOLDEN, t1)
     b = F.pmod(F.shiftrightunsigned(F.col(t1), 32), F.lit(MUL_BUCKETS))
-    return df.select("*", b.alias(out)).drop(t0, t1)
+    return _fence(df, b, out).drop(t0, t1)
 
 
 def with_mix64(df: DataFrame, id_col: str, seed: int, out: str = "mix64") -> DataFrame:
     """Add the murmur-finalised 64-bit mix of ``id`` (uint64 bits in a bigint)."""
     t = [_tmp() for _ in range(5)]
-    df = df.select("*", F.col(id_col).cast("bigint").bitwiseXOR(_lit64(seed ^ GOLDEN)).alias(t[0]))
+    df = df.select("*", _id_bits(id_col).bitwiseXOR(_lit64(seed ^ GOLDEN)).alias(t[0]))
     df = _xorshift(df, t[0], MIX_SHIFT, t[1])
     df = _mul_const(df, t[1], MIX_MUL_1, t[2])
     df = _xorshift(df, t[2], MIX_SHIFT, t[3])
     df = _mul_const(df, t[3], MIX_MUL_2, t[4])
-    df = _xorshift(df, t[4], MIX_SHIFT, out)
-    return df.drop(*t)
+    x = F.col(t[4])
+    return _fence(df, x.bitwiseXOR(F.shiftrightunsigned(x, MIX_SHIFT)), out).drop(*t)
 
 
 def with_mix_bucket(df: DataFrame, id_col: str, seed: int, out: str = "bucket") -> DataFrame:
