@@ -350,3 +350,357 @@ def cv_metrics(spark, sf_dir):
     t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
     m = M.cv_metrics(t3, "y", "p1", "fold", None, N_FOLDS)
     return m.select("fold", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
+
+
+# ---------------------------------------------------------------- distribution features
+from .operators import dist as D  # noqa: E402
+
+NUM = ["price_txt", "acctbal"]
+CAT = ["priority", "segment"]
+NB = D.NUM_BINS
+_PROBS_SQL = "[" + ", ".join(repr(q) for q in D.quantile_probs(NB)) + "]"
+
+
+def _sql_t1num(where: str, extra: str = "") -> str:
+    return f"""
+t AS (SELECT id, y, part, {extra} TRY_CAST(price_txt AS DOUBLE) AS price, acctbal, priority, segment
+      FROM ({fx.T3_SQL}) WHERE {where}),
+m AS (SELECT avg(CASE WHEN isfinite(price) THEN price END) AS mp,
+             avg(CASE WHEN isfinite(acctbal) THEN acctbal END) AS ma FROM t WHERE part = 'train'),
+nl AS (SELECT id, y, part, {extra} 'price_txt' AS feature, coalesce(CASE WHEN isfinite(price) THEN price END, mp) AS x FROM t, m
+       UNION ALL SELECT id, y, part, {extra} 'acctbal', coalesce(CASE WHEN isfinite(acctbal) THEN acctbal END, ma) FROM t, m)"""
+
+
+def _num_long(spark, sf_dir, parts, keep):
+    t = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part").isin(*parts))
+    tr = t.where(F.col("part") == "train")
+    mean = {c: v[0] for c, v in E.fit_numeric_stats(tr, NUM, "nan").items()}
+    return t, D.numeric_long(t, keep, NUM, mean)
+
+
+@register("quantile_edges", f"""WITH {_sql_t1num("part = 'train'")},
+s AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS i FROM nl),
+n AS (SELECT feature, count(*) AS n FROM nl GROUP BY feature),
+q AS (SELECT feature, k, n, (n - 1)::DOUBLE * ((k + 1)::DOUBLE / {NB}::DOUBLE) AS h
+      FROM n, (SELECT range AS k FROM range({NB - 1}))),
+w AS (SELECT q.feature, q.k, q.h - floor(q.h) AS t, a.x AS a, b.x AS b FROM q
+      JOIN s a ON a.feature = q.feature AND a.i = floor(q.h)::BIGINT
+      JOIN s b ON b.feature = q.feature AND b.i = least(floor(q.h)::BIGINT + 1, q.n - 1))
+SELECT feature, k::INTEGER AS k, CASE WHEN t < 0.5 THEN a + (b - a) * t ELSE b - (b - a) * (1 - t) END AS edge FROM w""")
+def quantile_edges(spark, sf_dir):
+    """AG8: exact linear-interpolated 127 inner quantiles (numpy's interpolation) of each
+    numeric column over all training rows (non-finite -> train mean first), made
+    monotone by a running max (WN5). Values are exact doubles, not rounded."""
+    _, nl = _num_long(spark, sf_dir, ["train"], ["id"])
+    e = D.fit_edges(nl, NB, n_features=len(NUM))
+    return e.select("feature", F.posexplode("edges").alias("k", "edge")).select(
+        "feature", F.col("k").cast("int").alias("k"), "edge")
+
+
+@register("digitize", f"""WITH {_sql_t1num("true")},
+ed AS (SELECT feature, quantile_cont(x, {_PROBS_SQL}) AS e FROM nl WHERE part = 'train' GROUP BY feature)
+SELECT id, nl.feature, len(list_filter(e, lambda v: v <= x))::INTEGER AS cell FROM nl JOIN ed ON nl.feature = ed.feature""")
+def digitize(spark, sf_dir):
+    """JN7: every row's bin under the training edges: number of edges <= x (0..127)."""
+    _, nl = _num_long(spark, sf_dir, ["train", "test", "extra"], ["id", "part"])
+    e = D.fit_edges(nl.where(F.col("part") == "train"), NB, n_features=len(NUM))
+    return D.digitize(nl, e, NB, max_rows=len(NUM)).select("id", "feature", F.col("cell").cast("int"))
+
+
+
+
+_SQL_LLR = f"""WITH {_sql_t1num("part IN ('train', 'test')")},
+ed AS (SELECT feature, quantile_cont(x, {_PROBS_SQL}) AS e FROM nl WHERE part = 'train' GROUP BY feature),
+cells AS (SELECT id, y, part, nl.feature, CAST(len(list_filter(e, lambda v: v <= x)) AS VARCHAR) AS cell
+          FROM nl JOIN ed ON nl.feature = ed.feature
+          UNION ALL SELECT id, y, part, 'priority', coalesce(priority, '__MISSING__') FROM t
+          UNION ALL SELECT id, y, part, 'segment', coalesce(segment, '__MISSING__') FROM t),
+nc AS (SELECT 'price_txt' AS feature, {float(NB)} AS cells UNION ALL SELECT 'acctbal', {float(NB)}
+       UNION ALL SELECT feature, count(DISTINCT cell) + 1.0 FROM cells WHERE feature IN ('priority', 'segment') GROUP BY feature),
+cc AS (SELECT feature, cell, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END)::DOUBLE AS c0,
+              sum(CASE WHEN y = 1 THEN 1 ELSE 0 END)::DOUBLE AS c1 FROM cells WHERE part = 'train' GROUP BY 1, 2),
+tot AS (SELECT feature, sum(c0) AS n0, sum(c1) AS n1 FROM cc GROUP BY 1),
+l AS (SELECT c.id, c.feature, ln((coalesce(cc.c1, 0) + 0.5) / (n1 + 0.5 * nc.cells))
+                              - ln((coalesce(cc.c0, 0) + 0.5) / (n0 + 0.5 * nc.cells)) AS llr
+      FROM cells c LEFT JOIN cc ON c.feature = cc.feature AND c.cell = cc.cell
+      JOIN tot ON c.feature = tot.feature JOIN nc ON c.feature = nc.feature)"""
+
+
+def _llr_long(spark, sf_dir):
+    t, nl = _num_long(spark, sf_dir, ["train", "test"], ["id", "y", "part"])
+    e = D.fit_edges(nl.where(F.col("part") == "train"), NB, n_features=len(NUM))
+    ncell = D.digitize(nl, e, NB, max_rows=len(NUM)).select("id", "y", "part", "feature", F.col("cell").cast("string"))
+    cells = ncell.unionByName(D.cat_long(t, ["id", "y", "part"], CAT))
+    counts = D.cell_counts(cells.where(F.col("part") == "train"), "y")
+    ncells = D.numeric_cells(spark, NUM, NB).unionByName(
+        D.categorical_cells([t.where(F.col("part") == "train"), t.where(F.col("part") == "test")], CAT))
+    return D.apply_cell_ratio(cells, counts, D.class_totals(counts), ncells, D.ALPHA,
+                              max_features=len(NUM) + len(CAT))
+
+
+@register("llr_features", f"{_SQL_LLR} SELECT id, feature, round(llr, 6) AS llr FROM l")
+def llr_features(spark, sf_dir):
+    """AG9 + SC12 + JN8: per-feature smoothed log-likelihood ratio of each row's cell
+    (binned numeric, raw categorical), counts from training rows, alpha 0.5."""
+    return _llr_long(spark, sf_dir).select("id", "feature", _r("llr").alias("llr"))
+
+
+@register("nb_logit", f"{_SQL_LLR} SELECT id, round(sum(llr), 6) AS nb_logit FROM l GROUP BY id")
+def nb_logit(spark, sf_dir):
+    """SC13: naive-Bayes logit = sum of the per-feature LLRs of a row."""
+    return D.nb_logit(_llr_long(spark, sf_dir), ["id"]).select("id", _r("nb_logit").alias("nb_logit"))
+
+
+@register("llr_cross_fit", f"""WITH {_sql_t1num("part IN ('train', 'test')", "fold,")},
+k AS (SELECT range::INTEGER AS k FROM range({N_FOLDS})),
+ed AS (SELECT k.k, feature, quantile_cont(x, {_PROBS_SQL}) AS e FROM nl JOIN k ON nl.fold <> k.k
+       WHERE part = 'train' GROUP BY k.k, feature),
+cells AS (SELECT id, y, part, fold, ed.k, nl.feature, CAST(len(list_filter(e, lambda v: v <= x)) AS VARCHAR) AS cell
+          FROM nl JOIN ed ON nl.feature = ed.feature
+          UNION ALL SELECT id, y, part, fold, k.k, 'priority', coalesce(priority, '__MISSING__') FROM t, k
+          UNION ALL SELECT id, y, part, fold, k.k, 'segment', coalesce(segment, '__MISSING__') FROM t, k),
+nc AS (SELECT 'price_txt' AS feature, {float(NB)} AS cells UNION ALL SELECT 'acctbal', {float(NB)}
+       UNION ALL SELECT feature, count(DISTINCT cell) + 1.0 FROM cells WHERE feature IN ('priority', 'segment') GROUP BY feature),
+cc AS (SELECT k, feature, cell, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END)::DOUBLE AS c0,
+              sum(CASE WHEN y = 1 THEN 1 ELSE 0 END)::DOUBLE AS c1
+       FROM cells WHERE part = 'train' AND fold <> k GROUP BY 1, 2, 3),
+tot AS (SELECT k, feature, sum(c0) AS n0, sum(c1) AS n1 FROM cc GROUP BY 1, 2),
+r AS (SELECT * FROM cells WHERE (part = 'train' AND fold = k) OR part = 'test'),
+l AS (SELECT r.id, r.k, ln((coalesce(cc.c1, 0) + 0.5) / (n1 + 0.5 * nc.cells))
+                        - ln((coalesce(cc.c0, 0) + 0.5) / (n0 + 0.5 * nc.cells)) AS llr
+      FROM r LEFT JOIN cc ON r.k = cc.k AND r.feature = cc.feature AND r.cell = cc.cell
+      JOIN tot ON r.k = tot.k AND r.feature = tot.feature JOIN nc ON r.feature = nc.feature)
+SELECT id, k AS fold, round(sum(llr), 6) AS nb_logit FROM l GROUP BY id, k""")
+def llr_cross_fit(spark, sf_dir):
+    """ML15: cross-fitted naive-Bayes logit. Per fold k, edges and cell counts come from
+    the training rows of the other folds; held-fold rows get their out-of-fold value,
+    test rows one value per fold. One count pass serves all folds."""
+    t, nl = _num_long(spark, sf_dir, ["train", "test"], ["id", "y", "part", "fold"])
+    e = D.fit_edges(nl.where(F.col("part") == "train"), NB, n_features=len(NUM), fold="fold", n_folds=N_FOLDS)
+    ks = F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1))).alias("k")
+    nlk = nl.select("*", ks)
+    ncell = D.digitize(nlk, e.withColumnRenamed("fold", "k"), NB, on=["k", "feature"],
+                       max_rows=len(NUM) * N_FOLDS).select("id", "y", "part", "fold", "k", "feature",
+                                                           F.col("cell").cast("string"))
+    ccell = D.cat_long(t, ["id", "y", "part", "fold"], CAT).select("*", ks)
+    cells = ncell.unionByName(ccell)
+    trn = cells.where((F.col("part") == "train") & (F.col("fold") != F.col("k")))
+    counts = D.cell_counts(trn, "y", ["k"])
+    ncells = D.numeric_cells(spark, NUM, NB).unionByName(
+        D.categorical_cells([t.where(F.col("part") == "train"), t.where(F.col("part") == "test")], CAT))
+    rows = cells.where(((F.col("part") == "train") & (F.col("fold") == F.col("k"))) | (F.col("part") == "test"))
+    llr = D.apply_cell_ratio(rows, counts, D.class_totals(counts, ["k"]), ncells, D.ALPHA, by=["k"],
+                             max_features=(len(NUM) + len(CAT)) * N_FOLDS)
+    return D.nb_logit(llr, ["id", "k"]).select("id", F.col("k").cast("int").alias("fold"),
+                                               _r("nb_logit").alias("nb_logit"))
+
+
+@register("shift_features", f"""
+WITH t AS ({fx.T2_SQL}),
+nl AS (SELECT doc_id, part, 'n_chars' AS feature, n_chars::DOUBLE AS x FROM t),
+ed AS (SELECT feature, quantile_cont(x, {_PROBS_SQL}) AS e FROM nl WHERE part = 'train' GROUP BY feature),
+cells AS (SELECT doc_id, part, nl.feature, CAST(len(list_filter(e, lambda v: v <= x)) AS VARCHAR) AS cell
+          FROM nl JOIN ed ON nl.feature = ed.feature
+          UNION ALL SELECT doc_id, part, 'lang', coalesce(lang, '__MISSING__') FROM t
+          UNION ALL SELECT doc_id, part, 'source', coalesce(source, '__MISSING__') FROM t),
+nc AS (SELECT 'n_chars' AS feature, {float(NB)} AS cells
+       UNION ALL SELECT feature, count(DISTINCT cell) + 1.0 FROM cells WHERE feature IN ('lang', 'source') GROUP BY feature),
+cc AS (SELECT feature, cell, sum(CASE WHEN part = 'train' THEN 1 ELSE 0 END)::DOUBLE AS c0,
+              sum(CASE WHEN part = 'test' THEN 1 ELSE 0 END)::DOUBLE AS c1 FROM cells GROUP BY 1, 2),
+tot AS (SELECT feature, sum(c0) AS n0, sum(c1) AS n1 FROM cc GROUP BY 1)
+SELECT c.doc_id, c.feature, round(ln((coalesce(cc.c1, 0) + 0.5) / (n1 + 0.5 * nc.cells))
+                                  - ln((coalesce(cc.c0, 0) + 0.5) / (n0 + 0.5 * nc.cells)), 6) AS shift
+FROM cells c LEFT JOIN cc ON c.feature = cc.feature AND c.cell = cc.cell
+JOIN tot ON c.feature = tot.feature JOIN nc ON c.feature = nc.feature""")
+def shift_features(spark, sf_dir):
+    """AG10 + SC14: per-feature log p(cell | test) / p(cell | train) on labelled (train)
+    vs unlabelled (test) documents; numeric edges from train rows only."""
+    t = fx.labelled_documents(spark, sf_dir).withColumn("domain", (F.col("part") == "test").cast("int"))
+    nl = D.numeric_long(t, ["doc_id", "domain"], ["n_chars"])
+    e = D.fit_edges(nl.where(F.col("domain") == 0), NB, n_features=1)
+    ncell = D.digitize(nl, e, NB, max_rows=1).select("doc_id", "domain", "feature", F.col("cell").cast("string"))
+    cells = ncell.unionByName(D.cat_long(t, ["doc_id", "domain"], ["lang", "source"]))
+    counts = D.cell_counts(cells, "domain")
+    ncells = D.numeric_cells(spark, ["n_chars"], NB).unionByName(D.categorical_cells([t], ["lang", "source"]))
+    s = D.apply_cell_ratio(cells, counts, D.class_totals(counts), ncells, D.ALPHA, out="shift", max_features=3)
+    return s.select("doc_id", "feature", _r("shift").alias("shift"))
+
+
+# ---------------------------------------------------------------- ensembles
+from .operators import ensemble as EN  # noqa: E402
+
+
+def _t3(spark, sf_dir):
+    return fx.closed_form_scores(_t1(spark, sf_dir))
+
+
+def _aligned_oof(spark, sf_dir):
+    t3 = _t3(spark, sf_dir)
+    tabs = {m: EN.read_oof_values(fx.oof_table(t3, m)) for m in fx.MODELS}
+    return EN.align_predictions(tabs, "oof_pred", "y")
+
+
+def _aligned_subs(spark, sf_dir):
+    t3 = _t3(spark, sf_dir)
+    tabs = {m: EN.read_submission_values(fx.submission_table(t3, m)) for m in fx.MODELS}
+    return EN.align_predictions(tabs, "diagnosed_diabetes")
+
+
+def _sql_logit(p: str) -> str:
+    q = f"greatest(1e-15, least(1 - 1e-15, {p}))"
+    return f"(ln({q}) - ln(1 - {q}))"
+
+
+def _sql_sigmoid(z: str) -> str:
+    return f"(CASE WHEN {z} >= 0 THEN 1 / (1 + exp(-({z}))) ELSE exp({z}) / (1 + exp({z})) END)"
+
+
+@register("align_predictions", f"""SELECT id, y, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3
+FROM ({fx.T3_SQL}) WHERE part = 'train'""")
+def align_predictions(spark, sf_dir):
+    """JN5 + SRC4: three OOF tables (id, y, oof_pred) coerced and aligned by id into one
+    row per id; missing/duplicate ids or disagreeing y fail the job."""
+    a = _aligned_oof(spark, sf_dir)
+    return a.select("id", "y", *[_r(m).alias(m) for m in fx.MODELS])
+
+
+BLEND_W = [0.5, 0.3, 0.2]
+
+
+@register("blend_prob", f"""SELECT id, round(greatest(0, least(1, {BLEND_W[0]} * p1 + {BLEND_W[1]} * p2 + {BLEND_W[2]} * p3)), 6)
+  AS diagnosed_diabetes FROM ({fx.T3_SQL}) WHERE part = 'test'""")
+def blend_prob(spark, sf_dir):
+    """SC16 + SRC5: weighted probability blend of three submissions (weights 0.5/0.3/0.2)."""
+    b = EN.blend(_aligned_subs(spark, sf_dir), fx.MODELS, BLEND_W, "prob")
+    return b.select("id", _r("diagnosed_diabetes").alias("diagnosed_diabetes"))
+
+
+_Z_EQ = " + ".join(f"(1.0/3) * {_sql_logit(m)}" for m in fx.MODELS)
+
+
+@register("blend_logit", f"""SELECT id, round(greatest(0, least(1, {_sql_sigmoid(_Z_EQ)})), 6) AS diagnosed_diabetes
+FROM ({fx.T3_SQL}) WHERE part = 'test'""")
+def blend_logit(spark, sf_dir):
+    """SC1 + SC2 + SC17: equal-weight blend in logit space, mapped back by a stable sigmoid."""
+    b = EN.blend(_aligned_subs(spark, sf_dir), fx.MODELS, None, "logit")
+    return b.select("id", _r("diagnosed_diabetes").alias("diagnosed_diabetes"))
+
+
+GRID = EN.weight_grid(3, 0.25)
+_GRID_SQL = ", ".join(f"({i}, {w[0]}, {w[1]}, {w[2]})" for i, w in enumerate(GRID))
+
+
+def _sql_trials() -> str:
+    z = " + ".join(f"w{j} * {_sql_logit(m)}" for j, m in enumerate(fx.MODELS))
+    p = f"greatest(1e-15, least(1 - 1e-15, greatest(0, least(1, {_sql_sigmoid(z)}))))"
+    return f"""
+WITH d AS (SELECT y, p1, p2, p3 FROM ({fx.T3_SQL}) WHERE part = 'train'),
+g AS (SELECT * FROM (VALUES {_GRID_SQL}) g(trial, w0, w1, w2)),
+s AS (SELECT trial, w0, w1, w2, avg(-(y * ln({p}) + (1 - y) * ln(1 - {p}))) AS loss FROM d, g GROUP BY trial, w0, w1, w2)"""
+
+
+@register("score_trials", _sql_trials() + """
+SELECT trial::INTEGER AS trial, w0::DOUBLE AS w_p1, w1::DOUBLE AS w_p2, w2::DOUBLE AS w_p3, round(loss, 6) AS loss FROM s""")
+def score_trials(spark, sf_dir):
+    """JN9: OOF log-loss of every weight vector of a fixed simplex grid (step 0.25, 15
+    trials) in logit mode, all trials in one aggregation scan."""
+    r = EN.score_trials(_aligned_oof(spark, sf_dir), "y", fx.MODELS, GRID, "logit")
+    return r.select("trial", "w_p1", "w_p2", "w_p3", _r("loss").alias("loss"))
+
+
+@register("best_trial", _sql_trials() + """
+SELECT trial::INTEGER AS trial, w0::DOUBLE AS w_p1, w1::DOUBLE AS w_p2, w2::DOUBLE AS w_p3, round(loss, 6) AS loss
+FROM s ORDER BY loss, trial LIMIT 1""")
+def best_trial(spark, sf_dir):
+    """TK6: the lowest-loss trial of the grid (first trial wins ties)."""
+    r = EN.score_trials(_aligned_oof(spark, sf_dir), "y", fx.MODELS, GRID, "logit")
+    return EN.best_trial(r).select("trial", "w_p1", "w_p2", "w_p3", _r("loss").alias("loss"))
+
+
+@register("base_losses", f"""
+WITH t3 AS ({fx.T3_SQL}), l AS ({_SQL_LONG_MODELS}), {_sql_auc('l', 'model')},
+ll AS (SELECT model, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS logloss,
+              count(*) AS n FROM l GROUP BY model)
+SELECT model, round(logloss, 6) AS logloss, round(auc, 6) AS auc, n FROM ll JOIN a USING (model)""")
+def base_losses(spark, sf_dir):
+    """AG22: each base model's own OOF log-loss and AUC, from the long score table."""
+    b = M.base_losses(_long_scores(spark, sf_dir), "y", "p", "model")
+    return b.select("model", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
+
+
+# ---------------------------------------------------------------- side-table joins
+@register("weights_join_strict", f"""SELECT id, round(0.5 + (id % 7)::DOUBLE / 7.0, 6) AS weight
+FROM ({fx.T1_SQL}) WHERE part = 'train'""")
+def weights_join_strict(spark, sf_dir):
+    """JN1 + SRC6: every training id must find its weight (else the job fails); ids in
+    the weight table must be unique."""
+    t3 = _t3(spark, sf_dir)
+    rows = t3.where(F.col("part") == "train").select("id")
+    w = J.read_weight_values(fx.weights_table(t3, complete=True))
+    return J.attach_strict(rows, w, "id", "weight", "train weights").select("id", _r("weight").alias("weight"))
+
+
+@register("weights_join_default", f"""SELECT id, round(greatest(0, coalesce(weight, 1.0)), 6) AS weight
+FROM ({fx.T3_SQL}) WHERE part = 'train'""")
+def weights_join_default(spark, sf_dir):
+    """JN2: weights looked up by id; ids without a weight get 1.0; clipped at >= 0."""
+    t3 = _t3(spark, sf_dir)
+    rows = t3.where(F.col("part") == "train").select("id")
+    w = J.read_weight_values(fx.weights_table(t3, complete=False))
+    return J.attach_default(rows, w, "id", "weight", 1.0, lo=0.0).select("id", _r("weight").alias("weight"))
+
+
+@register("teacher_join", f"""SELECT id, y, round(greatest(0, least(1, p1)), 6) AS teacher
+FROM ({fx.T3_SQL}) WHERE part = 'train'""")
+def teacher_join(spark, sf_dir):
+    """JN3 + SRC7: the teacher's OOF score attached strictly by id (missing -> error)."""
+    t3 = _t3(spark, sf_dir)
+    rows = t3.where(F.col("part") == "train").select("id", "y")
+    j = J.distill_targets(rows, fx.oof_table(t3, "p1"), "id", "y", alpha=1.0, smoothing=0.0)
+    return j.select("id", "y", _r("teacher").alias("teacher"))
+
+
+SOFT_ALPHA, SOFT_EPS = 0.7, 0.02
+
+
+@register("soft_targets", f"""
+WITH t AS (SELECT id, y, greatest(1e-6, least(1 - 1e-6, greatest(0, least(1, p1)))) AS teacher
+           FROM ({fx.T3_SQL}) WHERE part = 'train')
+SELECT id, y, round(teacher, 6) AS teacher,
+  round((1 - {SOFT_EPS}) * greatest(1e-6, least(1 - 1e-6, (1 - {SOFT_ALPHA}) * y + {SOFT_ALPHA} * teacher)) + {SOFT_EPS / 2}, 6) AS y_soft
+FROM t""")
+def soft_targets(spark, sf_dir):
+    """ML11/SC5/SC6 (NN variant): teacher joined with default 0.5 and clipped, soft target
+    (1-a) y + a t with a = 0.7, clipped, then label smoothing eps = 0.02."""
+    t3 = _t3(spark, sf_dir)
+    rows = t3.where(F.col("part") == "train").select("id", "y")
+    j = J.distill_targets(rows, fx.oof_table(t3, "p1"), "id", "y", SOFT_ALPHA, SOFT_EPS,
+                          strict=False, nn_variant=True)
+    return j.select("id", "y", _r("teacher").alias("teacher"), _r("y_soft").alias("y_soft"))
+
+
+from .functions.scalar import odds_weight  # noqa: E402
+
+_SQL_ODDS = f"""
+WITH t AS (SELECT id, greatest(1e-6, least(1 - 1e-6, p1)) AS q FROM ({fx.T3_SQL}) WHERE part = 'train'),
+w AS (SELECT id, greatest(0.1, least(10.0, q / (1 - q))) AS w FROM t),
+n AS (SELECT id, w / ((SELECT avg(w) FROM w) + 1e-12) AS weight FROM w)"""
+
+
+@register("odds_weights", _SQL_ODDS + " SELECT id, round(weight, 6) AS weight FROM n")
+def odds_weights(spark, sf_dir):
+    """SC4 + AG18: importance weights p/(1-p) of a test-vs-train probability (p1 here),
+    clipped to [0.1, 10] before being normalised to mean 1."""
+    t3 = _t3(spark, sf_dir).where(F.col("part") == "train")
+    w = t3.select("id", odds_weight(F.col("p1"), 1e-6, 0.1, 10.0).alias("weight"))
+    return counts.normalise_mean(w, "weight").select("id", _r("weight").alias("weight"))
+
+
+@register("weight_stats", _SQL_ODDS + """ SELECT round(avg(weight), 6) AS weight_mean, round(min(weight), 6) AS weight_min,
+  round(max(weight), 6) AS weight_max, count(*) AS n FROM n""")
+def weight_stats(spark, sf_dir):
+    """AG19: mean / min / max of the normalised importance weights."""
+    t3 = _t3(spark, sf_dir).where(F.col("part") == "train")
+    w = counts.normalise_mean(t3.select("id", odds_weight(F.col("p1"), 1e-6, 0.1, 10.0).alias("weight")), "weight")
+    s = counts.weight_stats(w, "weight")
+    return s.select(*[_r(c).alias(c) for c in ("weight_mean", "weight_min", "weight_max")], "n")

@@ -26,11 +26,11 @@ def tmp(prefix: str = "t") -> str:
 
 
 def count_below(key: Column, arr: Column, n: int, inclusive: bool = False) -> Column:
-    """Number of elements of sorted array ``arr`` (length ``n``) that are ``< key``
-    (or ``<= key`` with ``inclusive``) as a balanced binary-search CASE tree.
+    """Number of elements of sorted array ``arr`` (length <= ``n``) that are ``< key``
+    (or ``<= key`` with ``inclusive``), as a balanced CASE tree.
 
-    Unlike a ``filter`` lambda this is plain codegen'd expressions and costs
-    O(log n) comparisons per row. ``key`` null -> null.
+    Plain codegen'd expressions, O(log n) per row; the tree has O(n) nodes, so
+    use it for small ``n`` (<= 32) and :func:`with_count_below` beyond.
     """
     def go(lo: int, hi: int) -> Column:
         if lo >= hi:
@@ -42,5 +42,30 @@ def count_below(key: Column, arr: Column, n: int, inclusive: bool = False) -> Co
     return F.when(key.isNull(), F.lit(None).cast("int")).otherwise(go(0, n))
 
 
+def with_count_below(df: DataFrame, key: Column, arr: Column, n: int, out: str,
+                     inclusive: bool = False) -> DataFrame:
+    """:func:`count_below` as an iterative binary search: ceil(log2(n + 1)) small
+    projections narrowing [lo, hi), so generated code stays O(log n) for any n.
+
+    Elements past the array's real size count as +infinity. The result leaves
+    through a one-element ``explode`` so that predicates on it (e.g. the
+    ``isnotnull`` inferred for a join key) are not rewritten through every step.
+    """
+    k, a, lo, hi = tmp("k"), tmp("a"), tmp("lo"), tmp("hi")
+    x = df.select("*", key.alias(k), arr.alias(a), F.lit(0).alias(lo), F.lit(n).alias(hi))
+    steps = max(1, n.bit_length())
+    for _ in range(steps):
+        mid = F.shiftright(F.col(lo) + F.col(hi), 1)
+        e = F.try_element_at(F.col(a), mid + 1)
+        below = (e <= F.col(k)) if inclusive else (e < F.col(k))
+        go_right = (F.col(lo) < F.col(hi)) & F.coalesce(below, F.lit(False))
+        go_left = (F.col(lo) < F.col(hi)) & ~F.coalesce(below, F.lit(False))
+        x = x.select(*[c for c in x.columns if c not in (lo, hi)],
+                     F.when(go_right, mid + 1).otherwise(F.col(lo)).alias(lo),
+                     F.when(go_left, mid).otherwise(F.col(hi)).alias(hi))
+    res = F.when(F.col(k).isNull(), F.lit(None).cast("int")).otherwise(F.col(lo).cast("int"))
+    return x.select("*", F.explode(F.array(res)).alias(out)).drop(k, a, lo, hi)
+
+
 def eq_join_cond(left: DataFrame, right: DataFrame, cols: list[str]):
     return [left[c].eqNullSafe(right[c]) for c in cols]

@@ -54,3 +54,16 @@ def dataset_profile(df: DataFrame, part_col: str, id_col: str, cat_cols: list[st
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct(id_col).alias("n_ids")]
     aggs += [F.count_distinct(c).alias(f"nd_{c}") for c in cat_cols]
     return df.groupBy(part_col).agg(*aggs)
+
+
+def normalise_mean(df: DataFrame, col: str, eps: float = 1e-12, skip_nonpositive: bool = False) -> DataFrame:
+    """AG18: ``w / (mean(w) + eps)`` (or unchanged when the mean is <= 0 and
+    ``skip_nonpositive``). The mean is a one-row aggregate joined back on a
+    constant key, so the plan stays lazy and nothing is collected."""
+    m = df.agg(F.avg(col).alias("__mean")).withColumn("__one", F.lit(1))
+    j = df.withColumn("__one", F.lit(1)).join(F.broadcast(m), "__one").drop("__one")
+    if skip_nonpositive:
+        val = F.when(F.col("__mean") > 0, F.col(col) / F.col("__mean")).otherwise(F.col(col))
+    else:
+        val = F.col(col) / (F.col("__mean") + d(eps))
+    return j.withColumn(col, val).drop("__mean")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.scalar import d
-from .common import bounded_broadcast, count_below, tmp
+from .common import bounded_broadcast, tmp, with_count_below
 
 DEFAULT_HASH_BITS = 10      # 1,024 buckets per group for hash-ordered ranks
 DEFAULT_VALUE_BUCKETS = 64  # buckets per group for value-ordered prefix sums
@@ -66,7 +66,7 @@ def value_buckets(df: DataFrame, group: list[str], key: str, n_buckets: int,
     qs = [i / n_buckets for i in range(1, n_buckets)]
     tab = df.groupBy(*group).agg(F.percentile_approx(F.col(key).cast("double"), qs, 10_000).alias(bounds))
     x = df.join(bounded_broadcast(tab, max_groups), group)
-    return x.withColumn(out, count_below(F.col(key).cast("double"), F.col(bounds), n_buckets - 1)).drop(bounds)
+    return with_count_below(x, F.col(key).cast("double"), F.col(bounds), n_buckets - 1, out).drop(bounds)
 
 
 def two_level_cumsum(df: DataFrame, group: list[str], key: str, values: list[str],
@@ -118,29 +118,27 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
     tgt = tot.select(*grp, "__N", pos.alias("__pos"))
     npos = 2 * nq
     hit = cum.join(bounded_broadcast(tgt, mg), grp)
-    lo_i = count_below(F.col(before).cast("bigint"), F.col("__pos"), npos, inclusive=False)
-    hi_i = count_below((F.col(before) + F.col(count)).cast("bigint"), F.col("__pos"), npos, inclusive=False)
-    # Positions array may be shorter than 2*nq after de-duplication: pad by searching
-    # only within its real size.
-    hit = hit.withColumn("__sz", F.size("__pos"))
-    lo_i = F.least(lo_i, F.col("__sz"))
-    hi_i = F.least(hi_i, F.col("__sz"))
-    hit = (hit.withColumn("__i", lo_i).withColumn("__j", hi_i).where(F.col("__j") > F.col("__i"))
+    # Index range [i, j) of wanted positions inside [before, before + count).
+    # The positions array may be shorter than 2*nq after de-duplication; the
+    # search treats missing tail elements as +infinity.
+    hit = with_count_below(hit, F.col(before).cast("bigint"), F.col("__pos"), npos, "__i")
+    hit = with_count_below(hit, (F.col(before) + F.col(count)).cast("bigint"), F.col("__pos"), npos, "__j")
+    hit = (hit.where(F.col("__j") > F.col("__i"))
            .select(*grp, F.explode(F.slice("__pos", F.col("__i") + 1, F.col("__j") - F.col("__i"))).alias("__p"),
                    F.col(value).cast("double").alias("__v")))
     vals = hit.groupBy(*grp).agg(F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("__m"))
     res = tgt.join(vals, grp)
-    # numpy's lerp: a + (b - a) t for t < 0.5, else b - (b - a)(1 - t).
-    def q_at(q):
-        hh = h(q)
-        lo = F.floor(hh).cast("bigint")
-        hi = F.least(lo + 1, F.col("__N") - 1)
-        t = hh - lo.cast("double")
-        a = F.try_element_at(F.col("__m"), lo)
-        bb = F.try_element_at(F.col("__m"), hi)
-        return F.when(t < d(0.5), a + (bb - a) * t).otherwise(bb - (bb - a) * (d(1.0) - t))
-    arr = F.array(*[q_at(d(q)) for q in probs])
-    out = res.select(*grp, F.posexplode(arr).alias("q_idx", "q_value"))
+    # One row per (group, quantile), then numpy's lerp:
+    # a + (b - a) t for t < 0.5, else b - (b - a)(1 - t).
+    res = res.select(*grp, "__N", "__m", F.posexplode(F.array(*[d(q) for q in probs])).alias("q_idx", "__q"))
+    hh = (F.col("__N") - 1).cast("double") * F.col("__q")
+    res = res.select(*grp, "q_idx", "__m", hh.alias("__h"),
+                     F.floor(hh).cast("bigint").alias("__lo"), (F.col("__N") - 1).alias("__last"))
+    t = F.col("__h") - F.col("__lo").cast("double")
+    a = F.try_element_at(F.col("__m"), F.col("__lo"))
+    bb = F.try_element_at(F.col("__m"), F.least(F.col("__lo") + 1, F.col("__last")))
+    val = F.when(t < d(0.5), a + (bb - a) * t).otherwise(bb - (bb - a) * (d(1.0) - t))
+    out = res.select(*grp, "q_idx", val.alias("q_value"))
     return out.drop(g) if g else out
 
 

@@ -26,6 +26,10 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Only used when this module starts the JVM (scripts, tests, bench); a
+# cluster session keeps whatever its launcher configured.
+LOCAL_DRIVER_MEMORY = "12g"
+
 
 def get_spark(master: str | None = None, app: str = "foldwise",
               shuffle_partitions: int | None = None,
@@ -35,6 +39,8 @@ def get_spark(master: str | None = None, app: str = "foldwise",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = LOCAL_DRIVER_MEMORY
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
