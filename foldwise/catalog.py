@@ -704,3 +704,103 @@ def weight_stats(spark, sf_dir):
     w = counts.normalise_mean(t3.select("id", odds_weight(F.col("p1"), 1e-6, 0.1, 10.0).alias("weight")), "weight")
     s = counts.weight_stats(w, "weight")
     return s.select(*[_r(c).alias(c) for c in ("weight_mean", "weight_min", "weight_max")], "n")
+
+
+# ---------------------------------------------------------------- training logs
+from .operators import logs as LG  # noqa: E402
+
+_PRE = LG.PREFIX_RE
+_SQL_PARSED = f"""
+l AS ({fx.T4_SQL}),
+p AS (SELECT trim(value) AS s FROM l WHERE regexp_matches(trim(value), '{_PRE}')),
+x AS (SELECT regexp_extract(s, '{_PRE}', 1)::BIGINT AS seed, regexp_extract(s, '{_PRE}', 2)::BIGINT AS fold,
+             regexp_extract(s, '{_PRE}', 3)::BIGINT AS epoch, trim(regexp_extract(s, '{_PRE}', 4)) AS rest FROM p),
+t AS (SELECT seed, fold, epoch, unnest(string_split_regex(rest, '\\s+')) AS tok FROM x),
+kv AS (SELECT seed, fold, epoch, split_part(tok, '=', 1) AS metric,
+              regexp_replace(substr(tok, position('=' IN tok) + 1), ',+$', '') AS v FROM t WHERE position('=' IN tok) > 0),
+parsed AS (SELECT seed, fold, epoch, metric, TRY_CAST(v AS DOUBLE) AS value FROM kv
+           WHERE metric <> '' AND TRY_CAST(v AS DOUBLE) IS NOT NULL)"""
+
+
+def _parsed(spark, sf_dir):
+    return LG.parse_metric_lines(fx.metric_log_lines(spark, sf_dir))
+
+
+@register("parse_logs", f"WITH {_SQL_PARSED} SELECT * FROM parsed")
+def parse_logs(spark, sf_dir):
+    """SRC9 + SC20 + SC21: training-log lines -> (seed, fold, epoch, metric, value) rows;
+    noise lines dropped, trailing commas stripped, non-numeric tokens ignored."""
+    return _parsed(spark, sf_dir)
+
+
+@register("best_metric", f"""WITH {_SQL_PARSED},
+dd AS (SELECT *, CASE WHEN lower(metric) LIKE '%auc%' THEN 'max' ELSE 'min' END AS direction FROM parsed),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN direction = 'max' THEN -value ELSE value END,
+                                   seed, fold, epoch) AS rn FROM dd)
+SELECT metric, direction, value AS best_value, epoch AS best_epoch, seed AS best_seed, fold AS best_fold FROM r WHERE rn = 1""")
+def best_metric(spark, sf_dir):
+    """AG21 + SC22: best value of each metric (min for losses, max for AUC) and where it occurred."""
+    return LG.best_metric(_parsed(spark, sf_dir))
+
+
+@register("epoch_mean", f"""WITH {_SQL_PARSED}
+SELECT metric, epoch, round(avg(value), 6) AS mean_value, count(*) AS n FROM parsed GROUP BY metric, epoch""")
+def epoch_mean(spark, sf_dir):
+    """AG20: mean of each metric per epoch across seeds and folds."""
+    e = LG.epoch_mean(_parsed(spark, sf_dir))
+    return e.select("metric", "epoch", _r("mean_value").alias("mean_value"), "n")
+
+
+PATIENCE, MIN_DELTA = 5, 1e-6
+
+
+@register("patience_pick")
+def patience_pick(spark, sf_dir):
+    """WN3: replay early stopping (patience 5, min_delta 1e-6) over each (seed, fold)
+    validation-loss history: best epoch, best value, stop epoch. Rows-only check; the
+    unit tests compare it with a plain Python loop."""
+    return LG.patience_pick(_parsed(spark, sf_dir), "val_logloss", PATIENCE, MIN_DELTA)
+
+
+# ---------------------------------------------------------------- tokens, hashing, one-hot
+from .functions.scalar import cat_tokens as _cat_tokens  # noqa: E402
+from .operators import features as FT  # noqa: E402
+
+_SQL_TOK = " || ".join(f"'{c}=' || coalesce({c}, '__MISSING__') || ' '" for c in T1_CATS)
+
+
+@register("cat_tokens", f"SELECT id, {_SQL_TOK} AS tokens FROM ({fx.T1_SQL})")
+def cat_tokens(spark, sf_dir):
+    """SC7: one ``col=value `` token per categorical column (missing -> __MISSING__)."""
+    return _t1(spark, sf_dir).select("id", _cat_tokens(T1_CATS).alias("tokens"))
+
+
+@register("hash_features")
+def hash_features(spark, sf_dir):
+    """SC8/C1: token counts hashed into 2^18 buckets (no sign, no norm), in long form
+    (id, bucket, n) -- the sparse vector's non-zeros. Rows-only: bucket numbers follow
+    Spark's murmur3 hashing, not the reference's."""
+    return FT.hashed_token_counts(_t1(spark, sf_dir), "id", T1_CATS, 1 << 18)
+
+
+@register("one_hot", f"""WITH {_SQL_VC},
+top AS (SELECT * FROM rk WHERE r <= {MAX_CATS - 2}),
+rl AS (SELECT feature, value, (row_number() OVER (PARTITION BY feature ORDER BY r) + 1)::INTEGER AS code
+       FROM top WHERE value NOT IN ('__MISSING__', '__OTHER__')),
+sp AS (SELECT feature, value, code FROM (SELECT DISTINCT feature FROM vc) f
+       CROSS JOIN (VALUES ('__MISSING__', 0), ('__OTHER__', 1)) s(value, code)),
+v AS (SELECT * FROM rl UNION ALL SELECT * FROM sp),
+c AS (SELECT l.id, l.feature, coalesce(v.code, 1) AS code FROM long l LEFT JOIN v ON v.feature = l.feature AND v.value = l.value),
+m AS (SELECT feature, max(code) AS mx FROM c GROUP BY feature)
+SELECT id, c.feature, code AS slot, (mx + 2)::INTEGER AS size FROM c JOIN m ON c.feature = m.feature
+WHERE c.feature IN ('priority', 'segment')""")
+def one_hot(spark, sf_dir):
+    """SC9: C4 codes of priority and segment one-hot encoded with Spark ML's
+    OneHotEncoder (dropLast off, unknown codes kept in an extra slot); reported as
+    (id, feature, slot, size) so the vectors can be checked exactly."""
+    t = _t1(spark, sf_dir)
+    cols = ["priority", "segment"]
+    vocab = E.vocab_freq(E.value_counts([t], T1_CATS), MAX_CATS)
+    coded = E.lookup_codes(t.select("id", *cols), vocab, cols, 1, MAX_CATS)
+    oh = FT.one_hot(coded, [f"{c}_code" for c in cols])
+    return FT.one_hot_slots(oh, "id", {c: f"{c}_code_oh" for c in cols})
