@@ -804,3 +804,200 @@ def one_hot(spark, sf_dir):
     coded = E.lookup_codes(t.select("id", *cols), vocab, cols, 1, MAX_CATS)
     oh = FT.one_hot(coded, [f"{c}_code" for c in cols])
     return FT.one_hot_slots(oh, "id", {c: f"{c}_code_oh" for c in cols})
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+from .plans import crossfit as CF  # noqa: E402
+from .plans import tabular as TB  # noqa: E402
+
+GBT_ITER, GBT_DEPTH = 10, 4
+
+
+@register("gbt_cv")
+def gbt_cv(spark, sf_dir):
+    """ML1 + ML2 + ML16: 5-fold cross-fitted gradient-boosted trees on the encoded T1
+    frame (N3 numerics, C4 codes, stratified folds); OOF table ``id, y, oof_pred``."""
+    fr = TB.encode_frame(spark, sf_dir)
+    return CF.cross_fit(fr.train, lambda s: CF.gbt(s, max_iter=GBT_ITER, max_depth=GBT_DEPTH)).oof
+
+
+@register("gbt_best_iteration")
+def gbt_best_iteration(spark, sf_dir):
+    """ML17: per fold, the tree count chosen on the held fold with patience 3 (out of
+    15), refitted at that count; ``fold, n_trees``."""
+    fr = TB.encode_frame(spark, sf_dir)
+    tr = fr.train.persist()
+    rows = []
+    for k in range(N_FOLDS):
+        _, n = CF.gbt_early_stopped(tr, SEED, "fold", k, 3, max_iter=15, max_depth=GBT_DEPTH)
+        rows.append((k, n))
+    return spark.createDataFrame(rows, "fold int, n_trees int")
+
+
+@register("rf_cv")
+def rf_cv(spark, sf_dir):
+    """ML5: cross-fitted random forest (50 trees, sqrt features, leaves >= 2); OOF table."""
+    fr = TB.encode_frame(spark, sf_dir)
+    return CF.cross_fit(fr.train, lambda s: CF.random_forest(s, trees=50, max_depth=8)).oof
+
+
+@register("linear_tune")
+def linear_tune(spark, sf_dir):
+    """ML7 + ML8 + PRJ8: the 22-point L2/elastic-net grid fitted on the id-hash training
+    side and scored on the hold-out side; ``trial, alpha, l1_ratio, val_logloss``."""
+    fr = TB.encode_frame(spark, sf_dir)
+    x = H.with_holdout_side(fr.train, "id", VAL_FRAC, SEED).persist()
+    best, res = CF.tune_linear(x.where(F.col("side") == "train"), x.where(F.col("side") == "valid"),
+                               CF.linear_grid())
+    return spark.createDataFrame([(r["trial"], r["alpha"], r["l1_ratio"], r["val_logloss"]) for r in res],
+                                 "trial int, alpha double, l1_ratio double, val_logloss double")
+
+
+@register("mlp_fit")
+def mlp_fit(spark, sf_dir):
+    """ML9: multilayer perceptron on one-hot codes + standardised numerics, fitted on
+    the id-hash training side; validation scores ``id, y, p``."""
+    from .operators import features as FT
+    fr = TB.encode_frame(spark, sf_dir)
+    x = FT.one_hot(fr.train, [f"{c}_code" for c in TB.CAT])
+    inputs = [f"{c}_z" for c in TB.NUM] + [f"{c}_code_oh" for c in TB.CAT]
+    x = FT.assemble(x.drop("features"), inputs, "features")
+    x = H.with_holdout_side(x, "id", VAL_FRAC, SEED).persist()
+    n_in = len(x.select("features").first()[0])
+    m = CF.mlp(SEED, n_in, max_iter=50).fit(x.where(F.col("side") == "train"))
+    v = m.transform(x.where(F.col("side") == "valid"))
+    return v.select("id", "y", CF.prob1().alias("p"))
+
+
+def _assembler(inputs):
+    from pyspark.ml.feature import VectorAssembler
+    return lambda u: VectorAssembler(inputCols=inputs, outputCol="features").transform(u)
+
+
+@register("adv_weights")
+def adv_weights(spark, sf_dir):
+    """ML10a: train-vs-test GBT domain classifier cross-fitted on stratified folds;
+    out-of-fold p(test) of training rows -> odds clipped to [0.1, 10] -> mean 1."""
+    fr = TB.encode_frame(spark, sf_dir)
+    return CF.adversarial_weights(fr.train, fr.test, fr.inputs,
+                                  make=lambda s: CF.gbt(s, max_iter=GBT_ITER, max_depth=3, label="label"),
+                                  assemble=_assembler(fr.inputs))
+
+
+@register("student")
+def student(spark, sf_dir):
+    """ML4 + ML11: distilled student: soft targets from a teacher's OOF scores (p1,
+    strict join, alpha 1) regressed by cross-fitted GBT; predictions clipped to [0, 1];
+    OOF table with the hard label."""
+    from pyspark.ml.regression import GBTRegressor
+    fr = TB.encode_frame(spark, sf_dir)
+    teacher = fx.oof_table(_t3(spark, sf_dir), "p1")
+    rows = J.distill_targets(fr.train, teacher, "id", "y", 1.0, 0.0)
+    res = CF.cross_fit(rows, lambda s: GBTRegressor(labelCol="y_soft", maxIter=GBT_ITER, maxDepth=GBT_DEPTH, seed=s),
+                       score=lambda df: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))),
+                       hard_label="y")
+    return res.oof
+
+
+@register("stack")
+def stack(spark, sf_dir):
+    """ML12 + SC19: L2 logistic regression (C = 1) on the logits of three aligned OOF
+    tables, applied to the aligned test submissions; ``id, diagnosed_diabetes``."""
+    oof_w, test_w = _aligned_oof(spark, sf_dir), _aligned_subs(spark, sf_dir)
+    mo, cols = EN.meta_features(oof_w, fx.MODELS, ["logit"])
+    mt, _ = EN.meta_features(test_w, fx.MODELS, ["logit"])
+    _, sub, _ = CF.stack(mo, mt, cols, C=1.0)
+    return sub
+
+
+@register("optimise_blend")
+def optimise_blend(spark, sf_dir):
+    """ML13: Dirichlet random search (500 trials, alpha 1) plus 200 batched refinement
+    moves for logit-blend weights on the OOF tables, applied to the test submissions."""
+    w, loss, _ = EN.optimise_blend(_aligned_oof(spark, sf_dir), "y", fx.MODELS, "logit", trials=500,
+                                   refine_steps=200)
+    return EN.blend(_aligned_subs(spark, sf_dir), fx.MODELS, w, "logit", strict=False)
+
+
+@register("monotone_audit")
+def monotone_audit(spark, sf_dir):
+    """ML14: a logistic model's monotonicity on each standardised numeric feature:
+    mean relu(-sign * logit change) after raising the feature by 0.5 (signs +1)."""
+    fr = TB.encode_frame(spark, sf_dir)
+    tr = fr.train.persist()
+    m = CF.linear(SEED, alpha=1e-4).fit(tr)
+    feats = [f"{c}_z" for c in TB.NUM]
+    return CF.monotone_audit(m, tr, feats, {f: 1 for f in feats}, 0.5, fr.inputs)
+
+
+@register("stage_graph_base_to_stack")
+def stage_graph_base_to_stack(spark, sf_dir):
+    """ML18: base GBT -> adversarial weights -> weighted GBT -> distilled student ->
+    stack of the three, end to end on DataFrames; the final submission."""
+    return TB.base_to_stack(spark, sf_dir, gbt_iter=6)
+
+
+# ---------------------------------------------------------------- streaming
+from .streaming import stream_ops as SO  # noqa: E402
+
+
+def _event_stream(spark, sf_dir):
+    path = f"{sf_dir.rstrip('/')}/events*.parquet"
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    return SO.file_stream(spark, path, schema)
+
+
+@register("stream_scaler", """SELECT count(*) AS n, round(avg(coalesce(value, 0)), 6) AS mean_value,
+  round(stddev_pop(coalesce(value, 0)), 6) AS std_value FROM events""")
+def stream_scaler(spark, sf_dir):
+    """SM1: running count / mean / population std of ``value`` over a file stream of
+    events (complete-mode aggregation, checkpointed), equal to the batch answer."""
+    r = SO.run_to_table(SO.stream_scaler(_event_stream(spark, sf_dir), ["value"]), "stream-scaler")
+    return r.select("n", _r("mean_value").alias("mean_value"), _r("std_value").alias("std_value"))
+
+
+@register("stream_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_counts(spark, sf_dir):
+    """SM2: running row counts per class (event type) over the event stream."""
+    r = SO.run_to_table(SO.stream_class_counts(_event_stream(spark, sf_dir), "event_type"), "stream-counts")
+    return r.select(F.col("y").alias("event_type"), "n")
+
+
+def _event_score():
+    return (d_(1.0) / (d_(1.0) + F.exp(-(F.col("value") - d_(50.0)) / d_(25.0))))
+
+
+from .functions.scalar import d as d_  # noqa: E402
+
+
+@register("stream_logloss", f"""
+WITH e AS (SELECT CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y,
+                  greatest(1e-15, least(1 - 1e-15, 1 / (1 + exp(-(value - 50) / 25.0)))) AS q
+           FROM events WHERE {H.sql_mul_bucket('event_id', SEED)} < {H.holdout_cut(VAL_FRAC, H.MUL_BUCKETS)})
+SELECT count(*) AS n, round(sum(-(y * ln(q) + (1 - y) * ln(1 - q))) / count(*), 6) AS logloss FROM e""")
+def stream_logloss(spark, sf_dir):
+    """SM4 + PRJ8: hold-out log-loss accumulated over the stream: rows on the id-hash
+    validation side, label purchase, score sigmoid((value - 50) / 25)."""
+    s = H.with_holdout_side(_event_stream(spark, sf_dir), "event_id", VAL_FRAC, SEED)
+    s = s.where(F.col("side") == "valid").select((F.col("event_type") == "purchase").cast("int").alias("y"),
+                                                _event_score().alias("p"))
+    r = SO.run_to_table(SO.stream_logloss(s, "y", "p"), "stream-logloss")
+    return r.select("n", _r(F.col("loss_sum") / F.col("n")).alias("logloss"))
+
+
+@register("stream_score")
+def stream_score(spark, sf_dir):
+    """SM3 + SM5 + SM6: logistic model fitted by one gradient step per micro-batch over
+    two replays of the event stream (features: standardised value, label purchase),
+    then the stream scored into an append-mode Parquet sink; ``event_id, p``."""
+    st = SO.run_to_table(SO.stream_scaler(_event_stream(spark, sf_dir), ["value"]), "score-scaler").first()
+    mean, std = st["mean_value"], st["std_value"] or 1.0
+
+    def src():
+        s = _event_stream(spark, sf_dir)
+        return s.select(((F.col("value") - d_(mean)) / d_(std)).alias("z"),
+                        (F.col("event_type") == "purchase").cast("int").alias("y"))
+    w, b = SO.stream_sgd_logistic(spark, src, ["z"], "y", passes=2)
+    scored = SO.score_linear(_event_stream(spark, sf_dir).select(
+        "event_id", ((F.col("value") - d_(mean)) / d_(std)).alias("z")), ["z"], w, b)
+    return SO.append_to_table(scored.select("event_id", "p"), "stream-score")
