@@ -9,6 +9,7 @@ aggregation. Only fitted models and per-fold metrics live on the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from collections.abc import Callable
 
@@ -28,6 +29,9 @@ from ..operators.rank import stratified_folds
 
 # Fixed defaults of the reference's runners.
 FOLDS, SEED = 5, 42
+# Independent fits (folds, seeds, grid points) submitted at once; each is an
+# ordinary distributed job, so this only overlaps their driver-side gaps.
+FIT_THREADS = 4
 EXTRA_WEIGHT = 0.3
 ADV_CLIP = (0.1, 10.0)
 
@@ -61,22 +65,27 @@ def cross_fit(train: DataFrame, make: Callable[[int], Estimator], id_col: str =
     y_out = hard_label or label
     tr = train.persist(StorageLevel.MEMORY_AND_DISK)
     te = test.persist(StorageLevel.MEMORY_AND_DISK) if test is not None else None
+    def one(sk):
+        s, k = sk
+        fit_on = tr.where(F.col(fold) != k)
+        if extra is not None:
+            fit_on = fit_on.unionByName(extra, allowMissingColumns=True)
+        return sk, make(s).fit(fit_on)
+
+    jobs = [(s, k) for s in seeds for k in range(n_folds)]
+    with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(jobs))) as pool:
+        fitted = list(pool.map(one, jobs))
     oofs, tests, metrics, models = [], [], [], {}
-    for s in seeds:
-        for k in range(n_folds):
-            fit_on = tr.where(F.col(fold) != k)
-            if extra is not None:
-                fit_on = fit_on.unionByName(extra, allowMissingColumns=True)
-            model = make(s).fit(fit_on)
-            if keep_models:
-                models[(s, k)] = model
-            held = model.transform(tr.where(F.col(fold) == k))
-            oofs.append(held.select(id_col, F.col(y_out).alias("y"), F.lit(s).alias("seed"),
-                                    score(held).cast("double").alias("p")))
-            if te is not None:
-                tt = model.transform(te)
-                tests.append(tt.select(id_col, score(tt).cast("double").alias("p")))
-            metrics.append({"seed": s, "fold": k})
+    for (s, k), model in fitted:
+        if keep_models:
+            models[(s, k)] = model
+        held = model.transform(tr.where(F.col(fold) == k))
+        oofs.append(held.select(id_col, F.col(y_out).alias("y"), F.lit(s).alias("seed"),
+                                score(held).cast("double").alias("p")))
+        if te is not None:
+            tt = model.transform(te)
+            tests.append(tt.select(id_col, score(tt).cast("double").alias("p")))
+        metrics.append({"seed": s, "fold": k})
     oof = oofs[0]
     for o in oofs[1:]:
         oof = oof.unionByName(o)
@@ -165,12 +174,16 @@ def tune_linear(train: DataFrame, valid: DataFrame, grid: list[dict], label: str
     """ML8: fit each config on the hash-split training side, score log-loss on the
     validation side; best = lowest loss, first config wins ties."""
     from ..operators.metrics import logloss_expr
-    results = []
-    for i, cfg in enumerate(grid):
+
+    def one(item):
+        i, cfg = item
         m = linear(0, features=features, label=label, weight=weight, **cfg).fit(train)
         s = m.transform(valid).select(F.col(label).alias("y"), prob1().alias("p"))
         loss = s.agg(logloss_expr("y", "p").alias("l")).first()["l"]
-        results.append({"trial": i, **cfg, "val_logloss": float(loss)})
+        return {"trial": i, **cfg, "val_logloss": float(loss)}
+
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+        results = list(pool.map(one, list(enumerate(grid))))
     best = min(results, key=lambda r: (r["val_logloss"], r["trial"]))
     return best, results
 
