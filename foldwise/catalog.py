@@ -1001,3 +1001,93 @@ def stream_score(spark, sf_dir):
     scored = SO.score_linear(_event_stream(spark, sf_dir).select(
         "event_id", ((F.col("value") - d_(mean)) / d_(std)).alias("z")), ["z"], w, b)
     return SO.append_to_table(scored.select("event_id", "p"), "stream-score")
+
+
+# ---------------------------------------------------------------- sources and sinks
+from .plans import preprocess as PP  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import readers as RD  # noqa: E402
+from .sources import sinks as SK  # noqa: E402
+
+
+@register("oof_csv_roundtrip", f"""SELECT id, y, round(greatest(0, least(1, p1)), 6) AS oof_pred
+FROM ({fx.T3_SQL}) WHERE part = 'train'""")
+def oof_csv_roundtrip(spark, sf_dir):
+    """SNK2 + SNK4 + SRC4: an OOF table written as gzip CSV (a directory, one file per
+    task) under the shared folder and read back with the strict, coercing reader."""
+    path = scratch_path(spark, "oof-csv")
+    SK.write_oof(fx.oof_table(_t3(spark, sf_dir), "p1"), path, compression="gzip")
+    r = RD.read_oof(spark, path, fmt="csv")
+    return r.select("id", "y", _r("oof_pred").alias("oof_pred"))
+
+
+_PP_NUM = ["acctbal", "nation"]
+_SQL_PP_VC = _SQL_VC.replace(f"t1 AS ({fx.T1_SQL})", f"t1 AS (SELECT * FROM ({fx.T1_SQL}) WHERE part IN ('train', 'test'))")
+
+
+@register("preprocessor_roundtrip", f"""WITH {_SQL_PP_VC},
+top AS (SELECT * FROM rk WHERE r <= {MAX_CATS - 2}),
+rl AS (SELECT feature, value, (row_number() OVER (PARTITION BY feature ORDER BY r) + 1)::INTEGER AS code
+       FROM top WHERE value NOT IN ('__MISSING__', '__OTHER__')),
+sp AS (SELECT feature, value, code FROM (SELECT DISTINCT feature FROM vc)
+       CROSS JOIN (VALUES ('__MISSING__', 0), ('__OTHER__', 1)) s(value, code)),
+v AS (SELECT * FROM rl UNION ALL SELECT * FROM sp),
+c AS (SELECT l.id, l.feature, coalesce(v.code, 1) AS code FROM long l LEFT JOIN v ON v.feature = l.feature AND v.value = l.value),
+w AS (SELECT id, max(CASE WHEN feature = 'price_txt' THEN code END)::INTEGER AS price_txt_code,
+             max(CASE WHEN feature = 'priority' THEN code END)::INTEGER AS priority_code,
+             max(CASE WHEN feature = 'segment' THEN code END)::INTEGER AS segment_code FROM c GROUP BY id),
+z AS (SELECT avg(acctbal) AS ma, stddev_pop(acctbal) AS sa, avg(nation) AS mn, stddev_pop(nation) AS sn
+      FROM t1 WHERE part = 'train')
+SELECT t1.id, t1.y, round((acctbal - ma) / CASE WHEN sa < 1e-6 THEN 1 ELSE sa END, 6) AS acctbal,
+       round((nation - mn) / CASE WHEN sn < 1e-6 THEN 1 ELSE sn END, 6) AS nation,
+       price_txt_code, priority_code, segment_code
+FROM t1 JOIN w ON t1.id = w.id, z""")
+def preprocessor_roundtrip(spark, sf_dir):
+    """SNK7 + SRC10 + PRJ1/PRJ3b: fit the preprocessor (train-only N3 statistics,
+    train+test reserved-slot vocabulary), save it to the shared folder, load it back
+    and transform the train and test rows."""
+    t = _t1(spark, sf_dir).where(F.col("part").isin("train", "test"))
+    feats = ["id", "y", "price_txt", "acctbal", "nation", "priority", "segment"]
+    tr, te = t.where(F.col("part") == "train").select(*feats), t.where(F.col("part") == "test").select(*feats)
+    path = scratch_path(spark, "preprocessor")
+    PP.fit_preprocessor(tr, te, "id", "y", MAX_CATS).save(path)
+    pp = PP.load_preprocessor(spark, path)
+    out = pp.transform(t.select(*feats))
+    return out.select("id", "y", *[_r(c).alias(c) for c in _PP_NUM],
+                      "price_txt_code", "priority_code", "segment_code")
+
+
+# ---------------------------------------------------------------- more encoders and reports
+_SQL_TT = f"t1 AS (SELECT * FROM ({fx.T1_SQL}) WHERE part IN ('train', 'test'))"
+
+
+@register("vocab_first_seen", f"""WITH {_SQL_TT}, long AS ({_SQL_LONG_CATS}),
+f AS (SELECT feature, value, min(id) AS first FROM long GROUP BY 1, 2)
+SELECT feature, value, (row_number() OVER (PARTITION BY feature ORDER BY first, value))::INTEGER AS code FROM f""")
+def vocab_first_seen(spark, sf_dir):
+    """C5 + WN2c + AG7: codes from 1 in order of first appearance (smallest id) over
+    train + test, 0 reserved for unknown; ranks come from the two-level row number."""
+    t = _t1(spark, sf_dir)
+    frames = [t.where(F.col("part") == "train"), t.where(F.col("part") == "test")]
+    return E.vocab_first_seen(frames, T1_CATS, "id")
+
+
+@register("fold_ordinal_vocab", f"""
+WITH t AS (SELECT (id % 5)::INTEGER AS fold, priority, segment FROM ({fx.T1_SQL}) WHERE part = 'train'),
+k AS (SELECT range::INTEGER AS k FROM range(5)),
+lc AS (SELECT fold, 'priority' AS feature, priority AS v FROM t UNION ALL SELECT fold, 'segment', segment FROM t),
+s AS (SELECT DISTINCT k.k, feature, v FROM lc JOIN k ON lc.fold <> k.k WHERE v IS NOT NULL)
+SELECT k AS fold, feature, v AS value, (row_number() OVER (PARTITION BY k, feature ORDER BY v) - 1)::INTEGER AS code
+FROM s""")
+def fold_ordinal_vocab(spark, sf_dir):
+    """C6: per fold, alphabetic ordinal codes of the categories seen in that fold's
+    training rows (after mode imputation); unseen values map to -1 at lookup."""
+    t = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    return E.fold_ordinal_vocab(t, ["priority", "segment"], "fold", N_FOLDS)
+
+
+@register("dataset_profile", f"""SELECT part, count(*) AS n_rows, count(DISTINCT id) AS n_ids,
+  count(DISTINCT priority) AS nd_priority, count(DISTINCT segment) AS nd_segment FROM ({fx.T1_SQL}) GROUP BY part""")
+def dataset_profile(spark, sf_dir):
+    """AG23: rows, distinct ids and distinct categories per part (train/test/extra)."""
+    return counts.dataset_profile(_t1(spark, sf_dir), "part", "id", ["priority", "segment"])
