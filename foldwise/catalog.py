@@ -1091,3 +1091,24 @@ def fold_ordinal_vocab(spark, sf_dir):
 def dataset_profile(spark, sf_dir):
     """AG23: rows, distinct ids and distinct categories per part (train/test/extra)."""
     return counts.dataset_profile(_t1(spark, sf_dir), "part", "id", ["priority", "segment"])
+
+
+# Exact oracle for patience_pick: the same state machine as a recursive CTE.
+ORACLES["patience_pick"] = f"""WITH RECURSIVE {_SQL_PARSED},
+s AS (SELECT seed, fold, epoch, value, row_number() OVER (PARTITION BY seed, fold ORDER BY epoch, value) AS rn
+      FROM parsed WHERE metric = 'val_logloss'),
+r(seed, fold, rn, best, be, bad, stop, n) AS (
+  SELECT seed, fold, rn, value, epoch, 0, NULL::BIGINT, 1 FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.seed, s.fold, s.rn,
+         CASE WHEN s.value < r.best - {MIN_DELTA} THEN s.value ELSE r.best END,
+         CASE WHEN s.value < r.best - {MIN_DELTA} THEN s.epoch ELSE r.be END,
+         CASE WHEN s.value < r.best - {MIN_DELTA} THEN 0 ELSE r.bad + 1 END,
+         CASE WHEN NOT (s.value < r.best - {MIN_DELTA}) AND r.bad + 1 >= {PATIENCE} THEN s.epoch END,
+         r.n + 1
+  FROM r JOIN s ON s.seed = r.seed AND s.fold = r.fold AND s.rn = r.rn + 1
+  WHERE r.stop IS NULL),
+fin AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY seed, fold ORDER BY rn DESC) = 1),
+lst AS (SELECT seed, fold, max(epoch) AS le FROM s GROUP BY 1, 2)
+SELECT fin.seed, fin.fold, be AS best_epoch, best AS best_value, coalesce(stop, le) AS stop_epoch, n::INTEGER AS n_evals
+FROM fin JOIN lst ON fin.seed = lst.seed AND fin.fold = lst.fold"""

@@ -68,19 +68,26 @@ def base_to_stack(spark, sf_dir: str, gbt_iter: int = 8, seed: int = CF.SEED) ->
     student -> logit blend -> stack; returns the final submission ``id, diagnosed_diabetes``."""
     from ..operators import ensemble as EN
     from ..operators import joins as J
-    fr = encode_frame(spark, sf_dir)
+    fr = encode_frame(spark, sf_dir, write=True)
     mk = lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4)
-    base = CF.cross_fit(fr.train, mk, test=fr.test, seeds=(seed,))
+
+    def keep(res: CF.CrossFitResult, name: str) -> CF.CrossFitResult:
+        # Stage outputs read by several later stages are written once to the shared folder.
+        return CF.CrossFitResult(materialise(res.oof, f"{name}-oof"), materialise(res.test, f"{name}-test"))
+
+    base = keep(CF.cross_fit(fr.train, mk, test=fr.test, seeds=(seed,)), "base")
     w = CF.adversarial_weights(fr.train, fr.test, fr.inputs, make=lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=3,
                                                                                        label="label"),
                                assemble=lambda u: VectorAssembler(inputCols=fr.inputs, outputCol="features").transform(u))
+    w = materialise(w, "adv-weights")
     wtrain = J.attach_strict(fr.train, w, "id", "weight", "adversarial weights")
-    weighted = CF.cross_fit(wtrain, lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4, weight="weight"),
-                            test=fr.test, seeds=(seed,))
+    weighted = keep(CF.cross_fit(wtrain, lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4, weight="weight"),
+                                 test=fr.test, seeds=(seed,)), "weighted")
     st_rows = J.distill_targets(fr.train, base.oof.select("id", "y", "oof_pred"), "id", "y", 1.0, 0.0)
     from pyspark.ml.regression import GBTRegressor
-    student = CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", maxIter=gbt_iter, maxDepth=4, seed=s),
-                           test=fr.test, seeds=(seed,), score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction"))))
+    student = keep(CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", maxIter=gbt_iter, maxDepth=4, seed=s),
+                                test=fr.test, seeds=(seed,),
+                                score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction")))), "student")
     oofs = {"base": base.oof, "weighted": weighted.oof, "student": student.oof}
     tests = {k: r.test.withColumnRenamed("pred", "diagnosed_diabetes")
              for k, r in (("base", base), ("weighted", weighted), ("student", student))}
