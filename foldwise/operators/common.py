@@ -21,6 +21,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None, limit: int = BROADCAS
     return df
 
 
+def local_copy(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Materialise a small, bounded result (a fitted statistic) as a local relation.
+
+    Fitting steps (bucket boundaries, offsets, quantile edges) produce at most
+    groups x buckets or features x bins rows. Collecting them once, as a Spark
+    ML ``fit`` does, keeps every later plan shallow: the plan that produced
+    them is neither re-optimised nor re-run by each consumer.
+    """
+    rows = df.collect()
+    if max_rows is not None and len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows, got {len(rows)}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def tmp(prefix: str = "t") -> str:
     return f"__{prefix}{uuid.uuid4().hex[:8]}"
 
@@ -44,27 +58,27 @@ def count_below(key: Column, arr: Column, n: int, inclusive: bool = False) -> Co
 
 def with_count_below(df: DataFrame, key: Column, arr: Column, n: int, out: str,
                      inclusive: bool = False) -> DataFrame:
-    """:func:`count_below` as an iterative binary search: ceil(log2(n + 1)) small
-    projections narrowing [lo, hi), so generated code stays O(log n) for any n.
+    """:func:`count_below` as a branchless binary search: one small projection per
+    power-of-two step (ceil(log2(n + 1)) of them), each adding the step to the
+    running count when the element it lands on is still below ``key``.
 
-    Elements past the array's real size count as +infinity. The result leaves
-    through a one-element ``explode`` so that predicates on it (e.g. the
+    Generated code stays O(log n) for any n, with a single state column per
+    step. Elements past the array's real size count as +infinity. The result
+    leaves through a one-element ``explode`` so that predicates on it (e.g. the
     ``isnotnull`` inferred for a join key) are not rewritten through every step.
     """
-    k, a, lo, hi = tmp("k"), tmp("a"), tmp("lo"), tmp("hi")
-    x = df.select("*", key.alias(k), arr.alias(a), F.lit(0).alias(lo), F.lit(n).alias(hi))
-    steps = max(1, n.bit_length())
-    for _ in range(steps):
-        mid = F.shiftright(F.col(lo) + F.col(hi), 1)
-        e = F.try_element_at(F.col(a), mid + 1)
+    k, a, pos = tmp("k"), tmp("a"), tmp("p")
+    x = df.select("*", key.alias(k), arr.alias(a), F.lit(0).alias(pos))
+    step = 1 << max(0, n.bit_length() - 1)
+    while step >= 1:
+        cand = F.col(pos) + F.lit(step)
+        e = F.try_element_at(F.col(a), cand)
         below = (e <= F.col(k)) if inclusive else (e < F.col(k))
-        go_right = (F.col(lo) < F.col(hi)) & F.coalesce(below, F.lit(False))
-        go_left = (F.col(lo) < F.col(hi)) & ~F.coalesce(below, F.lit(False))
-        x = x.select(*[c for c in x.columns if c not in (lo, hi)],
-                     F.when(go_right, mid + 1).otherwise(F.col(lo)).alias(lo),
-                     F.when(go_left, mid).otherwise(F.col(hi)).alias(hi))
-    res = F.when(F.col(k).isNull(), F.lit(None).cast("int")).otherwise(F.col(lo).cast("int"))
-    return x.select("*", F.explode(F.array(res)).alias(out)).drop(k, a, lo, hi)
+        x = x.select(*[c for c in x.columns if c != pos],
+                     F.when((cand <= F.lit(n)) & F.coalesce(below, F.lit(False)), cand).otherwise(F.col(pos)).alias(pos))
+        step >>= 1
+    res = F.when(F.col(k).isNull(), F.lit(None).cast("int")).otherwise(F.col(pos).cast("int"))
+    return x.select("*", F.explode(F.array(res)).alias(out)).drop(k, a, pos)
 
 
 def eq_join_cond(left: DataFrame, right: DataFrame, cols: list[str]):

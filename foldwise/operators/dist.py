@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MISSING_TOKEN, d, nonfinite_to_null, to_number
-from .common import bounded_broadcast, with_count_below
+from .common import bounded_broadcast, local_copy, with_count_below
 from .rank import exact_quantiles, running_max
 
 # Fixed defaults of the reference.
@@ -81,7 +81,8 @@ def fit_edges(train_long: DataFrame, num_bins: int = NUM_BINS, n_features: int |
     e = e.select(*group, running_max(F.transform("__qs", lambda s: s["q_value"])).alias("edges"))
     if fold is not None:
         e = e.withColumnRenamed("__k", fold).withColumn(fold, F.col(fold).cast("int"))
-    return e
+    # Edges are a fitted model of features [x folds] rows: kept locally.
+    return local_copy(e, mg) if mg is not None else e
 
 
 def digitize(long: DataFrame, edges: DataFrame, num_bins: int = NUM_BINS, on: list[str] | None = None,

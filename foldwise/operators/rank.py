@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.scalar import d
-from .common import bounded_broadcast, tmp, with_count_below
+from pyspark import StorageLevel
+
+from .common import bounded_broadcast, local_copy, tmp, with_count_below
 
 DEFAULT_HASH_BITS = 10      # 1,024 buckets per group for hash-ordered ranks
 DEFAULT_VALUE_BUCKETS = 64  # buckets per group for value-ordered prefix sums
@@ -40,9 +42,11 @@ def two_level_row_number(df: DataFrame, partition: list[str], order: list[Column
     b, n, off = tmp("b"), tmp("n"), tmp("o")
     x = df.withColumn(b, bucket)
     cnt = x.groupBy(*partition, b).agg(F.count(F.lit(1)).alias(n))
+    bound = None if max_groups is None or n_buckets is None else max_groups * n_buckets
+    if bound is not None:
+        cnt = local_copy(cnt, bound)      # bounded: groups x buckets rows
     w = Window.partitionBy(*partition).orderBy(b)
     offsets = cnt.select(*partition, b, (F.sum(n).over(w) - F.col(n)).alias(off))
-    bound = None if max_groups is None or n_buckets is None else max_groups * n_buckets
     x = x.join(bounded_broadcast(offsets, bound), [*partition, b])
     w2 = Window.partitionBy(*partition, b).orderBy(*order)
     return x.withColumn(out, F.row_number().over(w2) + F.col(off)).drop(b, off)
@@ -65,6 +69,8 @@ def value_buckets(df: DataFrame, group: list[str], key: str, n_buckets: int,
     bounds = tmp("q")
     qs = [i / n_buckets for i in range(1, n_buckets)]
     tab = df.groupBy(*group).agg(F.percentile_approx(F.col(key).cast("double"), qs, 10_000).alias(bounds))
+    if max_groups is not None:
+        tab = local_copy(tab, max_groups)
     x = df.join(bounded_broadcast(tab, max_groups), group)
     return with_count_below(x, F.col(key).cast("double"), F.col(bounds), n_buckets - 1, out).drop(bounds)
 
@@ -82,6 +88,8 @@ def two_level_cumsum(df: DataFrame, group: list[str], key: str, values: list[str
     b = tmp("b")
     x = value_buckets(x, grp, key, n_buckets, mg, out=b)
     tot = x.groupBy(*grp, b).agg(*[F.sum(v).alias(v) for v in values])
+    if mg is not None:
+        tot = local_copy(tot, mg * n_buckets)
     w = Window.partitionBy(*grp).orderBy(b)
     offs = tot.select(*grp, b, *[(F.sum(v).over(w) - F.col(v)).alias(f"{v}__off") for v in values])
     x = x.join(bounded_broadcast(offs, None if mg is None else mg * n_buckets), [*grp, b])
@@ -106,6 +114,9 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
     x, grp, g = _with_group(counts, group)
     mg = 1 if g else max_groups
     nq = len(probs)
+    # The distinct-value table feeds four bounded fits below; keep it for their
+    # duration only (the returned table is local, so it can be released).
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
     cum = two_level_cumsum(x, grp, value, [count], n_buckets, mg)
     before = f"{count}_before"
     # Wanted positions per group: lo = floor((N-1) q) and hi = min(lo + 1, N - 1).
@@ -116,6 +127,8 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
         F.floor(h(q)).cast("bigint"),
         F.least(F.floor(h(q)).cast("bigint") + 1, F.col("__N") - 1))))))
     tgt = tot.select(*grp, "__N", pos.alias("__pos"))
+    if mg is not None:
+        tgt = local_copy(tgt, mg)
     npos = 2 * nq
     hit = cum.join(bounded_broadcast(tgt, mg), grp)
     # Index range [i, j) of wanted positions inside [before, before + count).
@@ -127,6 +140,8 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
            .select(*grp, F.explode(F.slice("__pos", F.col("__i") + 1, F.col("__j") - F.col("__i"))).alias("__p"),
                    F.col(value).cast("double").alias("__v")))
     vals = hit.groupBy(*grp).agg(F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("__m"))
+    if mg is not None:
+        vals = local_copy(vals, mg)
     res = tgt.join(vals, grp)
     # One row per (group, quantile), then numpy's lerp:
     # a + (b - a) t for t < 0.5, else b - (b - a)(1 - t).
@@ -139,7 +154,11 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
     bb = F.try_element_at(F.col("__m"), F.least(F.col("__lo") + 1, F.col("__last")))
     val = F.when(t < d(0.5), a + (bb - a) * t).otherwise(bb - (bb - a) * (d(1.0) - t))
     out = res.select(*grp, "q_idx", val.alias("q_value"))
-    return out.drop(g) if g else out
+    out = out.drop(g) if g else out
+    if mg is not None:
+        out = local_copy(out, mg * nq)
+        x.unpersist()
+    return out
 
 
 def running_max(arr: Column) -> Column:

@@ -24,6 +24,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Constraint propagation re-derives alias equalities through every
+    # projection; on the library's stepwise plans (hash limbs, binary-search
+    # steps) that planning cost dominates small jobs. Join keys here are
+    # non-null by construction, so the inferred filters it adds are not needed.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 # Only used when this module starts the JVM (scripts, tests, bench); a
