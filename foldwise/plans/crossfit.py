@@ -49,22 +49,32 @@ class CrossFitResult:
     models: dict = field(default_factory=dict)
 
 
+_ML_OUTPUTS = ("prediction", "probability", "rawPrediction")
+
+
 def cross_fit(train: DataFrame, make: Callable[[int], Estimator], id_col: str = "id", label: str = "label",
               fold: str = "fold", n_folds: int = FOLDS, seeds: tuple[int, ...] = (SEED,),
               test: DataFrame | None = None, score: Callable[[DataFrame], object] | None = None,
               extra: DataFrame | None = None, hard_label: str | None = None,
-              keep_models: bool = False) -> CrossFitResult:
+              keep_models: bool = False, keep: list[str] | None = None) -> CrossFitResult:
     """ML1/ML16: for every seed and fold, fit ``make(seed)`` on the other folds (plus
     ``extra`` rows, ST2), score the held fold (OOF) and the test rows.
 
     ``score`` maps a transformed frame to the prediction column (default
     P(class 1)); ``hard_label`` names the 0/1 column reported in the OOF table
-    when the training label is soft.
+    when the training label is soft; ``keep`` carries more columns into it.
+
+    Held folds are disjoint, so with one seed their union already has one row
+    per id (no aggregation); several seeds are averaged by id. Test rows are
+    scored by all fold models in one pass -- each model adds its own score
+    column -- and averaged across columns, so test scoring needs no shuffle.
     """
     score = score or (lambda df: prob1())
     y_out = hard_label or label
+    keep = keep or []
     tr = train.persist(StorageLevel.MEMORY_AND_DISK)
     te = test.persist(StorageLevel.MEMORY_AND_DISK) if test is not None else None
+
     def one(sk):
         s, k = sk
         fit_on = tr.where(F.col(fold) != k)
@@ -75,27 +85,30 @@ def cross_fit(train: DataFrame, make: Callable[[int], Estimator], id_col: str =
     jobs = [(s, k) for s in seeds for k in range(n_folds)]
     with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(jobs))) as pool:
         fitted = list(pool.map(one, jobs))
-    oofs, tests, metrics, models = [], [], [], {}
-    for (s, k), model in fitted:
+    oofs, metrics, models = [], [], {}
+    tt = te.select(id_col, *[c for c in te.columns if c != id_col]) if te is not None else None
+    for i, ((s, k), model) in enumerate(fitted):
         if keep_models:
             models[(s, k)] = model
         held = model.transform(tr.where(F.col(fold) == k))
-        oofs.append(held.select(id_col, F.col(y_out).alias("y"), F.lit(s).alias("seed"),
+        oofs.append(held.select(id_col, F.col(y_out).alias("y"), *keep, F.lit(s).alias("seed"),
                                 score(held).cast("double").alias("p")))
-        if te is not None:
-            tt = model.transform(te)
-            tests.append(tt.select(id_col, score(tt).cast("double").alias("p")))
+        if tt is not None:
+            tt = model.transform(tt)
+            tt = tt.withColumn(f"__p{i}", score(tt).cast("double")).drop(*[c for c in _ML_OUTPUTS if c in tt.columns])
         metrics.append({"seed": s, "fold": k})
     oof = oofs[0]
     for o in oofs[1:]:
         oof = oof.unionByName(o)
-    oof = oof.groupBy(id_col).agg(F.first("y").cast("int").alias("y"), F.avg("p").alias("oof_pred"))
+    if len(seeds) == 1:
+        oof = oof.select(id_col, F.col("y").cast("int").alias("y"), *keep, F.col("p").alias("oof_pred"))
+    else:
+        oof = oof.groupBy(id_col).agg(F.first("y").cast("int").alias("y"), *[F.first(c).alias(c) for c in keep],
+                                      F.avg("p").alias("oof_pred"))
     tpred = None
-    if tests:
-        t = tests[0]
-        for x in tests[1:]:
-            t = t.unionByName(x)
-        tpred = t.groupBy(id_col).agg(F.avg("p").alias("pred"))
+    if tt is not None:
+        cols = [F.col(f"__p{i}") for i in range(len(fitted))]
+        tpred = tt.select(id_col, (sum(cols[1:], cols[0]) / F.lit(float(len(cols)))).alias("pred"))
     return CrossFitResult(oof, tpred, metrics, models)
 
 
@@ -211,8 +224,8 @@ def adversarial_weights(train: DataFrame, test: DataFrame, feature_cols: list[st
     if assemble:
         u = assemble(u)
     res = cross_fit(u.withColumn("label", F.col("domain").cast("double")), make, id_col="__uid", label="label",
-                    fold="fold", n_folds=n_folds, seeds=(seed,))
-    p = res.oof.join(u.select("__uid", id_col, "domain"), "__uid").where(F.col("domain") == 0)
+                    fold="fold", n_folds=n_folds, seeds=(seed,), keep=[id_col, "domain"])
+    p = res.oof.where(F.col("domain") == 0)
     w = p.select(id_col, odds_weight(F.col("oof_pred"), 1e-6, clip_range[0], clip_range[1]).alias("weight"))
     return C.normalise_mean(w, "weight") if normalise else w
 
