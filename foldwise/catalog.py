@@ -490,7 +490,7 @@ def llr_cross_fit(spark, sf_dir):
         D.categorical_cells([t.where(F.col("part") == "train"), t.where(F.col("part") == "test")], CAT))
     rows = cells.where(((F.col("part") == "train") & (F.col("fold") == F.col("k"))) | (F.col("part") == "test"))
     llr = D.apply_cell_ratio(rows, counts, D.class_totals(counts, ["k"]), ncells, D.ALPHA, by=["k"],
-                             max_features=(len(NUM) + len(CAT)) * N_FOLDS)
+                             max_features=(len(NUM) + len(CAT)) * N_FOLDS, n_by_groups=N_FOLDS)
     return D.nb_logit(llr, ["id", "k"]).select("id", F.col("k").cast("int").alias("fold"),
                                                _r("nb_logit").alias("nb_logit"))
 

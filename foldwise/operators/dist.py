@@ -128,7 +128,8 @@ def log_ratio(c1: Column, n1: Column, c0: Column, n0: Column, cells: Column, alp
 
 def apply_cell_ratio(rows: DataFrame, counts: DataFrame, totals: DataFrame, n_cells: DataFrame,
                      alpha: float = ALPHA, by: list[str] | None = None, out: str = "llr",
-                     max_cells: int | None = None, max_features: int | None = None) -> DataFrame:
+                     max_cells: int | None = None, max_features: int | None = None,
+                     n_by_groups: int | None = None) -> DataFrame:
     """JN8: attach each row's cell statistic; unseen cells count as zero.
 
     ``n_cells`` holds ``feature, cells`` (bins for numeric, cardinality + 1 for
@@ -136,6 +137,12 @@ def apply_cell_ratio(rows: DataFrame, counts: DataFrame, totals: DataFrame, n_ce
     broadcast when that bound is given.
     """
     by = by or []
+    if max_cells is None and (not by or n_by_groups is not None):
+        # Proven bound: a feature has at most ``cells`` distinct cells (bins, or
+        # cardinality + 1), times the number of ``by`` groups (folds). ``n_cells``
+        # is a fitted table of one row per feature, so this read is cheap.
+        total = n_cells.agg(F.sum("cells")).first()[0] or 0
+        max_cells = int(total) * (n_by_groups or 1)
     j = rows.join(bounded_broadcast(counts, max_cells), [*by, "feature", "cell"], "left")
     ft = totals.join(n_cells, "feature")
     j = j.join(bounded_broadcast(ft, max_features), [*by, "feature"])
@@ -156,7 +163,8 @@ def categorical_cells(frames: list[DataFrame], cols: list[str]) -> DataFrame:
     for f in frames:
         x = cat_long(f, [], cols)
         long = x if long is None else long.unionByName(x)
-    return long.groupBy("feature").agg((F.count_distinct("cell") + 1).cast("double").alias("cells"))
+    cells = long.groupBy("feature").agg((F.count_distinct("cell") + 1).cast("double").alias("cells"))
+    return local_copy(cells, len(cols))
 
 
 def numeric_cells(spark, cols: list[str], num_bins: int = NUM_BINS) -> DataFrame:
