@@ -779,7 +779,7 @@ def cat_tokens(spark, sf_dir):
 def hash_features(spark, sf_dir):
     """SC8/C1: token counts hashed into 2^18 buckets (no sign, no norm), in long form
     (id, bucket, n) -- the sparse vector's non-zeros. Rows-only: bucket numbers follow
-    Spark's murmur3 hashing, not the reference's."""
+    Spark SQL's murmur3 ``hash``, not the reference's hash."""
     return FT.hashed_token_counts(_t1(spark, sf_dir), "id", T1_CATS, 1 << 18)
 
 
