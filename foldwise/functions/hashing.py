@@ -16,8 +16,8 @@ limit. Whole-stage codegen still fuses the steps and the generator.
 
 Two hashes are provided:
 
-* ``holdout_bucket_mul`` (H1): ``((id xor seed) * K) >> 32`` mod 1,000,000.
-* ``holdout_bucket_mix`` (H2): xor with seed and K, murmur3 64-bit finaliser
+* ``with_mul_bucket`` (H1): ``((id xor seed) * K) >> 32`` mod 1,000,000.
+* ``with_mix_bucket`` (H2): xor with seed and K, murmur3 64-bit finaliser
   (two multiplies, three xor-shifts), unsigned mod 10,000. The full mixed
   64-bit value doubles as the row-order key for folds and sampling.
 """

@@ -3,8 +3,10 @@
 The encoded training frame is persisted once; each (seed, fold) fit is an
 ordinary distributed ``Estimator.fit`` over ``fold != k`` and a ``transform``
 of the held fold and of the test rows. Held-fold scores are unioned into the
-OOF table; test scores are averaged per id (over folds, then seeds) with one
-aggregation. Only fitted models and per-fold metrics live on the driver.
+OOF table (averaged by id only when there are several seeds); all fold models
+score the test rows in one pass, each into its own column, and the columns are
+averaged, so test scoring needs no shuffle. Only fitted models and per-fold
+metrics live on the driver.
 """
 
 from __future__ import annotations
