@@ -1112,3 +1112,25 @@ fin AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY seed, fold ORDER
 lst AS (SELECT seed, fold, max(epoch) AS le FROM s GROUP BY 1, 2)
 SELECT fin.seed, fin.fold, be AS best_epoch, best AS best_value, coalesce(stop, le) AS stop_epoch, n::INTEGER AS n_evals
 FROM fin JOIN lst ON fin.seed = lst.seed AND fin.fold = lst.fold"""
+
+
+@register("adv_weights_linear")
+def adv_weights_linear(spark, sf_dir):
+    """ML10c: linear (not cross-fitted) train-vs-test classifier on at most 250,000
+    hash-sampled rows per side; every training row's clipped odds [0.2, 5], mean 1."""
+    fr = TB.encode_frame(spark, sf_dir)
+    return CF.adversarial_weights_linear(fr.train, fr.test, [f"{c}_z" for c in TB.NUM],
+                                         [f"{c}_code" for c in TB.CAT])
+
+
+@register("fold_mean_loss", f"""
+WITH t3 AS ({fx.T3_SQL}),
+f AS (SELECT fold, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p1))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p1))))) AS l
+      FROM t3 WHERE part = 'train' GROUP BY fold)
+SELECT round(avg(l), 6) AS fold_mean_loss, count(*) AS n_folds FROM f""")
+def fold_mean_loss(spark, sf_dir):
+    """AG17: mean of the per-fold OOF log-losses of the p1 scores (from AG15's table)."""
+    t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    m = M.cv_metrics(t3, "y", "p1", "fold", None, N_FOLDS)
+    r = CF.fold_mean_loss(m)
+    return r.select(_r("fold_mean_loss").alias("fold_mean_loss"), "n_folds")

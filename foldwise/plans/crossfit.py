@@ -295,3 +295,35 @@ def monotone_audit(model, df: DataFrame, feature_cols: list[str], signs: dict[st
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("feature", "violation", "n")
+
+
+def adversarial_weights_linear(train: DataFrame, test: DataFrame, num_cols: list[str], code_cols: list[str],
+                               id_col: str = "id", max_rows: int = 250_000, seed: int = SEED,
+                               clip_range: tuple[float, float] = (0.2, 5.0), reg: float = 1e-4) -> DataFrame:
+    """ML10c: linear train-vs-test classifier, not cross-fitted.
+
+    At most ``max_rows`` rows per side (TK4, reproducible by id hash) train an
+    L2 logistic model on standardised numerics + one-hot codes; every training
+    row is then scored, turned into clipped odds (p clipped at 1e-4) and
+    normalised to mean 1. ``id, weight``.
+    """
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    from ..operators.rank import sample_n
+    cols = [id_col, *num_cols, *code_cols]
+    fit_rows = (sample_n(train.select(*cols), max_rows, id_col, seed).withColumn("label", F.lit(0.0))
+                .unionByName(sample_n(test.select(*cols), max_rows, id_col, seed + 1).withColumn("label", F.lit(1.0))))
+    enc = OneHotEncoder(inputCols=code_cols, outputCols=[f"{c}__oh" for c in code_cols],
+                        handleInvalid="keep", dropLast=False).fit(fit_rows)
+    va = VectorAssembler(inputCols=[*num_cols, *[f"{c}__oh" for c in code_cols]], outputCol="__x",
+                         handleInvalid="keep")
+    model = LogisticRegression(featuresCol="__x", labelCol="label", regParam=reg, standardization=False,
+                               maxIter=100).fit(va.transform(enc.transform(fit_rows)))
+    scored = model.transform(va.transform(enc.transform(train.select(*cols))))
+    w = scored.select(id_col, odds_weight(prob1(), 1e-4, clip_range[0], clip_range[1]).alias("weight"))
+    return C.normalise_mean(w, "weight")
+
+
+def fold_mean_loss(fold_metrics: DataFrame, loss: str = "logloss", fold: str = "fold") -> DataFrame:
+    """AG17: mean of the per-fold (best) losses, next to the number of folds."""
+    per = fold_metrics.where(F.col(fold) >= 0)
+    return per.agg(F.avg(loss).alias("fold_mean_loss"), F.count(F.lit(1)).alias("n_folds"))
