@@ -254,15 +254,32 @@ def fold_modes(df: DataFrame, cols: list[str], fold: str, n_folds: int) -> DataF
     return best.select(F.col("tfold").cast("int").alias(fold), "feature", "mode")
 
 
-def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int) -> DataFrame:
+def string_prefix_key(c) -> Column:
+    """A bigint that never decreases along Spark's (binary, UTF-8) string order:
+    the first 7 bytes read as a big-endian number, shorter strings zero-padded.
+    Used to bucket strings for two-level ranking."""
+    h = F.rpad(F.substring(F.hex(F.col(c) if isinstance(c, str) else c), 1, 14), 14, "0")
+    return F.conv(h, 16, 10).cast("bigint")
+
+
+def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int,
+                       n_buckets: int = 64) -> DataFrame:
     """C6: per fold, alphabetic ordinal codes of the fold-train values after mode
     imputation; values unseen in the fold's training rows map to -1 at lookup.
-    Returns ``fold, feature, value, code``."""
+    Returns ``fold, feature, value, code``.
+
+    Codes are ranks in string order inside each (fold, feature), computed in
+    two levels (buckets of the byte-prefix key, then a window per bucket), so
+    a high-cardinality column is not ranked in a single task."""
     long = df.select(fold, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([fold], cols, "feature", "v")
     modes = fold_modes(df, cols, fold, n_folds)
     seen = long.where(F.col("v").isNotNull()).select("feature", "v", fold).distinct()
     seen = seen.select("feature", "v", F.explode(_fold_targets(seen, fold, n_folds)).alias("tfold")).distinct()
     seen = seen.select(F.col("tfold").cast("int").alias(fold), "feature", F.col("v").alias("value"))
     vocab = seen.unionByName(modes.select(fold, "feature", F.col("mode").alias("value"))).distinct()
-    w = Window.partitionBy(fold, "feature").orderBy("value")
-    return vocab.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    b = tmp("b")
+    x = vocab.withColumn("__key", string_prefix_key("value"))
+    x = value_buckets(x, [fold, "feature"], "__key", n_buckets, len(cols) * n_folds, out=b)
+    x = two_level_row_number(x, [fold, "feature"], [F.col("value")], F.col(b), "__rn",
+                             max_groups=len(cols) * n_folds, n_buckets=n_buckets)
+    return x.select(fold, "feature", "value", (F.col("__rn") - 1).cast("int").alias("code"))

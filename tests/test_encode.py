@@ -85,3 +85,21 @@ def test_roles_and_low_card(spark):
         raise AssertionError("expected a column error")
     except ValueError:
         pass
+
+
+def test_string_prefix_key_is_monotone(spark):
+    vals = ["", "a", "ab", "abc", "abcdefghij", "abcdefgz", "b", "Z", "é", "ü", "日本", "\u0000x", "zz", "A"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string").select("v", E.string_prefix_key("v").alias("k"))
+    keys = [r.k for r in df.orderBy("v").collect()]
+    assert all(k is not None for k in keys) and all(a <= b for a, b in zip(keys, keys[1:]))
+
+
+def test_fold_ordinal_vocab_two_level_equals_sorted(spark):
+    rng = np.random.default_rng(1)
+    words = ["w%03d" % i for i in range(300)]
+    pdf = pd.DataFrame({"fold": rng.integers(0, 3, 2000), "c": rng.choice(words, 2000)})
+    v = E.fold_ordinal_vocab(spark.createDataFrame(pdf), ["c"], "fold", 3, n_buckets=8).toPandas()
+    for k in range(3):
+        exp = sorted(set(pdf[pdf.fold != k].c))
+        got = v[v.fold == k].sort_values("code")
+        assert got.value.tolist() == exp and got.code.tolist() == list(range(len(exp)))
