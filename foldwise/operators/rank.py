@@ -27,7 +27,8 @@ from pyspark import StorageLevel
 
 from .common import bounded_broadcast, local_copy, tmp, with_count_below
 
-DEFAULT_HASH_BITS = 10      # 1,024 buckets per group for hash-ordered ranks
+DEFAULT_HASH_BITS = 16      # 65,536 buckets per group for hash-ordered ranks
+LOCAL_COPY_ROWS = 20_000    # fitted tables up to this size become local relations
 DEFAULT_VALUE_BUCKETS = 64  # buckets per group for value-ordered prefix sums
 
 
@@ -43,7 +44,7 @@ def two_level_row_number(df: DataFrame, partition: list[str], order: list[Column
     x = df.withColumn(b, bucket)
     cnt = x.groupBy(*partition, b).agg(F.count(F.lit(1)).alias(n))
     bound = None if max_groups is None or n_buckets is None else max_groups * n_buckets
-    if bound is not None:
+    if bound is not None and bound <= LOCAL_COPY_ROWS:
         cnt = local_copy(cnt, bound)      # bounded: groups x buckets rows
     w = Window.partitionBy(*partition).orderBy(b)
     offsets = cnt.select(*partition, b, (F.sum(n).over(w) - F.col(n)).alias(off))
@@ -201,20 +202,27 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
     return x.withColumn(out, ((F.col(rn) - 1) % k).cast("int")).drop(key, b, rn)
 
 
-SMALL_SAMPLE = 100_000
-
-
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42,
              bits: int = DEFAULT_HASH_BITS) -> DataFrame:
     """TK4: exactly ``min(n, rows)`` rows, the first ``n`` in hash order (reproducible).
 
-    Small ``n``: top-n per task, merged (TakeOrderedAndProject, n rows each).
-    Large ``n``: two-level rank over all rows and a ``rank <= n`` filter.
+    Rows are counted per leading-bits bucket of their hash (at most 2^bits
+    rows of counts, read on the driver); the smallest bucket prefix holding
+    ``n`` rows is kept and only those candidates -- about n plus one bucket --
+    are ranked exactly with the two-level row number. No task ever receives
+    more than the candidates of its bucket.
     """
     key, b, rn = tmp("k"), tmp("b"), tmp("r")
     x = with_order_key(df, id_col, seed, key, b, bits)
-    if n <= SMALL_SAMPLE:
-        return x.orderBy(F.col(key), F.col(id_col)).limit(n).drop(key, b)
+    counts = sorted((r[0], r[1]) for r in x.groupBy(b).agg(F.count(F.lit(1))).collect())
+    total, cut = 0, None
+    for bucket, c in counts:
+        total += c
+        if total >= n:
+            cut = bucket
+            break
+    if cut is not None:
+        x = x.where(F.col(b) <= F.lit(cut))
     x = two_level_row_number(x, [], [F.col(key), F.col(id_col)], F.col(b), rn,
                              max_groups=1, n_buckets=1 << bits)
     return x.where(F.col(rn) <= n).drop(key, b, rn)

@@ -69,13 +69,13 @@ def test_sample_n_exact_and_reproducible(spark):
     a = sorted(r.id for r in RK.sample_n(df, 500, "id", 9).collect())
     b = sorted(r.id for r in RK.sample_n(df, 500, "id", 9).collect())
     assert a == b and len(a) == 500
-    old = RK.SMALL_SAMPLE
-    try:
-        RK.SMALL_SAMPLE = 10
-        c = sorted(r.id for r in RK.sample_n(df, 500, "id", 9, bits=4).collect())
-    finally:
-        RK.SMALL_SAMPLE = old
+    c = sorted(r.id for r in RK.sample_n(df, 500, "id", 9, bits=4).collect())
     assert c == a
+    import numpy as np
+    from foldwise.functions.hashing import GOLDEN
+    from tests_helpers import np_mix_order
+    exp = np_mix_order(list(range(3000)), 9)[:500]
+    assert a == sorted(exp)
     assert RK.sample_n(df, 10**6, "id", 9).count() == 3000
 
 
