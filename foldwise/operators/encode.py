@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import (MISSING_TOKEN, OTHER_TOKEN, d, fill_missing_token,
                                 nonfinite_to_null, to_number)
 from .common import bounded_broadcast, tmp
-from .rank import exact_quantiles, two_level_row_number, value_buckets
+from .rank import DEFAULT_VALUE_BUCKETS, exact_quantiles, two_level_row_number, value_buckets
 
 STD_FLOOR = 1e-6  # std below this -> 1 (fixed value of the reference)
 
@@ -179,7 +179,7 @@ def vocab_freq(counts: DataFrame, max_categories: int = 2000) -> DataFrame:
 
 
 def vocab_first_seen(frames: list[DataFrame], cols: list[str], id_col: str,
-                     n_buckets: int = 64) -> DataFrame:
+                     n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
     """C5 vocabulary: codes from 1 by first appearance (smallest id), 0 = unknown.
 
     Rows have no order in Spark, so "first" is the smallest id holding the
@@ -263,7 +263,7 @@ def string_prefix_key(c) -> Column:
 
 
 def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int,
-                       n_buckets: int = 64) -> DataFrame:
+                       n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
     """C6: per fold, alphabetic ordinal codes of the fold-train values after mode
     imputation; values unseen in the fold's training rows map to -1 at lookup.
     Returns ``fold, feature, value, code``.

@@ -29,7 +29,7 @@ from .common import bounded_broadcast, local_copy, tmp, with_count_below
 
 DEFAULT_HASH_BITS = 16      # 65,536 buckets per group for hash-ordered ranks
 LOCAL_COPY_ROWS = 20_000    # fitted tables up to this size become local relations
-DEFAULT_VALUE_BUCKETS = 64  # buckets per group for value-ordered prefix sums
+DEFAULT_VALUE_BUCKETS = 1024  # buckets per group for value-ordered prefix sums
 
 
 def two_level_row_number(df: DataFrame, partition: list[str], order: list[Column | str],
@@ -89,7 +89,7 @@ def two_level_cumsum(df: DataFrame, group: list[str], key: str, values: list[str
     b = tmp("b")
     x = value_buckets(x, grp, key, n_buckets, mg, out=b)
     tot = x.groupBy(*grp, b).agg(*[F.sum(v).alias(v) for v in values])
-    if mg is not None:
+    if mg is not None and mg * n_buckets <= LOCAL_COPY_ROWS:
         tot = local_copy(tot, mg * n_buckets)
     w = Window.partitionBy(*grp).orderBy(b)
     offs = tot.select(*grp, b, *[(F.sum(v).over(w) - F.col(v)).alias(f"{v}__off") for v in values])
