@@ -52,3 +52,40 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     orders_scan = [line for line in plan.splitlines() if "orders.parquet" in line][0]
     assert "o_totalprice" not in orders_scan and "o_orderpriority" not in orders_scan
     assert "o_orderdate" in orders_scan
+
+
+def test_extra_train_and_teacher_readers_are_strict(spark):
+    p = scratch_path(spark, "extra")
+    spark.createDataFrame([(1, 0.5, 1)], "a long, b double, tgt int").write.parquet(p)
+    got = RD.read_extra_train(spark, p, ["a", "b"], "tgt", "y").columns
+    assert got == ["a", "b", "y"]
+    with pytest.raises(ValueError):
+        RD.read_extra_train(spark, p, ["a", "c"], "tgt")
+    t = scratch_path(spark, "teacher")
+    spark.createDataFrame([(1, 0.9)], "id long, oof_pred double").write.parquet(t)
+    assert RD.read_teacher(spark, t).first()["oof_pred"] == 0.9
+    with pytest.raises(ValueError):
+        RD.read_teacher(spark, t, strict=True)           # strict needs y as well
+
+
+def test_stream_sgd_beats_constant_prior(spark):
+    import math
+    from foldwise.streaming import stream_ops as SO
+    d = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    mean, std = ev.agg(F.avg("value"), F.stddev_pop("value")).first()
+
+    def src():
+        s = SO.file_stream(spark, f"{d}/events*.parquet", schema)
+        # a learnable label: large values
+        return s.select(((F.col("value") - F.lit(mean)) / F.lit(std)).alias("z"),
+                        (F.col("value") > F.lit(mean)).cast("int").alias("y"))
+    w, b = SO.stream_sgd_logistic(spark, src, ["z"], "y", passes=3, lr=1.0)
+    scored = SO.score_linear(ev.select(((F.col("value") - F.lit(mean)) / F.lit(std)).alias("z"),
+                                       (F.col("value") > F.lit(mean)).cast("int").alias("y")), ["z"], w, b)
+    from foldwise.operators.metrics import logloss
+    loss = logloss(scored, "y", "p").first()["logloss"]
+    rate = ev.where(F.col("value") > F.lit(mean)).count() / ev.count()
+    prior = -(rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
+    assert w[0] > 0 and loss < prior
