@@ -1134,3 +1134,32 @@ def fold_mean_loss(spark, sf_dir):
     m = M.cv_metrics(t3, "y", "p1", "fold", None, N_FOLDS)
     r = CF.fold_mean_loss(m)
     return r.select(_r("fold_mean_loss").alias("fold_mean_loss"), "n_folds")
+
+
+@register("top_weights", _sql_trials() + """,
+b AS (SELECT * FROM s ORDER BY loss, trial LIMIT 1),
+w AS (SELECT 'p1' AS model, w0::DOUBLE AS weight FROM b UNION ALL SELECT 'p2', w1::DOUBLE FROM b
+      UNION ALL SELECT 'p3', w2::DOUBLE FROM b)
+SELECT model, weight FROM w WHERE weight > 1e-4 ORDER BY weight DESC, model LIMIT 10""")
+def top_weights(spark, sf_dir):
+    """TK3: the best grid trial's blend weights above 1e-4, largest first (at most 10)."""
+    r = EN.score_trials(_aligned_oof(spark, sf_dir), "y", fx.MODELS, GRID, "logit")
+    best = EN.best_trial(r)
+    w = best.select(F.expr("stack(3, 'p1', w_p1, 'p2', w_p2, 'p3', w_p3) as (model, weight)"))
+    return EN.top_weights(w, 10, 1e-4)
+
+
+@register("gbt_c3_cv")
+def gbt_c3_cv(spark, sf_dir):
+    """ML3 + C3: a second boosted-tree family for diversity: raw categories (missing token)
+    indexed by frequency with StringIndexer, shallower trees, another seed, row
+    subsampling 0.7; 5-fold OOF table."""
+    from pyspark.ml.feature import VectorAssembler
+    from .operators import features as FT
+    fr = TB.encode_frame(spark, sf_dir)
+    t = _t1(spark, sf_dir).where(F.col("part") == "train").select("id", *TB.CAT)
+    x = FT.string_index(fr.train.join(t, "id"), TB.CAT)
+    inputs = [f"{c}_z" for c in TB.NUM] + [f"{c}_idx" for c in TB.CAT]
+    x = VectorAssembler(inputCols=inputs, outputCol="features_c3").transform(x.drop("features"))
+    x = x.withColumnRenamed("features_c3", "features")
+    return CF.cross_fit(x, lambda s: CF.gbt(s + 7, max_iter=GBT_ITER, max_depth=3, subsample=0.7)).oof
