@@ -58,12 +58,10 @@ def dataset_profile(df: DataFrame, part_col: str, id_col: str, cat_cols: list[st
 
 def normalise_mean(df: DataFrame, col: str, eps: float = 1e-12, skip_nonpositive: bool = False) -> DataFrame:
     """AG18: ``w / (mean(w) + eps)`` (or unchanged when the mean is <= 0 and
-    ``skip_nonpositive``). The mean is a one-row aggregate joined back on a
-    constant key, so the plan stays lazy and nothing is collected."""
-    m = df.agg(F.avg(col).alias("__mean")).withColumn("__one", F.lit(1))
-    j = df.withColumn("__one", F.lit(1)).join(F.broadcast(m), "__one").drop("__one")
+    ``skip_nonpositive``). The mean is fitted by one aggregation and applied as a
+    literal, so no join (and no cross product with a one-row table) is planned."""
+    mean = df.agg(F.avg(col)).first()[0]
+    mean = 0.0 if mean is None else float(mean)
     if skip_nonpositive:
-        val = F.when(F.col("__mean") > 0, F.col(col) / F.col("__mean")).otherwise(F.col(col))
-    else:
-        val = F.col(col) / (F.col("__mean") + d(eps))
-    return j.withColumn(col, val).drop("__mean")
+        return df.withColumn(col, F.col(col) / d(mean) if mean > 0 else F.col(col))
+    return df.withColumn(col, F.col(col) / d(mean + eps))

@@ -47,29 +47,34 @@ def auc(df: DataFrame, y: str, p: str, by: list[str] | None = None, max_groups:
 
 def score_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[str] | None = None,
                   max_groups: int | None = None) -> DataFrame:
-    """Log-loss (weighted if ``w``), unweighted AUC and row count per group."""
+    """Log-loss (weighted if ``w``), unweighted AUC and row count per group.
+
+    Without groups both metrics are single numbers, assembled into one row
+    locally; with groups the two tables join on the group keys.
+    """
     by = by or []
     ll = logloss(df, y, p, w, by)
     a = auc(df, y, p, by, max_groups)
-    return ll.join(a, by) if by else _join_single(ll, a)
-
-
-def _join_single(a: DataFrame, b: DataFrame) -> DataFrame:
-    k = "__one"
-    return a.withColumn(k, F.lit(1)).join(b.withColumn(k, F.lit(1)), k).drop(k)
+    if by:
+        return ll.join(a, by)
+    r1, r2 = ll.first(), a.first()
+    return df.sparkSession.createDataFrame([(r1["logloss"], r1["n"], r2["auc"])],
+                                           "logloss double, n bigint, auc double")
 
 
 def cv_metrics(scored: DataFrame, y: str, p: str, fold: str, w: str | None = None,
                n_folds: int | None = None) -> DataFrame:
     """AG15: metrics per fold and over all rows (fold = -1 marks the overall row).
 
-    ``scored`` holds one OOF score per row; for several seeds average first
-    (the overall loss is the loss of the average, not the average loss).
+    Each row is credited to its fold and to the overall group (-1), and one
+    grouped pass computes every row of the report. ``scored`` holds one OOF
+    score per row; for several seeds average first (the overall loss is the
+    loss of the average, not the average loss).
     """
-    per = score_metrics(scored, y, p, w, [fold], max_groups=n_folds)
-    allr = score_metrics(scored, y, p, w, None).withColumn(fold, F.lit(-1))
-    cols = [fold, "logloss", "auc", "n"]
-    return per.select(*cols).unionByName(allr.select(*cols)).withColumn(fold, F.col(fold).cast("int"))
+    g = "__cvg"
+    x = scored.select("*", F.explode(F.array(F.col(fold).cast("int"), F.lit(-1))).alias(g))
+    m = score_metrics(x, y, p, w, [g], max_groups=None if n_folds is None else n_folds + 1)
+    return m.select(F.col(g).cast("int").alias(fold), "logloss", "auc", "n")
 
 
 def ensemble_mean(scores: DataFrame, id_col: str, p: str, by: list[str] | None = None) -> DataFrame:

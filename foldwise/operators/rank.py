@@ -69,6 +69,11 @@ def value_buckets(df: DataFrame, group: list[str], key: str, n_buckets: int,
     """
     bounds = tmp("q")
     qs = [i / n_buckets for i in range(1, n_buckets)]
+    if not group:
+        # One bounded set of boundaries: applied as a literal array, no join.
+        arr = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, 10_000)).first()[0] or []
+        lit_arr = F.array(*[d(float(v)) for v in arr]) if arr else F.array().cast("array<double>")
+        return with_count_below(df, F.col(key).cast("double"), lit_arr, n_buckets - 1, out)
     tab = df.groupBy(*group).agg(F.percentile_approx(F.col(key).cast("double"), qs, 10_000).alias(bounds))
     if max_groups is not None:
         tab = local_copy(tab, max_groups)
@@ -84,10 +89,25 @@ def two_level_cumsum(df: DataFrame, group: list[str], key: str, values: list[str
     Adds ``<v><suffix>`` = sum of v over rows of the group with a smaller key.
     ``key`` must be unique within a group (aggregate ties first).
     """
-    x, grp, g = _with_group(df, group)
-    mg = 1 if g else max_groups
     b = tmp("b")
-    x = value_buckets(x, grp, key, n_buckets, mg, out=b)
+    if not group:
+        # Ungrouped: bucket totals are at most ``n_buckets`` numbers, applied as a
+        # literal array of exclusive offsets indexed by bucket -- no join.
+        x = value_buckets(df, [], key, n_buckets, None, out=b)
+        tot = dict()
+        for r in x.groupBy(b).agg(*[F.sum(v).alias(v) for v in values]).collect():
+            tot[r[0]] = r
+        wl = Window.partitionBy(b).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        for v in values:
+            acc, offs = 0, []
+            for i in range(n_buckets):
+                offs.append(acc)
+                acc += (tot[i][v] or 0) if i in tot else 0
+            arr = F.array(*[F.lit(o) for o in offs])
+            x = x.withColumn(f"{v}{suffix}", F.coalesce(F.sum(v).over(wl), F.lit(0)) + F.element_at(arr, F.col(b) + 1))
+        return x.drop(b)
+    grp, mg = group, max_groups
+    x = value_buckets(df, grp, key, n_buckets, mg, out=b)
     tot = x.groupBy(*grp, b).agg(*[F.sum(v).alias(v) for v in values])
     if mg is not None and mg * n_buckets <= LOCAL_COPY_ROWS:
         tot = local_copy(tot, mg * n_buckets)
@@ -97,8 +117,7 @@ def two_level_cumsum(df: DataFrame, group: list[str], key: str, values: list[str
     wl = Window.partitionBy(*grp, b).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     for v in values:
         x = x.withColumn(f"{v}{suffix}", F.coalesce(F.sum(v).over(wl), F.lit(0)) + F.col(f"{v}__off"))
-    x = x.drop(b, *[f"{v}__off" for v in values])
-    return x.drop(g) if g else x
+    return x.drop(b, *[f"{v}__off" for v in values])
 
 
 def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
@@ -112,8 +131,10 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
     wanted position (2 per quantile per group) survive, so the interpolation
     runs on a tiny table.
     """
-    x, grp, g = _with_group(counts, group)
-    mg = 1 if g else max_groups
+    if not group:
+        raise ValueError("exact_quantiles needs at least one group column (e.g. the feature name)")
+    x, grp, g = counts, group, None
+    mg = max_groups
     nq = len(probs)
     # The distinct-value table feeds four bounded fits below; keep it for their
     # duration only (the returned table is local, so it can be released).

@@ -89,3 +89,13 @@ def test_stream_sgd_beats_constant_prior(spark):
     rate = ev.where(F.col("value") > F.lit(mean)).count() / ev.count()
     prior = -(rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
     assert w[0] > 0 and loss < prior
+
+
+def test_no_cross_joins_in_plans(spark):
+    # One-row statistics are applied as literals or through grouped passes; the
+    # optimizer must not be left with a nested-loop (cross) join anywhere.
+    for name in ("odds_weights", "cv_metrics", "extra_union_weights", "auc_exact", "stratified_folds"):
+        df = QUERIES[name](spark, SF001)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
