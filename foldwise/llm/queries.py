@@ -95,8 +95,8 @@ sh AS (SELECT DISTINCT id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ')
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 pair AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
 lnk AS (SELECT a, b FROM pair JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
-both AS (SELECT a, b FROM lnk UNION ALL SELECT b, a FROM lnk),
-reach AS (SELECT id, id AS c FROM w UNION SELECT r.id, e.b FROM reach r JOIN both e ON r.c = e.a),
+sym AS (SELECT a, b FROM lnk UNION ALL SELECT b, a FROM lnk),
+reach AS (SELECT id, id AS c FROM w UNION SELECT r.id, e.b FROM reach r JOIN sym e ON r.c = e.a),
 comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
 """
 
