@@ -18,6 +18,7 @@ from .exact_dedup import exact_groups
 from .near_dedup import near_groups
 from .packing import pack
 from .paragraph_dedup import repeated_paragraphs
+from .pitman_yor import score_documents
 from .quality_fm import fit_quality, score_quality
 from .sharding import shard_documents
 from .url_filter import filter_urls
@@ -30,6 +31,11 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line", "start", "n_chars", "n_words", "keep_doc_id", "keep_line", "cluster_size")
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every ``pages`` URL by rule, else by the ratio of two character models."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -82,11 +88,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_paragraph_dedup, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup, op7_quality,
+    f.__name__: f for f in (op1_paragraph_dedup, op2_pitman_yor, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup, op7_quality,
                             op8_near_dedup, op9_sharding, op10_packing, pipeline)}
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\x0C\\r]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
 #: From items w(id, ws) to lnk(a, b), similar pairs by full sets of five-word shingles, and reach(id, c).
 _LINKS = """
 sh AS (SELECT DISTINCT id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ')
