@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import bitmap_of, components, written
 
 PERCENT = 75
 SMALL = 24
@@ -93,28 +93,51 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return live.join(written(once, "buckets"), "key")
 
 
-def _prefix_pairs(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components whose sets share one of their rarest shingles.
+def _prefixes(tokens: DataFrame, weight: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Each set's prefix: rows (token, id, rank, ...) among its n - ceil(t n) + 1 first tokens.
 
-    ``left``, ``right``: (id, component); ``sets``: (id, set) of all ids on the right.
+    Tokens are ordered by (df, token). Tokens without a row in ``weight`` (token, df) come
+    first; they need not be among ``tokens``, since only their number counts.
     """
-    tokens = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    prefix = written(tokens.join(common, "token").withColumn("rank", rank)
-                     .where((F.col("rank") <= first) & (F.col("df") > 1)).select("id", "token"), "prefixes")
-    a = prefix.join(left, "id").select("token", F.col("id").alias("l"), F.col("component").alias("cl"))
-    b = prefix.join(right, "id").select("token", F.col("id").alias("r"), F.col("component").alias("cr"))
-    return (a.join(b, "token").where("cl <> cr")
-            .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct())
-
-
-def links(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], n_minhashes: int,
+    own = Window.partitionBy("id")
+    row = tokens.join(weight, "token").join(members, "id")
+    row = row.withColumn("rank", F.col("n") - F.count(F.lit(1)).over(own)
+                         + F.row_number().over(own.orderBy("df", "token")))
+    return row.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1).drop("df")
+
+
+def _prefix_pairs(left: DataFrame, right: DataFrame, items: DataFrame, sets_of: Callable[..., DataFrame],
+                  n_minhashes: int, percent: int) -> DataFrame:
+    """Plausible pairs across components, one of ``left`` and one of ``right`` (id, component),
+    that share a token of both prefixes.
+
+    A token's df counts the left sets that have it. Of the right sets only tokens of
+    left sets are fetched (by a bitmap) and exploded. A pair meets at a token only if the tokens
+    from there on can still make up the wanted overlap.
+    """
+    info = items.select("id", "n", *SKETCH)
+    mine = written(sets_of(left.select("id")).select("id", F.explode("set").alias("token")), "left-tokens")
+    weight = written(mine.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "left-df")
+    known = bitmap_of(weight, lambda n: F.pmod("token", F.lit(n)))
+    other = sets_of(right.select("id"), known).select("id", F.explode("set").alias("token"))
+    sides = []
+    for side, tokens, ids in (("a", mine, left), ("b", other, right)):
+        p = _prefixes(tokens, weight, ids.join(info, "id"), percent)
+        sides.append(written(p.select("token", *[F.col(c).alias(side + c) for c in ("id", "component", "n", "rank", *SKETCH)]),
+                             f"prefix-{side}"))
+    rest = 1 + F.least(F.col("an") - F.col("arank"), F.col("bn") - F.col("brank"))
+    meet = ((F.col("acomponent") != F.col("bcomponent")) & _plausible(n_minhashes, percent)
+            & (rest * (100 + percent) >= (F.col("an") + F.col("bn")) * percent))
+    both = sides[0].withColumnRenamed("token", "x").join(sides[1], (F.col("x") == F.col("token")) & meet)
+    return both.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
+
+
+def links(keys: DataFrame, items: DataFrame, sets_of: Callable[..., DataFrame], n_minhashes: int,
           percent: int = PERCENT) -> DataFrame:
     """Enough verified links (a, b) to connect every component of similar candidates.
 
-    ``keys``: (key, id); ``items``: (id, n, s0..s3), one row per id.
+    ``keys``: (key, id); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set);
+    with a bitmap of tokens as second argument it may leave out tokens whose bit is not set.
     """
     bucket = written(_buckets(keys), "bucketed")
     small = bucket.where(F.col("size") <= SMALL).select("key", "id")
@@ -136,7 +159,5 @@ def links(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], Data
     if left.limit(1).count() == 0:
         return found
     right = member.select("id", "component")
-    sets = written(sets_of(member.select("id")), "member-sets")
-    more = _prefix_pairs(left, right, sets, percent)
-    more = _sketched(more, items, n_minhashes, percent)
+    more = _prefix_pairs(left, right, items, sets_of, n_minhashes, percent)
     return found.union(verified(more, sets_of, percent))
