@@ -187,11 +187,6 @@ def in_bitmap(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def kept_tokens(hashes: np.ndarray, only: tuple[int, np.ndarray] | None) -> np.ndarray:
-    """The hashes whose low bits are set in the bitmap ``only`` (all without one)."""
-    return hashes if only is None else hashes[in_bitmap(only[1], (hashes & np.uint64(only[0] - 1)).astype(np.int64))]
-
-
 def id_bit(c: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(bits)).cast("long")
 

@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHash, as_bytes, bitmap_of, components, documents_like, id_bit, in_bitmap, kept_tokens,
-                     list_array, map_batches, minhashes, mix64, shingle_hashes, signed, worker_state, written)
+from .common import (WordHash, as_bytes, bitmap_of, components, documents_like, id_bit, in_bitmap, list_array,
+                     map_batches, minhashes, mix64, shingle_hashes, signed, worker_state, written)
 from .simjoin import PERCENT, SKETCH, links, sketch_words
 
 MIN_WORDS = 20
-MISS = 2e-4
+MISS = 5e-5
+#: Meeting in 2 of the 12 bands and nowhere else has probability (1 - 0.75^2)^10, 3e-4, at similarity 0.75.
+FEW = 2
 
 
 def tune_bands(threshold: float = PERCENT / 100, miss: float = MISS, most_rows: int = 3) -> tuple[int, int]:
@@ -108,26 +110,24 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                   "proof long, n long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def item_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS,
-              tokens: tuple[int, np.ndarray] | None = None) -> DataFrame:
+def item_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, set) of the items in ``wanted`` (id, doc_id of the first occurrence): texts are read
-    again, and of them only those documents' paragraphs with those items move (and
-    of them only shingles in the bitmap ``tokens`` if it is given)."""
+    again, and of them only those documents' paragraphs with those items move."""
     bits, in_docs = bitmap_of(wanted, lambda n: id_bit(F.col("doc_id"), n))
     id_bits, in_items = bitmap_of(wanted, lambda n: F.pmod("id", F.lit(n)))
-    shared = docs.sparkSession.sparkContext.broadcast((in_docs, in_items, tokens))
+    shared = docs.sparkSession.sparkContext.broadcast((in_docs, in_items))
 
     def run(batches):
         h = _hasher()
         for b in batches:
-            known_docs, known_items, only = shared.value
+            known_docs, known_items = shared.value
             ids, sets = [], []
             for raw in b.filter(pa.array(in_bitmap(known_docs, b.column("bit").to_numpy()))).column("text").to_pylist():
                 lines = [ws for *_, ws in _lines(raw, min_words)]
                 item, _ = _names([b" ".join(ws) for ws in lines])
                 for i in np.flatnonzero(in_bitmap(known_items, (item & (id_bits - 1)))):
                     ids.append(item[i])
-                    sets.append(signed(kept_tokens(shingle_hashes(h.of(lines[i])), only)))
+                    sets.append(signed(shingle_hashes(h.of(lines[i]))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_array(sets, pa.int64())], ["id", "set"])
 
     rows = as_bytes(documents_like(docs).where("doc_id is not null")).withColumn("bit", id_bit(F.col("doc_id"), bits))
@@ -146,11 +146,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .select(F.col("item").alias("id"), "copies", *[F.col(f"r.{c}").alias(c) for c in first]))
     items = written(items, "paragraph-items")
 
-    def sets_of(ids: DataFrame, tokens=None) -> DataFrame:
-        return item_sets(docs, written(items.select("id", "doc_id").join(ids, "id"), "wanted"), min_words, tokens)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return item_sets(docs, written(items.select("id", "doc_id").join(ids, "id"), "wanted"), min_words)
 
     keys = items.select(F.explode("bands").alias("key"), "id")
-    comp = components(links(keys, items.select("id", "n", *SKETCH), sets_of, N_MINHASHES))
+    comp = components(links(keys, items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW))
     # clusters of one paragraph remove nothing: only the others are joined with the paragraphs
     named = (items.select("id", "proof", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left")
              .where("component is not null or copies > 1")

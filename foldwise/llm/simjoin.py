@@ -6,11 +6,14 @@ of table keys; items that share a key are candidates.
 * Tables often repeat the same bucket. Buckets with equal (size, id sum, least id)
   are kept once.
 * Buckets of at most ``SMALL`` items pair their members (a bounded number each).
-* In larger buckets every member is paired with the bucket's least member only.
+* In larger buckets every member is paired with ``CENTRES`` members only: the least
+  and the first ones in fixed hash orders, so buckets of the same items agree on them.
   Links that this leaves out can only join members that are not yet in one
   component, so those members are joined again exactly by prefix filtering: sets
   with Jaccard >= t share one of their n - ceil(t n) + 1 rarest shingles, and only
-  pairs across components are looked at.
+  pairs across components are looked at. Members of at most ``few`` large buckets need
+  not be: a similar pair shares many tables, and the chance that it shares none but
+  those few is of the order of the tables' own chance to miss it (the callers state it).
 
 Pairs whose sketches differ so much that similarity t is out of the question
 (more than five standard deviations) are dropped before the sets are fetched;
@@ -25,10 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, components, written
+from .common import components, written
 
 PERCENT = 75
 SMALL = 24
+CENTRES = 5
 SKETCH = [f"s{i}" for i in range(4)]
 
 
@@ -83,48 +87,48 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return written(both.where(hit).select("a", "b"), "links")
 
 
-def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, size, least) of distinct buckets with two members or more; ``keys`` has no repeated rows."""
+def _buckets(keys: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """((key, id, size, least) of distinct buckets with two members or more, (id) of the items that
+    are in more than ``few`` large buckets); ``keys`` has no repeated rows."""
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared-keys")
     live = written(keys.join(shared, "key"), "live-keys")
-    b = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"),
-                                F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of"))
+    b = written(live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"),
+                                        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of")), "bucket-sizes")
     once = b.groupBy("size", "least", "of").agg(F.min("key").alias("key")).select("key", "size", "least")
-    return live.join(written(once, "buckets"), "key")
+    crowd = (live.join(b.where(F.col("size") > SMALL).select("key"), "key").groupBy("id")
+             .agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > few).select("id"))
+    return live.join(written(once, "buckets"), "key"), crowd
 
 
-def _prefixes(tokens: DataFrame, weight: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Each set's prefix: rows (token, id, rank, ...) among its n - ceil(t n) + 1 first tokens.
+def _prefixes(tokens: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, id, rank) of each set's n - ceil(t n) + 1 first tokens; ``tokens``: (token, id, n).
 
     Tokens are ordered by (df, token). Tokens without a row in ``weight`` (token, df) come
     first; they need not be among ``tokens``, since only their number counts.
     """
     own = Window.partitionBy("id")
-    row = tokens.join(weight, "token").join(members, "id")
-    row = row.withColumn("rank", F.col("n") - F.count(F.lit(1)).over(own)
-                         + F.row_number().over(own.orderBy("df", "token")))
-    return row.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1).drop("df")
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "token"))
+    return (tokens.join(weight, "token").withColumn("rank", rank)
+            .where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1)
+            .select("token", "id", "rank"))
 
 
-def _prefix_pairs(left: DataFrame, right: DataFrame, items: DataFrame, sets_of: Callable[..., DataFrame],
+def _prefix_pairs(members: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
                   n_minhashes: int, percent: int) -> DataFrame:
-    """Plausible pairs across components, one of ``left`` and one of ``right`` (id, component),
-    that share a token of both prefixes.
+    """Plausible pairs across components that share a token of both prefixes.
 
-    A token's df counts the left sets that have it. Of the right sets only tokens of
-    left sets are fetched (by a bitmap) and exploded. A pair meets at a token only if the tokens
-    from there on can still make up the wanted overlap.
+    ``members``: (id, component, apart); one member of a pair is ``apart``, so a token's
+    df counts the sets of those. A pair meets at a token only if the tokens from there
+    on can still make up the wanted overlap.
     """
-    info = items.select("id", "n", *SKETCH)
-    mine = written(sets_of(left.select("id")).select("id", F.explode("set").alias("token")), "left-tokens")
-    weight = written(mine.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "left-df")
-    known = bitmap_of(weight, lambda n: F.pmod("token", F.lit(n)))
-    other = sets_of(right.select("id"), known).select("id", F.explode("set").alias("token"))
-    sides = []
-    for side, tokens, ids in (("a", mine, left), ("b", other, right)):
-        p = _prefixes(tokens, weight, ids.join(info, "id"), percent)
-        sides.append(written(p.select("token", *[F.col(c).alias(side + c) for c in ("id", "component", "n", "rank", *SKETCH)]),
-                             f"prefix-{side}"))
+    info = members.join(items.select("id", "n", *SKETCH), "id")
+    tokens = (sets_of(members.select("id")).join(info.select("id", "n", "apart"), "id")
+              .select(F.explode("set").alias("token"), "id", "n", "apart"))
+    tokens = written(tokens, "tokens")
+    weight = written(tokens.where("apart").groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token-df")
+    prefix = written(_prefixes(tokens, weight, percent).join(info, "id"), "prefixes")
+    sides = [(prefix.where("apart") if side == "a" else prefix).select(
+        "token", *[F.col(c).alias(side + c) for c in ("id", "component", "n", "rank", *SKETCH)]) for side in "ab"]
     rest = 1 + F.least(F.col("an") - F.col("arank"), F.col("bn") - F.col("brank"))
     meet = ((F.col("acomponent") != F.col("bcomponent")) & _plausible(n_minhashes, percent)
             & (rest * (100 + percent) >= (F.col("an") + F.col("bn")) * percent))
@@ -132,32 +136,33 @@ def _prefix_pairs(left: DataFrame, right: DataFrame, items: DataFrame, sets_of:
     return both.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
 
 
-def links(keys: DataFrame, items: DataFrame, sets_of: Callable[..., DataFrame], n_minhashes: int,
+def links(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], n_minhashes: int, few: int,
           percent: int = PERCENT) -> DataFrame:
     """Enough verified links (a, b) to connect every component of similar candidates.
 
-    ``keys``: (key, id); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set);
-    with a bitmap of tokens as second argument it may leave out tokens whose bit is not set.
+    ``keys``: (key, id); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set).
     """
-    bucket = written(_buckets(keys), "bucketed")
+    bucket, crowd = _buckets(keys, few)
+    bucket = written(bucket, "bucketed")
     small = bucket.where(F.col("size") <= SMALL).select("key", "id")
     pairs = (small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "key")
              .where("a < b").select("a", "b").distinct())
     large = bucket.where(F.col("size") > SMALL)
-    star = large.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    first = [F.min_by("id", F.xxhash64("id", F.lit(r))) for r in range(1, CENTRES)]
+    centres = written(large.groupBy("key").agg(F.array_distinct(F.array(F.min("least"), *first)).alias("c")), "centres")
+    star = (large.join(centres, "key").select(F.explode("c").alias("a"), F.col("id").alias("b"))
+            .where("a <> b").distinct())
     found = verified(_sketched(pairs.union(star).distinct(), items, n_minhashes, percent), sets_of, percent)
     if large.limit(1).count() == 0:
         return found
     comp = written(components(found), "found")
-    member = (large.join(comp.withColumnRenamed("node", "id"), "id", "left")
+    member = (large.join(crowd, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
               .withColumn("component", F.coalesce("component", "id")))
     member = (member.join(comp.select(F.col("node").alias("least"), F.col("component").alias("main")), "least", "left")
               .withColumn("main", F.coalesce("main", "least")))
-    member = written(member.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart"),
-                                                           F.count(F.lit(1)).alias("in_buckets")), "members")
-    left = member.where("apart").select("id", "component")
-    if left.limit(1).count() == 0:
+    member = written(member.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart")),
+                     "members")
+    if member.where("apart").limit(1).count() == 0:
         return found
-    right = member.select("id", "component")
-    more = _prefix_pairs(left, right, items, sets_of, n_minhashes, percent)
+    more = _prefix_pairs(member.select("id", "component", "apart"), items, sets_of, n_minhashes, percent)
     return found.union(verified(more, sets_of, percent))
