@@ -254,22 +254,28 @@ def fold_modes(df: DataFrame, cols: list[str], fold: str, n_folds: int) -> DataF
     return best.select(F.col("tfold").cast("int").alias(fold), "feature", "mode")
 
 
-def string_prefix_key(c) -> Column:
-    """A bigint that never decreases along Spark's (binary, UTF-8) string order:
-    the first 7 bytes read as a big-endian number, shorter strings zero-padded.
-    Used to bucket strings for two-level ranking."""
-    h = F.rpad(F.substring(F.hex(F.col(c) if isinstance(c, str) else c), 1, 14), 14, "0")
-    return F.conv(h, 16, 10).cast("bigint")
+def string_buckets(df: DataFrame, feature: str, value: str, n_buckets: int, out: str) -> DataFrame:
+    """Add a bucket that never decreases along the string order of ``value`` within each feature.
+
+    Bounds are about ``n_buckets`` of a feature's distinct values, picked by hash, so
+    values that share a long prefix spread like any others.
+    """
+    values = df.select(feature, value).distinct()
+    n = values.groupBy(feature).agg(F.count(F.lit(1)).alias("__n"))
+    picked = values.join(n, feature).where(F.pmod(F.xxhash64(value), F.col("__n")) < n_buckets)
+    bounds = picked.groupBy(feature).agg(F.sort_array(F.collect_list(value)).alias("__bounds"))
+    below = F.size(F.filter("__bounds", lambda b: b <= F.col(value)))
+    return df.join(bounds, feature).withColumn(out, below).drop("__bounds")
 
 
 def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int,
-                       n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
+                       n_buckets: int = 128) -> DataFrame:
     """C6: per fold, alphabetic ordinal codes of the fold-train values after mode
     imputation; values unseen in the fold's training rows map to -1 at lookup.
     Returns ``fold, feature, value, code``.
 
     Codes are ranks in string order inside each (fold, feature), computed in
-    two levels (buckets of the byte-prefix key, then a window per bucket), so
+    two levels (buckets between sampled values, then a window per bucket), so
     a high-cardinality column is not ranked in a single task."""
     long = df.select(fold, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([fold], cols, "feature", "v")
     modes = fold_modes(df, cols, fold, n_folds)
@@ -278,8 +284,6 @@ def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int,
     seen = seen.select(F.col("tfold").cast("int").alias(fold), "feature", F.col("v").alias("value"))
     vocab = seen.unionByName(modes.select(fold, "feature", F.col("mode").alias("value"))).distinct()
     b = tmp("b")
-    x = vocab.withColumn("__key", string_prefix_key("value"))
-    x = value_buckets(x, [fold, "feature"], "__key", n_buckets, len(cols) * n_folds, out=b)
-    x = two_level_row_number(x, [fold, "feature"], [F.col("value")], F.col(b), "__rn",
-                             max_groups=len(cols) * n_folds, n_buckets=n_buckets)
+    x = string_buckets(vocab, "feature", "value", n_buckets, b)
+    x = two_level_row_number(x, [fold, "feature"], [F.col("value")], F.col(b), "__rn")
     return x.select(fold, "feature", "value", (F.col("__rn") - 1).cast("int").alias("code"))

@@ -74,13 +74,17 @@ def best_metric(df: DataFrame) -> DataFrame:
 
 
 def epoch_mean(df: DataFrame) -> DataFrame:
-    """AG20: mean value per (metric, epoch) over all seeds and folds."""
-    return df.groupBy("metric", "epoch").agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    """AG20: mean value per (metric, epoch) over all seeds and folds, NaN left out (all NaN: null)."""
+    return df.groupBy("metric", "epoch").agg(F.avg(_number("value")).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+
+
+def _number(c: str):
+    return F.when(~F.isnan(c), F.col(c))
 
 
 def epoch_mean_side_by_side(df: DataFrame, metrics: list[str]) -> DataFrame:
     """AG20 report: one row per epoch, one column per metric (e.g. train vs validation)."""
-    return df.where(F.col("metric").isin(*metrics)).groupBy("epoch").pivot("metric", metrics).avg("value")
+    return df.where(F.col("metric").isin(*metrics)).groupBy("epoch").pivot("metric", metrics).agg(F.avg(_number("value")))
 
 
 def patience_pick(df: DataFrame, metric: str, patience: int, min_delta: float = 0.0,
@@ -88,7 +92,7 @@ def patience_pick(df: DataFrame, metric: str, patience: int, min_delta: float =
     """WN3: per (seed, fold), replay early stopping over the epochs of ``metric``.
 
     An evaluation improves when it beats the best so far by more than
-    ``min_delta``; after ``patience`` evaluations without improvement the run
+    ``min_delta``; NaN never does; after ``patience`` evaluations without improvement the run
     stops. Returns ``seed, fold, best_epoch, best_value, stop_epoch, n_evals``.
     A series is one training run's history (its length is the number of
     evaluations, not the data size), so it is folded in order inside one
@@ -104,7 +108,7 @@ def patience_pick(df: DataFrame, metric: str, patience: int, min_delta: float =
     def step(acc, e):
         stopped = acc["stop"].isNotNull()
         v = e["value"] * F.lit(sign)
-        better = acc["best"].isNull() | (v < acc["best"] - F.lit(min_delta))
+        better = ~F.isnan(v) & (acc["best"].isNull() | (v < acc["best"] - F.lit(min_delta)))
         bad = F.when(better, F.lit(0)).otherwise(acc["bad"] + 1)
         return F.when(stopped, acc).otherwise(F.struct(
             F.when(better, v).otherwise(acc["best"]).alias("best"),

@@ -60,14 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names shared storage and is always read from the
-    session. Only when it is unset (a local test run) is a private folder made
-    and recorded in the session, so later calls agree.
+    session. Only when it is unset on a local master (a test run) is a private
+    folder made and recorded in the session, so later calls agree; on a cluster a
+    missing setting is an error, as machines would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc_dir = spark.sparkContext.getCheckpointDir()
         path = sc_dir
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="foldwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -87,11 +87,12 @@ def test_roles_and_low_card(spark):
         pass
 
 
-def test_string_prefix_key_is_monotone(spark):
-    vals = ["", "a", "ab", "abc", "abcdefghij", "abcdefgz", "b", "Z", "é", "ü", "日本", "\u0000x", "zz", "A"]
-    df = spark.createDataFrame([(v,) for v in vals], "v string").select("v", E.string_prefix_key("v").alias("k"))
-    keys = [r.k for r in df.orderBy("v").collect()]
-    assert all(k is not None for k in keys) and all(a <= b for a, b in zip(keys, keys[1:]))
+def test_string_buckets_are_monotone_and_split_common_prefixes(spark):
+    vals = ["", "a", "ab", "Z", "é", "日本", "\u0000x"] + [f"https://example.org/page/{i}" for i in range(3000)]
+    df = spark.createDataFrame([("f", v) for v in vals], "feature string, v string")
+    rows = E.string_buckets(df, "feature", "v", 64, "b").orderBy("v").collect()
+    buckets = [r.b for r in rows]
+    assert len(rows) == len(vals) and buckets == sorted(buckets) and len(set(buckets)) > 30
 
 
 def test_fold_ordinal_vocab_two_level_equals_sorted(spark):

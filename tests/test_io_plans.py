@@ -15,11 +15,30 @@ def test_csv_schema_sampling_and_strict_readers(spark):
     df.write.option("header", True).csv(path)
     sch = RD.infer_schema_sample(spark, path)
     assert [(f.name, f.dataType.simpleString()) for f in sch.fields] == \
-        [("id", "bigint"), ("x", "double"), ("s", "string"), ("b", "boolean")]
+        [("id", "int"), ("x", "double"), ("s", "string"), ("b", "boolean")]
     with pytest.raises(ValueError):
         RD.read_weights(spark, path, fmt="csv")          # needs exactly {id, weight}
 
 
+def test_csv_rows_after_the_first_ones_keep_their_values(spark):
+    path = scratch_path(spark, "csv-late")
+    rows = [(i, "1" if i < 600 else "2.5") for i in range(3000)]
+    spark.createDataFrame(rows, "id long, weight string").coalesce(1).write.option("header", True).csv(path)
+    w = RD.read_weights(spark, path, fmt="csv")
+    assert w.where("weight = 2.5").count() == 2400
+    x = RD.read_extra_train(spark, path, ["weight"], "id", fmt="csv")
+    assert x.where("weight = 2.5").count() == 2400
+    t = spark.createDataFrame([(i, "0.5" if i else "x") for i in range(3)], "id long, oof_pred string")
+    p = scratch_path(spark, "csv-teacher")
+    t.write.option("header", True).csv(p)
+    assert RD.read_teacher(spark, p, fmt="csv").count() == 3
+
+
+def test_missing_model_is_none(spark):
+    from pyspark.ml.classification import LogisticRegressionModel
+    assert SK.load_model(LogisticRegressionModel, scratch_path(spark, "none"), 1, 0) is None
+
+
 def test_oof_and_weights_roundtrip(spark):
     oof = spark.createDataFrame([(1, 1, 0.7), (2, 0, 1.3), (3, 2, None)], "id long, y int, oof_pred double")
     p = scratch_path(spark, "oof")

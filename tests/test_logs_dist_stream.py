@@ -91,3 +91,14 @@ def test_stream_scaler_equals_batch(spark):
                         "test-scaler").first()
     b = spark.read.parquet(f"{d}/events.parquet").agg(F.count(F.lit(1)), F.avg("value"), F.stddev_pop("value")).first()
     assert s["n"] == b[0] and abs(s["mean_value"] - b[1]) < 1e-9 and abs(s["std_value"] - b[2]) < 1e-9
+
+
+def test_nan_is_left_out_of_means_and_never_better(spark):
+    from foldwise.operators import logs as L
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 0, 1, "l", nan), (2, 0, 1, "l", 2.0), (1, 0, 2, "l", 3.0)],
+                               "seed int, fold int, epoch long, metric string, value double")
+    means = {r.epoch: r.mean_value for r in L.epoch_mean(df).collect()}
+    assert means == {1: 2.0, 2: 3.0}
+    pick = {r.seed: (r.best_epoch, r.best_value) for r in L.patience_pick(df, "l", 3).collect()}
+    assert pick == {1: (2, 3.0), 2: (1, 2.0)}

@@ -73,8 +73,8 @@ def test_sample_n_exact_and_reproducible(spark):
     assert c == a
     import numpy as np
     from foldwise.functions.hashing import GOLDEN
-    from tests_helpers import np_mix_order
-    exp = np_mix_order(list(range(3000)), 9)[:500]
+    from tests_helpers import mix_order
+    exp = mix_order(list(range(3000)), 9)[:500]
     assert a == sorted(exp)
     assert RK.sample_n(df, 10**6, "id", 9).count() == 3000
 
