@@ -128,8 +128,8 @@ def coerce_numeric_policies(spark, sf_dir):
 
 # ---------------------------------------------------------------- vocabularies
 def _t1_frames(spark, sf_dir):
-    t = _t1(spark, sf_dir)
-    return [t.where(F.col("part") == p) for p in ("train", "test", "extra")]
+    """Train, test and extra rows: one table here, so one frame and one scan."""
+    return [_t1(spark, sf_dir).where(F.col("part").isin("train", "test", "extra"))]
 
 
 _SQL_VC = f"""
@@ -325,9 +325,8 @@ FROM x GROUP BY model""")
 def logloss_weighted(spark, sf_dir):
     """AG13: per model, mean log-loss and weight-weighted log-loss (absent weight -> 1.0)."""
     x = _long_scores(spark, sf_dir).withColumn("w", F.coalesce("weight", F.lit(1.0)))
-    u = M.logloss(x, "y", "p", None, ["model"])
-    w = M.logloss(x, "y", "p", "w", ["model"]).select("model", F.col("logloss").alias("logloss_w"))
-    return u.join(w, "model").select("model", _r("logloss").alias("logloss"), _r("logloss_w").alias("logloss_w"), "n")
+    return x.groupBy("model").agg(_r(M.logloss_expr("y", "p")).alias("logloss"),
+                                  _r(M.logloss_expr("y", "p", "w")).alias("logloss_w"), F.count(F.lit(1)).alias("n"))
 
 
 @register("auc_exact", f"""WITH t3 AS ({fx.T3_SQL}), l AS ({_SQL_LONG_MODELS}), {_sql_auc('l', 'model')}
@@ -624,7 +623,7 @@ ll AS (SELECT model, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y
 SELECT model, round(logloss, 6) AS logloss, round(auc, 6) AS auc, n FROM ll JOIN a USING (model)""")
 def base_losses(spark, sf_dir):
     """AG22: each base model's own OOF log-loss and AUC, from the long score table."""
-    b = M.base_losses(_long_scores(spark, sf_dir), "y", "p", "model")
+    b = M.base_losses(_long_scores(spark, sf_dir), "y", "p", "model", len(fx.MODELS))
     return b.select("model", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
 
 

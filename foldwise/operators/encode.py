@@ -145,13 +145,12 @@ def vocab_alpha(counts: DataFrame, max_categories: int = 2000) -> DataFrame:
     when a feature has more, ``__OTHER__`` joins the list. Codes are ranks by
     value. At most max_categories + 1 rows per feature.
     """
-    nd = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("__nd"))
+    every = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("__nd"), F.sum("n").alias("__all"))
     top = top_k_per_group(counts, ["feature"], _freq_order(), max_categories, F.col("value")).drop("rank")
-    other = (counts.join(nd, "feature").where(F.col("__nd") > max_categories)
-             .join(top.select("feature", "value", F.lit(1).alias("__kept")), ["feature", "value"], "left")
-             .where(F.col("__kept").isNull())
-             .groupBy("feature").agg(F.sum("n").alias("n"))
-             .select("feature", F.lit(OTHER_TOKEN).alias("value"), "n"))
+    kept = top.groupBy("feature").agg(F.sum("n").alias("__kept"))
+    # all values less the kept ones; both sides have one row per feature
+    other = (every.where(F.col("__nd") > max_categories).join(kept, "feature")
+             .select("feature", F.lit(OTHER_TOKEN).alias("value"), (F.col("__all") - F.col("__kept")).alias("n")))
     vocab = top.select("feature", "value", "n").unionByName(other)
     # A real value spelled "__OTHER__" merges with the bucket, as it would in the reference.
     vocab = vocab.groupBy("feature", "value").agg(F.sum("n").cast("bigint").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import LOSS_EPS, d, row_logloss
+from ..session import materialise
 from .rank import DEFAULT_VALUE_BUCKETS, two_level_cumsum
 
 
@@ -36,9 +37,21 @@ def auc(df: DataFrame, y: str, p: str, by: list[str] | None = None, max_groups:
         n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
     """AG14: exact ROC AUC per group (``by..., auc``); null when a class is absent."""
     by = by or []
-    s = df.groupBy(*by, F.col(p).cast("double").alias("__s")).agg(
+    return _auc_of(materialise(_distinct_scores(df, y, p, by), "distinct-scores"), by, max_groups, n_buckets)
+
+
+def _distinct_scores(df: DataFrame, y: str, p: str, by: list[str], w: str | None = None) -> DataFrame:
+    """One row per (group, distinct score): rows by class, and the sums behind AG13."""
+    loss = row_logloss(F.col(y), F.col(p), LOSS_EPS)
+    ww = F.lit(1.0) if w is None else F.col(w).cast("double")
+    return df.groupBy(*by, F.col(p).cast("double").alias("__s")).agg(
         F.count_if(F.col(y) > 0).cast("double").alias("__pos"),
-        F.count_if(~(F.col(y) > 0)).cast("double").alias("__neg"))
+        F.count_if(~(F.col(y) > 0)).cast("double").alias("__neg"),
+        F.count(F.lit(1)).alias("__n"), F.count(loss).alias("__nl"), F.sum(loss).alias("__l"),
+        F.sum(ww).alias("__w"), F.sum(ww * loss).alias("__wl"))
+
+
+def _auc_of(s: DataFrame, by: list[str], max_groups: int | None, n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
     c = two_level_cumsum(s, by, "__s", ["__neg"], n_buckets, max_groups)
     num = F.sum(F.col("__pos") * (F.col("__neg_before") + d(0.5) * F.col("__neg")))
     den = F.sum("__pos") * F.sum("__neg")
@@ -49,12 +62,18 @@ def score_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[
                   max_groups: int | None = None) -> DataFrame:
     """Log-loss (weighted if ``w``), unweighted AUC and row count per group.
 
-    Without groups both metrics are single numbers, assembled into one row
-    locally; with groups the two tables join on the group keys.
+    ``df`` is read once: its distinct scores, with the sums of the loss, are written
+    to the shared folder and both metrics come from them. Without groups the metrics
+    are single numbers, assembled into one row locally; with groups the two tables,
+    of one row per group, join on the group keys.
     """
     by = by or []
-    ll = logloss(df, y, p, w, by)
-    a = auc(df, y, p, by, max_groups)
+    s = materialise(_distinct_scores(df, y, p, by, w), "distinct-scores")
+    mean = F.try_divide(F.sum("__l"), F.sum("__nl"))
+    if w is not None:
+        mean = F.when(F.sum("__w") > 0, F.sum("__wl") / F.sum("__w")).otherwise(mean)
+    ll = s.groupBy(*by).agg(mean.alias("logloss"), F.sum("__n").alias("n"))
+    a = _auc_of(s, by, max_groups)
     if by:
         return ll.join(a, by)
     r1, r2 = ll.first(), a.first()
@@ -82,9 +101,10 @@ def ensemble_mean(scores: DataFrame, id_col: str, p: str, by: list[str] | None =
     return scores.groupBy(id_col, *(by or [])).agg(F.avg(p).alias(p))
 
 
-def base_losses(oof_long: DataFrame, y: str = "y", p: str = "p", model: str = "model") -> DataFrame:
+def base_losses(oof_long: DataFrame, y: str = "y", p: str = "p", model: str = "model",
+                max_models: int | None = None) -> DataFrame:
     """AG22: each model's own OOF log-loss and AUC."""
-    return score_metrics(oof_long, y, p, None, [model])
+    return score_metrics(oof_long, y, p, None, [model], max_models)
 
 
 def loss_summary(losses: DataFrame, col: str = "logloss") -> DataFrame:
