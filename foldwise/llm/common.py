@@ -200,22 +200,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     """Connected components of an edge table: rows (node, component), component = smallest node.
 
     Alternating large-star and small-star joins; every round is a table in the
-    shared folder. Rounds end when the edge set no longer changes (then every
-    edge joins a node with the smallest node of its component). Nodes without an
-    edge are absent. Null ends and self-loops are ignored; no edges give no rows.
+    shared folder. Rounds end when the edges form stars: every node has either one
+    smaller neighbour, which has none itself, or none. Nodes without an edge are
+    absent. Null ends and self-loops are ignored; no edges give no rows.
     """
     kind = edges.schema[a].dataType
 
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return (r[0], r[1])
+    def stars(df: DataFrame) -> bool:
+        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            df.select("v", F.lit(0), F.lit(1)))
+        up, down = F.sum("up"), F.max("down")
+        return ends.groupBy("x").agg(up.alias("up"), down.alias("down")).where(
+            "up > 1 or (up = 1 and down = 1)").limit(1).count() == 0
 
     cur = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                   .where("u is not null and v is not null and u <> v").distinct(), "edges")
-    seen = state(cur)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    rounds = 0
+    while not stars(cur):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds += 1
         both = cur.union(cur.select("v", "u"))
         low = written(both.groupBy("u").agg(F.min("v").alias("m"))
                       .select("u", F.least("u", "m").alias("m")), "low")
@@ -226,12 +230,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         small = large.join(low, "u")
         cur = written(small.select("u", F.col("m").alias("v"))
                       .union(small.where("v <> m").select("v", "m")).distinct(), "small")
-        now = state(cur)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    out = cur.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = out.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     return out.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))

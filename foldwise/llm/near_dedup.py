@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHash, as_bytes, bitmap_of, components, documents_like, id_bit, in_bitmap, list_array,
+from .common import (WordHash, as_bytes, bitmap_of, documents_like, id_bit, in_bitmap, list_array,
                      map_batches, minhashes, mix64, shingle_hashes, signed, words, worker_state, written)
-from .simjoin import SKETCH, links, sketch_words
+from .simjoin import SKETCH, linked_components, sketch_words
 
 ROWS = 3
 HALVES = 18
@@ -122,8 +122,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def sets_of(ids: DataFrame) -> DataFrame:
         return shingle_sets(docs, written(items.select("id", "doc_id", "set_key").join(ids, "id"), "wanted"))
 
-    hits = links(table_keys(items), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW)
-    comp = written(components(hits), "linked")
+    comp = linked_components(table_keys(items), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW)
+    comp = written(comp, "linked")
     member = items.select("id", "set_key", "doc_id").join(comp.withColumnRenamed("node", "id"), "id")
     least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = member.join(least, "component").select("set_key", "least")

@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHash, as_bytes, bitmap_of, components, documents_like, id_bit, in_bitmap, list_array,
+from .common import (WordHash, as_bytes, bitmap_of, documents_like, id_bit, in_bitmap, list_array,
                      map_batches, minhashes, mix64, shingle_hashes, signed, worker_state, written)
-from .simjoin import PERCENT, SKETCH, links, sketch_words
+from .simjoin import PERCENT, SKETCH, linked_components, sketch_words
 
 MIN_WORDS = 20
 MISS = 5e-5
@@ -150,7 +150,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return item_sets(docs, written(items.select("id", "doc_id").join(ids, "id"), "wanted"), min_words)
 
     keys = items.select(F.explode("bands").alias("key"), "id")
-    comp = components(links(keys, items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW))
+    comp = linked_components(keys, items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW)
     # clusters of one paragraph remove nothing: only the others are joined with the paragraphs
     named = (items.select("id", "proof", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left")
              .where("component is not null or copies > 1")

@@ -1,4 +1,4 @@
-"""From hash-table keys to exact links and components, without pairing up whole buckets.
+"""From hash-table keys to exact links and their components, without pairing up whole buckets.
 
 Items have an id, a set of 64-bit shingles, a 1-bit-minhash sketch and any number
 of table keys; items that share a key are candidates.
@@ -136,9 +136,9 @@ def _prefix_pairs(members: DataFrame, items: DataFrame, sets_of: Callable[[DataF
     return both.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
 
 
-def links(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], n_minhashes: int, few: int,
-          percent: int = PERCENT) -> DataFrame:
-    """Enough verified links (a, b) to connect every component of similar candidates.
+def linked_components(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], n_minhashes: int,
+                      few: int, percent: int = PERCENT) -> DataFrame:
+    """Rows (node, component) of every item with a verified link; component = smallest item reachable.
 
     ``keys``: (key, id); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set).
     """
@@ -153,9 +153,9 @@ def links(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], Data
     star = (large.join(centres, "key").select(F.explode("c").alias("a"), F.col("id").alias("b"))
             .where("a <> b").distinct())
     found = verified(_sketched(pairs.union(star).distinct(), items, n_minhashes, percent), sets_of, percent)
-    if large.limit(1).count() == 0:
-        return found
     comp = written(components(found), "found")
+    if large.limit(1).count() == 0:
+        return comp
     member = (large.join(crowd, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
               .withColumn("component", F.coalesce("component", "id")))
     member = (member.join(comp.select(F.col("node").alias("least"), F.col("component").alias("main")), "least", "left")
@@ -163,6 +163,8 @@ def links(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], Data
     member = written(member.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart")),
                      "members")
     if member.where("apart").limit(1).count() == 0:
-        return found
+        return comp
     more = _prefix_pairs(member.select("id", "component", "apart"), items, sets_of, n_minhashes, percent)
-    return found.union(verified(more, sets_of, percent))
+    # the components so far stand for their links
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+                      .union(verified(more, sets_of, percent)))
