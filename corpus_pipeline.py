@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; paragraphs that an earlier one has already are cut out of their texts."""
+    """All documents; paragraphs and passages that an earlier one has already are cut out of their texts."""
     return without_repeats(docs.select(*COLUMNS))
 
 

@@ -11,6 +11,16 @@ Equal paragraphs (after lower-casing A-Z, in words) are one item. An item is nam
 by 64 bits of its hash; occurrences whose further 64 bits differ from the item's
 first one are left alone.
 
+Passages are looked for whatever the line layout, over a text's words from its first
+to its last line. Of the hashes of all runs of ``GRAM`` words the least of every
+``GRAM_WINDOW`` consecutive ones is a mark, so any ``PASSAGE_WORDS`` equal words hold
+an equal mark. The first place of a mark (by doc_id, text, word) stays, the others
+are cut, within one document too; overlapping cuts are one span. Equal runs of ``GRAM``
+to ``PASSAGE_WORDS`` - 1 words go where they hold a mark. Marks are named by 128 bits of hashes of
+their words. Uncaught: passages in which a changed word leaves no ``PASSAGE_WORDS``
+equal words in a row (unless they are near-equal lines), up to ``GRAM_WINDOW`` - 1 words
+at either end of a passage, and runs that only come together where a span was cut.
+
 Defined results: null and empty texts have no paragraphs; rows with a null id are
 left alone; rows that repeat id and text are one document (all stay or lose the
 same lines); of different texts of one id each line is judged by itself; an empty
@@ -33,6 +43,11 @@ MIN_WORDS = 20
 MISS = 5e-5
 #: Meeting in 2 of the 12 bands and nowhere else has probability (1 - 0.75^2)^10, 3e-4, at similarity 0.75.
 FEW = 2
+#: Every run of so many equal words is found, as GRAM + GRAM_WINDOW - 1 words are a window of runs.
+PASSAGE_WORDS = 50
+GRAM = 26
+GRAM_WINDOW = PASSAGE_WORDS - GRAM + 1
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def tune_bands(threshold: float = PERCENT / 100, miss: float = MISS, most_rows: int = 3) -> tuple[int, int]:
@@ -164,7 +179,140 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .select(*place, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), "cluster_size"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, two 64-bit halves of the name) of the marks of a text's word hashes."""
+    n = len(hashes) - GRAM + 1
+    if n < GRAM_WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    halves = []
+    for mult in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+        acc = np.zeros(n, dtype=np.uint64)
+        for j in range(GRAM):
+            acc = acc * mult + hashes[j:n + j]
+        halves.append(mix64(acc))
+    windows = np.lib.stride_tricks.sliding_window_view(halves[0], GRAM_WINDOW)[:, ::-1]  # ties: the rightmost
+    at = np.unique(np.arange(len(windows)) + GRAM_WINDOW - 1 - windows.argmin(axis=1))
+    return at, signed(halves[0][at]), signed(halves[1][at])
+
+
+def passage_marks(docs: DataFrame) -> DataFrame:
+    """One row per mark: doc_id, text_hash, word (its place), mark, proof."""
+
+    def run(batches):
+        h = _hasher()
+        for b in batches:
+            found = [_marks(h.of(raw.lower().split())) for raw in b.column("text").to_pylist()]
+            sizes = [len(x[0]) for x in found]
+            word, mark, proof = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in found)]) for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.repeat(b.column(c).to_numpy(), sizes), pa.int64()) for c in ("doc_id", "text_hash")),
+                 pa.array(word, pa.int32()), pa.array(mark, pa.int64()), pa.array(proof, pa.int64())],
+                ["doc_id", "text_hash", "word", "mark", "proof"])
+
+    rows = as_bytes(documents_like(docs).where("doc_id is not null")).withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(rows, run, "doc_id long, text_hash long, word int, mark long, proof long")
+
+
+def _repeated_marks(docs: DataFrame) -> DataFrame:
+    """(_id, _hash, _at): by document the places of its marks that stand earlier too, and where the first one is."""
+    marks = written(passage_marks(docs), "marks")
+    place = F.struct("doc_id", "text_hash", "word")
+    first = (marks.groupBy("mark", "proof").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .where("first <> last").drop("last"))
+    again = marks.join(written(first, "first-marks"), ["mark", "proof"]).where(place != F.col("first"))
+    at = F.struct("word", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.word").alias("keep_word"))
+    return written(again.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+                   .agg(F.collect_set(at).alias("_at")), "repeated-marks")  # bounded by one document's words
+
+
+def _places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of a text's words in bytes."""
+    inside = np.concatenate([[False], ~_BLANK[np.frombuffer(raw, dtype=np.uint8)], [False]]).astype(np.int8)
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _spans(words: list[int]) -> list[tuple[int, int]]:
+    """(first word, end) of the joined runs that begin at ``words``."""
+    out: list[tuple[int, int]] = []
+    for w in sorted(words):
+        if out and w <= out[-1][1]:
+            out[-1] = (out[-1][0], w + GRAM)
+        else:
+            out.append((w, w + GRAM))
+    return out
+
+
+def _cut(raw: bytes, words: list[int]) -> bytes:
+    """The text without the runs that begin at ``words``; blanks after a span go, and a line that it leaves empty."""
+    starts, ends = _places(raw)
+    out, at = b"", 0
+    for a, e in _spans(words):
+        out += raw[at:starts[a]]
+        at = int(ends[e - 1])
+        while raw[at:at + 1] in (b" ", b"\t"):
+            at += 1
+        if raw[at:at + 1] == b"\n" and out[-1:] in (b"", b"\n"):
+            at += 1
+    return out + raw[at:]
+
+
+def _n_chars(raw: bytes) -> int:
+    return len(raw.decode("utf-8", "replace"))
+
+
+def _with_marks(docs: DataFrame, text_col: str, how: str) -> DataFrame:
+    raw = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    gone = _repeated_marks(docs.select("doc_id", docs[text_col].alias("text")))
+    return docs.withColumn("_h", F.xxhash64(raw)).join(
+        gone, (docs["doc_id"] == F.col("_id")) & (F.col("_h") == F.col("_hash")), how)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per cut span: doc_id, text_hash, word, n_words, start, n_chars (places in words and
+    code points), keep_doc_id, keep_word (where the words of the span's first mark stay)."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc_id, th, raw, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "_hash", "text", "_at")), strict=True):
+                starts, ends = _places(raw)
+                first = {x["word"]: (x["keep_doc_id"], x["keep_word"]) for x in at}
+                for a, e in _spans(list(first)):
+                    out.append((doc_id, th, a, e - a, _n_chars(raw[:starts[a]]), _n_chars(raw[starts[a]:ends[e - 1]]), *first[a]))
+            names = ["doc_id", "text_hash", "word", "n_words", "start", "n_chars", "keep_doc_id", "keep_word"]
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    rows = _with_marks(documents_like(docs, id_col, text_col), "text", "inner")
+    return map_batches(as_bytes(rows).select("doc_id", "_hash", "text", "_at"), run,
+                       "doc_id long, text_hash long, word int, n_words int, start int, n_chars int, keep_doc_id long, keep_word int")
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with the spans of :func:`repeated_passages` cut out of ``text``; ``n_chars`` is counted anew for texts that change."""
+    columns = docs.columns
+
+    def run(batches):
+        for b in batches:
+            at = b.column("_at").to_pylist()
+            keep = b.select(columns)
+            if any(at):
+                raw = [_cut(x, [m["word"] for m in a]) if a else x
+                       for x, a in zip(b.column("text").cast(pa.binary()).to_pylist(), at, strict=True)]
+                new = {"text": pa.array(raw, pa.binary()).cast(b.column("text").type, safe=False)}
+                if "n_chars" in columns:
+                    old = b.column("n_chars")
+                    n = [_n_chars(x) if a else o for x, a, o in zip(raw, at, old.to_pylist(), strict=True)]
+                    new["n_chars"] = pa.array(n, old.type)
+                keep = pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], columns)
+            yield keep
+
+    return map_batches(_with_marks(docs, "text", "left").select(*columns, "_at"), run, docs.schema)
+
+
+def without_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with removed paragraphs' lines cut out of ``text``; ``n_chars`` is counted anew for texts that change."""
     gone = (repeated_paragraphs(docs, min_words=min_words).distinct()
             .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
@@ -178,3 +326,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.select(*[text.alias("text") if c == "text" else
                            F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.char_length(cut)).cast("long").alias("n_chars")
                            if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without removed paragraphs' lines, then without repeated passages of any line layout."""
+    return without_passages(written(without_lines(docs, min_words), "lines-cut"))

@@ -17,7 +17,7 @@ from .common import crc_mod5, table
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
 from .packing import pack
-from .paragraph_dedup import repeated_paragraphs
+from .paragraph_dedup import repeated_paragraphs, repeated_passages
 from .pitman_yor import score_documents
 from .quality_fm import fit_quality, score_quality
 from .sharding import shard_documents
@@ -31,6 +31,11 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line", "start", "n_chars", "n_words", "keep_doc_id", "keep_line", "cluster_size")
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of ``documents`` of any line layout: where each stands and where its words stay."""
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document."""
     return score_documents(table(spark, sf_dir, "documents"))
@@ -88,8 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_paragraph_dedup, op2_pitman_yor, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup, op7_quality,
-                            op8_near_dedup, op9_sharding, op10_packing, pipeline)}
+    f.__name__: f for f in (op1_paragraph_dedup, op1_passage_dedup, op2_pitman_yor, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup,
+                            op7_quality, op8_near_dedup, op9_sharding, op10_packing, pipeline)}
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"

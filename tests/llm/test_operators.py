@@ -113,6 +113,36 @@ def test_paragraphs_are_removed_once(spark, odd, empty):
     assert paragraph_dedup.without_repeats(odd).count() == len(ROWS)
 
 
+def runs(text, n=paragraph_dedup.PASSAGE_WORDS):
+    w = text.lower().split()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_passages_of_any_layout_are_cut_once(spark):
+    rnd = random.Random(9)
+    own = lambda n: [f"o{rnd.random()}" for _ in range(n)]
+    passages = [[f"é{k}x{i}" for i in range(rnd.randint(50, 90))] for k in range(4)]
+    rows = []
+    for i in range(40):
+        w = own(rnd.randint(60, 150)) + rnd.choice(passages) + own(rnd.randint(60, 150))
+        per = rnd.choice([7, 13, 10_000])  # wrapped into short lines, or inside one long line
+        rows.append((i, "\n".join(" ".join(w[j:j + per]) for j in range(0, len(w), per)), len(" ".join(w))))
+    rows.append((0, *rows[0][1:]))  # a repeated row is the same document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = paragraph_dedup.without_repeats(docs).collect()
+    seen = collections.Counter(r for _, t in {(x.doc_id, x.text) for x in left} for r in runs(t))
+    assert max(collections.Counter(r for _, t in set((i, t) for i, t, _ in rows) for r in runs(t)).values()) > 1
+    assert max(seen.values()) == 1 and len(left) == len(rows)
+    words = lambda texts: {w for t in texts for w in t.split()}
+    assert words(x.text for x in left) == words(t for _, t, _ in rows)  # no word is lost everywhere
+    assert all(x.n_chars == len(x.text) for x in left)
+    text = {i: t for i, t, _ in rows}
+    for x in paragraph_dedup.repeated_passages(docs).collect():
+        span = text[x.doc_id][x.start:x.start + x.n_chars].split()
+        assert span == text[x.doc_id].split()[x.word:x.word + x.n_words]
+        assert span[:paragraph_dedup.GRAM] == text[x.keep_doc_id].split()[x.keep_word:][:paragraph_dedup.GRAM]
+
+
 def test_tuned_bands_reach_the_recall():
     bands, rows = paragraph_dedup.tune_bands(0.75, 1e-3)
     assert rows >= 2 and (1 - 0.75**rows) ** bands <= 1e-3 < (1 - 0.75**rows) ** (bands - 1)
