@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import metric_direction
+from ..session import materialise, scratch_path
+from .rank import two_level_row_number, value_buckets
+
+#: Evaluations of one run that are folded at once, and buckets per run of their order.
+BLOCK = 100_000
+BUCKETS = 256
 
 # Fixed value: the line prefix the reference's parser accepts.
 PREFIX_RE = r"^\[seed=(\d+)\s+fold=(\d+)\]\s+epoch=(\d+)\s+(.*)$"
@@ -88,20 +94,22 @@ def epoch_mean_side_by_side(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def patience_pick(df: DataFrame, metric: str, patience: int, min_delta: float = 0.0,
-                  direction: str = "min") -> DataFrame:
+                  direction: str = "min", block: int = BLOCK) -> DataFrame:
     """WN3: per (seed, fold), replay early stopping over the epochs of ``metric``.
 
     An evaluation improves when it beats the best so far by more than
     ``min_delta``; NaN never does; after ``patience`` evaluations without improvement the run
     stops. Returns ``seed, fold, best_epoch, best_value, stop_epoch, n_evals``.
-    A series is one training run's history (its length is the number of
-    evaluations, not the data size), so it is folded in order inside one
-    aggregate.
+    A series may be as long as the table: it is dealt into blocks of at most ``block``
+    evaluations in (epoch, value) order, and one fold over a block's evaluations starts
+    from the state (best, bad, stop) that the block before it ended with. A round folds the
+    next block of every run that has not stopped, so rounds end with the last run's stop.
     """
-    s = df.where(F.col("metric") == metric)
+    if block < 1:
+        raise ValueError("block must be at least 1")
+    s = df.where(F.col("metric") == metric).select(
+        "seed", "fold", F.col("epoch").cast("bigint").alias("epoch"), F.col("value").cast("double").alias("value"))
     sign = 1.0 if direction == "min" else -1.0
-    g = s.groupBy("seed", "fold").agg(
-        F.sort_array(F.collect_list(F.struct("epoch", "value"))).alias("__h"))
     init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("be"),
                     F.lit(0).alias("bad"), F.lit(None).cast("bigint").alias("stop"), F.lit(0).alias("n"))
 
@@ -117,10 +125,28 @@ def patience_pick(df: DataFrame, metric: str, patience: int, min_delta: float =
             F.when(bad >= patience, e["epoch"]).otherwise(F.lit(None).cast("bigint")).alias("stop"),
             (acc["n"] + 1).alias("n")))
 
-    r = g.select("seed", "fold", F.aggregate("__h", init, step).alias("__r"),
-                 F.element_at("__h", -1)["epoch"].alias("__last"))
+    # one key without nulls for a run, as the joins below drop nulls
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("seed", "fold")]
+    s = s.withColumn("run", F.concat_ws("|", *text)).withColumn("at", F.coalesce("epoch", F.lit(-(1 << 63))))
+    s = value_buckets(s, ["run"], "at", BUCKETS, out="bucket")
+    s = two_level_row_number(s, ["run"], ["epoch", "value"], F.col("bucket"))
+    s = s.select("run", "seed", "fold", "epoch", "value", F.floor((F.col("rn") - 1) / F.lit(block)).alias("block"))
+    path = scratch_path(df.sparkSession, "evaluations")
+    s.repartition("block", "run").write.partitionBy("block").parquet(path)
+    rows = df.sparkSession.read.schema(s.schema).parquet(path)
+    state = materialise(rows.groupBy("run").agg(F.first("seed").alias("seed"), F.first("fold").alias("fold"),
+                                                F.max("epoch").alias("last"), F.count(F.lit(1)).alias("total"))
+                        .withColumn("r", init), "patience")
+    k = 0
+    while state.where("r.stop is null and r.n < total").limit(1).count():
+        part = (rows.where(F.col("block") == k).join(state.where("r.stop is null").select("run"), "run")
+                .groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", "value"))).alias("h")))  # at most ``block``
+        state = materialise(state.join(part, "run", "left").select(
+            "run", "seed", "fold", "last", "total",
+            F.when(F.col("h").isNull(), F.col("r")).otherwise(F.aggregate("h", F.col("r"), step)).alias("r")), "patience")
+        k += 1
     # A run that never ran out of patience stops at its last evaluation.
-    return r.select("seed", "fold", F.col("__r.be").alias("best_epoch"),
-                    (F.col("__r.best") * F.lit(sign)).alias("best_value"),
-                    F.coalesce(F.col("__r.stop"), F.col("__last")).alias("stop_epoch"),
-                    F.col("__r.n").alias("n_evals"))
+    return state.select("seed", "fold", F.col("r.be").alias("best_epoch"),
+                        (F.col("r.best") * F.lit(sign)).alias("best_value"),
+                        F.coalesce("r.stop", "last").alias("stop_epoch"),
+                        F.col("r.n").alias("n_evals"))

@@ -60,6 +60,23 @@ def test_patience_matches_python_loop(spark):
     assert got == exp
 
 
+def test_patience_carries_its_state_over_blocks(spark):
+    rng = np.random.default_rng(11)
+    rows, exp = [], {}
+    for f in range(4):  # run 0 improves to its end, the others stop in different blocks
+        n = 40 + 7 * f
+        vals = [(e, 1 / e if f == 0 or e < 10 * f else 1.0 + float(rng.random())) for e in range(1, n)]
+        rows += [(1, f, e, "val_logloss", v) for e, v in vals]
+        exp[f] = py_patience(vals, 5, 1e-6)
+    rng.shuffle(rows := [tuple(r) for r in rows])
+    df = spark.createDataFrame([(int(a), int(b), int(c), m, float(v)) for a, b, c, m, v in rows],
+                               "seed long, fold long, epoch long, metric string, value double")
+    for block in (4, 1000):
+        got = {r.fold: (r.best_epoch, r.best_value, r.stop_epoch, r.n_evals)
+               for r in LG.patience_pick(df, "val_logloss", 5, 1e-6, block=block).collect()}
+        assert got == exp
+
+
 def test_digitize_matches_searchsorted(spark):
     rng = np.random.default_rng(6)
     x = np.round(rng.normal(size=2000), 2)
