@@ -60,32 +60,42 @@ def encode_frame(spark, sf_dir: str, label: str = "y_sig", n_folds: int = CF.FOL
     extra = all_rows.where(F.col("part") == "extra")
     if write:
         train, test = materialise(train, "train-enc"), materialise(test, "test-enc")
+        extra = materialise(extra, "extra-enc")
     return Frames(train, test, extra, inputs)
 
 
 def base_to_stack(spark, sf_dir: str, gbt_iter: int = 8, seed: int = CF.SEED) -> DataFrame:
     """ML18: base GBT (OOF + test) -> adversarial weights -> weighted GBT -> distilled
-    student -> logit blend -> stack; returns the final submission ``id, diagnosed_diabetes``."""
+    student -> stack of their logits; returns the final submission ``id, diagnosed_diabetes``.
+
+    Extra rows (ST2) are in the training side of every fold of the three cross-fits, with
+    fold -1 and weight ``CF.EXTRA_WEIGHT``; the student learns their hard labels, as they
+    have no out-of-fold teacher score."""
     from ..operators import ensemble as EN
     from ..operators import joins as J
     fr = encode_frame(spark, sf_dir, write=True)
-    mk = lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4)
+    mk = lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4, weight="weight")
+
+    def fit_rows(train: DataFrame, extra: DataFrame = fr.extra) -> DataFrame:
+        return J.union_extra(train, extra, weight="weight", extra_weight=CF.EXTRA_WEIGHT)
 
     def keep(res: CF.CrossFitResult, name: str) -> CF.CrossFitResult:
         # Stage outputs read by several later stages are written once to the shared folder.
         return CF.CrossFitResult(materialise(res.oof, f"{name}-oof"), materialise(res.test, f"{name}-test"))
 
-    base = keep(CF.cross_fit(fr.train, mk, test=fr.test, seeds=(seed,)), "base")
+    unweighted = fr.train.withColumn("weight", d(1.0))
+    base = keep(CF.cross_fit(fit_rows(unweighted), mk, test=fr.test, seeds=(seed,)), "base")
     w = CF.adversarial_weights(fr.train, fr.test, fr.inputs, make=lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=3,
                                                                                        label="label"),
                                assemble=lambda u: VectorAssembler(inputCols=fr.inputs, outputCol="features").transform(u))
     w = materialise(w, "adv-weights")
     wtrain = J.attach_strict(fr.train, w, "id", "weight", "adversarial weights")
-    weighted = keep(CF.cross_fit(wtrain, lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4, weight="weight"),
-                                 test=fr.test, seeds=(seed,)), "weighted")
-    st_rows = J.distill_targets(fr.train, base.oof.select("id", "y", "oof_pred"), "id", "y", 1.0, 0.0)
+    weighted = keep(CF.cross_fit(fit_rows(wtrain), mk, test=fr.test, seeds=(seed,)), "weighted")
+    st_rows = J.distill_targets(unweighted, base.oof.select("id", "y", "oof_pred"), "id", "y", 1.0, 0.0)
     from pyspark.ml.regression import GBTRegressor
-    student = keep(CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", maxIter=gbt_iter, maxDepth=4, seed=s),
+    st_rows = fit_rows(st_rows, fr.extra.withColumn("y_soft", F.col("label")))
+    student = keep(CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", weightCol="weight", maxIter=gbt_iter,
+                                                                maxDepth=4, seed=s),
                                 test=fr.test, seeds=(seed,),
                                 score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction")))), "student")
     oofs = {"base": base.oof, "weighted": weighted.oof, "student": student.oof}

@@ -118,3 +118,25 @@ def test_no_cross_joins_in_plans(spark):
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_extra_rows_are_in_every_training_fold_of_the_stage_graph(spark, monkeypatch):
+    from foldwise.plans import tabular as TB
+    fits = []
+
+    def fake(train, make, test=None, **_):
+        fits.append((train, make(1).getWeightCol()))
+        held = train.where("fold >= 0")
+        return TB.CF.CrossFitResult(held.select("id", "y", (F.lit(0.4) + 0.2 * F.col("y")).alias("oof_pred")),
+                                    test.select("id", F.lit(0.5).alias("pred")))
+
+    monkeypatch.setattr(TB.CF, "cross_fit", fake)
+    monkeypatch.setattr(TB.CF, "adversarial_weights", lambda tr, *_, **__: tr.select("id", F.lit(2.0).alias("weight")))
+    sf = "/root/testdata/sf0.001"
+    want = TB.encode_frame(spark, sf).extra.count()
+    assert TB.base_to_stack(spark, sf).count() > 0 and want > 0 and len(fits) == 3
+    for train, weight_col in fits:
+        extra = train.where("fold = -1").select("weight", "features", "label").collect()
+        assert weight_col == "weight" and len(extra) == want
+        assert {r.weight for r in extra} == {0.3} and all(r.features is not None and r.label is not None for r in extra)
+    assert all(r.y_soft == r.label for r in fits[2][0].where("fold = -1").select("y_soft", "label").collect())
