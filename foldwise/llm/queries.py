@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from .bpe import encode_digests
 from .common import crc_mod5, table
 from .exact_dedup import exact_groups
+from .fill_middle import fill_digests
 from .near_dedup import near_groups
 from .packing import pack
 from .paragraph_dedup import repeated_paragraphs, repeated_passages
+from .period_runs import run_digests
 from .pitman_yor import score_documents
 from .quality_fm import fit_quality, score_quality
 from .sharding import shard_documents
+from .suffix_dedup import cut_digests
 from .url_filter import filter_urls
 from .winnow import neighbour_fingerprints
 
@@ -85,6 +88,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of every document, with repeats planted in a tenth of them."""
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once earlier strings of 100 bytes are removed."""
+    return cut_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-middle form and of the text restored from it."""
+    return fill_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
@@ -94,7 +112,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_paragraph_dedup, op1_passage_dedup, op2_pitman_yor, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup,
-                            op7_quality, op8_near_dedup, op9_sharding, op10_packing, pipeline)}
+                            op7_quality, op8_near_dedup, op9_sharding, op10_packing, op11_period_runs, op12_suffix_dedup, op13_fill_middle,
+                            pipeline)}
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
@@ -133,4 +152,30 @@ SELECT w.doc_id, CAST(w.line AS INTEGER) AS line, CAST(w.start AS INTEGER) AS st
        CAST(len(w.ws) AS INTEGER) AS n_words, comp.c // 100000 AS keep_doc_id, CAST(comp.c % 100000 AS INTEGER) AS keep_line,
        k.cluster_size
 FROM w JOIN comp USING (id) JOIN k USING (c) WHERE comp.c <> w.id""",
+    "op12_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM g GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER o, 0) AS a, a AS e FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+         UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(e, len(x) // 2) - a)), '' ORDER BY a) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_fill_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+d AS (SELECT doc_id, text, length(text) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
 }
