@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashing as H
 from .operators import counts
+from .session import materialise
 from .sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,8 +352,34 @@ def cv_metrics(spark, sf_dir):
     return m.select("fold", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
 
 
+_SEEDS = (42, 43, 44)
+_SQL_SEED_ROWS = f"""t3 AS ({fx.T3_SQL}),
+sc AS ({" UNION ALL ".join(f"SELECT id, y, {s} AS seed, ((id // {i + 1}) % 5)::INTEGER AS fold, {m} AS p FROM t3 WHERE part = 'train'"
+                           for i, (s, m) in enumerate(zip(_SEEDS, fx.MODELS, strict=True)))}),
+l AS (SELECT seed, fold, y, p FROM sc UNION ALL SELECT seed, -1, y, p FROM sc
+      UNION ALL SELECT -1, -1, max(y), avg(p) FROM sc GROUP BY id)"""
+
+
+@register("cv_metrics_seeds", f"""WITH {_SQL_SEED_ROWS},
+{_sql_auc('l', 'seed, fold')},
+ll AS (SELECT seed, fold, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS logloss,
+              count(*) AS n FROM l GROUP BY seed, fold)
+SELECT seed::INTEGER AS seed, fold::INTEGER AS fold, round(logloss, 6) AS logloss, round(auc, 6) AS auc, n
+FROM ll JOIN a USING (seed, fold)""")
+def cv_metrics_seeds(spark, sf_dir):
+    """AG15 + ML16: three seeds' OOF scores with folds of their own: a line per (seed, fold), per seed, and
+    for the scores averaged over the seeds (seed -1)."""
+    t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    runs = F.array(*[F.struct(F.lit(s).alias("seed"), F.pmod(F.floor(F.col("id") / (i + 1)), F.lit(5)).cast("int").alias("fold"),
+                              F.col(m).alias("p")) for i, (s, m) in enumerate(zip(_SEEDS, fx.MODELS, strict=True))])
+    scored = t3.select("id", "y", F.inline(runs))
+    m = M.cv_metrics_seeds(scored, "y", "p", "fold", "seed", "id", n_folds=N_FOLDS, n_seeds=len(_SEEDS))
+    return m.select("seed", "fold", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
+
+
 # ---------------------------------------------------------------- distribution features
 from .operators import dist as D  # noqa: E402
+from .operators import fold_dist as FD  # noqa: E402
 
 NUM = ["price_txt", "acctbal"]
 CAT = ["priority", "segment"]
@@ -446,52 +473,55 @@ def llr_features(spark, sf_dir):
 
 @register("nb_logit", f"{_SQL_LLR} SELECT id, round(sum(llr), 6) AS nb_logit FROM l GROUP BY id")
 def nb_logit(spark, sf_dir):
-    """SC13: naive-Bayes logit = sum of the per-feature LLRs of a row."""
-    return D.nb_logit(_llr_long(spark, sf_dir), ["id"]).select("id", _r("nb_logit").alias("nb_logit"))
+    """SC13: naive-Bayes logit = sum of the per-feature LLRs of a row, looked up on the wide row."""
+    t = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part").isin("train", "test"))
+    model = FD.fit_fold_dist(t, NUM, CAT, n_folds=0, shift=False)
+    return model.features(t, keep=["id"]).select("id", _r("nb_logit").alias("nb_logit"))
 
 
 @register("llr_cross_fit", f"""WITH {_sql_t1num("part IN ('train', 'test')", "fold,")},
 k AS (SELECT range::INTEGER AS k FROM range({N_FOLDS})),
 ed AS (SELECT k.k, feature, quantile_cont(x, {_PROBS_SQL}) AS e FROM nl JOIN k ON nl.fold <> k.k
-       WHERE part = 'train' GROUP BY k.k, feature),
+       WHERE part = 'train' GROUP BY k.k, feature
+       UNION ALL SELECT -1, feature, quantile_cont(x, {_PROBS_SQL}) FROM nl WHERE part = 'train' GROUP BY feature),
+kk AS (SELECT k FROM k UNION ALL SELECT -1),
 cells AS (SELECT id, y, part, fold, ed.k, nl.feature, CAST(len(list_filter(e, lambda v: v <= x)) AS VARCHAR) AS cell
           FROM nl JOIN ed ON nl.feature = ed.feature
-          UNION ALL SELECT id, y, part, fold, k.k, 'priority', coalesce(priority, '__MISSING__') FROM t, k
-          UNION ALL SELECT id, y, part, fold, k.k, 'segment', coalesce(segment, '__MISSING__') FROM t, k),
+          UNION ALL SELECT id, y, part, fold, kk.k, 'priority', coalesce(priority, '__MISSING__') FROM t, kk
+          UNION ALL SELECT id, y, part, fold, kk.k, 'segment', coalesce(segment, '__MISSING__') FROM t, kk),
 nc AS (SELECT 'price_txt' AS feature, {float(NB)} AS cells UNION ALL SELECT 'acctbal', {float(NB)}
        UNION ALL SELECT feature, count(DISTINCT cell) + 1.0 FROM cells WHERE feature IN ('priority', 'segment') GROUP BY feature),
 cc AS (SELECT k, feature, cell, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END)::DOUBLE AS c0,
               sum(CASE WHEN y = 1 THEN 1 ELSE 0 END)::DOUBLE AS c1
-       FROM cells WHERE part = 'train' AND fold <> k GROUP BY 1, 2, 3),
+       FROM cells WHERE k >= 0 AND part = 'train' AND fold <> k GROUP BY 1, 2, 3),
 tot AS (SELECT k, feature, sum(c0) AS n0, sum(c1) AS n1 FROM cc GROUP BY 1, 2),
-r AS (SELECT * FROM cells WHERE (part = 'train' AND fold = k) OR part = 'test'),
-l AS (SELECT r.id, r.k, ln((coalesce(cc.c1, 0) + 0.5) / (n1 + 0.5 * nc.cells))
-                        - ln((coalesce(cc.c0, 0) + 0.5) / (n0 + 0.5 * nc.cells)) AS llr
-      FROM r LEFT JOIN cc ON r.k = cc.k AND r.feature = cc.feature AND r.cell = cc.cell
-      JOIN tot ON r.k = tot.k AND r.feature = tot.feature JOIN nc ON r.feature = nc.feature)
-SELECT id, k AS fold, round(sum(llr), 6) AS nb_logit FROM l GROUP BY id, k""")
+sc AS (SELECT feature, cell, sum(CASE WHEN part = 'train' THEN 1 ELSE 0 END)::DOUBLE AS c0,
+              sum(CASE WHEN part = 'test' THEN 1 ELSE 0 END)::DOUBLE AS c1 FROM cells WHERE k = -1 GROUP BY 1, 2),
+st AS (SELECT feature, sum(c0) AS n0, sum(c1) AS n1 FROM sc GROUP BY 1),
+sh AS (SELECT id, c.feature, ln((sc.c1 + 0.5) / (n1 + 0.5 * nc.cells)) - ln((sc.c0 + 0.5) / (n0 + 0.5 * nc.cells)) AS s
+       FROM cells c JOIN sc ON c.feature = sc.feature AND c.cell = sc.cell JOIN st ON st.feature = c.feature
+       JOIN nc ON c.feature = nc.feature WHERE c.k = -1),
+l AS (SELECT r.id, r.k, CASE WHEN part = 'test' THEN 'test' WHEN fold = r.k THEN 'held' ELSE 'in_sample' END AS kind, r.feature,
+             ln((coalesce(cc.c1, 0) + 0.5) / (n1 + 0.5 * nc.cells))
+             - ln((coalesce(cc.c0, 0) + 0.5) / (n0 + 0.5 * nc.cells)) AS llr
+      FROM cells r LEFT JOIN cc ON r.k = cc.k AND r.feature = cc.feature AND r.cell = cc.cell
+      JOIN tot ON r.k = tot.k AND r.feature = tot.feature JOIN nc ON r.feature = nc.feature WHERE r.k >= 0)
+SELECT l.id, k AS fold, kind,
+  {", ".join(f"round(max(CASE WHEN l.feature = '{c}' THEN llr END), 6) AS llr_{c}" for c in ("price_txt", "acctbal", "priority", "segment"))},
+  round(sum(llr), 6) AS nb_logit,
+  {", ".join(f"round(max(CASE WHEN sh.feature = '{c}' THEN s END), 6) AS shift_{c}" for c in ("price_txt", "acctbal", "priority", "segment"))}
+FROM l JOIN sh ON l.id = sh.id AND l.feature = sh.feature GROUP BY l.id, k, kind""")
 def llr_cross_fit(spark, sf_dir):
-    """ML15: cross-fitted naive-Bayes logit. Per fold k, edges and cell counts come from
-    the training rows of the other folds; held-fold rows get their out-of-fold value,
-    test rows one value per fold. One count pass serves all folds."""
-    t, nl = _num_long(spark, sf_dir, ["train", "test"], ["id", "y", "part", "fold"])
-    e = D.fit_edges(nl.where(F.col("part") == "train"), NB, n_features=len(NUM), fold="fold", n_folds=N_FOLDS)
-    ks = F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1))).alias("k")
-    nlk = nl.select("*", ks)
-    ncell = D.digitize(nlk, e.withColumnRenamed("fold", "k"), NB, on=["k", "feature"],
-                       max_rows=len(NUM) * N_FOLDS).select("id", "y", "part", "fold", "k", "feature",
-                                                           F.col("cell").cast("string"))
-    ccell = D.cat_long(t, ["id", "y", "part", "fold"], CAT).select("*", ks)
-    cells = ncell.unionByName(ccell)
-    trn = cells.where((F.col("part") == "train") & (F.col("fold") != F.col("k")))
-    counts = D.cell_counts(trn, "y", ["k"])
-    ncells = D.numeric_cells(spark, NUM, NB).unionByName(
-        D.categorical_cells([t.where(F.col("part") == "train"), t.where(F.col("part") == "test")], CAT))
-    rows = cells.where(((F.col("part") == "train") & (F.col("fold") == F.col("k"))) | (F.col("part") == "test"))
-    llr = D.apply_cell_ratio(rows, counts, D.class_totals(counts, ["k"]), ncells, D.ALPHA, by=["k"],
-                             max_features=(len(NUM) + len(CAT)) * N_FOLDS, n_by_groups=N_FOLDS)
-    return D.nb_logit(llr, ["id", "k"]).select("id", F.col("k").cast("int").alias("fold"),
-                                               _r("nb_logit").alias("nb_logit"))
+    """ML15: cross-fitted distribution features. Under each fold's fit (edges and cell counts of
+    the other folds' training rows, as total less own) every row gets its ratios by column, their sum and
+    the train-versus-test shift; ``kind`` tells in-sample, held and test rows apart."""
+    t = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part").isin("train", "test"))
+    model = FD.fit_fold_dist(t, NUM, CAT, n_folds=N_FOLDS)
+    out = None
+    for k in range(N_FOLDS):
+        x = model.fold_frame(t, "part", "fold", k, shift=True, keep=["id"]).withColumn("fold", F.lit(k))
+        out = x if out is None else out.unionByName(x)
+    return out.select("id", "fold", "kind", *[_r(c).alias(c) for c in out.columns if c.startswith(("llr_", "shift_", "nb_"))])
 
 
 @register("shift_features", f"""
@@ -807,7 +837,9 @@ def one_hot(spark, sf_dir):
 
 # ---------------------------------------------------------------- models (rows-only checks)
 from .plans import crossfit as CF  # noqa: E402
+from .plans import fold_preprocess as FP  # noqa: E402
 from .plans import tabular as TB  # noqa: E402
+from .session import scratch_path  # noqa: E402
 
 GBT_ITER, GBT_DEPTH = 10, 4
 
@@ -820,24 +852,123 @@ def gbt_cv(spark, sf_dir):
     return CF.cross_fit(fr.train, lambda s: CF.gbt(s, max_iter=GBT_ITER, max_depth=GBT_DEPTH)).oof
 
 
+def _label_sql(where: str = "part = 'train'") -> str:
+    """T1 rows with the models' label and the stratified fold, as ``s``."""
+    return f"""
+t AS (SELECT id, part, CASE WHEN acctbal + 100.0 * (id % 37)::DOUBLE > 6000.0 THEN 1 ELSE 0 END AS y FROM ({fx.T1_SQL}) WHERE {where}),
+s AS (SELECT id, part, y, CASE WHEN part = 'train' THEN ((row_number() OVER (PARTITION BY part, y ORDER BY {H.sql_mix64('id', SEED)}, id) - 1)
+             % {N_FOLDS})::INTEGER END AS fold FROM t)"""
+
+
+def _prior_loss(pos: str, n: str) -> str:
+    return f"-({pos} * ln({pos} / {n}) + ({n} - {pos}) * ln(1 - {pos} / {n})) / {n}"
+
+
+def score_facts(scored: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """What must hold of model scores whatever the model: rows, ids, positives, scores inside [0, 1], loss under the prior's."""
+    n, pos = F.count(F.lit(1)).cast("double"), F.sum(y).cast("double")
+    prior = -(pos * F.log(pos / n) + (n - pos) * F.log(1 - pos / n)) / n
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.sum(y).cast("bigint").alias("n_pos"),
+        F.bool_and((F.col(p) >= 0) & (F.col(p) <= 1)).alias("in_range"), (M.logloss_expr(y, p) < prior).alias("beats_prior"))
+
+
+_GBT_ROUNDS, _GBT_PATIENCE = 15, 15  # patience for all rounds: the kept loss is the least of all
+
+
+def _early_stopped(spark, sf_dir, **kw):
+    fr = TB.encode_frame(spark, sf_dir, write=True)
+    mk = lambda s: CF.gbt(s, max_iter=_GBT_ROUNDS, max_depth=GBT_DEPTH)
+    return fr, CF.cross_fit(fr.train, mk, test=fr.test, early=CF.EarlyStop(_GBT_PATIENCE), **kw)
+
+
 @register("gbt_best_iteration")
 def gbt_best_iteration(spark, sf_dir):
-    """ML17: per fold, the tree count chosen on the held fold with patience 3 (out of
-    15), refitted at that count; ``fold, n_trees``."""
+    """ML17: per fold, the rounds kept (of 15, up to the least loss) and the held fold's loss with them and with all."""
+    _, res = _early_stopped(spark, sf_dir)
+    return spark.createDataFrame([(m["fold"], m["rounds"], m["loss"], m["full_loss"]) for m in res.fold_metrics],
+                                 "fold int, n_trees int, logloss double, full_logloss double")
+
+
+@register("gbt_early_stopped", f"""WITH {_label_sql("part IN ('train', 'test')")}
+SELECT part, coalesce(fold, -1) AS fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_pos, true AS in_range, true AS beats_prior
+FROM s GROUP BY part, fold""")
+def gbt_early_stopped(spark, sf_dir):
+    """ML2 + ML17: OOF and test scores of cross-fitted trees, each fold's model cut to its best rounds on the held
+    fold; what must hold of the scores by part and fold."""
+    fr, res = _early_stopped(spark, sf_dir)
+    test = res.test.join(fr.test.select("id", "y"), "id").select(F.lit("test").alias("part"), F.lit(-1).alias("fold"), "id", "y", F.col("pred").alias("p"))
+    rows = res.scored.select(F.lit("train").alias("part"), "fold", "id", "y", "p").unionByName(test)
+    return score_facts(rows, ["part", "fold"])
+
+
+_TWO_SEEDS = (42, 43)
+
+
+@register("gbt_seeds", f"""WITH t AS (SELECT id, CASE WHEN acctbal + 100.0 * (id % 37)::DOUBLE > 6000.0 THEN 1 ELSE 0 END AS y FROM ({fx.T1_SQL}) WHERE part = 'train'),
+s AS ({" UNION ALL ".join(f"SELECT {s} AS seed, ((row_number() OVER (PARTITION BY y ORDER BY {H.sql_mix64('id', s)}, id) - 1) % {N_FOLDS})::INTEGER AS fold FROM t" for s in _TWO_SEEDS)}),
+g AS (SELECT seed, fold, count(*) AS n FROM s GROUP BY seed, fold
+      UNION ALL SELECT seed, -1, count(*) FROM s GROUP BY seed UNION ALL SELECT -1, -1, count(*) FROM t)
+SELECT seed::INTEGER AS seed, fold, n, true AS better_than_chance, true AS average_no_worse FROM g""")
+def gbt_seeds(spark, sf_dir):
+    """ML16 + AG15: two seeds, each with its own stratified folds; the report by (seed, fold), by seed and of the
+    averaged scores, whose loss is at most the seeds' mean loss (log-loss is convex)."""
     fr = TB.encode_frame(spark, sf_dir)
-    tr = fr.train.persist()
-    rows = []
-    for k in range(N_FOLDS):
-        _, n = CF.gbt_early_stopped(tr, SEED, "fold", k, 3, max_iter=15, max_depth=GBT_DEPTH)
-        rows.append((k, n))
-    return spark.createDataFrame(rows, "fold int, n_trees int")
+    tr = fr.train.drop("fold")
+    for s in _TWO_SEEDS:
+        tr = RK.stratified_folds(tr, "id", "y", N_FOLDS, s, out=f"fold_{s}")
+    res = CF.cross_fit(tr, lambda s: CF.gbt(s, max_iter=5, max_depth=3, subsample=0.7), seeds=_TWO_SEEDS,
+                       fold={s: f"fold_{s}" for s in _TWO_SEEDS})
+    m = M.cv_metrics_seeds(res.scored, "y", "p", "fold", "seed", "id", n_folds=N_FOLDS, n_seeds=len(_TWO_SEEDS))
+    m = materialise(m, "seed-report")
+    mean = m.where((F.col("fold") == -1) & (F.col("seed") >= 0)).agg(F.avg("logloss")).first()[0]
+    no_worse = (F.col("seed") >= 0) | (F.col("logloss") <= F.lit(mean + 1e-12))
+    return m.select("seed", "fold", "n", (F.col("auc") > 0.5).alias("better_than_chance"), no_worse.alias("average_no_worse"))
+
+
+@register("rf_fold_frame", f"""
+WITH t AS (SELECT id, (id % 5)::INTEGER AS fold, CASE WHEN isfinite(TRY_CAST(price_txt AS DOUBLE)) THEN TRY_CAST(price_txt AS DOUBLE) END AS price,
+                  CASE WHEN isfinite(acctbal) THEN acctbal END AS acctbal, priority, segment FROM ({fx.T1_SQL}) WHERE part = 'train'),
+k AS (SELECT range::INTEGER AS k FROM range({N_FOLDS})),
+med AS (SELECT k, quantile_cont(price, 0.5) AS mp, quantile_cont(acctbal, 0.5) AS ma FROM t JOIN k ON t.fold <> k.k GROUP BY k),
+lc AS (SELECT fold, 'priority' AS feature, priority AS v FROM t UNION ALL SELECT fold, 'segment', segment FROM t),
+cnt AS (SELECT k, feature, v, count(*) AS c FROM lc JOIN k ON lc.fold <> k.k WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+md AS (SELECT k, feature, v FROM (SELECT *, row_number() OVER (PARTITION BY k, feature ORDER BY c DESC, v) AS r FROM cnt) WHERE r = 1),
+cd AS (SELECT k, feature, v, (row_number() OVER (PARTITION BY k, feature ORDER BY v) - 1)::INTEGER AS code FROM cnt)
+SELECT t.id, t.fold, round(coalesce(price, mp), 6) AS price_txt_filled, round(coalesce(t.acctbal, ma), 6) AS acctbal_filled,
+       coalesce(c1.code, -1) AS priority_code, coalesce(c2.code, -1) AS segment_code
+FROM t JOIN med ON med.k = t.fold JOIN md m1 ON m1.k = t.fold AND m1.feature = 'priority' JOIN md m2 ON m2.k = t.fold AND m2.feature = 'segment'
+LEFT JOIN cd c1 ON c1.k = t.fold AND c1.feature = 'priority' AND c1.v = coalesce(priority, m1.v)
+LEFT JOIN cd c2 ON c2.k = t.fold AND c2.feature = 'segment' AND c2.v = coalesce(segment, m2.v)""")
+def rf_fold_frame(spark, sf_dir):
+    """N6 + C6: every training row filled (median, mode) and coded by its own fold's fit, saved and loaded again."""
+    t = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
+    path = scratch_path(spark, "fold-preprocessor")
+    FP.FoldPreprocessor(numCols=NUM, catCols=CAT, numFolds=N_FOLDS).fit(t).write().overwrite().save(path)
+    x = FP.FoldPreprocessorModel.load(path).transform(t)
+    return x.select("id", "fold", *[_r(f"{c}_filled").alias(f"{c}_filled") for c in NUM], *[f"{c}_code" for c in CAT])
 
 
-@register("rf_cv")
+@register("rf_cv", f"""WITH {_label_sql("part IN ('train', 'test')")}
+SELECT part, coalesce(fold, -1) AS fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_pos, true AS in_range, true AS beats_prior
+FROM s GROUP BY part, fold""")
 def rf_cv(spark, sf_dir):
-    """ML5: cross-fitted random forest (50 trees, sqrt features, leaves >= 2); OOF table."""
-    fr = TB.encode_frame(spark, sf_dir)
-    return CF.cross_fit(fr.train, lambda s: CF.random_forest(s, trees=50, max_depth=8)).oof
+    """ML5: cross-fitted random forest (50 trees, sqrt features, leaves >= 2), filled and coded by each fold's own
+    preprocessor; what must hold of its OOF and test scores by part and fold."""
+    t = materialise(TB.signal_label(_t1(spark, sf_dir)).where(F.col("part").isin("train", "test"))
+                    .withColumn("label", F.col("y_sig").cast("double")), "rf-rows")
+    tr = RK.stratified_folds(t.where(F.col("part") == "train"), "id", "y_sig", N_FOLDS, SEED)
+    tr = materialise(tr, "rf-train")
+    pre = FP.FoldPreprocessor(numCols=TB.NUM, catCols=TB.CAT, numFolds=N_FOLDS).fit(tr)
+
+    def frame(df, seed, k):
+        return FT.assemble(pre.frame(df, k).drop("features"), pre.outputs(), "features")
+
+    res = CF.cross_fit(tr, lambda s: CF.random_forest(s, trees=50, max_depth=8), test=t.where(F.col("part") == "test"), frame=frame)
+    test = res.test.join(t.where(F.col("part") == "test").select("id", F.col("y_sig").alias("y")), "id").select(
+        F.lit("test").alias("part"), F.lit(-1).alias("fold"), "id", "y", F.col("pred").alias("p"))
+    rows = res.scored.select(F.lit("train").alias("part"), "fold", "id", "y", "p").unionByName(test)
+    return score_facts(rows, ["part", "fold"])
 
 
 @register("linear_tune")
@@ -856,7 +987,6 @@ def linear_tune(spark, sf_dir):
 def mlp_fit(spark, sf_dir):
     """ML9: multilayer perceptron on one-hot codes + standardised numerics, fitted on
     the id-hash training side; validation scores ``id, y, p``."""
-    from .operators import features as FT
     fr = TB.encode_frame(spark, sf_dir)
     x = FT.one_hot(fr.train, [f"{c}_code" for c in TB.CAT])
     inputs = [f"{c}_z" for c in TB.NUM] + [f"{c}_code_oh" for c in TB.CAT]
@@ -1004,7 +1134,6 @@ def stream_score(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources and sinks
 from .plans import preprocess as PP  # noqa: E402
-from .session import scratch_path  # noqa: E402
 from .sources import readers as RD  # noqa: E402
 from .sources import sinks as SK  # noqa: E402
 
@@ -1154,7 +1283,6 @@ def gbt_c3_cv(spark, sf_dir):
     indexed by frequency with StringIndexer, shallower trees, another seed, row
     subsampling 0.7; 5-fold OOF table."""
     from pyspark.ml.feature import VectorAssembler
-    from .operators import features as FT
     fr = TB.encode_frame(spark, sf_dir)
     t = _t1(spark, sf_dir).where(F.col("part") == "train").select("id", *TB.CAT)
     x = FT.string_index(fr.train.join(t, "id"), TB.CAT)

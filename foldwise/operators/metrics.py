@@ -69,31 +69,63 @@ def score_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[
     """
     by = by or []
     s = materialise(_distinct_scores(df, y, p, by, w), "distinct-scores")
+    if by:
+        return _metrics_of(s, by, w, max_groups)
     mean = F.try_divide(F.sum("__l"), F.sum("__nl"))
     if w is not None:
         mean = F.when(F.sum("__w") > 0, F.sum("__wl") / F.sum("__w")).otherwise(mean)
-    ll = s.groupBy(*by).agg(mean.alias("logloss"), F.sum("__n").alias("n"))
-    a = _auc_of(s, by, max_groups)
-    if by:
-        return ll.join(a, by)
-    r1, r2 = ll.first(), a.first()
+    r1, r2 = s.agg(mean.alias("logloss"), F.sum("__n").alias("n")).first(), _auc_of(s, by, max_groups).first()
     return df.sparkSession.createDataFrame([(r1["logloss"], r1["n"], r2["auc"])],
                                            "logloss double, n bigint, auc double")
 
 
+def _metrics_of(s: DataFrame, by: list[str], w: str | None, max_groups: int | None) -> DataFrame:
+    """``by..., logloss, n, auc`` from a written table of distinct scores; the two sides have one row a group."""
+    mean = F.try_divide(F.sum("__l"), F.sum("__nl"))
+    if w is not None:
+        mean = F.when(F.sum("__w") > 0, F.sum("__wl") / F.sum("__w")).otherwise(mean)
+    ll = s.groupBy(*by).agg(mean.alias("logloss"), F.sum("__n").alias("n"))
+    return ll.join(_auc_of(s, by, max_groups), by)
+
+
+def _with_totals(s: DataFrame, by: list[str], fold: str) -> DataFrame:
+    """Distinct scores of every (by, fold) and, as fold -1, of every ``by``: grouping sets over the distinct scores."""
+    sums = [F.sum(c).alias(c) for c in s.columns if c.startswith("__") and c != "__s"]
+    g = s.groupingSets([[*by, fold, "__s"], [*by, "__s"]], *by, fold, "__s").agg(*sums, F.grouping(fold).alias("__all"))
+    at = F.when(F.col("__all") == 1, F.lit(-1)).otherwise(F.col(fold)).cast("int")
+    return g.withColumn(fold, at).drop("__all")
+
+
 def cv_metrics(scored: DataFrame, y: str, p: str, fold: str, w: str | None = None,
                n_folds: int | None = None) -> DataFrame:
     """AG15: metrics per fold and over all rows (fold = -1 marks the overall row).
 
-    Each row is credited to its fold and to the overall group (-1), and one
-    grouped pass computes every row of the report. ``scored`` holds one OOF
-    score per row; for several seeds average first (the overall loss is the
-    loss of the average, not the average loss).
+    Rows are aggregated once, to the distinct scores of each fold; the overall line adds
+    those up. ``scored`` holds one OOF score per row; for several seeds see
+    :func:`cv_metrics_seeds`.
+    """
+    s = materialise(_distinct_scores(scored.withColumn(fold, F.col(fold).cast("int")), y, p, [fold], w), "fold-scores")
+    m = _metrics_of(materialise(_with_totals(s, [], fold), "distinct-scores"), [fold], w, None if n_folds is None else n_folds + 1)
+    return m.select(fold, "logloss", "auc", "n")
+
+
+def cv_metrics_seeds(scored: DataFrame, y: str, p: str, fold: str, seed: str, id_col: str, w: str | None = None,
+                     n_folds: int | None = None, n_seeds: int | None = None) -> DataFrame:
+    """AG15/ML16: a line per (seed, fold), per seed (fold -1), and for the scores averaged by id over all seeds
+    (seed -1, fold -1). ``scored``: one row per id and seed, whose fold may differ by seed.
+
+    The loss of the average is not the average loss, so the last line has its own aggregation by
+    id; the others come from the distinct scores of each (seed, fold).
     """
-    g = "__cvg"
-    x = scored.select("*", F.explode(F.array(F.col(fold).cast("int"), F.lit(-1))).alias(g))
-    m = score_metrics(x, y, p, w, [g], max_groups=None if n_folds is None else n_folds + 1)
-    return m.select(F.col(g).cast("int").alias(fold), "logloss", "auc", "n")
+    x = scored.withColumn(fold, F.col(fold).cast("int")).withColumn(seed, F.col(seed).cast("int"))
+    s = materialise(_distinct_scores(x, y, p, [seed, fold], w), "seed-scores")
+    groups = None if n_folds is None or n_seeds is None else n_seeds * (n_folds + 1)
+    per = _metrics_of(materialise(_with_totals(s, [seed], fold), "distinct-scores"), [seed, fold], w, groups)
+    keep = [F.first(w).alias(w)] if w is not None else []
+    mean = scored.groupBy(id_col).agg(F.first(y).alias(y), F.avg(p).alias(p), *keep)
+    mean = mean.withColumn(seed, F.lit(-1)).withColumn(fold, F.lit(-1))
+    total = _metrics_of(materialise(_distinct_scores(mean, y, p, [seed, fold], w), "mean-scores"), [seed, fold], w, 1)
+    return per.unionByName(total).select(seed, fold, "logloss", "auc", "n")
 
 
 def ensemble_mean(scores: DataFrame, id_col: str, p: str, by: list[str] | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ from ..functions import hashing as H
 from ..functions.scalar import d
 from pyspark import StorageLevel
 
+from ..session import materialise
 from .common import bounded_broadcast, local_copy, tmp, with_count_below
 
 DEFAULT_HASH_BITS = 16      # 65,536 buckets per group for hash-ordered ranks
@@ -247,3 +248,22 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42,
     x = two_level_row_number(x, [], [F.col(key), F.col(id_col)], F.col(b), rn,
                              max_groups=1, n_buckets=1 << bits)
     return x.where(F.col(rn) <= n).drop(key, b, rn)
+
+
+def range_prefix_sums(df: DataFrame, group: list[str], key: str, values: list[str], suffix: str = "_before") -> DataFrame:
+    """Exclusive prefix sums of ``values`` by ``key`` (unique in its group, of any type) over range partitions.
+
+    Spark's own range exchange deals rows to partitions in (group, key) order, as many
+    as the data asks for, whatever the groups' sizes. The partition number is
+    written with the rows, so later reads agree on it. Totals by (group, partition), at most one row a
+    partition and group, give offsets, and a window inside each finishes the sums.
+    """
+    part = tmp("p")
+    x = materialise(df.repartitionByRange(*group, key).withColumn(part, F.spark_partition_id()), "ranges")
+    totals = x.groupBy(*group, part).agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, part, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}__off") for v in values])
+    inside = Window.partitionBy(*group, part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(offsets, [*group, part])
+    sums = [(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"{v}__off")).alias(f"{v}{suffix}") for v in values]
+    return x.select(*df.columns, *sums)

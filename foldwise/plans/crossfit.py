@@ -5,8 +5,8 @@ ordinary distributed ``Estimator.fit`` over ``fold != k`` and a ``transform``
 of the held fold and of the test rows. Held-fold scores are unioned into the
 OOF table (averaged by id only when there are several seeds); all fold models
 score the test rows in one pass, each into its own column, and the columns are
-averaged, so test scoring needs no shuffle. Only fitted models and per-fold
-metrics live on the driver.
+averaged, so test scoring needs no shuffle. Both score tables are written to the
+shared folder. Only fitted models and per-fold metrics live on the driver.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
@@ -28,6 +28,8 @@ from ..functions.scalar import clip, d, odds_weight
 from ..operators import counts as C
 from ..operators.joins import soft_label_rows, union_domains
 from ..operators.rank import stratified_folds
+from ..session import materialise
+from .resume import FitStore
 
 # Fixed defaults of the reference's runners.
 FOLDS, SEED = 5, 42
@@ -47,24 +49,41 @@ def prob1(col: str = "probability"):
 class CrossFitResult:
     oof: DataFrame                 # id, y, oof_pred (seed-averaged)
     test: DataFrame | None         # id, pred (fold- and seed-averaged)
-    fold_metrics: list[dict] = field(default_factory=list)
+    fold_metrics: list[dict] = field(default_factory=list)  # seed, fold and, with early stopping, rounds and losses
     models: dict = field(default_factory=dict)
+    scored: DataFrame | None = None  # id, y, seed, fold, p: a row per id and seed
+    refitted: list = field(default_factory=list)  # (seed, fold) fitted now, the others were loaded
+
+
+@dataclass(frozen=True)
+class EarlyStop:
+    """ML17: keep the rounds up to the held fold's best loss, found with this patience (WN3's rule).
+
+    All rounds are fitted and their losses known, so a patience of all rounds finds the least loss of all."""
+
+    patience: int
+    min_delta: float = 0.0
 
 
 _ML_OUTPUTS = ("prediction", "probability", "rawPrediction")
 
 
 def cross_fit(train: DataFrame, make: Callable[[int], Estimator], id_col: str = "id", label: str = "label",
-              fold: str = "fold", n_folds: int = FOLDS, seeds: tuple[int, ...] = (SEED,),
+              fold: str | dict[int, str] = "fold", n_folds: int = FOLDS, seeds: tuple[int, ...] = (SEED,),
               test: DataFrame | None = None, score: Callable[[DataFrame], object] | None = None,
-              extra: DataFrame | None = None, hard_label: str | None = None,
-              keep_models: bool = False, keep: list[str] | None = None) -> CrossFitResult:
-    """ML1/ML16: for every seed and fold, fit ``make(seed)`` on the other folds (plus
-    ``extra`` rows, ST2), score the held fold (OOF) and the test rows.
+              hard_label: str | None = None, keep_models: bool = False, keep: list[str] | None = None,
+              early: EarlyStop | None = None, frame: Callable[[DataFrame, int, int], DataFrame] | None = None,
+              store: FitStore | None = None) -> CrossFitResult:
+    """ML1/ML16: for every seed and fold, fit ``make(seed)`` on the other folds (extra rows of
+    :func:`union_extra` have fold -1 and so train every fold), score the held fold (OOF) and the test rows.
 
     ``score`` maps a transformed frame to the prediction column (default
     P(class 1)); ``hard_label`` names the 0/1 column reported in the OOF table
-    when the training label is soft; ``keep`` carries more columns into it.
+    when the training label is soft; ``keep`` carries more columns into it. ``fold`` is
+    a column or, for seeds with folds of their own, a column by seed. ``frame(df, seed, fold)`` adds
+    what is fitted per fold (``features``) to training, held and test rows. ``early`` cuts every boosted model
+    to its best rounds on the held fold. ``store`` keeps each fitted model as soon as it is
+    there; a later run with the same store loads it instead.
 
     Held folds are disjoint, so with one seed their union already has one row
     per id (no aggregation); several seeds are averaged by id. Test rows are
@@ -72,46 +91,60 @@ def cross_fit(train: DataFrame, make: Callable[[int], Estimator], id_col: str =
     column -- and averaged across columns, so test scoring needs no shuffle.
     """
     score = score or (lambda df: prob1())
+    frame = frame or (lambda df, s, k: df)
     y_out = hard_label or label
     keep = keep or []
     tr = train.persist(StorageLevel.MEMORY_AND_DISK)
     te = test.persist(StorageLevel.MEMORY_AND_DISK) if test is not None else None
+    by_seed = {s: fold[s] if isinstance(fold, dict) else fold for s in seeds}
+    done = store.committed() if store else {}
+    refitted = []
+
+    def fit(s: int, k: int) -> tuple:
+        refitted.append((s, k))
+        model = make(s).fit(frame(tr.where(F.col(by_seed[s]) != k), s, k))
+        if early is None:
+            return model, {}
+        return stop_early(model, frame(tr.where(F.col(by_seed[s]) == k), s, k), early)
 
     def one(sk):
         s, k = sk
-        fit_on = tr.where(F.col(fold) != k)
-        if extra is not None:
-            fit_on = fit_on.unionByName(extra, allowMissingColumns=True)
-        return sk, make(s).fit(fit_on)
+        return sk, store.fit(s, k, lambda: fit(s, k), done) if store else fit(s, k)
 
     jobs = [(s, k) for s in seeds for k in range(n_folds)]
     with ThreadPoolExecutor(max_workers=min(FIT_THREADS, len(jobs))) as pool:
         fitted = list(pool.map(one, jobs))
     oofs, metrics, models = [], [], {}
-    tt = te.select(id_col, *[c for c in te.columns if c != id_col]) if te is not None else None
-    for i, ((s, k), model) in enumerate(fitted):
+    tt = te
+    for i, ((s, k), (model, info)) in enumerate(fitted):
         if keep_models:
             models[(s, k)] = model
-        held = model.transform(tr.where(F.col(fold) == k))
-        oofs.append(held.select(id_col, F.col(y_out).alias("y"), *keep, F.lit(s).alias("seed"),
+        held = model.transform(frame(tr.where(F.col(by_seed[s]) == k), s, k))
+        oofs.append(held.select(id_col, F.col(y_out).alias("y"), *keep, F.lit(s).alias("seed"), F.lit(k).alias("fold"),
                                 score(held).cast("double").alias("p")))
         if tt is not None:
-            tt = model.transform(tt)
-            tt = tt.withColumn(f"__p{i}", score(tt).cast("double")).drop(*[c for c in _ML_OUTPUTS if c in tt.columns])
-        metrics.append({"seed": s, "fold": k})
-    oof = oofs[0]
+            seen = tt.columns
+            tt = model.transform(frame(tt, s, k))
+            own = score(tt).cast("double").alias(f"__p{i}")
+            # what the model and the fold's frame added goes again, a column they replaced comes back with the next frame
+            tt = tt.select(*[c for c in seen if c not in _ML_OUTPUTS], own)
+        metrics.append({"seed": s, "fold": k, **info})
+    scored = oofs[0]
     for o in oofs[1:]:
-        oof = oof.unionByName(o)
+        scored = scored.unionByName(o)
+    scored = materialise(scored, "oof-scores")  # no reader scores the rows again, and the frames can go
     if len(seeds) == 1:
-        oof = oof.select(id_col, F.col("y").cast("int").alias("y"), *keep, F.col("p").alias("oof_pred"))
+        oof = scored.select(id_col, F.col("y").cast("int").alias("y"), *keep, F.col("p").alias("oof_pred"))
     else:
-        oof = oof.groupBy(id_col).agg(F.first("y").cast("int").alias("y"), *[F.first(c).alias(c) for c in keep],
-                                      F.avg("p").alias("oof_pred"))
+        oof = scored.groupBy(id_col).agg(F.first("y").cast("int").alias("y"), *[F.first(c).alias(c) for c in keep],
+                                         F.avg("p").alias("oof_pred"))
     tpred = None
     if tt is not None:
         cols = [F.col(f"__p{i}") for i in range(len(fitted))]
-        tpred = tt.select(id_col, (sum(cols[1:], cols[0]) / F.lit(float(len(cols)))).alias("pred"))
-    return CrossFitResult(oof, tpred, metrics, models)
+        tpred = materialise(tt.select(id_col, (sum(cols[1:], cols[0]) / F.lit(float(len(cols)))).alias("pred")), "test-scores")
+        te.unpersist()
+    tr.unpersist()
+    return CrossFitResult(oof, tpred, metrics, models, scored, sorted(refitted))
 
 
 # ------------------------------------------------------------------ learners
@@ -156,10 +189,8 @@ def mlp(seed: int, n_inputs: int, hidden: tuple[int, ...] = (32, 16), features:
 
 
 # ------------------------------------------------------------------ early stopping
-def best_iteration(model, held: DataFrame, patience: int, min_delta: float = 0.0) -> int:
-    """ML17: number of trees to keep: replay the held fold's per-iteration loss with
-    patience (WN3 rule). ``evaluateEachIteration`` is one distributed pass."""
-    losses = model.evaluateEachIteration(held)
+def best_rounds(losses: list[float], patience: int, min_delta: float = 0.0) -> int:
+    """Rounds up to the best loss when evaluation ends after ``patience`` rounds without improvement (WN3's rule)."""
     best, best_i, bad = None, 0, 0
     for i, v in enumerate(losses):
         if best is None or v < best - min_delta:
@@ -171,16 +202,31 @@ def best_iteration(model, held: DataFrame, patience: int, min_delta: float = 0.0
     return best_i + 1
 
 
-def gbt_early_stopped(train: DataFrame, seed: int, fold: str, k: int, patience: int, **kw):
-    """Fit on ``fold != k``, choose the tree count on fold ``k``, refit at that count
-    (same seed, same cached frame -> the same tree prefix)."""
-    fit_on, held = train.where(F.col(fold) != k), train.where(F.col(fold) == k)
-    m = gbt(seed, **kw).fit(fit_on)
-    n = best_iteration(m, held, patience)
-    if n >= kw.get("max_iter", 20):
-        return m, n
-    kw2 = dict(kw, max_iter=n)
-    return gbt(seed, **kw2).fit(fit_on), n
+def first_rounds(model, n: int):
+    """A boosted model of the first ``n`` trees of ``model``, by its class's constructor from trees and weights."""
+    if n >= len(model.trees):
+        return model
+    gateway = SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    trees, weights = model._java_obj.trees(), model.treeWeights
+    some, numbers = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        some[i], numbers[i] = trees[i], float(weights[i])
+    kind = ml.classification.GBTClassificationModel if isinstance(model, GBTClassificationModel) else ml.regression.GBTRegressionModel
+    return model._copyValues(type(model)(kind(model.uid, some, numbers)))
+
+
+def stop_early(model, held: DataFrame, early: EarlyStop) -> tuple:
+    """ML17: (the model cut to its best rounds on the held fold, rounds and mean losses).
+
+    ``evaluateEachIteration`` is one distributed pass over the held rows. Spark's classification loss is
+    twice the log-loss; regression losses are squared errors. Held rows count alike, whatever their weight.
+    """
+    if model.hasParam("weightCol") and model.isSet("weightCol"):
+        held = held.withColumn(model.getOrDefault("weightCol"), F.lit(1.0))
+    losses = [v / 2 if isinstance(model, GBTClassificationModel) else v for v in model.evaluateEachIteration(held)]
+    n = best_rounds(losses, early.patience, early.min_delta)
+    return first_rounds(model, n), {"rounds": n, "loss": losses[n - 1], "full_rounds": len(losses), "full_loss": losses[-1]}
 
 
 # ------------------------------------------------------------------ tuning

@@ -79,25 +79,21 @@ def base_to_stack(spark, sf_dir: str, gbt_iter: int = 8, seed: int = CF.SEED) ->
     def fit_rows(train: DataFrame, extra: DataFrame = fr.extra) -> DataFrame:
         return J.union_extra(train, extra, weight="weight", extra_weight=CF.EXTRA_WEIGHT)
 
-    def keep(res: CF.CrossFitResult, name: str) -> CF.CrossFitResult:
-        # Stage outputs read by several later stages are written once to the shared folder.
-        return CF.CrossFitResult(materialise(res.oof, f"{name}-oof"), materialise(res.test, f"{name}-test"))
-
     unweighted = fr.train.withColumn("weight", d(1.0))
-    base = keep(CF.cross_fit(fit_rows(unweighted), mk, test=fr.test, seeds=(seed,)), "base")
+    base = CF.cross_fit(fit_rows(unweighted), mk, test=fr.test, seeds=(seed,))
     w = CF.adversarial_weights(fr.train, fr.test, fr.inputs, make=lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=3,
                                                                                        label="label"),
                                assemble=lambda u: VectorAssembler(inputCols=fr.inputs, outputCol="features").transform(u))
     w = materialise(w, "adv-weights")
     wtrain = J.attach_strict(fr.train, w, "id", "weight", "adversarial weights")
-    weighted = keep(CF.cross_fit(fit_rows(wtrain), mk, test=fr.test, seeds=(seed,)), "weighted")
+    weighted = CF.cross_fit(fit_rows(wtrain), mk, test=fr.test, seeds=(seed,))
     st_rows = J.distill_targets(unweighted, base.oof.select("id", "y", "oof_pred"), "id", "y", 1.0, 0.0)
     from pyspark.ml.regression import GBTRegressor
     st_rows = fit_rows(st_rows, fr.extra.withColumn("y_soft", F.col("label")))
-    student = keep(CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", weightCol="weight", maxIter=gbt_iter,
-                                                                maxDepth=4, seed=s),
-                                test=fr.test, seeds=(seed,),
-                                score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction")))), "student")
+    student = CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", weightCol="weight", maxIter=gbt_iter,
+                                                           maxDepth=4, seed=s),
+                           test=fr.test, seeds=(seed,),
+                           score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction"))))
     oofs = {"base": base.oof, "weighted": weighted.oof, "student": student.oof}
     tests = {k: r.test.withColumnRenamed("pred", "diagnosed_diabetes")
              for k, r in (("base", base), ("weighted", weighted), ("student", student))}
