@@ -8,6 +8,7 @@ answer independently; column names and types match the Spark side.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -780,6 +781,25 @@ def epoch_mean(spark, sf_dir):
     return e.select("metric", "epoch", _r("mean_value").alias("mean_value"), "n")
 
 
+@register("log_folder_report", """WITH e AS (SELECT event_id, floor(event_id / 10)::BIGINT + 1 AS epoch, value,
+  event_id % 50 = 0 AS broken FROM events WHERE event_type <> 'error')
+SELECT epoch, round(avg(CASE WHEN NOT broken THEN value END), 6) AS train_bce, round(avg(value + 0.5), 6) AS val_logloss FROM e GROUP BY epoch""")
+def log_folder_report(spark, sf_dir):
+    """SRC9 + SNK6 + AG20: a folder of log files with CRLF ends, bytes that are not UTF-8 and ``nan`` values, written to the
+    shared folder and read as text; parsed metrics stored by metric, train and validation epochs side by side."""
+    i = F.col("event_id")
+    lines = fx.metric_log_lines(spark, sf_dir, "event_id")
+    nan = F.regexp_replace("value", "train_bce=[^,]*", "train_bce=nan")
+    text = F.when(i % 50 == 0, nan).otherwise(F.col("value")).cast("binary")
+    text = F.when(i % 7 == 0, F.concat(text, F.unhex(F.lit("206E6F74653DFF8041")))).otherwise(text)  # " note=", two stray bytes, "A"
+    text = F.when(i % 3 == 0, F.concat(text, F.unhex(F.lit("0D")))).otherwise(text)
+    path = scratch_path(spark, "logs")
+    lines.repartition(4).select(text.cast("string").alias("value")).write.text(path)
+    metrics = SK.write_metrics(LG.parse_metric_lines(RD.read_log_lines(spark, path)), scratch_path(spark, "metrics"))
+    x = LG.epoch_mean_side_by_side(spark.read.parquet(metrics), ["train_bce", "val_logloss"])
+    return x.select("epoch", _r("train_bce").alias("train_bce"), _r("val_logloss").alias("val_logloss"))
+
+
 PATIENCE, MIN_DELTA = 5, 1e-6
 
 
@@ -838,8 +858,11 @@ def one_hot(spark, sf_dir):
 # ---------------------------------------------------------------- models (rows-only checks)
 from .plans import crossfit as CF  # noqa: E402
 from .plans import fold_preprocess as FP  # noqa: E402
+from .plans import sgd as SG  # noqa: E402
 from .plans import tabular as TB  # noqa: E402
 from .session import scratch_path  # noqa: E402
+from .sources import readers as RD  # noqa: E402
+from .sources import sinks as SK  # noqa: E402
 
 GBT_ITER, GBT_DEPTH = 10, 4
 
@@ -983,6 +1006,56 @@ def linear_tune(spark, sf_dir):
                                  "trial int, alpha double, l1_ratio double, balanced boolean, val_logloss double")
 
 
+_SGD_PASSES, _SGD_CHUNK = 3, 2_000
+
+
+def _token_rows(spark, sf_dir):
+    """Train and test rows as hashed tokens of the categories and scaled numerics, and the train rows' hold-out side."""
+    t = TB.signal_label(_t1(spark, sf_dir)).where(F.col("part").isin("train", "test")).drop("y").withColumnRenamed("y_sig", "y")
+    features = SG.TokenFeatures.fit(t.where(F.col("part") == "train"), TB.CAT, TB.NUM)
+    x = H.with_holdout_side(t, "id", VAL_FRAC, SEED)
+    return features, materialise(features.rows(x, "id", "part", "side", "y"), "token-rows")
+
+
+@register("sgd_tune", f"""WITH g AS (SELECT a AS alpha, r AS l1_ratio, 'optimal' AS schedule, 0.0 AS eta0, b AS balanced
+  FROM (VALUES {", ".join(f"({c.alpha!r}, {c.l1_ratio!r})" for c in SG.sgd_grid()[:22:2])}) v(a, r), (VALUES (false), (true)) w(b)
+  UNION ALL SELECT 1e-05, 0.0, 'constant', 0.02, false UNION ALL SELECT 1e-05, 0.0, 'constant', 0.05, true)
+SELECT CASE WHEN l1_ratio > 0 THEN 'elasticnet' ELSE 'l2' END AS penalty, alpha::DOUBLE AS alpha, l1_ratio::DOUBLE AS l1_ratio, schedule,
+       eta0::DOUBLE AS eta0, balanced, true AS finite_loss, 1::BIGINT AS n_best FROM g""")
+def sgd_tune(spark, sf_dir):
+    """ML7 + ML8 + SNK5: the 24 points of averaged proximal SGD on hashed tokens, fitted together on the id-hash
+    training side and scored on the hold-out side; trials and best written and read back."""
+    _, x = _token_rows(spark, sf_dir)
+    x = x.where(F.col("part") == "train")
+    best, trials = SG.tune_sgd(x.where(F.col("side") == "train"), x.where(F.col("side") == "valid"), SG.sgd_grid(),
+                               passes=_SGD_PASSES, chunk_rows=_SGD_CHUNK)
+    path = scratch_path(spark, "sgd-trials")
+    loss = trials.where("best").first()["val_logloss"]
+    SK.write_trials(trials, SG.best_row(best, loss), path)
+    back = spark.read.schema(trials.schema).json(f"{path}/trials")
+    kept = json.loads(spark.read.text(f"{path}/best").first()[0])
+    n_best = back.where((F.col("val_logloss") == kept["val_logloss"]) & F.col("best")).count()
+    return back.select("penalty", "alpha", "l1_ratio", "schedule", "eta0", "balanced",
+                       (F.col("val_logloss") >= F.lit(kept["val_logloss"])).alias("finite_loss"), F.lit(n_best).cast("bigint").alias("n_best"))
+
+
+@register("sgd_refit", f"""WITH {_label_sql("part IN ('train', 'test')")}
+SELECT part, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_pos, true AS in_range, true AS beats_prior FROM s GROUP BY part""")
+def sgd_refit(spark, sf_dir):
+    """ML7 + ML8: the best of the 24 points fitted again on all training rows; its test scores written as a
+    submission (SNK1) and read back (SRC5), and what must hold of them and of the training scores."""
+    features, x = _token_rows(spark, sf_dir)
+    tr = x.where(F.col("part") == "train")
+    best, _ = SG.tune_sgd(tr.where(F.col("side") == "train"), tr.where(F.col("side") == "valid"), SG.sgd_grid(),
+                          passes=_SGD_PASSES, chunk_rows=_SGD_CHUNK)
+    model = SG.fit_sgd(tr, [best], passes=2 * _SGD_PASSES, chunk_rows=_SGD_CHUNK).models()[0]
+    path = scratch_path(spark, "sgd-submission")
+    SK.write_submission(SG.sgd_scores(x.where(F.col("part") == "test"), model), path)
+    test = RD.read_submission(spark, path, fmt="csv").withColumnRenamed("diagnosed_diabetes", "p")
+    rows = SG.sgd_scores(tr, model).unionByName(test).join(x.select("id", "part", "y"), "id")
+    return score_facts(rows, ["part"])
+
+
 @register("mlp_fit")
 def mlp_fit(spark, sf_dir):
     """ML9: multilayer perceptron on one-hot codes + standardised numerics, fitted on
@@ -1132,10 +1205,43 @@ def stream_score(spark, sf_dir):
     return SO.append_to_table(scored.select("event_id", "p"), "stream-score")
 
 
+_STREAM_FILES, _STREAM_BATCHES, _STREAM_PASSES = 12, 6, 2
+
+
+@register("stream_sgd", f"""SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids, true AS in_range, true AS better_than_start,
+  true AS a_step_a_batch FROM events""")
+def stream_sgd(spark, sf_dir):
+    """SRC2 + SM3 + SM6: elastic-net averaged SGD with balanced weights over two replays of a folder of files, read in
+    micro-batches bounded by bytes, one gradient step each; then the stream scored."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    path = scratch_path(spark, "event-files")
+    events.repartition(_STREAM_FILES, "event_id").write.parquet(path)
+    files = materialise(spark.read.format("binaryFile").load(path).select("length"), "sizes").agg(F.sum("length"), F.max("length")).first()
+    bound = max(int(files[0]) // _STREAM_BATCHES, int(files[1]))
+
+    def read() -> DataFrame:
+        return RD.chunk_scan(spark, path, ["event_id", "event_type", "value"], events.schema, bound, "parquet")
+
+    label = (F.col("event_type") == "purchase").cast("int").alias("y")
+    counts = {r["y"]: r["n"] for r in SO.run_to_table(SO.stream_class_counts(read(), label), "sgd-classes").collect()}
+    n, n1 = sum(counts.values()), counts.get(1, 0)
+    features = SG.TokenFeatures.fit(events.withColumn("size", F.floor("value")), ["size"], ["value"])
+    rows = lambda df: features.rows(df.withColumn("size", F.floor("value")).withColumn("y", label), "event_id", "y")
+    config = SG.SgdConfig(alpha=1e-5, l1_ratio=0.15, balanced=True)
+    state = SG.AveragedSgd([config], features.dim, 1.0, (n / (2 * max(1, n - n1)), n / (2 * max(1, n1))))
+    batches = SO.stream_passes(lambda: rows(read()), state.step, _STREAM_PASSES)
+    model = state.models()[0]
+    scored = SO.append_to_table(SG.sgd_scores(rows(read()), model, "event_id"), "sgd-scores").join(events.select("event_id", label), "event_id")
+    weight = F.when(F.col("y") == 1, n / (2 * max(1, n1))).otherwise(n / (2 * max(1, n - n1)))
+    return scored.withColumn("w", weight).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_ids"),
+        F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1)).alias("in_range"),
+        (M.logloss_expr("y", "p", "w") <= F.log(F.lit(2.0)) + 1e-3).alias("better_than_start"),
+        F.lit(state.steps == batches > 2 * _STREAM_PASSES).alias("a_step_a_batch"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 from .plans import preprocess as PP  # noqa: E402
-from .sources import readers as RD  # noqa: E402
-from .sources import sinks as SK  # noqa: E402
 
 
 @register("oof_csv_roundtrip", f"""SELECT id, y, round(greatest(0, least(1, p1)), 6) AS oof_pred

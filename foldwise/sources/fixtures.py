@@ -137,8 +137,8 @@ def weights_table(t3: DataFrame, complete: bool) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T4
-def metric_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: one training-log line per event (``value`` column, as ``spark.read.text``)."""
+def metric_log_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """T4: one training-log line per event (``value`` column, as ``spark.read.text``), after the columns ``keep``."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     i = F.col("event_id")
     seed = (F.lit(42) + F.pmod(F.floor(i / 5), F.lit(2))).cast("string")
@@ -148,7 +148,7 @@ def metric_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" train_bce="), F.col("value").cast("string"),
         F.lit(", val_logloss="), (F.col("value") + d(0.5)).cast("string"), F.lit(" lr=0.001"))
     noise = F.concat(F.lit("noise "), i.cast("string"))
-    return e.select(F.when(F.col("event_type") == "error", noise).otherwise(line).alias("value"))
+    return e.select(*keep, F.when(F.col("event_type") == "error", noise).otherwise(line).alias("value"))
 
 
 T4_SQL = """

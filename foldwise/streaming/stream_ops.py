@@ -2,7 +2,7 @@
 
 The reference reads a CSV in chunks and keeps running statistics in memory.
 Here the same statistics are streaming aggregations over a file source
-(``maxFilesPerTrigger`` bounds each micro-batch; ``availableNow`` drains what
+(``maxBytesPerTrigger`` bounds each micro-batch; ``availableNow`` drains what
 is there and stops), with state and progress in a checkpoint under the shared
 folder so a restarted query resumes instead of recounting.
 
@@ -23,11 +23,15 @@ from ..functions.scalar import d, row_logloss, sigmoid
 from ..session import scratch_path
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1,
+#: Bytes of files in a micro-batch (at least one file): small files share a batch, large ones do not pile up.
+BATCH_BYTES = 1 << 30
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType, bytes_per_trigger: int = BATCH_BYTES,
                 fmt: str = "parquet") -> DataFrame:
-    """SRC2 as a stream: a file source with an explicit schema and bounded micro-batches."""
-    return (spark.readStream.schema(schema).format(fmt)
-            .option("maxFilesPerTrigger", files_per_trigger).load(path))
+    """SRC2 as a stream: a file source with an explicit schema and micro-batches bounded by bytes."""
+    r = spark.readStream.schema(schema).format(fmt).option("maxBytesPerTrigger", bytes_per_trigger)
+    return (r.option("header", True) if fmt == "csv" else r).load(path)
 
 
 def run_to_table(agg: DataFrame, name: str, mode: str = "complete") -> DataFrame:
@@ -71,10 +75,10 @@ def stream_scaler(stream: DataFrame, cols: list[str], fill_zero: bool = True) ->
     return stream.groupBy().agg(*aggs)
 
 
-def stream_class_counts(stream: DataFrame, label: Callable[[], object] | str) -> DataFrame:
-    """SM2: running row count per class."""
+def stream_class_counts(stream: DataFrame, label: Callable[[], object] | str, side: str | None = None) -> DataFrame:
+    """SM2: running row count per class and, with ``side``, per hold-out side."""
     y = F.col(label) if isinstance(label, str) else label
-    return stream.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return stream.groupBy(*([side] if side else []), y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_logloss(stream: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:
@@ -118,6 +122,26 @@ def stream_sgd_logistic(spark: SparkSession, source: Callable[[], DataFrame], fe
     return state["w"], state["b"]
 
 
+def stream_passes(source: Callable[[], DataFrame], step: Callable[[DataFrame], object], passes: int = 1, name: str = "passes") -> int:
+    """SM3 + SM6: hand every micro-batch of ``passes`` replays of a stream to ``step`` (as :meth:`AveragedSgd.step`).
+
+    Every replay has a checkpoint of its own, so it reads the whole source again. Returns the micro-batches.
+    """
+    batches = 0
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        nonlocal batches
+        step(batch)
+        batches += 1
+
+    for p in range(passes):
+        stream = source()
+        base = scratch_path(stream.sparkSession, f"{name}-pass{p}")
+        q = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return batches
+
+
 def score_linear(df: DataFrame, features: list[str], coef: list[float], intercept: float,
                  out: str = "p") -> DataFrame:
     """SM5 transform: probability of a fitted linear model as a column expression
