@@ -33,6 +33,19 @@ def documents_like(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      *[df[m] for m in more])
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. ASCII texts take the fast built-in, which equals it there."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

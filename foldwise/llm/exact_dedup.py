@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents_like, written
+from .common import ascii_lower, documents_like, unused, written
 
 SALTS = 64
 
@@ -62,7 +62,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of repeated rows with the winning id and an equal text all stay; they are one document.
     """
-    g = exact_groups(docs, id_col, text_col)
-    gone = g.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), "text_sha256")
+    gone_id, gone_text = unused(docs, "_gone", "_gone_text")
+    gone = exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(
+        F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_text)).distinct()
     digest = F.sha2(F.coalesce(ascii_lower(docs[text_col]), F.lit("")), 256)
-    return docs.join(gone.distinct(), (docs[id_col] == F.col("_gone")) & (digest == F.col("text_sha256")), "left_anti")
+    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (digest == gone[gone_text]), "left_anti")

@@ -8,6 +8,11 @@ at similarity 0.75 this fails with probability 2 (1 - 0.75^3)^18, about 1e-4, at
 0.8 with 5e-6. A half-key that only one set has cannot lead to a meeting, so such
 half-keys are removed before the pairs are formed.
 
+A first pass pairs every item with the smallest one of each of its first half-keys: one
+row an item and key, which joins most of a large group of near copies into one
+component. Tables then only hold half-keys that different components share, so
+such a group does not stand in hundreds of tables.
+
 Equal sets are one item. Candidates are verified on full shingle sets and closed
 to components (:mod:`foldwise.llm.simjoin`).
 
@@ -29,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (WordHash, as_bytes, bitmap_of, documents_like, id_bit, in_bitmap, list_array,
-                     map_batches, minhashes, mix64, shingle_hashes, signed, words, worker_state, written)
-from .simjoin import SKETCH, linked_components, sketch_words
+                     map_batches, minhashes, mix64, shingle_hashes, signed, unused, words, worker_state, written)
+from .simjoin import SKETCH, first_components, linked_components, sketch_words
 
 ROWS = 3
 HALVES = 18
@@ -40,6 +45,10 @@ N_MINHASHES = 2 * ROWS * HALVES
 FEW = 4
 
 
+#: Half-keys of either collection that the first pass looks at.
+FIRST = 3
+
+
 def _hasher() -> WordHash:
     return worker_state("near-words", WordHash)
 
@@ -54,7 +63,7 @@ def half_keys(mins: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_key (128-bit digest of the set, null without shingles), halves, s0..s3."""
+    """doc_id, text_hash, n, set_key (128-bit digest of the set, null without shingles), halves, s0..s3."""
 
     def run(batches):
         h = _hasher()
@@ -68,11 +77,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 halves.append(np.empty(0, dtype=np.int64) if m is None else signed(half_keys(m)))
                 sk.append([0, 0, 0, 0] if m is None else sketch_words(m))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()),
+                [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()),
                  list_array(halves, pa.int64()), *[pa.array([x[i] for x in sk], pa.int64()) for i in range(4)]],
-                ["doc_id", "n", "set_key", "halves", *SKETCH])
+                ["doc_id", "text_hash", "n", "set_key", "halves", *SKETCH])
 
-    return map_batches(as_bytes(documents_like(docs)), run, "doc_id long, n long, set_key binary, halves array<long>, "
+    rows = as_bytes(documents_like(docs)).withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(rows, run, "doc_id long, text_hash long, n long, set_key binary, halves array<long>, "
                        + ", ".join(f"{s} long" for s in SKETCH))
 
 
@@ -98,20 +108,36 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["doc_id", "set_key"]).select("id", "set").dropDuplicates(["id"])
 
 
-def table_keys(items: DataFrame, halves: int = HALVES) -> DataFrame:
-    """(key, id): pairs of half-keys, one of either collection, both shared with another item."""
-    half = items.select("id", F.posexplode("halves").alias("at", "half"))
-    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
+def first_keys(items: DataFrame) -> DataFrame:
+    """(key, id): the first half-keys of either collection, which most near copies share."""
+    at = [F.element_at("halves", c * HALVES + i + 1) for c in (0, 1) for i in range(FIRST)]
+    return items.select(F.explode(F.array(*at)).alias("key"), "id")
+
+
+def table_keys(items: DataFrame, first: DataFrame, halves: int = HALVES) -> DataFrame:
+    """(key, id, component): pairs of half-keys, one of either collection, both shared with another component.
+
+    ``first``: (node, component) of items already linked; the others are components of their own. Half-keys that
+    only one component has cannot lead to a link between two.
+    """
+    known = first.withColumnRenamed("node", "id")
+    half = (items.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            .select("id", "component", F.posexplode("halves").alias("at", "half")))
+    shared = half.groupBy("half").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("half")
     live = half.join(shared, "half")
-    sides = live.groupBy("id").agg(F.collect_list(F.when(F.col("at") < halves, F.col("half"))).alias("x"),
-                                   F.collect_list(F.when(F.col("at") >= halves, F.col("half"))).alias("y"))
-    return (sides.select("id", F.explode("x").alias("x"), "y").select("id", "x", F.explode("y").alias("y"))
-            .select(F.xxhash64("x", "y").alias("key"), "id"))
+    sides = live.groupBy("id", "component").agg(F.collect_list(F.when(F.col("at") < halves, F.col("half"))).alias("x"),
+                                                F.collect_list(F.when(F.col("at") >= halves, F.col("half"))).alias("y"))
+    return (sides.select("id", "component", F.explode("x").alias("x"), "y").select("id", "component", "x", F.explode("y").alias("y"))
+            .select(F.xxhash64("x", "y").alias("key"), "id", "component"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    docs = documents_like(docs, id_col, text_col)
+    return _judged(documents_like(docs, id_col, text_col)).drop("text_hash")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`near_groups` with ``text_hash``."""
     sk = written(sketches(docs).withColumn("v", F.monotonically_increasing_id()), "sketches")
     cols = ["doc_id", "v", "n", "halves", *SKETCH]
     # one item per set, named by a row of its smallest document
@@ -122,7 +148,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def sets_of(ids: DataFrame) -> DataFrame:
         return shingle_sets(docs, written(items.select("id", "doc_id", "set_key").join(ids, "id"), "wanted"))
 
-    comp = linked_components(table_keys(items), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW)
+    first = first_components(first_keys(items), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES)
+    comp = linked_components(table_keys(items, first), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW, first)
     comp = written(comp, "linked")
     member = items.select("id", "set_key", "doc_id").join(comp.withColumnRenamed("node", "id"), "id")
     least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -131,11 +158,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     .select("set_key", F.coalesce("least", "doc_id").alias("least")), "components")
     return (sk.join(named, "set_key", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "text_hash")
             .withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the smallest id of each near-duplicate component; all columns stay."""
-    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """``docs`` with only the smallest id of each near-duplicate component; all columns stay.
+
+    A row goes by its id and text: other texts of the same id are judged by themselves."""
+    gone_id, gone_text = unused(docs, "_gone", "_gone_text")
+    gone = _judged(documents_like(docs)).where("not kept").select(
+        F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text)).distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    return docs.join(gone, (docs["doc_id"] == gone[gone_id]) & (own == gone[gone_text]), "left_anti")

@@ -9,8 +9,8 @@ goes on through larger residuals until a compatible bin is found, else a new bin
 opens. Pieces are placed in order of falling size (best fit decreasing).
 
 Packing runs in independent shards of about ``shard_rows`` pieces, dealt by a hash
-of the id, so no source, cluster or run of ids concentrates in a task and a lost
-executor repeats only its shards. Bins never span shards. Repeated rows, a source
+of the id, the piece and the row's place, so no source, cluster, run of ids or repeated row
+concentrates in a task and a lost executor repeats only its shards. Bins never span shards. Repeated rows, a source
 or a cluster of any size only open more bins.
 
 Defined results: null text counts as empty (one end token); a null source
@@ -136,14 +136,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 
     A bin is (shard, bin); ``bin_offset`` is where the piece starts in it.
     """
-    sized = written(measure(docs, id_col, text_col, source_col), "sized")
+    # ``row`` sets repeated rows apart; it is written, so a repeated task deals alike
+    sized = written(measure(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "sized")
     pieces = sized.agg(F.sum(F.ceil(F.col("n_tokens") / capacity)).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(pieces) // shard_rows))
     at = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_tokens") / capacity).cast("int") - 1))
-    cut = sized.select("doc_id", "source", "cluster", "n_tokens", at.alias("piece"))
+    cut = sized.select("doc_id", "source", "cluster", "n_tokens", "row", at.alias("piece"))
     cut = cut.select("doc_id", "source", "cluster", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("start_token"),
                      F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece") * capacity).alias("size"),
-                     F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int").alias("shard"))
+                     F.pmod(F.xxhash64("doc_id", "piece", "cluster", "row"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "piece", "cluster"], ascending=[False, True, True, True],

@@ -164,7 +164,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sets_of(ids: DataFrame) -> DataFrame:
         return item_sets(docs, written(items.select("id", "doc_id").join(ids, "id"), "wanted"), min_words)
 
-    keys = items.select(F.explode("bands").alias("key"), "id")
+    keys = items.select(F.explode("bands").alias("key"), "id", F.col("id").alias("component"))
     comp = linked_components(keys, items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW)
     # clusters of one paragraph remove nothing: only the others are joined with the paragraphs
     named = (items.select("id", "proof", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left")

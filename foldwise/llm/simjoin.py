@@ -87,10 +87,19 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return written(both.where(hit).select("a", "b"), "links")
 
 
+def first_components(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], n_minhashes: int,
+                     percent: int = PERCENT) -> DataFrame:
+    """(node, component) of verified links between items and the smallest item of each of their ``keys`` (key, id)."""
+    root = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "a")
+    pairs = keys.withColumnRenamed("id", "b").join(root, "key").where("a <> b").select("a", "b").distinct()
+    return written(components(verified(_sketched(pairs, items, n_minhashes, percent), sets_of, percent)), "first")
+
+
 def _buckets(keys: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
-    """((key, id, size, least) of distinct buckets with two members or more, (id) of the items that
-    are in more than ``few`` large buckets); ``keys`` has no repeated rows."""
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared-keys")
+    """((key, id, component, size, least) of distinct buckets with two components or more, (id) of the items that
+    are in more than ``few`` large buckets); ``keys`` (key, id, component) has no repeated rows."""
+    shared = written(keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                     .where("lo <> hi").select("key"), "shared-keys")
     live = written(keys.join(shared, "key"), "live-keys")
     b = written(live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"),
                                         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of")), "bucket-sizes")
@@ -137,26 +146,34 @@ def _prefix_pairs(members: DataFrame, items: DataFrame, sets_of: Callable[[DataF
 
 
 def linked_components(keys: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], n_minhashes: int,
-                      few: int, percent: int = PERCENT) -> DataFrame:
+                      few: int, first: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
     """Rows (node, component) of every item with a verified link; component = smallest item reachable.
 
-    ``keys``: (key, id); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set).
+    ``keys``: (key, id, component); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set).
+    ``first``: (node, component) of links found before, whose components ``keys`` carries; without it every
+    item's component is itself. Only items of different components are paired.
     """
     bucket, crowd = _buckets(keys, few)
     bucket = written(bucket, "bucketed")
-    small = bucket.where(F.col("size") <= SMALL).select("key", "id")
-    pairs = (small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "key")
-             .where("a < b").select("a", "b").distinct())
+    small = bucket.where(F.col("size") <= SMALL).select("key", "id", "component")
+    sides = [small.select("key", F.col("id").alias(x), F.col("component").alias(f"{x}c")) for x in "ab"]
+    pairs = (sides[0].withColumnRenamed("key", "k").join(sides[1], (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")))
+             .select("a", "b").distinct())
     large = bucket.where(F.col("size") > SMALL)
-    first = [F.min_by("id", F.xxhash64("id", F.lit(r))) for r in range(1, CENTRES)]
-    centres = written(large.groupBy("key").agg(F.array_distinct(F.array(F.min("least"), *first)).alias("c")), "centres")
-    star = (large.join(centres, "key").select(F.explode("c").alias("a"), F.col("id").alias("b"))
-            .where("a <> b").distinct())
+    own = F.struct("id", "component")
+    centre = [F.min_by(own, F.xxhash64("id", F.lit(r))) for r in range(1, CENTRES)]
+    centres = written(large.groupBy("key").agg(F.array_distinct(F.array(F.min(own), *centre)).alias("c")), "centres")
+    # a member's centres over all its buckets are one set before they become rows
+    others = F.transform(F.filter("c", lambda x: x["component"] != F.col("component")), lambda x: x["id"])
+    star = (large.join(centres, "key").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set(others))).alias("c"))
+            .select(F.explode("c").alias("a"), F.col("id").alias("b")))
     found = verified(_sketched(pairs.union(star).distinct(), items, n_minhashes, percent), sets_of, percent)
+    if first is not None:  # the components so far stand for their links
+        found = found.union(first.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b"))
     comp = written(components(found), "found")
     if large.limit(1).count() == 0:
         return comp
-    member = (large.join(crowd, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    member = (large.drop("component").join(crowd, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
               .withColumn("component", F.coalesce("component", "id")))
     member = (member.join(comp.select(F.col("node").alias("least"), F.col("component").alias("main")), "least", "left")
               .withColumn("main", F.coalesce("main", "least")))
@@ -165,6 +182,5 @@ def linked_components(keys: DataFrame, items: DataFrame, sets_of: Callable[[Data
     if member.where("apart").limit(1).count() == 0:
         return comp
     more = _prefix_pairs(member.select("id", "component", "apart"), items, sets_of, n_minhashes, percent)
-    # the components so far stand for their links
     return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
                       .union(verified(more, sets_of, percent)))
