@@ -9,6 +9,7 @@ answer independently; column names and types match the Spark side.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -849,7 +850,7 @@ def one_hot(spark, sf_dir):
     (id, feature, slot, size) so the vectors can be checked exactly."""
     t = _t1(spark, sf_dir)
     cols = ["priority", "segment"]
-    vocab = E.vocab_freq(E.value_counts([t], T1_CATS), MAX_CATS)
+    vocab = E.vocab_freq(E.value_counts([t], cols), MAX_CATS)
     coded = E.lookup_codes(t.select("id", *cols), vocab, cols, 1, MAX_CATS)
     oh = FT.one_hot(coded, [f"{c}_code" for c in cols])
     return FT.one_hot_slots(oh, "id", {c: f"{c}_code_oh" for c in cols})
@@ -1056,19 +1057,25 @@ def sgd_refit(spark, sf_dir):
     return score_facts(rows, ["part"])
 
 
-@register("mlp_fit")
+@register("mlp_fit", f"""WITH {_label_sql("part IN ('train', 'test')")}
+SELECT CASE WHEN part = 'test' THEN 'test' ELSE 'valid' END AS part, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_pos,
+       true AS in_range, true AS beats_prior, true AS best_round
+FROM s WHERE part = 'test' OR {H.sql_mul_bucket('id', SEED)} < {H.holdout_cut(VAL_FRAC, H.MUL_BUCKETS)} GROUP BY 1""")
 def mlp_fit(spark, sf_dir):
-    """ML9: multilayer perceptron on one-hot codes + standardised numerics, fitted on
-    the id-hash training side; validation scores ``id, y, p``."""
-    fr = TB.encode_frame(spark, sf_dir)
-    x = FT.one_hot(fr.train, [f"{c}_code" for c in TB.CAT])
+    """ML9: multilayer perceptron on one-hot codes + standardised numerics, fitted on the id-hash training side in
+    warm-started rounds with patience on the hold-out side; facts of the hold-out and test scores."""
+    fr = TB.encode_frame(spark, sf_dir, write=True)
+    rows = fr.train.drop("fold").withColumn("part", F.lit("train")).unionByName(fr.test.withColumn("part", F.lit("test")))
+    x = FT.one_hot(rows, [f"{c}_code" for c in TB.CAT])
     inputs = [f"{c}_z" for c in TB.NUM] + [f"{c}_code_oh" for c in TB.CAT]
-    x = FT.assemble(x.drop("features"), inputs, "features")
-    x = H.with_holdout_side(x, "id", VAL_FRAC, SEED).persist()
+    x = materialise(H.with_holdout_side(FT.assemble(x.drop("features"), inputs, "features"), "id", VAL_FRAC, SEED), "mlp-rows")
     n_in = len(x.select("features").first()[0])
-    m = CF.mlp(SEED, n_in, max_iter=50).fit(x.where(F.col("side") == "train"))
-    v = m.transform(x.where(F.col("side") == "valid"))
-    return v.select("id", "y", CF.prob1().alias("p"))
+    tr = x.where(F.col("part") == "train")
+    valid = tr.where(F.col("side") == "valid")
+    m, best, losses = CF.mlp_patient(tr.where(F.col("side") == "train"), valid, SEED, n_in, rounds=8, round_iter=10)
+    scored = m.transform(valid.unionByName(x.where(F.col("part") == "test"))).select(
+        F.when(F.col("part") == "test", "test").otherwise("valid").alias("part"), "id", "y", CF.prob1().alias("p"))
+    return score_facts(scored, ["part"]).withColumn("best_round", F.lit(losses[best - 1] == min(losses[:best])))
 
 
 def _assembler(inputs):
@@ -1320,11 +1327,14 @@ def fold_ordinal_vocab(spark, sf_dir):
     return E.fold_ordinal_vocab(t, ["priority", "segment"], "fold", N_FOLDS)
 
 
-@register("dataset_profile", f"""SELECT part, count(*) AS n_rows, count(DISTINCT id) AS n_ids,
-  count(DISTINCT priority) AS nd_priority, count(DISTINCT segment) AS nd_segment FROM ({fx.T1_SQL}) GROUP BY part""")
+@register("dataset_profile", f"""WITH p AS (SELECT part, count(*) AS n_rows, count(DISTINCT id) AS n_ids,
+  count(DISTINCT priority) AS nd_priority, count(DISTINCT segment) AS nd_segment, count(DISTINCT price_txt) AS nd_price_txt FROM ({fx.T1_SQL}) GROUP BY part)
+SELECT *, least(nd_priority, nd_segment, nd_price_txt) AS cat_min,
+       (nd_priority + nd_segment + nd_price_txt - least(nd_priority, nd_segment, nd_price_txt) - greatest(nd_priority, nd_segment, nd_price_txt))::DOUBLE AS cat_median,
+       greatest(nd_priority, nd_segment, nd_price_txt) AS cat_max FROM p""")
 def dataset_profile(spark, sf_dir):
-    """AG23: rows, distinct ids and distinct categories per part (train/test/extra)."""
-    return counts.dataset_profile(_t1(spark, sf_dir), "part", "id", ["priority", "segment"])
+    """AG23: rows, distinct ids, distinct categories per part (train/test/extra), and their least, median and greatest number."""
+    return counts.dataset_profile(_t1(spark, sf_dir), "part", "id", ["priority", "segment", "price_txt"])
 
 
 # Exact oracle for patience_pick: the same state machine as a recursive CTE.
@@ -1396,3 +1406,166 @@ def gbt_c3_cv(spark, sf_dir):
     x = VectorAssembler(inputCols=inputs, outputCol="features_c3").transform(x.drop("features"))
     x = x.withColumnRenamed("features_c3", "features")
     return CF.cross_fit(x, lambda s: CF.gbt(s + 7, max_iter=GBT_ITER, max_depth=3, subsample=0.7)).oof
+
+
+# ---------------------------------------------------------------- remaining forms
+@register("numeric_policies_raw", f"""
+WITH t AS (SELECT id, part, CASE WHEN isfinite(TRY_CAST(price_txt AS DOUBLE)) THEN TRY_CAST(price_txt AS DOUBLE) END AS pr, acctbal FROM ({fx.T1_SQL})),
+z AS (SELECT avg(acctbal) AS m, stddev_pop(acctbal) AS s FROM t WHERE part = 'train')
+SELECT id, round(coalesce(pr, 0), 6) AS n2_price_txt, CASE WHEN pr IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS n2_price_txt_isnull,
+       round(coalesce((acctbal - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END, 0), 6) AS n5_acctbal FROM t, z""")
+def numeric_policies_raw(spark, sf_dir):
+    """N2 (missing kept as an indicator beside the filled value) and N5 (scaled without text coercion, then gaps to 0)."""
+    t = _t1(spark, sf_dir)
+    st = E.fit_numeric_stats(t.where(F.col("part") == "train"), ["acctbal"], "nan_keep_inf")["acctbal"]
+    x = E.keep_null_with_indicator(t, "price_txt")
+    return x.select("id", _r("price_txt").alias("n2_price_txt"), F.col("price_txt_isnull").alias("n2_price_txt_isnull"),
+                    _r(E.numeric_policy("acctbal", st, "std_then_zero_raw")).alias("n5_acctbal"))
+
+
+@register("encode_first_seen", f"""WITH {_SQL_TT}, long AS ({_SQL_LONG_CATS}),
+f AS (SELECT feature, value, min(id) AS first FROM long GROUP BY 1, 2),
+v AS (SELECT feature, value, (row_number() OVER (PARTITION BY feature ORDER BY first, value))::INTEGER AS code FROM f),
+a AS (SELECT * FROM ({fx.T1_SQL}))
+SELECT id, {", ".join(f"coalesce((SELECT code FROM v WHERE feature = '{c}' AND value = coalesce(a.{c}, '__MISSING__')), 0) AS {c}_code" for c in T1_CATS)} FROM a""")
+def encode_first_seen(spark, sf_dir):
+    """C5 transform: codes by first appearance in train and test looked up for all rows; values only extra rows have are 0."""
+    t = _t1(spark, sf_dir)
+    vocab = E.vocab_first_seen([t.where(F.col("part").isin("train", "test"))], T1_CATS, "id")
+    coded = E.lookup_codes(t.select("id", *T1_CATS), vocab, T1_CATS, 0)
+    return coded.select("id", *[f"{c}_code" for c in T1_CATS])
+
+
+@register("balanced_row_weights", f"""
+WITH t AS (SELECT id, y, {H.sql_mul_bucket('id', SEED)} < {H.holdout_cut(VAL_FRAC, H.MUL_BUCKETS)} AS valid FROM ({fx.T1_SQL}) WHERE part = 'train'),
+c AS (SELECT count(*) AS n, sum(y) AS n1 FROM t WHERE NOT valid)
+SELECT id, y, round(CASE WHEN y > 0 THEN n / (2.0 * greatest(n1, 1)) ELSE n / (2.0 * greatest(n - n1, 1)) END, 9) AS w FROM t, c WHERE NOT valid""")
+def balanced_row_weights(spark, sf_dir):
+    """AG1 + AG2 row form: every training-side row with its class's n / (2 n_c), class counts from that side."""
+    t = H.with_holdout_side(_t1_train(spark, sf_dir).select("id", "y"), "id", VAL_FRAC, SEED).where(F.col("side") == "train")
+    w = {r["y"]: r["bal_weight"] for r in counts.balanced_weights(counts.class_counts(t, "y")).collect()}
+    return counts.weight_with_balance(t, w).select("id", "y", _r("w", 9).alias("w"))
+
+
+@register("class_counts_capped", f"""
+WITH t AS (SELECT id, y FROM ({fx.T1_SQL}) WHERE part = 'train' ORDER BY {H.sql_mix64('id', SEED)}, id LIMIT 2000)
+SELECT v.y::INTEGER AS y, (SELECT count(*) FROM t WHERE t.y = v.y) AS n FROM (VALUES (0), (1)) v(y)""")
+def class_counts_capped(spark, sf_dir):
+    """AG1 with a row cap (through TK4): class counts of the first 2,000 training rows in hash order."""
+    return counts.class_counts(RK.sample_n(_t1_train(spark, sf_dir).select("id", "y"), 2000, "id", SEED), "y")
+
+
+@register("submission_roundtrip", f"""SELECT id, round(greatest(0, least(1, 3 * p1 - 1)), 6) AS diagnosed_diabetes
+FROM ({fx.T3_SQL}) WHERE part = 'test'""")
+def submission_roundtrip(spark, sf_dir):
+    """SNK1 + SNK4 + SRC5b: a submission, clipped to [0, 1], as gzip CSV and read back as stored."""
+    sub = fx.submission_table(_t3(spark, sf_dir), "p1").select("id", (3 * F.col("diagnosed_diabetes") - 1).alias("p"))
+    path = SK.write_submission(sub, scratch_path(spark, "submission"), compression="gzip")
+    x = RD.read_submission_raw(spark, path, fmt="csv")
+    return x.select("id", _r("diagnosed_diabetes").alias("diagnosed_diabetes"))
+
+
+@register("series_summary", f"""WITH {_SQL_PARSED}
+SELECT metric, count(DISTINCT (seed, fold)) AS n_series, count(*) AS n_rows, count(DISTINCT epoch) AS n_epochs FROM parsed GROUP BY metric""")
+def series_summary(spark, sf_dir):
+    """ST5 + AG23: series, rows and epochs of each metric of the logs."""
+    m = materialise(_parsed(spark, sf_dir), "metrics")
+    sizes = m.groupBy("metric").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("epoch").alias("n_epochs"))
+    return LG.series_count(m).join(sizes, "metric")
+
+
+@register("metrics_sorted", f"""WITH {_SQL_PARSED},
+r AS (SELECT *, row_number() OVER (ORDER BY metric, seed, fold, epoch, value) - 1 AS place FROM parsed)
+SELECT metric, min(place) AS first_place, max(place) AS last_place FROM r GROUP BY metric""")
+def metrics_sorted(spark, sf_dir):
+    """TK2 + SNK6: metric rows written in metric, seed, fold, epoch order; where each metric's rows stand in the files."""
+    path = SK.write_metrics_sorted(_parsed(spark, sf_dir), scratch_path(spark, "sorted-metrics"))
+    x = spark.read.parquet(path)
+    return x.groupBy("metric").agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+
+
+@register("loss_summary", f"""WITH t3 AS ({fx.T3_SQL}), l AS ({_SQL_LONG_MODELS}),
+x AS (SELECT model, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS l FROM l GROUP BY model)
+SELECT round(min(l), 6) AS loss_min, round(avg(l), 6) AS loss_mean, round(max(l), 6) AS loss_max FROM x""")
+def loss_summary(spark, sf_dir):
+    """AG22: least, mean and greatest of the models' own losses."""
+    r = M.loss_summary(M.base_losses(_long_scores(spark, sf_dir), max_models=len(fx.MODELS)))
+    return r.select(*[_r(c).alias(c) for c in r.columns])
+
+
+@register("kept_categories", f"""WITH {_SQL_VC},
+k AS (SELECT value FROM rk WHERE feature = 'price_txt' AND r <= 500)
+SELECT id, coalesce(price_txt, '__MISSING__') IN (SELECT value FROM k) AS kept, CASE WHEN y::DOUBLE * 0.9 > 0.5 THEN 1 ELSE 0 END AS label FROM t1""")
+def kept_categories(spark, sf_dir):
+    """ST4 + TK1 + PRJ2 + PRJ7b: whether a row's price text is among the 500 most frequent, roles taken by column names,
+    a real-valued target cut at 0.5."""
+    from .functions import scalar as S
+    t = _t1(spark, sf_dir)
+    roles = R.infer_roles_by_name(t)
+    top = E.vocab_alpha(E.value_counts([t], ["price_txt"]), 500).where(F.col("value") != S.OTHER_TOKEN).select(F.col("value").alias("text"))
+    x = t.select(roles.id_col, S.fill_missing_token("price_txt").alias("text"), (F.col(roles.target_col) * 0.9).alias("soft"))
+    return J.keep_if_in(x, top, "text").select("id", "kept", S.label_threshold("soft").alias("label"))
+
+
+@register("train_valid_epochs", f"""WITH {_SQL_PARSED}
+SELECT epoch, round(avg(CASE WHEN metric = 'train_bce' THEN value END), 6) AS train_bce,
+       round(avg(CASE WHEN metric = 'val_logloss' THEN value END), 6) AS val_logloss FROM parsed
+WHERE metric IN ('train_bce', 'val_logloss') GROUP BY epoch""")
+def train_valid_epochs(spark, sf_dir):
+    """AG20 report: epoch means of training and validation loss side by side."""
+    x = LG.epoch_mean_side_by_side(_parsed(spark, sf_dir), ["train_bce", "val_logloss"])
+    return x.select("epoch", _r("train_bce").alias("train_bce"), _r("val_logloss").alias("val_logloss"))
+
+
+@register("stream_side_counts", f"""SELECT CASE WHEN {H.sql_mul_bucket('event_id', SEED)} < {H.holdout_cut(VAL_FRAC, H.MUL_BUCKETS)} THEN 'valid' ELSE 'train' END AS side,
+  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_side_counts(spark, sf_dir):
+    """SM2 + PRJ8: running class counts by hold-out side over the event stream."""
+    s = H.with_holdout_side(_event_stream(spark, sf_dir), "event_id", VAL_FRAC, SEED)
+    return SO.run_to_table(SO.stream_class_counts(s, (F.col("event_type") == "purchase").cast("int"), "side"), "side-counts")
+
+
+@register("hist_gbt_cv", f"""WITH {_label_sql()}
+SELECT fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_pos, true AS in_range, true AS beats_prior FROM s GROUP BY fold""")
+def hist_gbt_cv(spark, sf_dir):
+    """ML6: histogram trees (255 bins) that stop early by themselves: a tenth of each fold's training side, chosen by
+    id hash, is Spark's validation side (``validationIndicatorCol``)."""
+    fr = TB.encode_frame(spark, sf_dir)
+    tr = H.with_holdout_side(fr.train, "id", VAL_FRAC, SEED + 1).withColumn("is_valid", F.col("side") == "valid").drop("side")
+    mk = lambda s: CF.gbt(s, max_iter=GBT_ITER, max_depth=GBT_DEPTH, valid="is_valid")
+    return score_facts(CF.cross_fit(tr, mk).scored, ["fold"])
+
+
+@register("adv_weights_b", f"""SELECT count(*) AS n, count(DISTINCT id) AS n_ids, true AS in_range, true AS finite FROM ({fx.T1_SQL}) WHERE part = 'train'""")
+def adv_weights_b(spark, sf_dir):
+    """ML10b: a neural train-versus-test classifier cross-fitted; odds clipped to [0.2, 5], not normalised."""
+    fr = TB.encode_frame(spark, sf_dir)
+    make = lambda s: CF.mlp(s, len(fr.inputs), (8,), max_iter=20)
+    w = CF.adversarial_weights(fr.train, fr.test, fr.inputs, make=make, clip_range=(0.2, 5.0), normalise=False, assemble=_assembler(fr.inputs))
+    return w.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"),
+                 F.bool_and(F.col("weight").between(0.2, 5.0)).alias("in_range"), F.bool_and(~F.isnan("weight")).alias("finite"))
+
+
+_STACK_SQL = f"""WITH b AS (SELECT min(l) AS l FROM (SELECT avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS l
+  FROM (SELECT y, unnest([p1, p2, p3]) AS p, unnest(['p1', 'p2', 'p3']) AS m FROM ({fx.T3_SQL}) WHERE part = 'train') GROUP BY m))
+SELECT form, (SELECT count(*) FROM ({fx.T3_SQL}) WHERE part = 'train') AS n_oof, (SELECT count(*) FROM ({fx.T3_SQL}) WHERE part = 'test') AS n_test,
+  6 AS n_coef, true AS in_range, true AS no_worse_than_members, true AS auc_known FROM (VALUES ('1/(Cn)'), ('1/C')) v(form), b"""
+
+
+@register("stack_report", _STACK_SQL)
+def stack_report(spark, sf_dir):
+    """ML12 + SC19: both penalties of the stack (per row 1/(C n); on the mean loss 1/C), on logits and probabilities of
+    three aligned tables; coefficients, OOF loss and AUC reported. The first is no worse than its best member."""
+    oof_w, test_w = materialise(_aligned_oof(spark, sf_dir), "stack-oof"), materialise(_aligned_subs(spark, sf_dir), "stack-test")
+    mo, cols = EN.meta_features(oof_w, fx.MODELS, ["logit", "prob"])
+    mt, _ = EN.meta_features(test_w, fx.MODELS, ["logit", "prob"])
+    best = M.base_losses(oof_w.unpivot(["id", "y"], fx.MODELS, "model", "p"), max_models=len(fx.MODELS)).agg(F.min("logloss")).first()[0]
+    prior = oof_w.agg(F.avg("y")).first()[0]
+    top = max(best, -(prior * math.log(prior) + (1 - prior) * math.log(1 - prior)))
+    rows = []
+    for form, mean_loss, bound in (("1/(Cn)", False, best), ("1/C", True, top)):
+        _, sub, rep = CF.stack(mo, mt, cols, C=1.0, mean_loss=mean_loss)
+        r = sub.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("diagnosed_diabetes").between(0, 1)).alias("ok")).first()
+        rows.append((form, rep["n"], r["n"], len(rep["coef"]), r["ok"], rep["logloss"] <= bound + 1e-6, rep["auc"] is not None))
+    return spark.createDataFrame(rows, "form string, n_oof bigint, n_test bigint, n_coef int, in_range boolean, "
+                                       "no_worse_than_members boolean, auc_known boolean")

@@ -50,10 +50,23 @@ def weight_stats(df: DataFrame, col: str = "weight") -> DataFrame:
 
 
 def dataset_profile(df: DataFrame, part_col: str, id_col: str, cat_cols: list[str]) -> DataFrame:
-    """AG23: rows and distinct ids per part, plus distinct values per categorical column."""
-    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct(id_col).alias("n_ids")]
-    aggs += [F.count_distinct(c).alias(f"nd_{c}") for c in cat_cols]
-    return df.groupBy(part_col).agg(*aggs)
+    """AG23: rows and distinct ids per part, distinct values per categorical column, and the least, median and greatest of those.
+
+    Each distinct count is an aggregation of its own over its two columns, so no row is copied once a column;
+    the pieces have one row a part.
+    """
+    out = df.groupBy(part_col).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(id_col).alias("n_ids"))
+    names = []
+    for c in cat_cols:
+        names.append(f"nd_{c}")
+        own = df.groupBy(F.col(part_col).alias("__part")).agg(F.count_distinct(c).alias(names[-1]))
+        out = out.join(own, F.col(part_col).eqNullSafe(F.col("__part"))).drop("__part")
+    if names:
+        every = F.sort_array(F.array(*names))
+        n = len(names)
+        median = (F.element_at(every, (n - 1) // 2 + 1) + F.element_at(every, n // 2 + 1)) / 2
+        out = out.select("*", F.element_at(every, 1).alias("cat_min"), median.alias("cat_median"), F.element_at(every, n).alias("cat_max"))
+    return out
 
 
 def normalise_mean(df: DataFrame, col: str, eps: float = 1e-12, skip_nonpositive: bool = False) -> DataFrame:

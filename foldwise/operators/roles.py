@@ -1,8 +1,8 @@
 """Column roles and type split (PRJ1-PRJ3, PRJ14, PRJ15, AG6).
 
 Role inference reads only ``df.columns`` / ``df.schema`` on the driver; the
-one data-dependent rule (low-cardinality integers, PRJ3c) is a single
-aggregation over all candidate columns at once.
+one data-dependent rule (low-cardinality integers, PRJ3c) is one pass of sketches over
+all candidate columns at once, and an exact count of those near the threshold.
 """
 
 from __future__ import annotations
@@ -65,16 +65,38 @@ def split_types(df: DataFrame, features: list[str], bool_numeric: bool = True) -
     return num, [c for c in features if c not in num]
 
 
+#: Relative error of the sketched distinct counts, and how many times it a count may be off before it is taken exactly.
+SKETCH_ERROR = 0.02
+MARGIN = 5
+
+
 def distinct_with_null(c: str):
     """AG6: ``nunique(dropna=False)`` as one aggregate expression."""
     return (F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).cast("bigint")
 
 
-def low_card_profile(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature: type class, distinct count on train (nulls counted).
+def distinct_counts(df: DataFrame, cols: list[str], exact_up_to: int) -> dict[str, int]:
+    """AG6 of many columns: distinct values of each, null counted, exact up to ``exact_up_to``.
+
+    One pass of mergeable sketches serves all columns (exact counts of several columns would copy every
+    row once a column). Only columns whose sketch may still mean ``exact_up_to`` or less are
+    counted exactly, each by an aggregation of its own; the others have more and report the estimate.
+    """
+    if not cols:
+        return {}
+    row = df.agg(*[(F.approx_count_distinct(F.col(c), SKETCH_ERROR) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in cols]).first()
+    out = {}
+    for c in cols:
+        about = int(row[c] or 0)
+        near = about <= exact_up_to * (1 + MARGIN * SKETCH_ERROR) + 1
+        out[c] = int(df.agg(distinct_with_null(c).alias("n")).first()["n"] or 0) if near else about
+    return out
+
+
+def low_card_profile(train: DataFrame, test: DataFrame, features: list[str], exact_up_to: int = 64) -> DataFrame:
+    """Per feature: type class, distinct count on train (nulls counted, exact up to ``exact_up_to``).
 
-    One aggregation over all integer/bool columns; string columns need no data.
-    Returns ``feature, kind, n_unique`` (kind in int/float/string).
+    String columns need no data. Returns ``feature, kind, n_unique`` (kind in int/float/string).
     """
     types = dict((f.name, f.dataType) for f in train.schema.fields)
     ttypes = dict((f.name, f.dataType) for f in test.schema.fields)
@@ -87,11 +109,7 @@ def low_card_profile(train: DataFrame, test: DataFrame, features: list[str]) ->
             return "int"
         return "float" if isinstance(types[c], T.NumericType) else "string"
 
-    ints = [c for c in features if kind(c) == "int"]
-    counts = {}
-    if ints:
-        row = train.agg(*[distinct_with_null(c).alias(c) for c in ints]).first()
-        counts = {c: int(row[c]) for c in ints}
+    counts = distinct_counts(train, [c for c in features if kind(c) == "int"], exact_up_to)
     rows = [(c, kind(c), counts.get(c)) for c in features]
     return spark.createDataFrame(rows, "feature string, kind string, n_unique bigint")
 
@@ -105,7 +123,7 @@ def role_at(threshold: int):
 
 def split_low_card(train: DataFrame, test: DataFrame, features: list[str],
                    threshold: int = 16) -> tuple[list[str], list[str]]:
-    prof = low_card_profile(train, test, features).withColumn("role", role_at(threshold)).collect()
+    prof = low_card_profile(train, test, features, threshold).withColumn("role", role_at(threshold)).collect()
     role = {r["feature"]: r["role"] for r in prof}
     return [c for c in features if role[c] == "num"], [c for c in features if role[c] == "cat"]
 

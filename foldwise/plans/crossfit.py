@@ -150,13 +150,16 @@ def cross_fit(train: DataFrame, make: Callable[[int], Estimator], id_col: str =
 # ------------------------------------------------------------------ learners
 def gbt(seed: int, max_iter: int = 20, max_depth: int = 5, step: float = 0.1, subsample: float = 0.8,
         feature_subset: str = "all", weight: str | None = None, features: str = "features",
-        label: str = "label", max_bins: int = 255) -> GBTClassifier:
-    """ML2/ML3/ML6: histogram-binned gradient-boosted trees."""
+        label: str = "label", max_bins: int = 255, valid: str | None = None) -> GBTClassifier:
+    """ML2/ML3/ML6: histogram-binned gradient-boosted trees. With ``valid``, a boolean column, fitting itself ends
+    at the first round that does not lower the loss of those rows."""
     g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                       stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
                       seed=seed, maxBins=max_bins)
     if weight:
         g.setWeightCol(weight)
+    if valid:
+        g._set(validationIndicatorCol=valid, validationTol=0.0)
     return g
 
 
@@ -188,6 +191,30 @@ def mlp(seed: int, n_inputs: int, hidden: tuple[int, ...] = (32, 16), features:
                                           layers=[n_inputs, *hidden, 2], maxIter=max_iter, seed=seed)
 
 
+def mlp_patient(train: DataFrame, valid: DataFrame, seed: int, n_inputs: int, hidden: tuple[int, ...] = (32, 16), rounds: int = 20,
+                round_iter: int = 5, patience: int = 3, min_delta: float = 0.0, features: str = "features", label: str = "label") -> tuple:
+    """ML9 with patience: the network is fitted in rounds of ``round_iter`` iterations, each from the weights of the one before,
+    until ``patience`` rounds bring no better hold-out loss (WN3's rule). Returns (best model, its round, the losses)."""
+    from ..operators.metrics import logloss_expr
+    train, valid = train.persist(StorageLevel.MEMORY_AND_DISK), valid.persist(StorageLevel.MEMORY_AND_DISK)
+    model, best, losses = None, None, []
+    for i in range(rounds):
+        net = mlp(seed, n_inputs, hidden, features, label, round_iter)
+        if model is not None:
+            net.setInitialWeights(model.weights)
+        model = net.fit(train)
+        scored = model.transform(valid).select(F.col(label).alias("y"), prob1().alias("p"))
+        losses.append(float(scored.agg(logloss_expr("y", "p")).first()[0]))
+        n = best_rounds(losses, patience, min_delta)
+        if n == i + 1:
+            best = model
+        elif i + 1 - n >= patience:
+            break
+    train.unpersist()
+    valid.unpersist()
+    return best, best_rounds(losses, patience, min_delta), losses
+
+
 # ------------------------------------------------------------------ early stopping
 def best_rounds(losses: list[float], patience: int, min_delta: float = 0.0) -> int:
     """Rounds up to the best loss when evaluation ends after ``patience`` rounds without improvement (WN3's rule)."""
@@ -305,20 +332,21 @@ def soft_classifier_rows(train: DataFrame, y_soft: str = "y_soft", weight: str |
 
 
 def stack(oof_wide: DataFrame, test_wide: DataFrame, meta_cols: list[str], C: float = 1.0,
-          label: str = "y", id_col: str = "id") -> tuple[DataFrame, DataFrame, dict]:
-    """ML12: L2 logistic regression on meta features of the OOF table; the penalty
-    ``1/(C n)`` matches the summed-loss form. Returns (OOF scores, test scores,
-    report with coefficients)."""
+          label: str = "y", id_col: str = "id", mean_loss: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+    """ML12: L2 logistic regression on meta features of the OOF table. The penalty is ``1/(C n)``, which matches
+    the summed-loss form, or with ``mean_loss`` ``1/C``, added to the mean loss. Returns (OOF scores, test
+    scores, report with rows, coefficients, OOF loss and AUC)."""
     from pyspark.ml.feature import VectorAssembler
-    from ..operators.metrics import auc, logloss
+    from ..operators.metrics import score_metrics
     n = oof_wide.count()
     va = VectorAssembler(inputCols=meta_cols, outputCol="__x")
-    lr = LogisticRegression(featuresCol="__x", labelCol=label, regParam=1.0 / (C * max(n, 1)),
+    lr = LogisticRegression(featuresCol="__x", labelCol=label, regParam=1.0 / C if mean_loss else 1.0 / (C * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, maxIter=200)
     m = lr.fit(va.transform(oof_wide.withColumn(label, F.col(label).cast("double"))))
     oof = m.transform(va.transform(oof_wide)).select(id_col, label, clip(prob1(), 1e-15, 1 - 1e-15).alias("p"))
     test = m.transform(va.transform(test_wide)).select(id_col, clip(prob1(), 0.0, 1.0).alias("diagnosed_diabetes"))
-    rep = {"coef": list(m.coefficients), "intercept": m.intercept}
+    got = score_metrics(oof, label, "p").first()
+    rep = {"n": n, "coef": list(m.coefficients), "intercept": m.intercept, "logloss": got["logloss"], "auc": got["auc"]}
     return oof, test, rep
 
 

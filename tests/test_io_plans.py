@@ -34,11 +34,6 @@ def test_csv_rows_after_the_first_ones_keep_their_values(spark):
     assert RD.read_teacher(spark, p, fmt="csv").count() == 3
 
 
-def test_missing_model_is_none(spark):
-    from pyspark.ml.classification import LogisticRegressionModel
-    assert SK.load_model(LogisticRegressionModel, scratch_path(spark, "none"), 1, 0) is None
-
-
 def test_oof_and_weights_roundtrip(spark):
     oof = spark.createDataFrame([(1, 1, 0.7), (2, 0, 1.3), (3, 2, None)], "id long, y int, oof_pred double")
     p = scratch_path(spark, "oof")
