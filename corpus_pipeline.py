@@ -14,8 +14,8 @@ from foldwise.llm.common import written
 from foldwise.llm.exact_dedup import drop_exact_copies
 from foldwise.llm.near_dedup import keep_one_of_each
 from foldwise.llm.packing import pack
-from foldwise.llm.paragraph_dedup import without_repeats
 from foldwise.llm.quality_fm import keep_good
+from foldwise.llm.unit_dedup import without_repeated_units
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; paragraphs and passages that an earlier one has already are cut out of their texts."""
-    return without_repeats(docs.select(*COLUMNS))
+    """All documents; stretches of words that an earlier one has already are cut out of their texts."""
+    return without_repeated_units(docs.select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

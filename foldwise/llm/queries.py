@@ -24,18 +24,24 @@ from .pitman_yor import score_documents
 from .quality_fm import fit_quality, score_quality
 from .sharding import shard_documents
 from .suffix_dedup import cut_digests
+from .unit_dedup import repeated_units
 from .url_filter import filter_urls
 from .winnow import neighbour_fingerprints
 
 
-def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed paragraphs of ``documents``: where each stands, which one stays, the cluster's size."""
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated stretches of words of ``documents``, whatever the line layout: where each stands and where its like stays."""
+    return repeated_units(table(spark, sf_dir, "documents")).drop("text_hash", "byte", "n_bytes")
+
+
+def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal whole lines of ``documents``: where each removed one stands, which one stays, the cluster's size."""
     return repeated_paragraphs(table(spark, sf_dir, "documents")).select(
         "doc_id", "line", "start", "n_chars", "n_words", "keep_doc_id", "keep_line", "cluster_size")
 
 
-def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of ``documents`` of any line layout: where each stands and where its words stay."""
+def passage_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal runs of words of ``documents`` by winnowed marks: where each stands and where its words stay."""
     return repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
@@ -111,9 +117,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_paragraph_dedup, op1_passage_dedup, op2_pitman_yor, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup,
+    f.__name__: f for f in (op1_substring_dedup, op2_pitman_yor, op3_url_filter, op4_bpe, op5_winnow, op6_exact_dedup,
                             op7_quality, op8_near_dedup, op9_sharding, op10_packing, op11_period_runs, op12_suffix_dedup, op13_fill_middle,
-                            pipeline)}
+                            paragraph_lines, passage_marks, pipeline)}
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
@@ -140,7 +146,7 @@ FROM t WINDOW g AS (PARTITION BY x)""",
 WITH RECURSIVE w AS (SELECT doc_id AS id, {_WORDS.format(_LOWER)} AS ws FROM documents),{_LINKS}
 SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, comp.c AS component_id, w.id = comp.c AS kept
 FROM w JOIN comp USING (id) LEFT JOIN n USING (id)""",
-    "op1_paragraph_dedup": f"""
+    "paragraph_lines": f"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text,
                             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
 p AS (SELECT doc_id, line, length(text) AS n_chars, {_WORDS.format(_LOWER)} AS ws,

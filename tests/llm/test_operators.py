@@ -56,7 +56,7 @@ def brute_components(sets):
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize("name", ["op6_exact_dedup", "op8_near_dedup", "op1_paragraph_dedup"])
+@pytest.mark.parametrize("name", ["op6_exact_dedup", "op8_near_dedup", "paragraph_lines"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
