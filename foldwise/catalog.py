@@ -336,7 +336,7 @@ def logloss_weighted(spark, sf_dir):
 SELECT model, round(auc, 6) AS auc FROM a""")
 def auc_exact(spark, sf_dir):
     """AG14/WN4: exact ROC AUC per model with ties counted half (p2 has heavy ties)."""
-    a = M.auc(_long_scores(spark, sf_dir), "y", "p", ["model"], max_groups=len(fx.MODELS))
+    a = M.auc(_long_scores(spark, sf_dir), "y", "p", ["model"])
     return a.select("model", _r("auc").alias("auc"))
 
 
@@ -350,7 +350,7 @@ SELECT ll.fold::INTEGER AS fold, round(logloss, 6) AS logloss, round(auc, 6) AS
 def cv_metrics(spark, sf_dir):
     """AG15: log-loss and AUC of the p1 OOF scores per fold and overall (fold -1)."""
     t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
-    m = M.cv_metrics(t3, "y", "p1", "fold", None, N_FOLDS)
+    m = M.cv_metrics(t3, "y", "p1", "fold")
     return m.select("fold", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
 
 
@@ -375,7 +375,7 @@ def cv_metrics_seeds(spark, sf_dir):
     runs = F.array(*[F.struct(F.lit(s).alias("seed"), F.pmod(F.floor(F.col("id") / (i + 1)), F.lit(5)).cast("int").alias("fold"),
                               F.col(m).alias("p")) for i, (s, m) in enumerate(zip(_SEEDS, fx.MODELS, strict=True))])
     scored = t3.select("id", "y", F.inline(runs))
-    m = M.cv_metrics_seeds(scored, "y", "p", "fold", "seed", "id", n_folds=N_FOLDS, n_seeds=len(_SEEDS))
+    m = M.cv_metrics_seeds(scored, "y", "p", "fold", "seed", "id")
     return m.select("seed", "fold", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
 
 
@@ -655,7 +655,7 @@ ll AS (SELECT model, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y
 SELECT model, round(logloss, 6) AS logloss, round(auc, 6) AS auc, n FROM ll JOIN a USING (model)""")
 def base_losses(spark, sf_dir):
     """AG22: each base model's own OOF log-loss and AUC, from the long score table."""
-    b = M.base_losses(_long_scores(spark, sf_dir), "y", "p", "model", len(fx.MODELS))
+    b = M.base_losses(_long_scores(spark, sf_dir), "y", "p", "model")
     return b.select("model", _r("logloss").alias("logloss"), _r("auc").alias("auc"), "n")
 
 
@@ -943,7 +943,7 @@ def gbt_seeds(spark, sf_dir):
         tr = RK.stratified_folds(tr, "id", "y", N_FOLDS, s, out=f"fold_{s}")
     res = CF.cross_fit(tr, lambda s: CF.gbt(s, max_iter=5, max_depth=3, subsample=0.7), seeds=_TWO_SEEDS,
                        fold={s: f"fold_{s}" for s in _TWO_SEEDS})
-    m = M.cv_metrics_seeds(res.scored, "y", "p", "fold", "seed", "id", n_folds=N_FOLDS, n_seeds=len(_TWO_SEEDS))
+    m = M.cv_metrics_seeds(res.scored, "y", "p", "fold", "seed", "id")
     m = materialise(m, "seed-report")
     mean = m.where((F.col("fold") == -1) & (F.col("seed") >= 0)).agg(F.avg("logloss")).first()[0]
     no_worse = (F.col("seed") >= 0) | (F.col("logloss") <= F.lit(mean + 1e-12))
@@ -1375,7 +1375,7 @@ SELECT round(avg(l), 6) AS fold_mean_loss, count(*) AS n_folds FROM f""")
 def fold_mean_loss(spark, sf_dir):
     """AG17: mean of the per-fold OOF log-losses of the p1 scores (from AG15's table)."""
     t3 = fx.closed_form_scores(_t1(spark, sf_dir)).where(F.col("part") == "train")
-    m = M.cv_metrics(t3, "y", "p1", "fold", None, N_FOLDS)
+    m = M.cv_metrics(t3, "y", "p1", "fold")
     r = CF.fold_mean_loss(m)
     return r.select(_r("fold_mean_loss").alias("fold_mean_loss"), "n_folds")
 
@@ -1489,7 +1489,7 @@ x AS (SELECT model, avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y)
 SELECT round(min(l), 6) AS loss_min, round(avg(l), 6) AS loss_mean, round(max(l), 6) AS loss_max FROM x""")
 def loss_summary(spark, sf_dir):
     """AG22: least, mean and greatest of the models' own losses."""
-    r = M.loss_summary(M.base_losses(_long_scores(spark, sf_dir), max_models=len(fx.MODELS)))
+    r = M.loss_summary(M.base_losses(_long_scores(spark, sf_dir)))
     return r.select(*[_r(c).alias(c) for c in r.columns])
 
 
@@ -1559,7 +1559,7 @@ def stack_report(spark, sf_dir):
     oof_w, test_w = materialise(_aligned_oof(spark, sf_dir), "stack-oof"), materialise(_aligned_subs(spark, sf_dir), "stack-test")
     mo, cols = EN.meta_features(oof_w, fx.MODELS, ["logit", "prob"])
     mt, _ = EN.meta_features(test_w, fx.MODELS, ["logit", "prob"])
-    best = M.base_losses(oof_w.unpivot(["id", "y"], fx.MODELS, "model", "p"), max_models=len(fx.MODELS)).agg(F.min("logloss")).first()[0]
+    best = M.base_losses(oof_w.unpivot(["id", "y"], fx.MODELS, "model", "p")).agg(F.min("logloss")).first()[0]
     prior = oof_w.agg(F.avg("y")).first()[0]
     top = max(best, -(prior * math.log(prior) + (1 - prior) * math.log(1 - prior)))
     rows = []

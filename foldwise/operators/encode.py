@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import (MISSING_TOKEN, OTHER_TOKEN, d, fill_missing_token,
                                 nonfinite_to_null, to_number)
-from .common import bounded_broadcast, tmp
-from .rank import DEFAULT_VALUE_BUCKETS, exact_quantiles, two_level_row_number, value_buckets
+from ..session import materialise
+from .common import bounded_broadcast, local_copy, tmp
+from .rank import LOCAL_COPY_ROWS, exact_quantiles, range_prefix_sums
 
 STD_FLOOR = 1e-6  # std below this -> 1 (fixed value of the reference)
 
@@ -177,21 +178,18 @@ def vocab_freq(counts: DataFrame, max_categories: int = 2000) -> DataFrame:
     return real.select("feature", "value", F.col("n").cast("bigint"), "code").unionByName(special)
 
 
-def vocab_first_seen(frames: list[DataFrame], cols: list[str], id_col: str,
-                     n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
+def vocab_first_seen(frames: list[DataFrame], cols: list[str], id_col: str) -> DataFrame:
     """C5 vocabulary: codes from 1 by first appearance (smallest id), 0 = unknown.
 
     Rows have no order in Spark, so "first" is the smallest id holding the
     value: codes match the reference's up to renaming. Distinct values are not
-    bounded, so codes come from a two-level rank, not a per-feature window.
+    bounded, so codes are prefix counts over range partitions, not a per-feature window.
     """
     long = unpivot_categories(frames, cols, id_col)
     first = long.groupBy("feature", "value").agg(F.min(id_col).alias("__first"))
-    b = tmp("b")
-    x = value_buckets(first, ["feature"], "__first", n_buckets, len(cols), out=b)
-    x = two_level_row_number(x, ["feature"], [F.col("__first"), F.col("value")], F.col(b), "code",
-                             max_groups=len(cols), n_buckets=n_buckets)
-    return x.select("feature", "value", F.col("code").cast("int"))
+    x = first.select("feature", "value", F.struct("__first", "value").alias("__at"), F.lit(1).cast("bigint").alias("one"))
+    x = range_prefix_sums(x, ["feature"], "__at", ["one"])
+    return x.select("feature", "value", (F.col("one_before") + 1).cast("int").alias("code"))
 
 
 def lookup_codes(df: DataFrame, vocab: DataFrame, cols: list[str], default: int | dict[str, int],
@@ -203,6 +201,10 @@ def lookup_codes(df: DataFrame, vocab: DataFrame, cols: list[str], default: int
     join that AQE may still turn into a broadcast from measured sizes.
     """
     out = df
+    # the vocabulary is fitted once, not once a column
+    rows = None if max_categories is None else len(cols) * (max_categories + 2)
+    vocab = vocab.select("feature", "value", "code")
+    vocab = local_copy(vocab) if rows is not None and rows <= LOCAL_COPY_ROWS else materialise(vocab, "vocabulary")
     for c in cols:
         v = vocab.where(F.col("feature") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"{c}{suffix}"))
         bound = None if max_categories is None else max_categories + 2
@@ -253,36 +255,18 @@ def fold_modes(df: DataFrame, cols: list[str], fold: str, n_folds: int) -> DataF
     return best.select(F.col("tfold").cast("int").alias(fold), "feature", "mode")
 
 
-def string_buckets(df: DataFrame, feature: str, value: str, n_buckets: int, out: str) -> DataFrame:
-    """Add a bucket that never decreases along the string order of ``value`` within each feature.
-
-    Bounds are about ``n_buckets`` of a feature's distinct values, picked by hash, so
-    values that share a long prefix spread like any others.
-    """
-    values = df.select(feature, value).distinct()
-    n = values.groupBy(feature).agg(F.count(F.lit(1)).alias("__n"))
-    picked = values.join(n, feature).where(F.pmod(F.xxhash64(value), F.col("__n")) < n_buckets)
-    bounds = picked.groupBy(feature).agg(F.sort_array(F.collect_list(value)).alias("__bounds"))
-    below = F.size(F.filter("__bounds", lambda b: b <= F.col(value)))
-    return df.join(bounds, feature).withColumn(out, below).drop("__bounds")
-
-
-def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int,
-                       n_buckets: int = 128) -> DataFrame:
+def fold_ordinal_vocab(df: DataFrame, cols: list[str], fold: str, n_folds: int) -> DataFrame:
     """C6: per fold, alphabetic ordinal codes of the fold-train values after mode
     imputation; values unseen in the fold's training rows map to -1 at lookup.
     Returns ``fold, feature, value, code``.
 
-    Codes are ranks in string order inside each (fold, feature), computed in
-    two levels (buckets between sampled values, then a window per bucket), so
-    a high-cardinality column is not ranked in a single task."""
+    Codes are ranks in string order inside each (fold, feature), prefix counts over range
+    partitions, so a high-cardinality column is not ranked in a single task."""
     long = df.select(fold, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([fold], cols, "feature", "v")
     modes = fold_modes(df, cols, fold, n_folds)
     seen = long.where(F.col("v").isNotNull()).select("feature", "v", fold).distinct()
     seen = seen.select("feature", "v", F.explode(_fold_targets(seen, fold, n_folds)).alias("tfold")).distinct()
     seen = seen.select(F.col("tfold").cast("int").alias(fold), "feature", F.col("v").alias("value"))
     vocab = seen.unionByName(modes.select(fold, "feature", F.col("mode").alias("value"))).distinct()
-    b = tmp("b")
-    x = string_buckets(vocab, "feature", "value", n_buckets, b)
-    x = two_level_row_number(x, [fold, "feature"], [F.col("value")], F.col(b), "__rn")
-    return x.select(fold, "feature", "value", (F.col("__rn") - 1).cast("int").alias("code"))
+    x = range_prefix_sums(vocab.withColumn("one", F.lit(1).cast("bigint")), [fold, "feature"], "value", ["one"])
+    return x.select(fold, "feature", "value", F.col("one_before").cast("int").alias("code"))

@@ -3,7 +3,7 @@
 All metrics are aggregations: map-side partial sums, one small shuffle. AUC is
 exact (ties count half) without sorting a class into one task: scores are
 first collapsed to distinct values with positive/negative counts, then the
-negatives below each score come from a two-level prefix sum.
+negatives below each score come from prefix sums over range partitions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import LOSS_EPS, d, row_logloss
 from ..session import materialise
-from .rank import DEFAULT_VALUE_BUCKETS, two_level_cumsum
+from .rank import range_prefix_sums
 
 
 def logloss_expr(y: str, p: str, w: str | None = None, eps: float = LOSS_EPS) -> Column:
@@ -33,11 +33,10 @@ def logloss(df: DataFrame, y: str, p: str, w: str | None = None, by: list[str] |
                                        F.count(F.lit(1)).alias("n"))
 
 
-def auc(df: DataFrame, y: str, p: str, by: list[str] | None = None, max_groups: int | None = None,
-        n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
+def auc(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """AG14: exact ROC AUC per group (``by..., auc``); null when a class is absent."""
     by = by or []
-    return _auc_of(materialise(_distinct_scores(df, y, p, by), "distinct-scores"), by, max_groups, n_buckets)
+    return _auc_of(materialise(_distinct_scores(df, y, p, by), "distinct-scores"), by)
 
 
 def _distinct_scores(df: DataFrame, y: str, p: str, by: list[str], w: str | None = None) -> DataFrame:
@@ -51,15 +50,14 @@ def _distinct_scores(df: DataFrame, y: str, p: str, by: list[str], w: str | None
         F.sum(ww).alias("__w"), F.sum(ww * loss).alias("__wl"))
 
 
-def _auc_of(s: DataFrame, by: list[str], max_groups: int | None, n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
-    c = two_level_cumsum(s, by, "__s", ["__neg"], n_buckets, max_groups)
+def _auc_of(s: DataFrame, by: list[str]) -> DataFrame:
+    c = range_prefix_sums(s, by, "__s", ["__neg"])
     num = F.sum(F.col("__pos") * (F.col("__neg_before") + d(0.5) * F.col("__neg")))
     den = F.sum("__pos") * F.sum("__neg")
     return c.groupBy(*by).agg(F.when(den > 0, num / den).alias("auc"))
 
 
-def score_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[str] | None = None,
-                  max_groups: int | None = None) -> DataFrame:
+def score_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Log-loss (weighted if ``w``), unweighted AUC and row count per group.
 
     ``df`` is read once: its distinct scores, with the sums of the loss, are written
@@ -70,22 +68,22 @@ def score_metrics(df: DataFrame, y: str, p: str, w: str | None = None, by: list[
     by = by or []
     s = materialise(_distinct_scores(df, y, p, by, w), "distinct-scores")
     if by:
-        return _metrics_of(s, by, w, max_groups)
+        return _metrics_of(s, by, w)
     mean = F.try_divide(F.sum("__l"), F.sum("__nl"))
     if w is not None:
         mean = F.when(F.sum("__w") > 0, F.sum("__wl") / F.sum("__w")).otherwise(mean)
-    r1, r2 = s.agg(mean.alias("logloss"), F.sum("__n").alias("n")).first(), _auc_of(s, by, max_groups).first()
+    r1, r2 = s.agg(mean.alias("logloss"), F.sum("__n").alias("n")).first(), _auc_of(s, by).first()
     return df.sparkSession.createDataFrame([(r1["logloss"], r1["n"], r2["auc"])],
                                            "logloss double, n bigint, auc double")
 
 
-def _metrics_of(s: DataFrame, by: list[str], w: str | None, max_groups: int | None) -> DataFrame:
+def _metrics_of(s: DataFrame, by: list[str], w: str | None) -> DataFrame:
     """``by..., logloss, n, auc`` from a written table of distinct scores; the two sides have one row a group."""
     mean = F.try_divide(F.sum("__l"), F.sum("__nl"))
     if w is not None:
         mean = F.when(F.sum("__w") > 0, F.sum("__wl") / F.sum("__w")).otherwise(mean)
     ll = s.groupBy(*by).agg(mean.alias("logloss"), F.sum("__n").alias("n"))
-    return ll.join(_auc_of(s, by, max_groups), by)
+    return ll.join(_auc_of(s, by), by)
 
 
 def _with_totals(s: DataFrame, by: list[str], fold: str) -> DataFrame:
@@ -96,8 +94,7 @@ def _with_totals(s: DataFrame, by: list[str], fold: str) -> DataFrame:
     return g.withColumn(fold, at).drop("__all")
 
 
-def cv_metrics(scored: DataFrame, y: str, p: str, fold: str, w: str | None = None,
-               n_folds: int | None = None) -> DataFrame:
+def cv_metrics(scored: DataFrame, y: str, p: str, fold: str, w: str | None = None) -> DataFrame:
     """AG15: metrics per fold and over all rows (fold = -1 marks the overall row).
 
     Rows are aggregated once, to the distinct scores of each fold; the overall line adds
@@ -105,12 +102,11 @@ def cv_metrics(scored: DataFrame, y: str, p: str, fold: str, w: str | None = Non
     :func:`cv_metrics_seeds`.
     """
     s = materialise(_distinct_scores(scored.withColumn(fold, F.col(fold).cast("int")), y, p, [fold], w), "fold-scores")
-    m = _metrics_of(materialise(_with_totals(s, [], fold), "distinct-scores"), [fold], w, None if n_folds is None else n_folds + 1)
+    m = _metrics_of(materialise(_with_totals(s, [], fold), "distinct-scores"), [fold], w)
     return m.select(fold, "logloss", "auc", "n")
 
 
-def cv_metrics_seeds(scored: DataFrame, y: str, p: str, fold: str, seed: str, id_col: str, w: str | None = None,
-                     n_folds: int | None = None, n_seeds: int | None = None) -> DataFrame:
+def cv_metrics_seeds(scored: DataFrame, y: str, p: str, fold: str, seed: str, id_col: str, w: str | None = None) -> DataFrame:
     """AG15/ML16: a line per (seed, fold), per seed (fold -1), and for the scores averaged by id over all seeds
     (seed -1, fold -1). ``scored``: one row per id and seed, whose fold may differ by seed.
 
@@ -119,24 +115,21 @@ def cv_metrics_seeds(scored: DataFrame, y: str, p: str, fold: str, seed: str, id
     """
     x = scored.withColumn(fold, F.col(fold).cast("int")).withColumn(seed, F.col(seed).cast("int"))
     s = materialise(_distinct_scores(x, y, p, [seed, fold], w), "seed-scores")
-    groups = None if n_folds is None or n_seeds is None else n_seeds * (n_folds + 1)
-    per = _metrics_of(materialise(_with_totals(s, [seed], fold), "distinct-scores"), [seed, fold], w, groups)
-    keep = [F.first(w).alias(w)] if w is not None else []
-    mean = scored.groupBy(id_col).agg(F.first(y).alias(y), F.avg(p).alias(p), *keep)
+    per = _metrics_of(materialise(_with_totals(s, [seed], fold), "distinct-scores"), [seed, fold], w)
+    mean = ensemble_mean(scored, id_col, p, [y] if w is None else [y, w])
     mean = mean.withColumn(seed, F.lit(-1)).withColumn(fold, F.lit(-1))
-    total = _metrics_of(materialise(_distinct_scores(mean, y, p, [seed, fold], w), "mean-scores"), [seed, fold], w, 1)
+    total = _metrics_of(materialise(_distinct_scores(mean, y, p, [seed, fold], w), "mean-scores"), [seed, fold], w)
     return per.unionByName(total).select(seed, fold, "logloss", "auc", "n")
 
 
-def ensemble_mean(scores: DataFrame, id_col: str, p: str, by: list[str] | None = None) -> DataFrame:
-    """AG16/ML16: mean score per id (over fold models, then seeds)."""
-    return scores.groupBy(id_col, *(by or [])).agg(F.avg(p).alias(p))
+def ensemble_mean(scores: DataFrame, id_col: str, p: str, keep: list[str] | None = None) -> DataFrame:
+    """AG16/ML16: mean score per id (over fold models, then seeds); ``keep``: columns that are the same in all rows of an id."""
+    return scores.groupBy(id_col).agg(*[F.first(c).alias(c) for c in keep or []], F.avg(p).alias(p))
 
 
-def base_losses(oof_long: DataFrame, y: str = "y", p: str = "p", model: str = "model",
-                max_models: int | None = None) -> DataFrame:
+def base_losses(oof_long: DataFrame, y: str = "y", p: str = "p", model: str = "model") -> DataFrame:
     """AG22: each model's own OOF log-loss and AUC."""
-    return score_metrics(oof_long, y, p, None, [model], max_models)
+    return score_metrics(oof_long, y, p, None, [model])
 
 
 def loss_summary(losses: DataFrame, col: str = "logloss") -> DataFrame:

@@ -12,8 +12,10 @@ order is split in two levels:
    (group, bucket) finishes the order locally.
 
 The result equals the one-window answer exactly; the window work is spread
-over groups x buckets tasks. Exact AUC (WN4), exact quantiles (AG8/AG11),
-stratified folds (WN1) and large samples (TK4) are built on it.
+over groups x buckets tasks. Stratified folds (WN1) and large samples (TK4) are built
+on it. Where the order is that of values, :func:`range_prefix_sums` takes the partitions of
+Spark's range exchange as buckets, as many as the data asks for: exact AUC (WN4), exact
+quantiles (AG8/AG11) and ordinal codes (WN2c, C6).
 """
 
 from __future__ import annotations
@@ -23,14 +25,11 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.scalar import d
-from pyspark import StorageLevel
-
 from ..session import materialise
 from .common import bounded_broadcast, local_copy, tmp, with_count_below
 
 DEFAULT_HASH_BITS = 16      # 65,536 buckets per group for hash-ordered ranks
 LOCAL_COPY_ROWS = 20_000    # fitted tables up to this size become local relations
-DEFAULT_VALUE_BUCKETS = 1024  # buckets per group for value-ordered prefix sums
 
 
 def two_level_row_number(df: DataFrame, partition: list[str], order: list[Column | str],
@@ -54,13 +53,6 @@ def two_level_row_number(df: DataFrame, partition: list[str], order: list[Column
     return x.withColumn(out, F.row_number().over(w2) + F.col(off)).drop(b, off)
 
 
-def _with_group(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str], str | None]:
-    if group:
-        return df, group, None
-    g = tmp("g")
-    return df.withColumn(g, F.lit(0)), [g], g
-
-
 def value_buckets(df: DataFrame, group: list[str], key: str, n_buckets: int,
                   max_groups: int | None = None, out: str = "bucket") -> DataFrame:
     """Add a bucket in [0, n_buckets) that is monotone in ``key`` within each group.
@@ -82,68 +74,24 @@ def value_buckets(df: DataFrame, group: list[str], key: str, n_buckets: int,
     return with_count_below(x, F.col(key).cast("double"), F.col(bounds), n_buckets - 1, out).drop(bounds)
 
 
-def two_level_cumsum(df: DataFrame, group: list[str], key: str, values: list[str],
-                     n_buckets: int = DEFAULT_VALUE_BUCKETS, max_groups: int | None = None,
-                     suffix: str = "_before") -> DataFrame:
-    """Exclusive prefix sums of ``values`` ordered by ``key`` within ``group``.
-
-    Adds ``<v><suffix>`` = sum of v over rows of the group with a smaller key.
-    ``key`` must be unique within a group (aggregate ties first).
-    """
-    b = tmp("b")
-    if not group:
-        # Ungrouped: bucket totals are at most ``n_buckets`` numbers, applied as a
-        # literal array of exclusive offsets indexed by bucket -- no join.
-        x = value_buckets(df, [], key, n_buckets, None, out=b)
-        tot = dict()
-        for r in x.groupBy(b).agg(*[F.sum(v).alias(v) for v in values]).collect():
-            tot[r[0]] = r
-        wl = Window.partitionBy(b).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        for v in values:
-            acc, offs = 0, []
-            for i in range(n_buckets):
-                offs.append(acc)
-                acc += (tot[i][v] or 0) if i in tot else 0
-            arr = F.array(*[F.lit(o) for o in offs])
-            x = x.withColumn(f"{v}{suffix}", F.coalesce(F.sum(v).over(wl), F.lit(0)) + F.element_at(arr, F.col(b) + 1))
-        return x.drop(b)
-    grp, mg = group, max_groups
-    x = value_buckets(df, grp, key, n_buckets, mg, out=b)
-    tot = x.groupBy(*grp, b).agg(*[F.sum(v).alias(v) for v in values])
-    if mg is not None and mg * n_buckets <= LOCAL_COPY_ROWS:
-        tot = local_copy(tot, mg * n_buckets)
-    w = Window.partitionBy(*grp).orderBy(b)
-    offs = tot.select(*grp, b, *[(F.sum(v).over(w) - F.col(v)).alias(f"{v}__off") for v in values])
-    x = x.join(bounded_broadcast(offs, None if mg is None else mg * n_buckets), [*grp, b])
-    wl = Window.partitionBy(*grp, b).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    for v in values:
-        x = x.withColumn(f"{v}{suffix}", F.coalesce(F.sum(v).over(wl), F.lit(0)) + F.col(f"{v}__off"))
-    return x.drop(b, *[f"{v}__off" for v in values])
-
-
 def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
-                    probs: list[float], max_groups: int | None = None,
-                    n_buckets: int = DEFAULT_VALUE_BUCKETS) -> DataFrame:
+                    probs: list[float], max_groups: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (``numpy.quantile`` default) per group.
 
     ``counts`` holds one row per (group, distinct value) with its multiplicity,
     so ties collapse before any shuffle. Returns ``group..., q_idx, q_value``.
-    Positions come from a two-level cumulative count; only the rows holding a
+    Positions come from prefix sums over range partitions; only the rows holding a
     wanted position (2 per quantile per group) survive, so the interpolation
     runs on a tiny table.
     """
     if not group:
         raise ValueError("exact_quantiles needs at least one group column (e.g. the feature name)")
-    x, grp, g = counts, group, None
-    mg = max_groups
+    grp, mg = group, max_groups
     nq = len(probs)
-    # The distinct-value table feeds four bounded fits below; keep it for their
-    # duration only (the returned table is local, so it can be released).
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)
-    cum = two_level_cumsum(x, grp, value, [count], n_buckets, mg)
+    cum = range_prefix_sums(counts, grp, value, [count])  # written, so the totals and hits below only read it
     before = f"{count}_before"
     # Wanted positions per group: lo = floor((N-1) q) and hi = min(lo + 1, N - 1).
-    tot = x.groupBy(*grp).agg(F.sum(count).cast("bigint").alias("__N"))
+    tot = cum.groupBy(*grp).agg(F.sum(count).cast("bigint").alias("__N"))
     pa = F.array(*[d(q) for q in probs])
     h = lambda q: (F.col("__N") - 1).cast("double") * q
     pos = F.array_sort(F.array_distinct(F.flatten(F.transform(pa, lambda q: F.array(
@@ -177,11 +125,7 @@ def exact_quantiles(counts: DataFrame, group: list[str], value: str, count: str,
     bb = F.try_element_at(F.col("__m"), F.least(F.col("__lo") + 1, F.col("__last")))
     val = F.when(t < d(0.5), a + (bb - a) * t).otherwise(bb - (bb - a) * (d(1.0) - t))
     out = res.select(*grp, "q_idx", val.alias("q_value"))
-    out = out.drop(g) if g else out
-    if mg is not None:
-        out = local_copy(out, mg * nq)
-        x.unpersist()
-    return out
+    return out if mg is None else local_copy(out, mg * nq)
 
 
 def running_max(arr: Column) -> Column:

@@ -87,19 +87,19 @@ def test_roles_and_low_card(spark):
         pass
 
 
-def test_string_buckets_are_monotone_and_split_common_prefixes(spark):
+def test_prefix_counts_follow_the_order_of_strings(spark):
+    from foldwise.operators.rank import range_prefix_sums
     vals = ["", "a", "ab", "Z", "é", "日本", "\u0000x"] + [f"https://example.org/page/{i}" for i in range(3000)]
-    df = spark.createDataFrame([("f", v) for v in vals], "feature string, v string")
-    rows = E.string_buckets(df, "feature", "v", 64, "b").orderBy("v").collect()
-    buckets = [r.b for r in rows]
-    assert len(rows) == len(vals) and buckets == sorted(buckets) and len(set(buckets)) > 30
+    df = spark.createDataFrame([("f", v, 1) for v in vals], "feature string, v string, one long")
+    rows = range_prefix_sums(df, ["feature"], "v", ["one"]).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.one_before)] == sorted(vals, key=str.encode)
 
 
-def test_fold_ordinal_vocab_two_level_equals_sorted(spark):
+def test_fold_ordinal_vocab_equals_sorted(spark):
     rng = np.random.default_rng(1)
     words = ["w%03d" % i for i in range(300)]
     pdf = pd.DataFrame({"fold": rng.integers(0, 3, 2000), "c": rng.choice(words, 2000)})
-    v = E.fold_ordinal_vocab(spark.createDataFrame(pdf), ["c"], "fold", 3, n_buckets=8).toPandas()
+    v = E.fold_ordinal_vocab(spark.createDataFrame(pdf), ["c"], "fold", 3).toPandas()
     for k in range(3):
         exp = sorted(set(pdf[pdf.fold != k].c))
         got = v[v.fold == k].sort_values("code")

@@ -23,9 +23,9 @@ def test_two_level_row_number_equals_window(spark):
     assert j.count() == 4000
 
 
-def test_two_level_cumsum_equals_pandas(spark):
+def test_range_prefix_sums_equal_pandas(spark):
     df = skewed(spark).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
-    got = RK.two_level_cumsum(df, ["g"], "x", ["c"], n_buckets=8, max_groups=4).toPandas()
+    got = RK.range_prefix_sums(df, ["g"], "x", ["c"]).toPandas()
     got = got.sort_values(["g", "x"])
     exp = got.groupby("g")["c"].cumsum() - got["c"]
     assert (got["c_before"].to_numpy() == exp.to_numpy()).all()
@@ -35,7 +35,7 @@ def test_exact_quantiles_equal_numpy(spark):
     pdf = skewed(spark).toPandas()
     cnt = skewed(spark).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
     probs = [k / 16 for k in range(1, 16)] + [0.5]
-    q = RK.exact_quantiles(cnt, ["g"], "x", "c", probs, max_groups=4, n_buckets=8).toPandas()
+    q = RK.exact_quantiles(cnt, ["g"], "x", "c", probs, max_groups=4).toPandas()
     for g, sub in pdf.groupby("g"):
         exp = np.quantile(sub["x"].to_numpy(), probs)
         got = q[q.g == g].sort_values("q_idx")["q_value"].to_numpy()
