@@ -173,9 +173,10 @@ def linked_components(keys: DataFrame, items: DataFrame, sets_of: Callable[[Data
     comp = written(components(found), "found")
     if large.limit(1).count() == 0:
         return comp
-    member = (large.drop("component").join(crowd, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
-              .withColumn("component", F.coalesce("component", "id")))
-    member = (member.join(comp.select(F.col("node").alias("least"), F.col("component").alias("main")), "least", "left")
+    # buckets of the same least item ask the same question: one row an item and least item
+    asked = (large.groupBy("id").agg(F.collect_set("least").alias("l")).join(crowd, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
+             .withColumn("component", F.coalesce("component", "id")).select("id", "component", F.explode("l").alias("least")))
+    member = (asked.join(comp.select(F.col("node").alias("least"), F.col("component").alias("main")), "least", "left")
               .withColumn("main", F.coalesce("main", "least")))
     member = written(member.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart")),
                      "members")
