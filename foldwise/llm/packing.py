@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents_like, map_batches, written
+from .common import as_bytes, map_batches, written
 
 CAPACITY = 2048
 SHARD_ROWS = 20_000
