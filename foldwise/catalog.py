@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1569,3 +1570,24 @@ def stack_report(spark, sf_dir):
         rows.append((form, rep["n"], r["n"], len(rep["coef"]), r["ok"], rep["logloss"] <= bound + 1e-6, rep["auc"] is not None))
     return spark.createDataFrame(rows, "form string, n_oof bigint, n_test bigint, n_coef int, in_range boolean, "
                                        "no_worse_than_members boolean, auc_known boolean")
+
+
+_SQL_TOKENS = " + ".join(f"len(list_filter(string_split('{c}=' || coalesce({c}, '__MISSING__'), ' '), lambda t: t <> ''))" for c in ("priority", "segment"))
+
+
+@register("hash_totals", f"""SELECT id, ({_SQL_TOKENS})::BIGINT AS n_long, ({_SQL_TOKENS})::DOUBLE AS n_vector FROM ({fx.T1_SQL})""")
+def hash_totals(spark, sf_dir):
+    """SC8 + C1: both hashed forms, rows of (bucket, n) and a vector column, hold every token of a row once."""
+    t = _t1(spark, sf_dir)
+    long = FT.hashed_token_counts(t, "id", CAT, 1 << 18).groupBy("id").agg(F.sum("n").alias("n_long"))
+    vector = F.aggregate(vector_to_array("cat_hash"), F.lit(0.0), lambda s, x: s + x)
+    return FT.hashed_vector(t, CAT, 64).select("id", vector.alias("n_vector")).join(long, "id").select("id", "n_long", "n_vector")
+
+
+@register("soft_label_rows", f"""WITH t AS (SELECT id, 0.7 * p1 + 0.3 * y AS s FROM ({fx.T3_SQL}) WHERE part = 'train')
+SELECT id, 1.0::DOUBLE AS label, round(s, 9) AS sw FROM t WHERE s > 0 UNION ALL SELECT id, 0.0::DOUBLE, round(1 - s, 9) FROM t WHERE s < 1""")
+def soft_label_rows(spark, sf_dir):
+    """ML11 for weighted classifiers: each training row as label 1 with its soft target's weight and label 0 with the rest."""
+    t3 = _t3(spark, sf_dir)
+    rows = J.distill_targets(t3.where(F.col("part") == "train").select("id", "y"), fx.oof_table(t3, "p1"), "id", "y", 0.7, 0.0)
+    return J.soft_label_rows(rows).select("id", "label", _r("sw", 9).alias("sw"))

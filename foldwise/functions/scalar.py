@@ -38,11 +38,6 @@ def nonfinite_to_null(c) -> Column:
     return F.when(bad, F.lit(None).cast("double")).otherwise(x)
 
 
-def nonfinite_to_zero(c) -> Column:
-    """``nan_to_num``: null, NaN, +-inf -> 0."""
-    return F.coalesce(nonfinite_to_null(c), d(0.0))
-
-
 def coerce_id(c) -> Column:
     """PRJ6: id -> bigint; exact integers kept above 2^53, text via double, null -> 0."""
     x = _c(c)

@@ -39,26 +39,9 @@ def tmp(prefix: str = "t") -> str:
     return f"__{prefix}{uuid.uuid4().hex[:8]}"
 
 
-def count_below(key: Column, arr: Column, n: int, inclusive: bool = False) -> Column:
-    """Number of elements of sorted array ``arr`` (length <= ``n``) that are ``< key``
-    (or ``<= key`` with ``inclusive``), as a balanced CASE tree.
-
-    Plain codegen'd expressions, O(log n) per row; the tree has O(n) nodes, so
-    use it for small ``n`` (<= 32) and :func:`with_count_below` beyond.
-    """
-    def go(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        e = F.try_element_at(arr, F.lit(mid + 1))
-        below = (e <= key) if inclusive else (e < key)
-        return F.when(below, go(mid + 1, hi)).otherwise(go(lo, mid))
-    return F.when(key.isNull(), F.lit(None).cast("int")).otherwise(go(0, n))
-
-
 def with_count_below(df: DataFrame, key: Column, arr: Column, n: int, out: str,
                      inclusive: bool = False) -> DataFrame:
-    """:func:`count_below` as a branchless binary search: one small projection per
+    """Elements of sorted array ``arr`` (length <= ``n``) below ``key`` (or up to it with ``inclusive``) as a branchless binary search: one small projection per
     power-of-two step (ceil(log2(n + 1)) of them), each adding the step to the
     running count when the element it lands on is still below ``key``.
 
@@ -79,7 +62,3 @@ def with_count_below(df: DataFrame, key: Column, arr: Column, n: int, out: str,
         step >>= 1
     res = F.when(F.col(k).isNull(), F.lit(None).cast("int")).otherwise(F.col(pos).cast("int"))
     return x.select("*", F.explode(F.array(res)).alias(out)).drop(k, a, pos)
-
-
-def eq_join_cond(left: DataFrame, right: DataFrame, cols: list[str]):
-    return [left[c].eqNullSafe(right[c]) for c in cols]

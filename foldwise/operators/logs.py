@@ -49,11 +49,6 @@ def parse_metric_lines(lines: DataFrame, col: str = "value") -> DataFrame:
                     F.regexp_replace("__v", "_", "").try_cast("double").alias("value"))
 
 
-def sort_metrics(df: DataFrame) -> DataFrame:
-    """TK2: order by metric, seed, fold, epoch."""
-    return df.orderBy("metric", "seed", "fold", "epoch")
-
-
 def series_count(df: DataFrame) -> DataFrame:
     """ST5 + AG23: distinct (seed, fold) series per metric."""
     return df.select("metric", "seed", "fold").dropDuplicates().groupBy("metric").agg(

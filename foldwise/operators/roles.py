@@ -148,8 +148,3 @@ def require_no_missing(df: DataFrame, col: str, what: str) -> DataFrame:
               .withColumn(col, F.when(F.col(col).isNull(), bad.cast(df.schema[col].dataType))
                           .otherwise(F.col(col)))
               .drop("__chk_id"))
-
-
-def count_missing(df: DataFrame, col: str) -> int:
-    """PRJ15 as an eager count (for reporting)."""
-    return int(df.agg(F.count_if(F.col(col).isNull()).alias("n")).first()["n"])

@@ -19,14 +19,13 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from ..functions.scalar import clip, d, odds_weight
 from ..operators import counts as C
-from ..operators.joins import soft_label_rows, union_domains
+from ..operators.joins import union_domains
 from ..operators.rank import stratified_folds
 from ..session import materialise
 from .resume import FitStore
@@ -316,21 +315,6 @@ def adversarial_weights(train: DataFrame, test: DataFrame, feature_cols: list[st
 
 
 # ------------------------------------------------------------------ students and stacks
-def soft_student(train: DataFrame, y_soft: str = "y_soft", seed: int = SEED, weight: str | None = None,
-                 features: str = "features", **gbt_kw):
-    """ML4: regression on the soft target (GBT regressor); predictions clipped to [0, 1]."""
-    reg = GBTRegressor(featuresCol=features, labelCol=y_soft, seed=seed,
-                       maxIter=gbt_kw.get("max_iter", 20), maxDepth=gbt_kw.get("max_depth", 5))
-    if weight:
-        reg.setWeightCol(weight)
-    return reg.fit(train)
-
-
-def soft_classifier_rows(train: DataFrame, y_soft: str = "y_soft", weight: str | None = None) -> DataFrame:
-    """ML11 for classifiers: each row as (label 1, weight t) and (label 0, weight 1-t)."""
-    return soft_label_rows(train, y_soft, weight)
-
-
 def stack(oof_wide: DataFrame, test_wide: DataFrame, meta_cols: list[str], C: float = 1.0,
           label: str = "y", id_col: str = "id", mean_loss: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """ML12: L2 logistic regression on meta features of the OOF table. The penalty is ``1/(C n)``, which matches

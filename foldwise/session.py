@@ -7,7 +7,6 @@ the one place that decides where lineage-cutting tables go.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -83,26 +82,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss).
-
-    Used where a plan is iterated over (cross-fitting, trial batches) so the
-    lineage stays short; never ``localCheckpoint``.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

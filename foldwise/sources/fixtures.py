@@ -67,14 +67,6 @@ T1_ID, T1_TARGET = "id", "y"
 T1_FEATURES = ["price_txt", "acctbal", "nation", "priority", "segment"]
 
 
-def t1_numeric(df: DataFrame) -> DataFrame:
-    """T1 with ``price_txt`` coerced to a number column ``price`` (PRJ5)."""
-    return df.withColumn("price", F.col("price_txt").try_cast("double"))
-
-
-T1N_SQL = f"SELECT *, TRY_CAST(price_txt AS DOUBLE) AS price FROM ({T1_SQL})"
-
-
 # ------------------------------------------------------------------ T2
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2: documents left-joined to labels; labelled rows are train, the rest test."""
