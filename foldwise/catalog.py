@@ -1140,11 +1140,23 @@ def monotone_audit(spark, sf_dir):
     return CF.monotone_audit(m, tr, feats, {f: 1 for f in feats}, 0.5, fr.inputs)
 
 
-@register("stage_graph_base_to_stack")
+@register("stage_graph_base_to_stack", f"""WITH t AS (SELECT id, part FROM ({fx.T1_SQL}))
+SELECT id, true AS in_range, true AS blend_between_members, 3 AS n_coef, true AS stack_beats_prior FROM t WHERE part = 'test'""")
 def stage_graph_base_to_stack(spark, sf_dir):
-    """ML18: base GBT -> adversarial weights -> weighted GBT -> distilled student ->
-    stack of the three, end to end on DataFrames; the final submission."""
-    return TB.base_to_stack(spark, sf_dir, gbt_iter=6)
+    """ML18: base GBT, second family, adversarial weights, weighted GBT, distilled student, logit blend and stack, end to
+    end on DataFrames; both submissions written (SNK1) and read back, and what must hold of them for every test row."""
+    g = TB.base_to_stack(spark, sf_dir, gbt_iter=6)
+    subs = {}
+    for name, sub in (("stack", g.stack), ("blend", g.blend)):
+        path = SK.write_submission(sub.withColumnRenamed("diagnosed_diabetes", "p"), scratch_path(spark, f"sub-{name}"), fmt="parquet")
+        subs[name] = RD.read_submission(spark, path, fmt="parquet").withColumnRenamed("diagnosed_diabetes", name)
+    x = g.test.join(subs["stack"], "id").join(subs["blend"], "id")
+    members = [F.col(m) for m in TB.BLEND]
+    p = g.oof.agg(F.avg("y")).first()[0]
+    prior = -(p * math.log(p) + (1 - p) * math.log(1 - p))
+    return x.select("id", F.col("stack").between(0, 1).alias("in_range"),
+                    F.col("blend").between(F.least(*members) - 1e-9, F.greatest(*members) + 1e-9).alias("blend_between_members"),
+                    F.lit(len(g.report["coef"])).alias("n_coef"), F.lit(g.report["logloss"] < prior).alias("stack_beats_prior"))
 
 
 # ---------------------------------------------------------------- streaming

@@ -64,42 +64,62 @@ def encode_frame(spark, sf_dir: str, label: str = "y_sig", n_folds: int = CF.FOL
     return Frames(train, test, extra, inputs)
 
 
-def base_to_stack(spark, sf_dir: str, gbt_iter: int = 8, seed: int = CF.SEED) -> DataFrame:
-    """ML18: base GBT (OOF + test) -> adversarial weights -> weighted GBT -> distilled
-    student -> stack of their logits; returns the final submission ``id, diagnosed_diabetes``.
+#: Members and weights of the logit blend, members of the stack.
+BLEND = {"base": 0.25, "weighted": 0.35, "second": 0.25, "student": 0.15}
+STACKED = ("base", "weighted", "second")
+STUDENT_ALPHA, STUDENT_SMOOTHING = 0.7, 0.02
 
-    Extra rows (ST2) are in the training side of every fold of the three cross-fits, with
+
+@dataclass
+class Stages:
+    """Aligned OOF (id, y, a column a model) and test scores (id, ...) of the members, and the two submissions."""
+
+    oof: DataFrame
+    test: DataFrame
+    stack: DataFrame
+    blend: DataFrame
+    report: dict
+
+
+def base_to_stack(spark, sf_dir: str, gbt_iter: int = 8, seed: int = CF.SEED) -> Stages:
+    """ML18: base GBT (OOF + test) -> second family -> adversarial weights -> weighted GBT -> student distilled from
+    the weighted teacher (hard and soft) -> logit blend of the four, and a stack of the first three's logits.
+
+    Extra rows (ST2) are in the training side of every fold of the four cross-fits, with
     fold -1 and weight ``CF.EXTRA_WEIGHT``; the student learns their hard labels, as they
     have no out-of-fold teacher score."""
+    from pyspark.ml.regression import GBTRegressor
+
     from ..operators import ensemble as EN
     from ..operators import joins as J
     fr = encode_frame(spark, sf_dir, write=True)
     mk = lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=4, weight="weight")
+    other = lambda s: CF.gbt(s + 7, max_iter=gbt_iter, max_depth=3, subsample=0.7, weight="weight")
 
     def fit_rows(train: DataFrame, extra: DataFrame = fr.extra) -> DataFrame:
         return J.union_extra(train, extra, weight="weight", extra_weight=CF.EXTRA_WEIGHT)
 
     unweighted = fr.train.withColumn("weight", d(1.0))
-    base = CF.cross_fit(fit_rows(unweighted), mk, test=fr.test, seeds=(seed,))
+    got = {"base": CF.cross_fit(fit_rows(unweighted), mk, test=fr.test, seeds=(seed,)),
+           "second": CF.cross_fit(fit_rows(unweighted), other, test=fr.test, seeds=(seed,))}
     w = CF.adversarial_weights(fr.train, fr.test, fr.inputs, make=lambda s: CF.gbt(s, max_iter=gbt_iter, max_depth=3,
                                                                                        label="label"),
                                assemble=lambda u: VectorAssembler(inputCols=fr.inputs, outputCol="features").transform(u))
     w = materialise(w, "adv-weights")
     wtrain = J.attach_strict(fr.train, w, "id", "weight", "adversarial weights")
-    weighted = CF.cross_fit(fit_rows(wtrain), mk, test=fr.test, seeds=(seed,))
-    st_rows = J.distill_targets(unweighted, base.oof.select("id", "y", "oof_pred"), "id", "y", 1.0, 0.0)
-    from pyspark.ml.regression import GBTRegressor
+    got["weighted"] = CF.cross_fit(fit_rows(wtrain), mk, test=fr.test, seeds=(seed,))
+    teacher = got["weighted"].oof.select("id", "y", "oof_pred")
+    st_rows = J.distill_targets(unweighted, teacher, "id", "y", STUDENT_ALPHA, STUDENT_SMOOTHING)
     st_rows = fit_rows(st_rows, fr.extra.withColumn("y_soft", F.col("label")))
-    student = CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", weightCol="weight", maxIter=gbt_iter,
-                                                           maxDepth=4, seed=s),
-                           test=fr.test, seeds=(seed,),
-                           score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction"))))
-    oofs = {"base": base.oof, "weighted": weighted.oof, "student": student.oof}
-    tests = {k: r.test.withColumnRenamed("pred", "diagnosed_diabetes")
-             for k, r in (("base", base), ("weighted", weighted), ("student", student))}
-    oof_w = EN.align_predictions({k: v.select("id", "y", F.col("oof_pred")) for k, v in oofs.items()}, "oof_pred", "y")
-    test_w = EN.align_predictions(tests, "diagnosed_diabetes")
-    meta_oof, cols = EN.meta_features(oof_w, list(oofs), ["logit"])
-    meta_test, _ = EN.meta_features(test_w, list(oofs), ["logit"])
-    _, sub, _ = CF.stack(meta_oof, meta_test, cols)
-    return sub
+    got["student"] = CF.cross_fit(st_rows, lambda s: GBTRegressor(labelCol="y_soft", weightCol="weight", maxIter=gbt_iter,
+                                                                  maxDepth=4, seed=s),
+                                  test=fr.test, seeds=(seed,),
+                                  score=lambda df: F.least(d(1.0), F.greatest(d(0.0), F.col("prediction"))))
+    names = list(BLEND)
+    oof = materialise(EN.align_predictions({k: got[k].oof.select("id", "y", "oof_pred") for k in names}, "oof_pred", "y"), "stage-oof")
+    test = materialise(EN.align_predictions({k: got[k].test.withColumnRenamed("pred", "diagnosed_diabetes") for k in names},
+                                            "diagnosed_diabetes"), "stage-test")
+    meta_oof, cols = EN.meta_features(oof.select("id", "y", *STACKED), list(STACKED), ["logit"])
+    meta_test, _ = EN.meta_features(test.select("id", *STACKED), list(STACKED), ["logit"])
+    _, stacked, report = CF.stack(meta_oof, meta_test, cols)
+    return Stages(oof, test, stacked, EN.blend(test, names, list(BLEND.values()), "logit"), report)

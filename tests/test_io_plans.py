@@ -129,9 +129,11 @@ def test_extra_rows_are_in_every_training_fold_of_the_stage_graph(spark, monkeyp
     monkeypatch.setattr(TB.CF, "adversarial_weights", lambda tr, *_, **__: tr.select("id", F.lit(2.0).alias("weight")))
     sf = "/root/testdata/sf0.001"
     want = TB.encode_frame(spark, sf).extra.count()
-    assert TB.base_to_stack(spark, sf).count() > 0 and want > 0 and len(fits) == 3
+    got = TB.base_to_stack(spark, sf)
+    assert got.stack.count() == got.blend.count() > 0 and want > 0 and len(fits) == 4
+    assert got.report["logloss"] < 0.7 and got.oof.columns == ["id", "y", *TB.BLEND]
     for train, weight_col in fits:
         extra = train.where("fold = -1").select("weight", "features", "label").collect()
         assert weight_col == "weight" and len(extra) == want
         assert {r.weight for r in extra} == {0.3} and all(r.features is not None and r.label is not None for r in extra)
-    assert all(r.y_soft == r.label for r in fits[2][0].where("fold = -1").select("y_soft", "label").collect())
+    assert all(r.y_soft == r.label for r in fits[3][0].where("fold = -1").select("y_soft", "label").collect())
