@@ -150,8 +150,8 @@ def linked_components(keys: DataFrame, items: DataFrame, sets_of: Callable[[Data
     """Rows (node, component) of every item with a verified link; component = smallest item reachable.
 
     ``keys``: (key, id, component); ``items``: (id, n, s0..s3), one row per id. ``sets_of(ids)`` gives (id, set).
-    ``first``: (node, component) of links found before, whose components ``keys`` carries; without it every
-    item's component is itself. Only items of different components are paired.
+    ``first``: (node, component) of links found before. Only items that a key gives different components are paired:
+    those of ``first``, each item itself, or whatever else says that a pair need not be looked at.
     """
     bucket, crowd = _buckets(keys, few)
     bucket = written(bucket, "bucketed")

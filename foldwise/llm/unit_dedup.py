@@ -11,7 +11,8 @@ Each unit's set of five-word shingles has ``BANDS`` bands of minhashes, tuned fo
 Band keys that only one unit has are found by a count and dropped before anything else moves. Equal units
 (128 bits of hashes of their words, A-Z lower-cased) are one item; items that share a key are verified
 by exact Jaccard similarity on full sets and closed to components (:mod:`foldwise.llm.simjoin`). The first unit of a cluster
-(by doc_id, text, word) stays, the others are removed, but for units that overlap the one that stays.
+(by doc_id, text, word) stays, the others are removed, but for units that overlap the one that stays. Units that first
+stand over each other in one document share their keys' places; such pairs are not compared.
 
 Uncaught: passages of fewer than ``PASSAGE_WORDS`` words without a whole common unit; up to ``START_WINDOW`` words before
 the first and ``END_WINDOW`` after the last unit of a longer one; similar units that share no band key.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import (as_bytes, bitmap_of, documents_like, id_bit, in_bitmap, list_array, map_batches, minhash_family, mix64, signed,
                      unused, written)
-from .simjoin import PERCENT, SKETCH, linked_components, sketch_words
+from .simjoin import PERCENT, SKETCH, linked_components
 
 SHINGLE = 5
 PASSAGE_WORDS = 50
@@ -157,6 +158,21 @@ def _range_minhashes(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return mix64(out)
 
 
+def _band_places(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each unit's bands have their least shingles: one number a unit and band, equal for the same places."""
+    out = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    if len(starts):
+        at = np.arange(len(shingles), dtype=np.uint64) & _PLACE
+        mult, mask = minhash_family(BANDS * ROWS)
+        cut = np.stack([starts, ends - SHINGLE + 1], axis=1).reshape(-1)
+        over = cut[-1] == len(shingles)
+        for i in range(BANDS * ROWS):
+            x = (((shingles ^ mask[i]) * mult[i]) & ~_PLACE) | at
+            place = np.minimum.reduceat(np.append(x, x[-1]) if over else x, cut)[::2] & _PLACE
+            out[:, i // ROWS] = out[:, i // ROWS] * np.uint64(_BASES[0]) + place
+    return out
+
+
 def _band_keys(mins: np.ndarray) -> np.ndarray:
     """64-bit keys of the bands of every row of minhashes, the band's number hashed in."""
     m = mins[:, :BANDS * ROWS].reshape(len(mins), BANDS, ROWS)
@@ -186,20 +202,22 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """(key): the band keys of all units, a key of several units as often as it stands there."""
+    """(key): the band keys of all units, once for each place that gives it (units that overlap share such places)."""
 
     def run(batches):
         for b in batches:
             for _, texts in _portions(b.column("text").to_pylist()):
                 w = Words(texts)
-                keys = _band_keys(_range_minhashes(w.shingles(), *w.units(), BANDS * ROWS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1), pa.int64())], ["key"])
+                units, shingles = w.units(), w.shingles()
+                keys, places = _band_keys(_range_minhashes(shingles, *units, BANDS * ROWS)), _band_places(shingles, *units)
+                once = [keys[np.unique(places[:, i], return_index=True)[1], i] for i in range(BANDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(once), pa.int64())], ["key"])
 
     return map_batches(_rows(docs).select("text"), run, "key long")
 
 
 def shared_units(docs: DataFrame, bits: int, keys: np.ndarray) -> DataFrame:
-    """Units with a key in the bitmap: place, item and proof (128 bits of their words), n, those keys, s0..s3."""
+    """Units with a key in the bitmap: place, item and proof (128 bits of their words), n, those keys and the places that give them."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches):
@@ -210,14 +228,15 @@ def shared_units(docs: DataFrame, bits: int, keys: np.ndarray) -> DataFrame:
                 w = Words(texts)
                 starts, ends = w.units()
                 shingles = w.shingles()
-                bands = _band_keys(_range_minhashes(shingles, starts, ends, BANDS * ROWS))
+                bands, places = _band_keys(_range_minhashes(shingles, starts, ends, BANDS * ROWS)), _band_places(shingles, starts, ends)
                 hit = in_bitmap(known, bands & (bits - 1)) if len(bands) else np.zeros((0, BANDS), dtype=bool)
                 some = hit.any(axis=1)
                 starts, ends, bands, hit = starts[some], ends[some], bands[some], hit[some]
                 text = w.text[starts]
+                # a place is counted from its text's start, so that it does not depend on the batch
+                places = (places[some] - (w.first[text].astype(np.uint64)[:, None] if ROWS == 1 else np.uint64(0))).view(np.int64)
                 chars = np.append(0, np.cumsum((w.octets & 0xC0) != 0x80))  # code points before each byte
                 at = chars[w.starts[starts]]
-                sk = [sketch_words(m) for m in _range_minhashes(shingles, starts, ends, N_MINHASHES)]
                 n = [len(np.unique(shingles[s:e - SHINGLE + 1])) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[base + text], pa.int64()), pa.array(ths[base + text], pa.int64()), pa.array(starts - w.first[text], pa.int32()),
@@ -226,10 +245,9 @@ def shared_units(docs: DataFrame, bits: int, keys: np.ndarray) -> DataFrame:
                      pa.array(w.ends[ends - 1] - w.starts[starts], pa.int32()), pa.array(signed(_ranges(w.hashes, starts, ends, 0)), pa.int64()),
                      pa.array(signed(_ranges(w.hashes, starts, ends, 1)), pa.int64()), pa.array(n, pa.int64()),
                      list_array([k[h] for k, h in zip(bands, hit, strict=True)], pa.int64()),
-                     *[pa.array([x[i] for x in sk], pa.int64()) for i in range(4)]], [*PLACE, "item", "proof", "n", "bands", *SKETCH])
+                     list_array([k[h] for k, h in zip(places, hit, strict=True)], pa.int64())], [*PLACE, "item", "proof", "n", "bands", "places"])
 
-    return map_batches(_rows(docs), run, f"{_PLACE_TYPES}, item long, proof long, n long, bands array<long>, "
-                       + ", ".join(f"{s} long" for s in SKETCH))
+    return map_batches(_rows(docs), run, f"{_PLACE_TYPES}, item long, proof long, n long, bands array<long>, places array<long>")
 
 
 def unit_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -260,8 +278,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = documents_like(docs, id_col, text_col)
     keys = band_keys(docs).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     bits, bitmap = bitmap_of(written(keys, "shared-bands"), lambda n: F.col("key").bitwiseAND(F.lit(n - 1)))
-    units = written(shared_units(docs, bits, bitmap).dropDuplicates(["doc_id", "text_hash", "word"]), "units")
-    first = ["doc_id", "proof", "n", "bands", *SKETCH]
+    units = written(shared_units(docs, bits, bitmap), "units")
+    first = ["doc_id", "proof", "n", "bands", "places"]
     items = (units.groupBy("item").agg(F.min(F.struct(*first)).alias("r"), F.count(F.lit(1)).alias("copies"))
              .select(F.col("item").alias("id"), "copies", *[F.col(f"r.{c}").alias(c) for c in first]))
     items = written(items, "unit-items")
@@ -269,12 +287,16 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sets_of(ids: DataFrame) -> DataFrame:
         return unit_sets(docs, written(items.select("id", "doc_id").join(ids, "id"), "wanted"))
 
-    table = items.select(F.explode("bands").alias("key"), "id", F.col("id").alias("component"))
-    comp = linked_components(table, items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW)
+    # units that overlap often have a key of the same place: such keys and pairs say nothing
+    table = items.select("id", "doc_id", F.explode(F.arrays_zip("bands", "places")).alias("k")).select(
+        F.col("k.bands").alias("key"), "id", F.xxhash64("doc_id", "k.places").alias("component"))
+    # units are so short that their sets are verified without a look at sketches first
+    flat = items.select("id", "n", *[F.lit(0).cast("long").alias(c) for c in SKETCH])
+    comp = linked_components(table, flat, sets_of, N_MINHASHES, FEW)
     named = (items.select("id", "proof", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left")
              .where("component is not null or copies > 1")
              .select(F.col("id").alias("item"), "proof", F.coalesce("component", "id").alias("cluster")))
-    occ = written(units.select(*PLACE, "item", "proof").join(written(named, "clusters"), ["item", "proof"]).select(*PLACE, "cluster"), "occurrences")
+    occ = written(units.select(*PLACE, "item", "proof").join(written(named, "clusters"), ["item", "proof"]).select(*PLACE, "cluster").distinct(), "occurrences")
     keep = occ.groupBy("cluster").agg(F.min(F.struct("doc_id", "text_hash", "word", "n_words")).alias("keep"), F.count(F.lit(1)).alias("cluster_size"))
     again = occ.join(written(keep.where("cluster_size > 1"), "kept-units"), "cluster")
     inside = ((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))

@@ -21,11 +21,18 @@ def plain_units(text):
 
 
 def brute(rows):
-    """(doc_id, word) -> (keep_doc_id, keep_word, cluster_size) of the removed units: all pairs of different units compared."""
+    """(doc_id, word) -> (keep_doc_id, keep_word, cluster_size) of the removed units: all pairs of different units compared, but
+    for those that first stand over each other in one document."""
     places = sorted({(i, t, s, ws) for i, t in rows for s, ws in plain_units(t)}, key=lambda p: (p[0], p[2]))
     kinds = sorted({p[3] for p in places})
     sets = [set(zip(*(k[i:] for i in range(5)), strict=False)) for k in kinds]
     root = list(range(len(kinds)))
+    first = {}
+    for i, _, at, ws in places:
+        first.setdefault(ws, (i, at, at + len(ws)))
+
+    def over(a, b):
+        return a[0] == b[0] and a[1] < b[2] and b[1] < a[2]
 
     def find(x):
         while root[x] != x:
@@ -35,7 +42,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+            if 100 * both >= 75 * (len(a) + len(sets[j]) - both) and not over(first[kinds[i]], first[kinds[j]]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     at = {k: find(i) for i, k in enumerate(kinds)}
