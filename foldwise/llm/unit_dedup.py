@@ -173,6 +173,19 @@ def _band_places(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out
 
 
+def _distinct(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Different shingles of each unit: few units repeat one, so only those are counted one by one."""
+    n = ends - starts - SHINGLE + 1
+    if len(starts):
+        order = np.argsort(shingles, kind="stable")
+        before = np.full(len(shingles) + 1, -1)  # the last place with the same shingle
+        before[order[1:]] = np.where(shingles[order[1:]] == shingles[order[:-1]], order[:-1], -1)
+        cut = np.stack([starts, ends - SHINGLE + 1], axis=1).reshape(-1)
+        for i in np.flatnonzero(np.maximum.reduceat(before, cut)[::2] >= starts):
+            n[i] = len(np.unique(shingles[starts[i]:ends[i] - SHINGLE + 1]))
+    return n
+
+
 def _band_keys(mins: np.ndarray) -> np.ndarray:
     """64-bit keys of the bands of every row of minhashes, the band's number hashed in."""
     m = mins[:, :BANDS * ROWS].reshape(len(mins), BANDS, ROWS)
@@ -237,15 +250,14 @@ def shared_units(docs: DataFrame, bits: int, keys: np.ndarray) -> DataFrame:
                 places = (places[some] - (w.first[text].astype(np.uint64)[:, None] if ROWS == 1 else np.uint64(0))).view(np.int64)
                 chars = np.append(0, np.cumsum((w.octets & 0xC0) != 0x80))  # code points before each byte
                 at = chars[w.starts[starts]]
-                n = [len(np.unique(shingles[s:e - SHINGLE + 1])) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                kept = np.append(0, np.cumsum(hit.sum(axis=1)))
+                lists = [pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(x[hit], pa.int64())) for x in (bands, places)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[base + text], pa.int64()), pa.array(ths[base + text], pa.int64()), pa.array(starts - w.first[text], pa.int32()),
                      pa.array(ends - starts, pa.int32()), pa.array(at - chars[w.begin[text]], pa.int32()),
                      pa.array(chars[w.ends[ends - 1]] - at, pa.int32()), pa.array(w.starts[starts] - w.begin[text], pa.int32()),
                      pa.array(w.ends[ends - 1] - w.starts[starts], pa.int32()), pa.array(signed(_ranges(w.hashes, starts, ends, 0)), pa.int64()),
-                     pa.array(signed(_ranges(w.hashes, starts, ends, 1)), pa.int64()), pa.array(n, pa.int64()),
-                     list_array([k[h] for k, h in zip(bands, hit, strict=True)], pa.int64()),
-                     list_array([k[h] for k, h in zip(places, hit, strict=True)], pa.int64())], [*PLACE, "item", "proof", "n", "bands", "places"])
+                     pa.array(signed(_ranges(w.hashes, starts, ends, 1)), pa.int64()), pa.array(_distinct(shingles, starts, ends), pa.int64()), *lists], [*PLACE, "item", "proof", "n", "bands", "places"])
 
     return map_batches(_rows(docs), run, f"{_PLACE_TYPES}, item long, proof long, n long, bands array<long>, places array<long>")
 
