@@ -33,6 +33,8 @@ from ..session import scratch_path
 HASH_DIM = 1 << 18
 CHUNK_ROWS = 100_000
 MAX_STEPS = 200
+# A chunk's rows in one file, read by one task.
+FILE_ROWS = 25_000
 LOSS_EPS = 1e-15
 
 
@@ -90,13 +92,16 @@ class TokenFeatures:
 
 
 def write_chunks(rows: DataFrame, id_col: str, chunk_rows: int = CHUNK_ROWS) -> list[DataFrame]:
-    """The rows as chunks of about ``chunk_rows`` (more, if there would be over ``MAX_STEPS``), each its own folder."""
+    """The rows as chunks of about ``chunk_rows`` (more, if there would be over ``MAX_STEPS``), each its own folder
+    of files of about ``FILE_ROWS`` rows, however many tasks the rows come from."""
     spark = rows.sparkSession
     n = rows.count()
     chunks = int(min(MAX_STEPS, max(1, -(-n // chunk_rows))))
     path = scratch_path(spark, "sgd-chunks")
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(chunks)).cast("int"))
-    dealt.write.partitionBy("chunk").parquet(path)
+    files = -(-n // (chunks * FILE_ROWS))
+    file = F.pmod(F.xxhash64(id_col, F.lit(8)), F.lit(max(1, files))).cast("int")
+    dealt.repartition("chunk", file).write.partitionBy("chunk").parquet(path)
     table = spark.read.schema(dealt.schema).parquet(path)
     return [table.where(F.col("chunk") == c).drop("chunk") for c in range(chunks)]
 
@@ -106,19 +111,26 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())
 
 
-def _margins(b: pa.RecordBatch, at: np.ndarray, coef: np.ndarray, intercept: np.ndarray, dim: int):
-    """(margins rows x configurations, features and values and row of every entry of the batch)."""
+def _entries(b: pa.RecordBatch, dim: int):
+    """(features, values, first entry of each row) of the batch's tokens and numerics, row by row."""
     idx, count = _lists(b.column("idx"))
     num, width = _lists(b.column("num"))
-    rows = np.arange(len(count))
+    row = np.concatenate([np.repeat(np.arange(len(count)), count), np.repeat(np.arange(len(width)), width)])
+    order = np.argsort(row, kind="stable")
     feature = np.concatenate([idx.astype(np.int64), dim + np.arange(len(num)) - np.repeat(np.cumsum(width) - width, width)])
     value = np.concatenate([np.ones(len(idx)), num])
-    row = np.concatenate([np.repeat(rows, count), np.repeat(rows, width)])
-    z = np.tile(intercept, (len(rows), 1)).astype(float)
-    if len(at):
+    return feature[order], value[order], row[order]
+
+
+def _margins(b: pa.RecordBatch, at: np.ndarray, coef: np.ndarray, intercept: np.ndarray, dim: int):
+    """(margins rows x configurations, features and values and row of every entry of the batch)."""
+    feature, value, row = _entries(b, dim)
+    z = np.tile(intercept, (b.num_rows, 1)).astype(float)
+    if len(at) and len(row):
         place = np.minimum(np.searchsorted(at, feature), len(at) - 1)
-        seen = at[place] == feature
-        np.add.at(z, row[seen], coef[place[seen]] * value[seen, None])
+        part = coef[place] * np.where(at[place] == feature, value, 0.0)[:, None]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        z[row[first]] += np.add.reduceat(part, first, axis=0)
     return z, feature, value, row
 
 
@@ -160,8 +172,8 @@ class AveragedSgd:
                 err = (_sigmoid(z) - y[:, None]) * weight
                 n, bias = n + len(y), bias + err.sum(axis=0)
                 which, inverse = np.unique(feature, return_inverse=True)
-                g = np.zeros((len(which), err.shape[1]))
-                np.add.at(g, inverse.reshape(-1), err[row] * value[:, None])
+                inverse, scaled = inverse.reshape(-1), err[row] * value[:, None]
+                g = np.stack([np.bincount(inverse, weights=x, minlength=len(which)) for x in scaled.T], axis=1)
                 for f, x in zip(which.tolist(), g, strict=True):
                     total[f] = total[f] + x if f in total else x
             features = [-1, *total]

@@ -125,3 +125,10 @@ def test_log_lines_of_a_folder(spark, tmp_path):
     got = {(r.seed, r.epoch): r.value for r in parse_metric_lines(RD.read_log_lines(spark, str(tmp_path))).collect()}
     assert got[1, 1] == 0.5 and math.isnan(got[1, 2]) and got[2, 1] == 10.5 and len(got) == 3
     assert "�" in "".join(r.value for r in RD.read_log_lines(spark, str(tmp_path)).collect())
+
+
+def test_a_chunk_is_one_file_however_many_tasks_the_rows_come_from(spark, rows):
+    chunks = SG.write_chunks(rows.repartition(30).select("id", "y", "idx", "num"), "id", chunk_rows=60)
+    files = {f for c in chunks for f in c.inputFiles()}
+    assert len(files) == len(chunks) == 4
+    assert sorted(r["id"] for c in chunks for r in c.collect()) == list(range(240))
