@@ -181,3 +181,35 @@ def test_prefix_sums_over_ranges(spark):
     df = spark.createDataFrame([(g, f"{k:03}", k) for g in "ab" for k in range(50)], "g string, k string, v long")
     for r in range_prefix_sums(df, ["g"], "k", ["v"]).collect():
         assert r.v_before == sum(range(r.v))
+
+
+class _Spied:
+    """An estimator that notes the partitions of what it is fitted on."""
+
+    def __init__(self, inner, seen):
+        self.inner, self.seen = inner, seen
+
+    def fit(self, df):
+        self.seen.append(df.rdd.getNumPartitions())
+        return self.inner.fit(df)
+
+
+def test_learners_get_as_many_partitions_as_cores(spark, rows, monkeypatch):
+    cores, seen, real = spark.sparkContext.defaultParallelism, [], CF.linear
+    many = rows.repartition(50, "id")
+    CF.cross_fit(many, lambda s: _Spied(real(s, max_iter=2), seen), n_folds=3)
+    monkeypatch.setattr(CF, "linear", lambda *a, **k: _Spied(real(*a, **k), seen))
+    CF.tune_linear(many.where("fold < 2"), many.where("fold = 2"), CF.linear_grid()[:2])
+    assert seen == [cores] * 5
+
+
+def test_a_fitting_frame_grows_by_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(CF, "PART_ROWS", 20)
+    got = CF.fit_frame(rows, "id")
+    assert got.rdd.getNumPartitions() == 20
+    assert sorted(got.select("id", "a").collect()) == sorted(rows.select("id", "a").collect())
+
+
+def test_encoded_frames_do_not_join_the_customers_again(spark):
+    from foldwise.plans import tabular as TB
+    assert not [f for f in TB.encode_frame(spark, "/root/testdata/sf0.001").train.inputFiles() if "customer" in f]
