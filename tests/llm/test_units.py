@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.llm import packing, unit_dedup
 from foldwise.llm.exact_dedup import drop_exact_copies
@@ -156,3 +157,31 @@ def test_stages_take_an_empty_table(spark, stage):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra string")
     out = dict(corpus_pipeline.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
     assert out.count() == 0 and out.columns == corpus_pipeline.COLUMNS
+
+
+def test_buckets_are_sized_and_paired_without_joins(spark, capsys):
+    from foldwise.llm import simjoin
+
+    rnd = random.Random(8)
+    rows = sorted({(rnd.randrange(25), i, i % 3) for i in range(150) for _ in range(5)} | {(90, i, 7) for i in range(40)}
+                  | {(k, i, i) for k in (91, 92, 93) for i in range(4)})
+    by_key = {}
+    for k, i, c in rows:
+        by_key.setdefault(k, []).append((i, c))
+    mixed = {k: m for k, m in by_key.items() if len({c for _, c in m}) > 1}
+    live = simjoin._live(spark.createDataFrame(rows, "key long, id long, component long"))
+    live.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert {tuple(r) for r in live.collect()} == {(k, i, c, len(m)) for k, m in mixed.items() for i, c in m} and live.count() == sum(map(len, mixed.values()))
+    small = live.where(F.col("size") <= simjoin.SMALL)
+    want = {(a, b) for m in mixed.values() if len(m) <= simjoin.SMALL for a, x in m for b, y in m if a < b and x != y}
+    assert sorted(map(tuple, simjoin._small_pairs(small).collect())) == sorted(want)
+    large = {k: m for k, m in mixed.items() if len(m) > simjoin.SMALL}
+    got = {r.id: r for r in simjoin._centred(live.where(F.col("size") > simjoin.SMALL)).collect()}
+    assert large and set(got) == {i for m in large.values() for i, _ in m}
+    component = {i: c for m in large.values() for i, c in m}
+    for i, r in got.items():
+        own = [m for m in large.values() if i in dict(m)]
+        assert r.c == len(own) and set(r.least) == {min(m)[0] for m in own}
+        assert all(component[x] != r.component and any(x in dict(m) for m in own) for x in r.centres) and len(r.centres) <= simjoin.CENTRES * len(own)
+        assert {min(m)[0] for m in own if min(m)[1] != r.component} <= set(r.centres)
