@@ -314,3 +314,24 @@ def test_pipeline_stages(spark):
             assert brute_components({k: s for k, s in sets.items() if s}) == {k: k for k, s in sets.items() if s}
         docs = after
     assert cp.STAGES[-1][1](spark, docs, SF).select(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import os
+    import tempfile
+    import time
+
+    def files():
+        top = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+        return {f for f in glob.glob(f"{top}/blockmgr-*/*/shuffle_*.data") if os.stat(f).st_mtime >= start}
+
+    start = time.time() - 1
+    rows = spark.range(0, 50_000, 1, 6).groupBy((F.col("id") % 997).alias("k")).count().repartition(3, "count")
+    got = common.written(rows, "no-shuffle-files")
+    for _ in range(20):
+        left = files()
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left and got.count() == 997
