@@ -2,9 +2,8 @@
 
 Restaurants. The root serves words over a uniform base of V + 1 kinds (V training
 words and the unknown one). Every context has a restaurant whose parent is the
-root: the ``frequent`` most frequent training words each have their own, rarer
-previous words share one by their last byte, and the first word of a text has the
-one of the text's start. P(w | u) = (c_uw - d t_uw + (theta + d t_u) P(w)) /
+root: every previous word has its own, and the first word of a text has the one
+of the text's start. P(w | u) = (c_uw - d t_uw + (theta + d t_u) P(w)) /
 (theta + c_u), the root alike with its customers c_w = sum over u of t_uw.
 
 Seating. A cell is the customers of one word in one restaurant. A sweep reseats
@@ -18,11 +17,14 @@ of the samples are averaged; predictive probabilities use these averages and sum
 to one.
 
 Distribution. Tasks count (word, context) in blocks of the corpus before anything
-is shuffled; a bucket of words holds its cells as packed arrays. For scoring,
-tokens of frequent words find their probability in a broadcast table of at most
-frequent x contexts cells; of all other words a block sends (word, context,
-document, count) to the word's bucket, which returns sums per document. The
-number of buckets grows with the corpus.
+is shuffled; a bucket of words holds its cells as packed arrays. Totals by context
+of the ``frequent`` most frequent words and of the start are broadcast; those of
+all other contexts are summed in the context's home, a bucket by its hash, which
+answers each bucket that named it. Held-out documents name their contexts too, by
+cells without customers. For scoring, tokens of frequent words after frequent ones
+find their probability in a broadcast table of at most frequent x contexts cells;
+of all others a block sends (word, context, document, count) to the word's bucket,
+which returns sums by document. The number of buckets grows with the corpus.
 
 Defined results: null text is the empty text (one end token, in the start
 context); rows with a null id are scored and learned from as if their id were
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -48,7 +50,6 @@ from pyspark.sql import functions as F
 from .common import as_bytes, crc_mod5, documents_like, map_batches, written
 
 FREQUENT = 1000
-SHARED = 256
 DISCOUNT, STRENGTH = 0.7, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
 BURN_IN, SAMPLES = 2, 4
@@ -56,7 +57,12 @@ BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 60_000
 BUCKET_TOKENS = 2_000_000
 END = b" end"  # no word holds a space
-CTX_BITS, DOC_BITS = np.uint64(11), np.uint64(16)
+CTX_BITS, DOC_BITS = np.uint64(32), np.uint64(16)
+CTX_MASK = np.uint64((1 << 32) - 1)
+#: Set in the name of a rare context, the hash of its word, and in no number of a frequent one.
+RARE = np.uint64(1 << 63)
+#: Cells that a bucket gathers before it adds up equal ones.
+MERGE_CELLS = 4_000_000
 
 
 def word_hash(word: bytes) -> int:
@@ -64,17 +70,15 @@ def word_hash(word: bytes) -> int:
 
 
 class Lexicon(dict):
-    """word -> number within a block; remembers each word's hash and last byte."""
+    """word -> number within a block; remembers each word's hash."""
 
     def __init__(self):
         super().__init__()
         self.hashes: list[int] = []
-        self.last: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         self.hashes.append(word_hash(word))
-        self.last.append(word[-1])
         return n
 
 
@@ -102,26 +106,26 @@ class Block:
         return self.size >= BLOCK_TOKENS or len(self.ids) >= BLOCK_DOCS
 
     def arrays(self, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(hashes, rank among the frequent or -1) by word, (word, context, document) by token."""
+        """(hashes, rank among the frequent or -1) by word, (word, context, document) by token.
+
+        A context is a frequent word's rank, the start's number, which follows, or beyond it the number of a rare word."""
         hashes = np.array(self.lexicon.hashes, dtype=np.uint64)
         at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
         rank = np.where(frequent[at] == hashes, at, -1) if len(frequent) else np.full(len(hashes), -1)
-        own = np.where(rank >= 0, rank, len(frequent) + np.array(self.lexicon.last, dtype=np.int64))
+        own = np.where(rank >= 0, rank, len(frequent) + 1 + np.arange(len(hashes)))
         word = np.concatenate(self.tokens)
         ctx = np.empty(len(word), dtype=np.int64)
         ctx[1:] = own[word[:-1]]
         starts = np.cumsum([0, *self.lengths[:-1]])
-        ctx[starts] = len(frequent) + SHARED
+        ctx[starts] = len(frequent)
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         return hashes, rank, word, ctx, doc
 
 
-def blocks(batches, train_only: bool) -> Iterator[Block]:
+def blocks(batches) -> Iterator[Block]:
     block = Block()
     for b in batches:
         for doc_id, held, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-            if train_only and held:
-                continue
             block.add(doc_id, held, raw)
             if block.full():
                 yield block
@@ -187,22 +191,36 @@ def top_words(docs: DataFrame, frequent: int) -> list[int]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()]
 
 
+def named(ctx: np.ndarray, hashes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, those from ``first`` on numbered anew, names of these)."""
+    rare = ctx >= first
+    used, number = np.unique(ctx[rare], return_inverse=True)
+    out = ctx.astype("<u4")
+    out[rare] = first + number
+    return out, hashes[used.astype(np.int64) - first] | RARE
+
+
 def counted_cells(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, cells): packed counts of (word, context) of a block's training documents."""
+    """(bucket, cells): packed counts of (word, context) of a block's training documents; held-out ones add none,
+    but name their rare contexts."""
+    first = len(frequent) + 1
 
     def run(batches):
-        for block in blocks(batches, train_only=True):
-            hashes, _, word, ctx, _ = block.arrays(frequent)
+        for block in blocks(batches):
+            hashes, _, word, ctx, doc = block.arrays(frequent)
             order, place, cuts = by_bucket(hashes, buckets)
-            key, n = np.unique((place[word] << CTX_BITS) | ctx.astype(np.uint64), return_counts=True)
+            key, inv = np.unique((place[word] << CTX_BITS) | ctx.astype(np.uint64), return_inverse=True)
+            n = np.bincount(inv, weights=~np.array(block.held, dtype=bool)[doc]).astype(np.int64)
+            kept = (n > 0) | ((key & CTX_MASK) >= first)
+            key, n = key[kept], n[kept]
             at = np.searchsorted(key >> CTX_BITS, cuts.astype(np.uint64))
             rows, ids = [], []
             for b in range(buckets):
                 if at[b] < at[b + 1]:
                     k = key[at[b]:at[b + 1]]
-                    _, sizes = np.unique(k >> CTX_BITS, return_counts=True)
-                    rows.append(pack(hashes[order[cuts[b]:cuts[b + 1]]], sizes.astype("<u2"),
-                                     (k & np.uint64(2047)).astype("<u2"), n[at[b]:at[b + 1]].astype("<u4")))
+                    used, sizes = np.unique((k >> CTX_BITS).astype(np.int64), return_counts=True)
+                    c, names = named((k & CTX_MASK).astype(np.int64), hashes, first)
+                    rows.append(pack(hashes[order[used]], sizes.astype("<u4"), c, n[at[b]:at[b + 1]].astype("<u4"), names))
                     ids.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "cells"])
 
@@ -223,33 +241,97 @@ def _per_bucket(batches, column: str) -> Iterator[tuple[int, list[bytes]]]:
         yield bucket, held
 
 
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(words, context names, counts) of the distinct cells, in order."""
+    h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((c, h))
+    h, c, n = h[order], c[order], n[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    at = np.flatnonzero(new)
+    return h[at], c[at], np.add.reduceat(n, at)
+
+
 def merged_cells(parts: DataFrame, buckets: int, contexts: int) -> DataFrame:
-    """One row per bucket: packed (word hashes, cells per word, contexts, counts), and by context
-    the customers and cells, the bucket's words and tokens."""
+    """One row per bucket: packed (word hashes, cells per word, contexts, counts), ``local``, and by frequent context
+    the customers and cells, the bucket's words, tokens and cells.
+
+    ``local``: the bucket's rare contexts, which follow the frequent ones in number, with customers and tables."""
 
     def run(batches):
         for bucket, raws in _per_bucket(batches, "cells"):
-            hs, cs, ns = [], [], []
+            held, size = [], 0
             for raw in raws:
-                h, sizes, c, n = unpack(raw)
-                hs.append(np.repeat(h, sizes))
-                cs.append(c)
-                ns.append(n)
-            h, c, n = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns).astype(np.int64)
-            words, word = np.unique(h, return_inverse=True)
-            key, inv = np.unique((word.astype(np.uint64) << CTX_BITS) | c.astype(np.uint64), return_inverse=True)
-            count = np.bincount(inv, weights=n).astype(np.int64)
-            ctx = (key & np.uint64(2047)).astype(np.int64)
-            sizes = np.bincount((key >> CTX_BITS).astype(np.int64), minlength=len(words))
+                h, sizes, c, n, names = unpack(raw)
+                code = c.astype(np.uint64)
+                code[c >= contexts] = names[c[c >= contexts] - contexts]
+                held.append((np.repeat(h, sizes), code, n.astype(np.int64)))
+                size += len(code)
+                if size > max(MERGE_CELLS, len(held[0][0])):
+                    held, size = [_added(held)], 0
+            h, code, count = _added(held)
+            names = np.unique(code[code >= RARE])
+            order, place, cuts = by_bucket(names, buckets)
+            ctx = code.astype(np.int64)
+            rare = code >= RARE
+            ctx[rare] = contexts + place[np.searchsorted(names, code[rare])].astype(np.int64)
+            real = np.lexsort((ctx, h))
+            real = real[count[real] > 0]
+            h, ctx, count = h[real], ctx[real], count[real]
+            words, sizes = np.unique(h, return_counts=True)
+            most = contexts + len(names)
+            c_sum, t_sum = np.bincount(ctx, weights=count, minlength=most), np.bincount(ctx, minlength=most)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()),
-                 pa.array([pack(words, sizes.astype("<u2"), ctx.astype("<u2"), count.astype("<i8"))], pa.binary()),
-                 pa.array([np.bincount(ctx, weights=count, minlength=contexts).astype(np.int64)], pa.list_(pa.int64())),
-                 pa.array([np.bincount(ctx, minlength=contexts).astype(np.int64)], pa.list_(pa.int64())),
-                 pa.array([len(words)], pa.int64())], ["bucket", "cells", "customers", "tables", "words"])
+                 pa.array([pack(words, sizes.astype("<u4"), ctx.astype("<u4"), count.astype("<i8"))], pa.binary()),
+                 pa.array([pack(names[order], cuts.astype("<i8"), c_sum[contexts:].astype("<i8"),
+                                t_sum[contexts:].astype("<f4"))], pa.binary()),
+                 pa.array([c_sum[:contexts].astype(np.int64)], pa.list_(pa.int64())),
+                 pa.array([t_sum[:contexts].astype(np.int64)], pa.list_(pa.int64())),
+                 pa.array([len(words)], pa.int64()), pa.array([int(count.sum())], pa.int64()), pa.array([len(ctx)], pa.int64())],
+                ["bucket", "cells", "local", "customers", "tables", "words", "tokens", "size"])
 
     rows = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return map_batches(rows, run, "bucket int, cells binary, customers array<long>, tables array<long>, words long")
+    return map_batches(rows, run, "bucket int, cells binary, local binary, customers array<long>, tables array<long>, "
+                                  "words long, tokens long, size long")
+
+
+def context_totals(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, home, totals): customers and tables of a bucket's rare contexts, summed over all buckets in each
+    context's home; in order of home they follow the bucket's own order. A context is named once a bucket at most."""
+
+    def send(batches):
+        for b in batches:
+            for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("local").to_pylist(), strict=True):
+                names, cuts, c, t = unpack(raw)
+                homes = np.flatnonzero(cuts[1:] > cuts[:-1])
+                bodies = [pack(*(x[cuts[k]:cuts[k + 1]] for x in (names, c, t))) for k in homes]
+                yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int32()), pa.array([bucket] * len(homes), pa.int32()),
+                                                  pa.array(bodies, pa.binary())], ["bucket", "asker", "part"])
+
+    def answer(batches):
+        for home, got in _per_bucket(batches, "asked"):
+            parts = [(x["asker"], *unpack(x["part"])) for x in got]
+            names, inv = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
+            c = np.bincount(inv, weights=np.concatenate([x[2] for x in parts]), minlength=len(names)).astype("<i8")
+            t = np.bincount(inv, weights=np.concatenate([x[3] for x in parts]), minlength=len(names)).astype("<f4")
+            ends = np.cumsum([0, *(len(x[1]) for x in parts)])
+            for (asker, *_), i, j in zip(parts, ends[:-1], ends[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([asker], pa.int32()), pa.array([home], pa.int32()),
+                                                  pa.array([pack(c[inv[i:j]], t[inv[i:j]])], pa.binary())], ["bucket", "home", "totals"])
+
+    asked = map_batches(rows.select("bucket", "local"), send, "bucket int, asker int, part binary")
+    asked = asked.select("bucket", F.struct("asker", "part").alias("asked"))
+    asked = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return map_batches(asked, answer, "bucket int, home int, totals binary")
+
+
+def joined_totals(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, tables) of a bucket's rare contexts from the answers in order of home."""
+    if not parts:
+        return np.empty(0, dtype=np.int64), np.empty(0)
+    c, t = zip(*map(unpack, parts), strict=True)
+    return np.concatenate(c), np.concatenate(t).astype(float)
 
 
 def seat(count: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float,
@@ -314,7 +396,7 @@ def sample(cells: bytes, table_totals: np.ndarray, root_c: float, root_t: float,
 
 @dataclass
 class Totals:
-    """What all buckets share: sums over the corpus, by context where arrays."""
+    """What all buckets share: sums over the corpus, by frequent context where arrays; a bucket adds its rare contexts."""
 
     n_tokens: int
     n_words: int
@@ -327,6 +409,11 @@ class Totals:
     def kinds(self) -> float:
         return self.n_words + 1.0
 
+    def extended(self, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        """With a bucket's rare contexts and, last, one that was never seen."""
+        return replace(self, customers=np.concatenate([self.customers, customers, [0]]),
+                       tables=np.concatenate([self.tables, tables, [0.0]]))
+
     def backoff(self) -> np.ndarray:
         return (STRENGTH + DISCOUNT * self.tables) / (STRENGTH + self.customers)
 
@@ -346,26 +433,33 @@ def _by_context(df: DataFrame, column: str, contexts: int) -> np.ndarray:
     return out
 
 
-def sampled(cells: DataFrame, totals: Totals, seed: int, burn_in: int, samples: int, keep: bool) -> DataFrame:
+def sampled(cells: DataFrame, context: DataFrame, buckets: int, totals: Totals, seed: int, burn_in: int, samples: int,
+            keep: bool) -> DataFrame:
     """Mean tables by context and at the root of every bucket; with ``keep`` the model's cells too."""
     contexts = len(totals.customers)
+    rows = cells.select("bucket", F.lit(-1).alias("home"), F.struct("cells", "local", F.lit(None).cast("binary").alias("totals")).alias("x"))
+    rows = rows.union(context.select("bucket", "home", F.struct(F.lit(None).cast("binary").alias("cells"),
+                                                                F.lit(None).cast("binary").alias("local"), "totals").alias("x")))
+    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "home")
 
     def run(batches):
-        for b in batches:
-            for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("cells").to_pylist(), strict=True):
-                t, c0, t0 = sample(raw, totals.tables, totals.root_c, totals.root_t, totals.kinds,
-                                   (seed << 32) + bucket, burn_in, samples)
-                words, sizes, ctx, count = unpack(raw)
-                model = pack(words, sizes, ctx, count, t.astype("<f4"), c0.astype("<f8"), t0.astype("<f8")) if keep else b""
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket], pa.int32()), pa.array([model], pa.binary()),
-                     pa.array([np.bincount(ctx.astype(np.int64), weights=t.astype("<f4").astype(float), minlength=contexts)],
-                              pa.list_(pa.float64())),
-                     pa.array([c0.sum()], pa.float64()), pa.array([t0.sum()], pa.float64())],
-                    ["bucket", "model", "tables", "root_c", "root_t"])
-
-    return map_batches(cells.select("bucket", "cells"), run,
-                       "bucket int, model binary, tables array<double>, root_c double, root_t double")
+        for bucket, got in _per_bucket(batches, "x"):
+            raw = got[0]["cells"]
+            names, cuts, c_own, _ = unpack(got[0]["local"])
+            own = totals.extended(*joined_totals([x["totals"] for x in got[1:]]))
+            t, c0, t0 = sample(raw, own.tables, totals.root_c, totals.root_t, totals.kinds,
+                               (seed << 32) + bucket, burn_in, samples)
+            words, sizes, ctx, count = unpack(raw)
+            model = pack(words, sizes, ctx, count, t.astype("<f4"), c0.astype("<f8"), t0.astype("<f8"), names) if keep else b""
+            sums = np.bincount(ctx.astype(np.int64), weights=t.astype("<f4").astype(float), minlength=contexts + len(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([model], pa.binary()),
+                 pa.array([pack(names, cuts, c_own, sums[contexts:].astype("<f4"))], pa.binary()),
+                 pa.array([sums[:contexts]], pa.list_(pa.float64())),
+                 pa.array([c0.sum()], pa.float64()), pa.array([t0.sum()], pa.float64())],
+                ["bucket", "model", "local", "tables", "root_c", "root_t"])
+
+    return map_batches(rows, run, "bucket int, model binary, local binary, tables array<double>, root_c double, root_t double")
 
 
 class BucketModel:
@@ -374,7 +468,7 @@ class BucketModel:
     def __init__(self, raw: bytes | None, totals: Totals):
         self.totals, self.backoff = totals, totals.backoff()
         if raw:
-            self.words, sizes, ctx, count, t, c0, t0 = unpack(raw)
+            self.words, sizes, ctx, count, t, c0, t0 = unpack(raw)[:7]
             word = np.repeat(np.arange(len(self.words)), sizes)
             self.key = (word.astype(np.uint64) << CTX_BITS) | ctx.astype(np.uint64)
             self.gain = (count - DISCOUNT * t) / (STRENGTH + totals.customers[ctx.astype(np.int64)])
@@ -406,12 +500,13 @@ class BucketModel:
 
 
 def frequent_table(model: DataFrame, frequent: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 P(word | context), base log10 probability) of the frequent words: a bounded table."""
+    """(log10 P(word | context), base log10 probability) of the frequent words after frequent ones: a bounded table."""
 
     def run(batches):
         for b in batches:
             for raw in b.column("model").to_pylist():
-                m = BucketModel(raw, totals)
+                rare = np.zeros(len(unpack(raw)[7]))
+                m = BucketModel(raw, totals.extended(rare, rare))
                 at, known = m.find(frequent)
                 hit = np.flatnonzero(known)
                 for i in hit:
@@ -437,30 +532,30 @@ def block_requests(docs: DataFrame, frequent: np.ndarray, table: tuple[np.ndarra
 
     def run(batches):
         freq, lp, base = shared.value
+        first = len(freq) + 1
         part = TaskContext.get().partitionId()
-        for i, block in enumerate(blocks(batches, train_only=False)):
+        for i, block in enumerate(blocks(batches)):
             name, n_docs = (part << 32) + i, len(block.ids)
             hashes, rank, word, ctx, doc = block.arrays(freq)
             r = rank[word]
-            hot = r >= 0
+            hot = (r >= 0) & (ctx < first)
             sums = _sums(doc[hot], n_docs, lp[r[hot], ctx[hot]], base[r[hot]], np.ones(int(hot.sum())))
             ids = np.array([0 if x is None else x for x in block.ids], dtype="<i8")
             none = np.array([x is None for x in block.ids], dtype="u1")
             rows = [(name % buckets, 1, pack(ids, none, np.array(block.held, dtype="u1"),
                                              np.array(block.lengths, dtype="<i8"), *sums))]
             order, place, cuts = by_bucket(hashes, buckets)
-            key, n = np.unique((((place[word[~hot]] << CTX_BITS) | ctx[~hot].astype(np.uint64)) << DOC_BITS)
-                               | doc[~hot].astype(np.uint64), return_counts=True)
-            cell = key >> DOC_BITS
+            cells, inv = np.unique((place[word[~hot]] << CTX_BITS) | ctx[~hot].astype(np.uint64), return_inverse=True)
+            key, n = np.unique((inv.astype(np.uint64) << DOC_BITS) | doc[~hot].astype(np.uint64), return_counts=True)
+            cell = cells[(key >> DOC_BITS).astype(np.int64)]
             at = np.searchsorted(cell >> CTX_BITS, cuts.astype(np.uint64))
             for b in range(buckets):
                 if at[b] < at[b + 1]:
                     k = slice(at[b], at[b + 1])
-                    placed = (cell[k] >> CTX_BITS).astype(np.int64)
-                    used, sizes = np.unique(placed, return_counts=True)
-                    rows.append((b, 2, pack(hashes[order[used]], sizes.astype("<u4"), (cell[k] & np.uint64(2047)).astype("<u2"),
-                                            (key[k] & np.uint64(65535)).astype("<u2"), n[k].astype("<u4"),
-                                            np.array([n_docs], dtype="<u4"))))
+                    used, sizes = np.unique((cell[k] >> CTX_BITS).astype(np.int64), return_counts=True)
+                    c, names = named((cell[k] & CTX_MASK).astype(np.int64), hashes, first)
+                    rows.append((b, 2, pack(hashes[order[used]], sizes.astype("<u4"), c, names,
+                                            (key[k] & np.uint64(65535)).astype("<u2"), n[k].astype("<u4"))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()),
                  pa.array([name] * len(rows), pa.int64()), pa.array([x[2] for x in rows], pa.binary())],
@@ -469,29 +564,45 @@ def block_requests(docs: DataFrame, frequent: np.ndarray, table: tuple[np.ndarra
     return map_batches(docs, run, "bucket int, kind int, block long, body binary")
 
 
-def answered(requests: DataFrame, model: DataFrame, totals: Totals, buckets: int) -> DataFrame:
-    """(block, kind, body): sums by document of a block (kind 1 as it came, kind 2 looked up)."""
+def answered(requests: DataFrame, model: DataFrame, context: DataFrame, totals: Totals, buckets: int) -> DataFrame:
+    """(block, kind, body): sums of a block's documents (kind 1 as it came, kind 2 looked up, with the documents' numbers)."""
     rows = requests.union(model.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"),
                                        F.col("model").alias("body")))
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    rows = rows.union(context.select("bucket", F.lit(-1).alias("kind"), F.col("home").cast("long").alias("block"),
+                                     F.col("totals").alias("body")))
+    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block")
+    first = len(totals.customers)
+    none = totals.extended(np.empty(0, dtype=np.int64), np.empty(0))
 
     def run(batches):
-        bucket, m = None, None
+        bucket, m, names, places, got = None, None, np.empty(0, np.uint64), np.empty(0, np.int64), []
         for b in batches:
             out = []
             for k, kind, block, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "block", "body")), strict=True):
                 if k != bucket:
-                    bucket, m = k, None
-                if kind == 0:
-                    m = BucketModel(body, totals)
+                    bucket, m, got = k, BucketModel(None, none), []
+                    names, places = np.empty(0, np.uint64), np.empty(0, np.int64)
+                if kind == -1:
+                    got.append(body)
+                elif kind == 0:
+                    m = BucketModel(body, totals.extended(*joined_totals(got)))
+                    names = unpack(body)[7]
+                    places = np.argsort(names)
+                    names, got = names[places], []
                 elif kind == 1:
                     out.append((block, 1, body))
                 else:
-                    m = m or BucketModel(None, totals)
-                    hashes, sizes, ctx, doc, n, n_docs = unpack(body)
+                    hashes, sizes, ctx, asked, doc, n = unpack(body)
                     word = np.repeat(np.arange(len(hashes)), sizes)
-                    known, base, lp = m.look_up(hashes, word, ctx.astype(np.int64))
-                    out.append((block, 2, pack(*_sums(doc, int(n_docs[0]), lp * n, base[word] * n, known[word] * n))))
+                    place = np.full(len(asked), len(names))  # the one never seen
+                    if len(names):
+                        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+                        place = np.where(names[at] == asked, places[at], len(names))
+                    ctx = ctx.astype(np.int64)
+                    ctx[ctx >= first] = first + place[ctx[ctx >= first] - first]
+                    known, base, lp = m.look_up(hashes, word, ctx)
+                    docs, doc = np.unique(doc, return_inverse=True)
+                    out.append((block, 2, pack(docs, *_sums(doc, len(docs), lp * n, base[word] * n, known[word] * n))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
                                               pa.array([x[2] for x in out], pa.binary())], ["block", "kind", "body"])
 
@@ -502,15 +613,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one block's documents from its sums (a block's documents times its buckets at most)."""
+    """Rows of one block's documents from its sums (a block's tokens at most)."""
     first = unpack(pdf.loc[pdf["kind"] == 1, "body"].iloc[0])
     ids, none, held, lengths, lp, base, known = first
     lp, base, known = lp.copy(), base.copy(), known.copy()
     for raw in pdf.loc[pdf["kind"] == 2, "body"]:
-        a, b, c = unpack(raw)
-        lp += a
-        base += b
-        known += c
+        at, a, b, c = unpack(raw)
+        lp[at] += a
+        base[at] += b
+        known[at] += c
     out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": lengths,
                         "n_known": known.round().astype(np.int64), "base_score": base, "score": lp})
     out.loc[none.astype(bool), "doc_id"] = pd.NA
@@ -523,24 +634,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Perplexity of a text is 10^(-score / n_tokens).
     """
-    if frequent + SHARED + 1 > 1 << int(CTX_BITS):
-        raise ValueError("more contexts than a cell's key holds")
     rows = documents_like(docs, id_col, text_col)
     rows = as_bytes(rows.withColumn("held_out", crc_mod5(F.col("doc_id")) == held_fold))
     top = np.sort(np.array(top_words(rows, frequent), dtype=np.int64).view(np.uint64))
-    contexts = len(top) + SHARED + 1
+    contexts = len(top) + 1
     size = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(4, int(size // 6 // BUCKET_TOKENS) + 1)
     cells = written(merged_cells(counted_cells(rows, top, buckets), buckets, contexts), "py-cells")
     customers, tables = _by_context(cells, "customers", contexts), _by_context(cells, "tables", contexts)
-    n_words = int(cells.agg(F.sum("words").alias("n")).first()["n"] or 0)
-    totals = Totals(int(customers.sum()), n_words, customers, tables, float(tables.sum()), float(n_words))
-    first = sampled(cells, totals, 1, burn_in, 1, keep=False)
-    totals = _refreshed(written(first, "py-round"), totals)
-    model = written(sampled(cells, totals, 2, burn_in, samples, keep=True), "py-model")
+    all_of = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "size")]).first()
+    totals = Totals(all_of["tokens"], all_of["words"], customers, tables, float(all_of["size"]), float(all_of["words"]))
+    first = written(sampled(cells, context_totals(cells, buckets), buckets, totals, 1, burn_in, 1, keep=False), "py-round")
+    totals = _refreshed(first, totals)
+    model = written(sampled(cells, context_totals(first, buckets), buckets, totals, 2, burn_in, samples, keep=True), "py-model")
     totals = _refreshed(model, totals)
     table = frequent_table(model, top, totals)
-    got = answered(block_requests(rows, top, table, buckets), model, totals, buckets)
+    got = answered(block_requests(rows, top, table, buckets), model, context_totals(model, buckets), totals, buckets)
     out = got.groupBy("block").applyInPandas(_gather, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n_tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")

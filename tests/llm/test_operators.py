@@ -276,6 +276,20 @@ def test_pitman_yor_beats_the_base_and_takes_odd_rows(spark, odd, empty):
     assert pitman_yor.score_documents(odd).count() == len(ROWS) and pitman_yor.score_documents(empty).count() == 0
 
 
+def test_pitman_yor_rare_words_have_contexts_of_their_own(spark, monkeypatch):
+    # k words, all with the last byte "z", each with one successor; the words between are the most frequent
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"x {k}z y{k}" for k in rnd.choices(range(30), k=25))) for i in range(80)] + [(90, "new 3z y3 8z"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 300)
+    few = {r.doc_id: r for r in pitman_yor.score_documents(docs, frequent=1).collect()}
+    all_ = {r.doc_id: r for r in pitman_yor.score_documents(docs, frequent=1000).collect()}
+    assert len(few) == len(all_) == 82
+    for i, r in few.items():
+        assert abs(r.score - all_[i].score) < 0.02 * abs(all_[i].score) + 0.1
+        assert (r.n_known, r.n_tokens, r.base_score) == pytest.approx((all_[i].n_known, all_[i].n_tokens, all_[i].base_score))
+
+
 def test_bucket_model_is_a_distribution():
     rng = np.random.default_rng(0)
     cells = pitman_yor.pack(np.arange(5, dtype=np.uint64), np.full(5, 3, "<u2"), np.tile(np.arange(3), 5).astype("<u2"),
