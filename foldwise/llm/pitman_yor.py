@@ -152,6 +152,11 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the smallest type that holds them all."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 def unpack(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
@@ -220,7 +225,7 @@ def counted_cells(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
                     k = key[at[b]:at[b + 1]]
                     used, sizes = np.unique((k >> CTX_BITS).astype(np.int64), return_counts=True)
                     c, names = named((k & CTX_MASK).astype(np.int64), hashes, first)
-                    rows.append(pack(hashes[order[used]], sizes.astype("<u4"), c, n[at[b]:at[b + 1]].astype("<u4"), names))
+                    rows.append(pack(hashes[order[used]], narrow(sizes), narrow(c), narrow(n[at[b]:at[b + 1]]), names))
                     ids.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "cells"])
 
@@ -263,6 +268,7 @@ def merged_cells(parts: DataFrame, buckets: int, contexts: int) -> DataFrame:
             held, size = [], 0
             for raw in raws:
                 h, sizes, c, n, names = unpack(raw)
+                c = c.astype(np.int64)
                 code = c.astype(np.uint64)
                 code[c >= contexts] = names[c[c >= contexts] - contexts]
                 held.append((np.repeat(h, sizes), code, n.astype(np.int64)))
@@ -283,8 +289,8 @@ def merged_cells(parts: DataFrame, buckets: int, contexts: int) -> DataFrame:
             c_sum, t_sum = np.bincount(ctx, weights=count, minlength=most), np.bincount(ctx, minlength=most)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()),
-                 pa.array([pack(words, sizes.astype("<u4"), ctx.astype("<u4"), count.astype("<i8"))], pa.binary()),
-                 pa.array([pack(names[order], cuts.astype("<i8"), c_sum[contexts:].astype("<i8"),
+                 pa.array([pack(words, narrow(sizes), narrow(ctx), narrow(count))], pa.binary()),
+                 pa.array([pack(names[order], cuts.astype("<i8"), narrow(c_sum[contexts:]),
                                 t_sum[contexts:].astype("<f4"))], pa.binary()),
                  pa.array([c_sum[:contexts].astype(np.int64)], pa.list_(pa.int64())),
                  pa.array([t_sum[:contexts].astype(np.int64)], pa.list_(pa.int64())),
@@ -313,12 +319,12 @@ def context_totals(rows: DataFrame, buckets: int) -> DataFrame:
         for home, got in _per_bucket(batches, "asked"):
             parts = [(x["asker"], *unpack(x["part"])) for x in got]
             names, inv = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate([x[2] for x in parts]), minlength=len(names)).astype("<i8")
+            c = np.bincount(inv, weights=np.concatenate([x[2] for x in parts]), minlength=len(names))
             t = np.bincount(inv, weights=np.concatenate([x[3] for x in parts]), minlength=len(names)).astype("<f4")
             ends = np.cumsum([0, *(len(x[1]) for x in parts)])
             for (asker, *_), i, j in zip(parts, ends[:-1], ends[1:], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([asker], pa.int32()), pa.array([home], pa.int32()),
-                                                  pa.array([pack(c[inv[i:j]], t[inv[i:j]])], pa.binary())], ["bucket", "home", "totals"])
+                                                  pa.array([pack(narrow(c[inv[i:j]]), t[inv[i:j]])], pa.binary())], ["bucket", "home", "totals"])
 
     asked = map_batches(rows.select("bucket", "local"), send, "bucket int, asker int, part binary")
     asked = asked.select("bucket", F.struct("asker", "part").alias("asked"))
@@ -368,6 +374,7 @@ def sample(cells: bytes, table_totals: np.ndarray, root_c: float, root_t: float,
            burn_in: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean (tables by cell, customers and tables at the root by word) over the samples of a bucket."""
     words, sizes, ctx, count = unpack(cells)
+    count = count.astype(np.int64)
     rng = np.random.default_rng(seed)
     word = np.repeat(np.arange(len(words)), sizes)
     ctx = ctx.astype(np.int64)
@@ -435,7 +442,7 @@ def _by_context(df: DataFrame, column: str, contexts: int) -> np.ndarray:
 
 def sampled(cells: DataFrame, context: DataFrame, buckets: int, totals: Totals, seed: int, burn_in: int, samples: int,
             keep: bool) -> DataFrame:
-    """Mean tables by context and at the root of every bucket; with ``keep`` the model's cells too."""
+    """Mean tables by context and at the root of every bucket; with ``keep`` the model's cells and customers too."""
     contexts = len(totals.customers)
     rows = cells.select("bucket", F.lit(-1).alias("home"), F.struct("cells", "local", F.lit(None).cast("binary").alias("totals")).alias("x"))
     rows = rows.union(context.select("bucket", "home", F.struct(F.lit(None).cast("binary").alias("cells"),
@@ -446,11 +453,13 @@ def sampled(cells: DataFrame, context: DataFrame, buckets: int, totals: Totals,
         for bucket, got in _per_bucket(batches, "x"):
             raw = got[0]["cells"]
             names, cuts, c_own, _ = unpack(got[0]["local"])
+            if not keep:
+                c_own = np.zeros(len(names), dtype="u1")  # only scoring asks for customers
             own = totals.extended(*joined_totals([x["totals"] for x in got[1:]]))
             t, c0, t0 = sample(raw, own.tables, totals.root_c, totals.root_t, totals.kinds,
                                (seed << 32) + bucket, burn_in, samples)
             words, sizes, ctx, count = unpack(raw)
-            model = pack(words, sizes, ctx, count, t.astype("<f4"), c0.astype("<f8"), t0.astype("<f8"), names) if keep else b""
+            model = pack(words, sizes, ctx, count, t.astype("<f4"), c0.astype("<f8"), t0.astype("<f8")) if keep else b""
             sums = np.bincount(ctx.astype(np.int64), weights=t.astype("<f4").astype(float), minlength=contexts + len(names))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()), pa.array([model], pa.binary()),
@@ -469,6 +478,7 @@ class BucketModel:
         self.totals, self.backoff = totals, totals.backoff()
         if raw:
             self.words, sizes, ctx, count, t, c0, t0 = unpack(raw)[:7]
+            count = count.astype(np.int64)
             word = np.repeat(np.arange(len(self.words)), sizes)
             self.key = (word.astype(np.uint64) << CTX_BITS) | ctx.astype(np.uint64)
             self.gain = (count - DISCOUNT * t) / (STRENGTH + totals.customers[ctx.astype(np.int64)])
@@ -517,7 +527,7 @@ def frequent_table(model: DataFrame, frequent: np.ndarray, totals: Totals) -> tu
                          pa.array([float(base[0])], pa.float64())], ["rank", "lp", "base"])
 
     lp, base = np.zeros((max(1, len(frequent)), len(totals.customers))), np.zeros(max(1, len(frequent)))
-    for r in map_batches(model.select("model"), run, "rank int, lp binary, base double").toLocalIterator():
+    for r in map_batches(model.select(F.concat("model", "local").alias("model")), run, "rank int, lp binary, base double").toLocalIterator():
         lp[r["rank"]], base[r["rank"]] = np.frombuffer(r["lp"], "<f8"), r["base"]
     return lp, base
 
@@ -554,8 +564,8 @@ def block_requests(docs: DataFrame, frequent: np.ndarray, table: tuple[np.ndarra
                     k = slice(at[b], at[b + 1])
                     used, sizes = np.unique((cell[k] >> CTX_BITS).astype(np.int64), return_counts=True)
                     c, names = named((cell[k] & CTX_MASK).astype(np.int64), hashes, first)
-                    rows.append((b, 2, pack(hashes[order[used]], sizes.astype("<u4"), c, names,
-                                            (key[k] & np.uint64(65535)).astype("<u2"), n[k].astype("<u4"))))
+                    rows.append((b, 2, pack(hashes[order[used]], narrow(sizes), narrow(c), names,
+                                            narrow(key[k] & np.uint64(65535)), narrow(n[k]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()),
                  pa.array([name] * len(rows), pa.int64()), pa.array([x[2] for x in rows], pa.binary())],
@@ -567,7 +577,7 @@ def block_requests(docs: DataFrame, frequent: np.ndarray, table: tuple[np.ndarra
 def answered(requests: DataFrame, model: DataFrame, context: DataFrame, totals: Totals, buckets: int) -> DataFrame:
     """(block, kind, body): sums of a block's documents (kind 1 as it came, kind 2 looked up, with the documents' numbers)."""
     rows = requests.union(model.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"),
-                                       F.col("model").alias("body")))
+                                       F.concat("model", "local").alias("body")))
     rows = rows.union(context.select("bucket", F.lit(-1).alias("kind"), F.col("home").cast("long").alias("block"),
                                      F.col("totals").alias("body")))
     rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block")
@@ -602,7 +612,7 @@ def answered(requests: DataFrame, model: DataFrame, context: DataFrame, totals:
                     ctx[ctx >= first] = first + place[ctx[ctx >= first] - first]
                     known, base, lp = m.look_up(hashes, word, ctx)
                     docs, doc = np.unique(doc, return_inverse=True)
-                    out.append((block, 2, pack(docs, *_sums(doc, len(docs), lp * n, base[word] * n, known[word] * n))))
+                    out.append((block, 2, pack(narrow(docs), *_sums(doc, len(docs), lp * n, base[word] * n, known[word] * n))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
                                               pa.array([x[2] for x in out], pa.binary())], ["block", "kind", "body"])
 
