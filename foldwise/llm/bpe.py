@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-A pre-token's bytes form a doubly linked list of symbols; a priority queue holds
-(merge rank, position) of neighbouring pairs. The smallest rank merges first,
-leftmost among equals; entries whose pair has changed since are skipped as stale.
-Decoding concatenates the vocabulary's byte strings. Texts stream through Arrow
-batches; each worker keeps a bounded cache of encoded pre-tokens.
+A pre-token's bytes are a list of symbols, next to it the merge ranks of neighbouring
+pairs; the smallest rank merges first, leftmost among equals. Beyond ``SHORT`` bytes a
+doubly linked list and a priority queue of (merge rank, position) do the same; entries
+whose pair has changed since are skipped as stale. Decoding concatenates the
+vocabulary's byte strings. Texts stream through Arrow batches; each worker keeps a
+bounded cache of encoded pre-tokens.
 
 Defined results: null and empty texts have no tokens (ids digest of the empty
 string); special tokens of the vocabulary file found in a text become their id,
@@ -33,17 +34,25 @@ LOW_PATTERN = (PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{LOW_SPACES}{LOW_LETTERS}
                .replace(r"\p{N}", f"[{LOW_NUMBERS}]").replace(r"\s", f"[{LOW_SPACES}]"))
 
 
+#: Bytes of a pre-token up to which a scan of all pairs is faster than a priority queue.
+SHORT = 64
+NO_MERGE = 1 << 60
+
+
 class _Memo(dict):
-    """A function's results by argument; emptied when it holds ``limit`` of them."""
+    """A function's results by argument; when it holds ``limit`` of them they become the older ones, of which those asked for come back."""
 
     def __init__(self, fn, limit: int):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.older = fn, limit, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= 96:
             if len(self) >= self.limit:
+                self.older = self.copy()
                 self.clear()
             self[key] = value
         return value
@@ -68,6 +77,8 @@ class BpeCodec:
         ids = self.vocab
         #: (left id, right id) -> (rank, merged id)
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = [ids[a + b] for a, b in pairs]
         symbols = byte_symbols()
         self.byte_id = [ids[c] for c in symbols]
         byte_of = {c: i for i, c in enumerate(symbols)}
@@ -79,11 +90,29 @@ class BpeCodec:
         self.special_split = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.piece_ids = _Memo(lambda piece: ",".join(map(str, self.merge(piece.encode("utf-8")))), cache)
-        self.piece_bytes = _Memo(lambda ids: self.decode_bytes(list(map(int, ids.split(",")))), cache)
+        self.id_bytes = {str(i): token for i, token in self.token_bytes.items()}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        sym = [self.byte_id[b] for b in data]
+        sym = list(map(self.byte_id.__getitem__, data))
+        return self.merge_short(sym) if len(sym) <= SHORT else self.merge_long(sym)
+
+    def merge_short(self, sym: list[int]) -> list[int]:
+        """``sym`` with all merges made, by scans of the pairs' ranks."""
+        get, made = self.ranks.get, self.made
+        ranks = [get(pair, NO_MERGE) for pair in zip(sym, sym[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NO_MERGE:
+            i = ranks.index(least)
+            sym[i] = made[least]
+            del sym[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((sym[i - 1], sym[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = get((sym[i], sym[i + 1]), NO_MERGE)
+        return sym
+
+    def merge_long(self, sym: list[int]) -> list[int]:
+        """As :meth:`merge_short`, by a priority queue."""
         n = len(sym)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         merges, heap = self.merges, []
@@ -129,9 +158,9 @@ class BpeCodec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids in self.parts(text) for i in ids.split(",")]
 
-    def decode_parts(self, parts: list[str]) -> str:
-        """The text of the ids that ``parts`` returned."""
-        return b"".join(map(self.piece_bytes.__getitem__, parts)).decode("utf-8", "replace")
+    def decode_joined(self, ids: str) -> str:
+        """The text of decimal ids joined by commas."""
+        return b"".join(map(self.id_bytes.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -156,7 +185,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, shape, kind
                 joined = ",".join(parts)
                 counts.append(joined.count(",") + 1 if parts else 0)
                 ids.append(shape(joined))
-                texts.append(shape(c.decode_parts(parts)))
+                texts.append(shape(c.decode_joined(joined)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()),
                                               pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                                              ["doc_id", "n_tokens", "ids" + kind, "decoded" + kind])
