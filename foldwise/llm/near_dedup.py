@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (WordHash, as_bytes, bitmap_of, documents_like, id_bit, in_bitmap, list_array,
-                     map_batches, minhashes, mix64, shingle_hashes, signed, unused, words, worker_state, written)
+                     map_batches, minhashes, mix64, scratch, shingle_hashes, signed, unused, words, worker_state, written)
 from .simjoin import SKETCH, first_components, linked_components, sketch_words
 
 ROWS = 3
@@ -138,6 +138,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _judged(docs: DataFrame) -> DataFrame:
     """The rows of :func:`near_groups` with ``text_hash``."""
+    with scratch():
+        return written(_groups(docs), "judged", keep=True)
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     sk = written(sketches(docs).withColumn("v", F.monotonically_increasing_id()), "sketches")
     cols = ["doc_id", "v", "n", "halves", *SKETCH]
     # one item per set, named by a row of its smallest document
@@ -150,7 +155,6 @@ def _judged(docs: DataFrame) -> DataFrame:
 
     first = first_components(first_keys(items), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES)
     comp = linked_components(table_keys(items, first), items.select("id", "n", *SKETCH), sets_of, N_MINHASHES, FEW, first)
-    comp = written(comp, "linked")
     member = items.select("id", "set_key", "doc_id").join(comp.withColumnRenamed("node", "id"), "id")
     least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = member.join(least, "component").select("set_key", "least")

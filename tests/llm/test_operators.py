@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from foldwise.llm import bpe, common, packing, paragraph_dedup, pitman_yor, quality_fm, sharding, simjoin, url_filter, winnow
+from foldwise.llm import bpe, common, packing, paragraph_dedup, pitman_yor, quality_fm, sharding, simjoin, unit_dedup, url_filter, winnow
 from foldwise.llm.exact_dedup import drop_exact_copies, exact_groups
 from foldwise.llm.near_dedup import keep_one_of_each, near_groups
 
@@ -349,3 +349,37 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.5)
     assert not left and got.count() == 997
+
+
+def tables_on_disk(spark):
+    import os
+
+    from foldwise.session import shared_dir
+
+    return {d for d in os.listdir(shared_dir(spark)) if d.startswith("llm-")}
+
+
+def test_operators_delete_the_tables_of_their_steps(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(simjoin, "SMALL", 2)  # all steps of the joins take part
+    for run, kept in ((near_groups, {"judged"}), (unit_dedup.repeated_units, {"occurrences", "kept-units"}),
+                      (unit_dedup.without_repeated_units, {"unit-spans"}), (pitman_yor.score_documents, {"py-scores"})):
+        before = tables_on_disk(spark)
+        got = run(docs)
+        assert {d[4:].rsplit("-", 1)[0] for d in tables_on_disk(spark) - before} == kept
+        assert got.count() > 0
+
+
+def test_a_scratch_keeps_what_is_asked_for_and_loses_nothing_on_errors(spark):
+    before = tables_on_disk(spark)
+    with common.scratch():
+        with common.scratch():
+            a = common.written(spark.range(5), "a")
+            b = common.written(a.union(a), "b", keep=True)
+        assert {d[:6] for d in tables_on_disk(spark) - before} == {"llm-b-"} and b.count() == 10
+    assert tables_on_disk(spark) == before
+    with pytest.raises(ValueError), common.scratch():
+        common.written(spark.range(5), "c")
+        raise ValueError
+    c = common.written(spark.range(7), "d")
+    assert c.count() == 7 and {d[:6] for d in tables_on_disk(spark) - before} == {"llm-c-", "llm-d-"}
