@@ -24,7 +24,8 @@ answers each bucket that named it. Held-out documents name their contexts too, b
 cells without customers. For scoring, tokens of frequent words after frequent ones
 find their probability in a broadcast table of at most frequent x contexts cells;
 of all others a block sends (word, context, document, count) to the word's bucket,
-which returns sums by document. The number of buckets grows with the corpus.
+which returns sums by document. The number of buckets grows with the corpus. All documents
+are scored, in a few rounds, so that requests and answers of a part of them are on disk at a time.
 
 Defined results: null text is the empty text (one end token, in the start
 context); rows with a null id are scored and learned from as if their id were
@@ -47,7 +48,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod5, documents_like, map_batches, written
+from foldwise.session import discard
+
+from .common import as_bytes, crc_mod5, documents_like, map_batches, scratch, written
 
 FREQUENT = 1000
 DISCOUNT, STRENGTH = 0.7, 2.0
@@ -56,13 +59,21 @@ BURN_IN, SAMPLES = 2, 4
 BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 60_000
 BUCKET_TOKENS = 2_000_000
+#: Documents are scored in as many rounds as their bytes ask for, at most ROUNDS: a round's requests and answers go before the next.
+ROUNDS, ROUND_BYTES = 3, 64_000_000
 END = b" end"  # no word holds a space
-CTX_BITS, DOC_BITS = np.uint64(32), np.uint64(16)
+CTX_BITS, DOC_BITS = np.uint64(32), 16
 CTX_MASK = np.uint64((1 << 32) - 1)
 #: Set in the name of a rare context, the hash of its word, and in no number of a frequent one.
 RARE = np.uint64(1 << 63)
 #: Cells that a bucket gathers before it adds up equal ones.
 MERGE_CELLS = 4_000_000
+#: Rows in a batch: packed arrays are many times as large as texts.
+BATCH_ROWS = 32
+
+
+def _map(df: DataFrame, fn, schema: str) -> DataFrame:
+    return map_batches(df, fn, schema, BATCH_ROWS)
 
 
 def word_hash(word: bytes) -> int:
@@ -96,7 +107,7 @@ class Block:
     def add(self, doc_id, held: bool, raw: bytes) -> None:
         ws = raw.lower().split()
         ws.append(END)
-        self.tokens.append(np.fromiter(map(self.lexicon.__getitem__, ws), dtype=np.int64, count=len(ws)))
+        self.tokens.append(np.fromiter(map(self.lexicon.__getitem__, ws), dtype=np.int32, count=len(ws)))
         self.lengths.append(len(ws))
         self.ids.append(doc_id)
         self.held.append(held)
@@ -112,13 +123,13 @@ class Block:
         hashes = np.array(self.lexicon.hashes, dtype=np.uint64)
         at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
         rank = np.where(frequent[at] == hashes, at, -1) if len(frequent) else np.full(len(hashes), -1)
-        own = np.where(rank >= 0, rank, len(frequent) + 1 + np.arange(len(hashes)))
+        own = np.where(rank >= 0, rank, len(frequent) + 1 + np.arange(len(hashes))).astype(np.int32)
         word = np.concatenate(self.tokens)
-        ctx = np.empty(len(word), dtype=np.int64)
+        ctx = np.empty(len(word), dtype=np.int32)
         ctx[1:] = own[word[:-1]]
         starts = np.cumsum([0, *self.lengths[:-1]])
         ctx[starts] = len(frequent)
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         return hashes, rank, word, ctx, doc
 
 
@@ -157,6 +168,18 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
+def counted(word: np.ndarray, ctx: np.ndarray, last: np.ndarray, bits: tuple[int, int, int]) -> tuple[np.ndarray, ...]:
+    """(cells, last, count) of the distinct (word, context, last) in order; ``bits`` hold each. One sort where they fit 64 bits."""
+    w, c, z = map(np.uint64, bits)
+    if sum(bits) <= 64:
+        key, n = np.unique((word.astype(np.uint64) << (c + z)) | (ctx.astype(np.uint64) << z) | last.astype(np.uint64), return_counts=True)
+        cell = key >> z
+        return (cell >> c << CTX_BITS) | (cell & ((np.uint64(1) << c) - np.uint64(1))), key & ((np.uint64(1) << z) - np.uint64(1)), n
+    cells, inv = np.unique((word.astype(np.uint64) << CTX_BITS) | ctx.astype(np.uint64), return_inverse=True)
+    key, n = np.unique((inv.astype(np.uint64) << z) | last.astype(np.uint64), return_counts=True)
+    return cells[(key >> z).astype(np.int64)], key & ((np.uint64(1) << z) - np.uint64(1)), n
+
+
 def unpack(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
@@ -192,7 +215,7 @@ def top_words(docs: DataFrame, frequent: int) -> list[int]:
         if texts:
             yield texts
 
-    counts = map_batches(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = _map(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()]
 
 
@@ -214,8 +237,10 @@ def counted_cells(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
         for block in blocks(batches):
             hashes, _, word, ctx, doc = block.arrays(frequent)
             order, place, cuts = by_bucket(hashes, buckets)
-            key, inv = np.unique((place[word] << CTX_BITS) | ctx.astype(np.uint64), return_inverse=True)
-            n = np.bincount(inv, weights=~np.array(block.held, dtype=bool)[doc]).astype(np.int64)
+            key, held, n = counted(place[word], ctx, np.array(block.held, dtype=bool)[doc],
+                                   (len(hashes).bit_length(), (first + len(hashes)).bit_length(), 1))
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, n = key[at], np.add.reduceat(np.where(held == 0, n, 0), at)
             kept = (n > 0) | ((key & CTX_MASK) >= first)
             key, n = key[kept], n[kept]
             at = np.searchsorted(key >> CTX_BITS, cuts.astype(np.uint64))
@@ -229,7 +254,7 @@ def counted_cells(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
                     ids.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "cells"])
 
-    return map_batches(docs, run, "bucket int, cells binary")
+    return _map(docs, run, "bucket int, cells binary")
 
 
 def _per_bucket(batches, column: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -246,15 +271,30 @@ def _per_bucket(batches, column: str) -> Iterator[tuple[int, list[bytes]]]:
         yield bucket, held
 
 
-def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(words, context names, counts) of the distinct cells, in order."""
-    h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((c, h))
-    h, c, n = h[order], c[order], n[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    at = np.flatnonzero(new)
-    return h[at], c[at], np.add.reduceat(n, at)
+def _grouped(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, cells of each, contexts) of sorted cells whose words are places in ``words``."""
+    word = (key >> CTX_BITS).astype(np.int64)
+    at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
+    return words[word[at]], np.diff(np.append(at, len(word))), (key & CTX_MASK).astype(np.int64)
+
+
+def _added(parts: list[list[np.ndarray]], contexts: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cells by place of the word and context, counts, words, names) of the distinct cells, in order; names in order of their homes."""
+    words, word = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    names, name = np.unique(np.concatenate([x[4] for x in parts]), return_inverse=True)
+    order, place, _ = by_bucket(names, buckets)
+    name, keys, i, j = place[name], [], 0, 0
+    for h, sizes, c, _, own in parts:
+        c = c.astype(np.uint64)
+        rare = c >= contexts
+        c[rare] = np.uint64(contexts) + name[j + c[rare].astype(np.int64) - contexts]
+        keys.append(np.repeat(word[i:i + len(h)].astype(np.uint64) << CTX_BITS, sizes) | c)
+        i, j = i + len(h), j + len(own)
+    key = np.concatenate(keys)
+    by = np.argsort(key)
+    key, n = key[by], np.concatenate([x[3] for x in parts], dtype=np.int64, casting="unsafe")[by]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[at], np.add.reduceat(n, at), words, names[order]
 
 
 def merged_cells(parts: DataFrame, buckets: int, contexts: int) -> DataFrame:
@@ -267,30 +307,22 @@ def merged_cells(parts: DataFrame, buckets: int, contexts: int) -> DataFrame:
         for bucket, raws in _per_bucket(batches, "cells"):
             held, size = [], 0
             for raw in raws:
-                h, sizes, c, n, names = unpack(raw)
-                c = c.astype(np.int64)
-                code = c.astype(np.uint64)
-                code[c >= contexts] = names[c[c >= contexts] - contexts]
-                held.append((np.repeat(h, sizes), code, n.astype(np.int64)))
-                size += len(code)
-                if size > max(MERGE_CELLS, len(held[0][0])):
-                    held, size = [_added(held)], 0
-            h, code, count = _added(held)
-            names = np.unique(code[code >= RARE])
-            order, place, cuts = by_bucket(names, buckets)
-            ctx = code.astype(np.int64)
-            rare = code >= RARE
-            ctx[rare] = contexts + place[np.searchsorted(names, code[rare])].astype(np.int64)
-            real = np.lexsort((ctx, h))
-            real = real[count[real] > 0]
-            h, ctx, count = h[real], ctx[real], count[real]
-            words, sizes = np.unique(h, return_counts=True)
+                held.append(unpack(raw))
+                size += len(held[-1][3])
+                if size > max(MERGE_CELLS, len(held[0][3])):
+                    key, n, words, names = _added(held, contexts, buckets)
+                    words, sizes, ctx = _grouped(key, words)
+                    held, size = [[words, sizes, ctx, n, names]], 0
+            key, count, words, names = _added(held, contexts, buckets)
+            _, _, cuts = by_bucket(names, buckets)
+            words, sizes, ctx = _grouped(key[count > 0], words)
+            count = count[count > 0]
             most = contexts + len(names)
             c_sum, t_sum = np.bincount(ctx, weights=count, minlength=most), np.bincount(ctx, minlength=most)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()),
                  pa.array([pack(words, narrow(sizes), narrow(ctx), narrow(count))], pa.binary()),
-                 pa.array([pack(names[order], cuts.astype("<i8"), narrow(c_sum[contexts:]),
+                 pa.array([pack(names, cuts.astype("<i8"), narrow(c_sum[contexts:]),
                                 t_sum[contexts:].astype("<f4"))], pa.binary()),
                  pa.array([c_sum[:contexts].astype(np.int64)], pa.list_(pa.int64())),
                  pa.array([t_sum[:contexts].astype(np.int64)], pa.list_(pa.int64())),
@@ -298,7 +330,7 @@ def merged_cells(parts: DataFrame, buckets: int, contexts: int) -> DataFrame:
                 ["bucket", "cells", "local", "customers", "tables", "words", "tokens", "size"])
 
     rows = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return map_batches(rows, run, "bucket int, cells binary, local binary, customers array<long>, tables array<long>, "
+    return _map(rows, run, "bucket int, cells binary, local binary, customers array<long>, tables array<long>, "
                                   "words long, tokens long, size long")
 
 
@@ -326,10 +358,10 @@ def context_totals(rows: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([asker], pa.int32()), pa.array([home], pa.int32()),
                                                   pa.array([pack(narrow(c[inv[i:j]]), t[inv[i:j]])], pa.binary())], ["bucket", "home", "totals"])
 
-    asked = map_batches(rows.select("bucket", "local"), send, "bucket int, asker int, part binary")
+    asked = _map(rows.select("bucket", "local"), send, "bucket int, asker int, part binary")
     asked = asked.select("bucket", F.struct("asker", "part").alias("asked"))
     asked = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return map_batches(asked, answer, "bucket int, home int, totals binary")
+    return _map(asked, answer, "bucket int, home int, totals binary")
 
 
 def joined_totals(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -378,27 +410,31 @@ def sample(cells: bytes, table_totals: np.ndarray, root_c: float, root_t: float,
     rng = np.random.default_rng(seed)
     word = np.repeat(np.arange(len(words)), sizes)
     ctx = ctx.astype(np.int64)
+    many = np.flatnonzero(count > 1)  # others have one table in every seating
+    word_of, ctx_of, count = word[many], ctx[many], count[many]
+    del ctx
     # the first seating: one table each
-    tables, weight = np.ones(len(ctx), dtype=np.int64), np.full(len(ctx), -np.inf)
+    tables, weight = np.ones(len(word), dtype=np.int64), np.full(len(many), -np.inf)
     top, top_weight = np.ones(len(words), dtype=np.int64), np.full(len(words), -np.inf)
-    mean_t, mean_c0, mean_t0 = np.zeros(len(ctx)), np.zeros(len(words)), np.zeros(len(words))
-    many = np.flatnonzero(count > 1)  # others have one table in every seating
+    mean_t, mean_c0, mean_t0 = np.zeros(len(many)), np.zeros(len(words)), np.zeros(len(words))
     for sweep in range(burn_in + samples):
         c0 = np.bincount(word, weights=tables, minlength=len(words))
         p = log_parent(c0, top, root_c, root_t, kinds)
-        others = np.maximum(0, table_totals[ctx[many]] - tables[many])
-        t, w = seat(count[many], others, p[word[many]], DISCOUNT, STRENGTH, rng)
-        accept = np.log(rng.random(len(many))) < w - weight[many]
-        tables[many[accept]], weight[many[accept]] = t[accept], w[accept]
+        others = np.maximum(0, table_totals[ctx_of] - tables[many])
+        t, w = seat(count, others, p[word_of], DISCOUNT, STRENGTH, rng)
+        accept = np.log(rng.random(len(many))) < w - weight
+        tables[many[accept]], weight[accept] = t[accept], w[accept]
         c0 = np.bincount(word, weights=tables, minlength=len(words)).astype(np.int64)
         t, w = seat(c0, np.maximum(0, root_t - top), np.full(len(words), 1.0 / kinds), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
         accept = (np.log(rng.random(len(words))) < w - top_weight) | (top > c0)
         top, top_weight = np.where(accept, t, top), np.where(accept, w, top_weight)
         if sweep >= burn_in:
-            mean_t += tables
+            mean_t += tables[many]
             mean_c0 += c0
             mean_t0 += top
-    return mean_t / samples, mean_c0 / samples, mean_t0 / samples
+    mean = np.ones(len(word))
+    mean[many] = mean_t / samples
+    return mean, mean_c0 / samples, mean_t0 / samples
 
 
 @dataclass
@@ -468,7 +504,7 @@ def sampled(cells: DataFrame, context: DataFrame, buckets: int, totals: Totals,
                  pa.array([c0.sum()], pa.float64()), pa.array([t0.sum()], pa.float64())],
                 ["bucket", "model", "local", "tables", "root_c", "root_t"])
 
-    return map_batches(rows, run, "bucket int, model binary, local binary, tables array<double>, root_c double, root_t double")
+    return _map(rows, run, "bucket int, model binary, local binary, tables array<double>, root_c double, root_t double")
 
 
 class BucketModel:
@@ -527,7 +563,7 @@ def frequent_table(model: DataFrame, frequent: np.ndarray, totals: Totals) -> tu
                          pa.array([float(base[0])], pa.float64())], ["rank", "lp", "base"])
 
     lp, base = np.zeros((max(1, len(frequent)), len(totals.customers))), np.zeros(max(1, len(frequent)))
-    for r in map_batches(model.select(F.concat("model", "local").alias("model")), run, "rank int, lp binary, base double").toLocalIterator():
+    for r in _map(model.select(F.concat("model", "local").alias("model")), run, "rank int, lp binary, base double").toLocalIterator():
         lp[r["rank"]], base[r["rank"]] = np.frombuffer(r["lp"], "<f8"), r["base"]
     return lp, base
 
@@ -555,9 +591,8 @@ def block_requests(docs: DataFrame, frequent: np.ndarray, table: tuple[np.ndarra
             rows = [(name % buckets, 1, pack(ids, none, np.array(block.held, dtype="u1"),
                                              np.array(block.lengths, dtype="<i8"), *sums))]
             order, place, cuts = by_bucket(hashes, buckets)
-            cells, inv = np.unique((place[word[~hot]] << CTX_BITS) | ctx[~hot].astype(np.uint64), return_inverse=True)
-            key, n = np.unique((inv.astype(np.uint64) << DOC_BITS) | doc[~hot].astype(np.uint64), return_counts=True)
-            cell = cells[(key >> DOC_BITS).astype(np.int64)]
+            cell, at_doc, n = counted(place[word[~hot]], ctx[~hot], doc[~hot],
+                                      (len(hashes).bit_length(), (first + len(hashes)).bit_length(), DOC_BITS))
             at = np.searchsorted(cell >> CTX_BITS, cuts.astype(np.uint64))
             for b in range(buckets):
                 if at[b] < at[b + 1]:
@@ -565,13 +600,13 @@ def block_requests(docs: DataFrame, frequent: np.ndarray, table: tuple[np.ndarra
                     used, sizes = np.unique((cell[k] >> CTX_BITS).astype(np.int64), return_counts=True)
                     c, names = named((cell[k] & CTX_MASK).astype(np.int64), hashes, first)
                     rows.append((b, 2, pack(hashes[order[used]], narrow(sizes), narrow(c), names,
-                                            narrow(key[k] & np.uint64(65535)), narrow(n[k]))))
+                                            narrow(at_doc[k]), narrow(n[k]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()),
                  pa.array([name] * len(rows), pa.int64()), pa.array([x[2] for x in rows], pa.binary())],
                 ["bucket", "kind", "block", "body"])
 
-    return map_batches(docs, run, "bucket int, kind int, block long, body binary")
+    return _map(docs, run, "bucket int, kind int, block long, body binary")
 
 
 def answered(requests: DataFrame, model: DataFrame, context: DataFrame, totals: Totals, buckets: int) -> DataFrame:
@@ -616,7 +651,7 @@ def answered(requests: DataFrame, model: DataFrame, context: DataFrame, totals:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
                                               pa.array([x[2] for x in out], pa.binary())], ["block", "kind", "body"])
 
-    return map_batches(rows, run, "block long, kind int, body binary")
+    return _map(rows, run, "block long, kind int, body binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -644,7 +679,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Perplexity of a text is 10^(-score / n_tokens).
     """
-    rows = documents_like(docs, id_col, text_col)
+    with scratch():
+        return _scored(documents_like(docs, id_col, text_col), frequent, burn_in, samples, held_fold)
+
+
+def _scored(rows: DataFrame, frequent: int, burn_in: int, samples: int, held_fold: int) -> DataFrame:
     rows = as_bytes(rows.withColumn("held_out", crc_mod5(F.col("doc_id")) == held_fold))
     top = np.sort(np.array(top_words(rows, frequent), dtype=np.int64).view(np.uint64))
     contexts = len(top) + 1
@@ -657,10 +696,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(sampled(cells, context_totals(cells, buckets), buckets, totals, 1, burn_in, 1, keep=False), "py-round")
     totals = _refreshed(first, totals)
     model = written(sampled(cells, context_totals(first, buckets), buckets, totals, 2, burn_in, samples, keep=True), "py-model")
+    discard(cells, first)
     totals = _refreshed(model, totals)
     table = frequent_table(model, top, totals)
-    got = answered(block_requests(rows, top, table, buckets), model, context_totals(model, buckets), totals, buckets)
-    out = got.groupBy("block").applyInPandas(_gather, SCORES)
+    context = written(context_totals(model, buckets), "py-context")
+    rounds = min(ROUNDS, int(size // ROUND_BYTES) + 1)
+    out = None
+    for i in range(rounds):
+        part = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == i) if rounds > 1 else rows
+        got = answered(block_requests(part, top, table, buckets), model, context, totals, buckets)
+        scores = written(got.groupBy("block").applyInPandas(_gather, SCORES), "py-scores", keep=True)
+        out = scores if out is None else out.union(scores)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n_tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
 
