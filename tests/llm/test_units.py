@@ -185,3 +185,14 @@ def test_buckets_are_sized_and_paired_without_joins(spark, capsys):
         assert r.c == len(own) and set(r.least) == {min(m)[0] for m in own}
         assert all(component[x] != r.component and any(x in dict(m) for m in own) for x in r.centres) and len(r.centres) <= simjoin.CENTRES * len(own)
         assert {min(m)[0] for m in own if min(m)[1] != r.component} <= set(r.centres)
+
+
+def test_words_of_odd_bytes_and_texts():
+    texts = [b"", b" ", b"a", b"\n\n", b"A B\xff\xc3 c\x0bD", bytes(range(256)) * 2, b"", b"x y"]
+    for part in (texts, texts[3:], texts[::-1], [b""], [b" \t"]):
+        w = unit_dedup.Words(part)
+        plain = [(i, x) for i, t in enumerate(part) for x in t.lower().split()]
+        got = [(int(i), w.octets[s:e].tobytes()) for i, s, e in zip(w.text, w.starts, w.ends, strict=True)]
+        assert got == plain
+        assert list(w.first) == [sum(i < k for i, _ in plain) for k in range(len(part))]
+        assert len({*w.hashes.tolist()}) == len({x for _, x in plain})
