@@ -3,10 +3,16 @@
 Rows carry the bucket numbers of their ``column=value`` tokens and their standardised
 numerics. They are written in chunks, dealt by a hash of the id; one gradient step a chunk reads
 that chunk alone. A step is one Spark job: tasks add up their rows' sparse gradients for all
-configurations at once, Spark sums them by feature, and the driver moves the coefficients of
+configurations at once, and the driver moves the coefficients of
 the features seen so far (at most ``dim`` and the numerics). Chunks grow with the table, so a pass has at most
 ``MAX_STEPS`` steps.
 
+A fit takes many steps, each of which waits for the one before, so what a step costs besides its rows
+counts most. A fit therefore packs the rows of every file once, as arrays in a persisted partition, and a step is a bare job over
+its chunk's partitions, without a query to plan; the driver adds up their sums (at most ``MOST_PIECES`` of them). Chunks of
+one file keep one task busy anyway: a partition holds several of them, up to ``FILE_ROWS`` rows, and its task takes their steps in turn.
+Larger chunks and micro-batches are summed by feature in a query of Spark.
+
 A step is ``w <- soft(w - eta (g + alpha (1 - r) w), eta alpha r)`` with g the chunk's mean
 gradient, r the l1 ratio (0 for l2) and soft the shrinking towards 0; the intercept is not
 penalised. The model is the mean of the coefficients after every step. Rates: ``optimal`` starts at the
@@ -17,11 +23,13 @@ n / (2 n of its class).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +43,8 @@ CHUNK_ROWS = 100_000
 MAX_STEPS = 200
 # A chunk's rows in one file, read by one task.
 FILE_ROWS = 25_000
+# A chunk of more files is summed by Spark, not by the driver.
+MOST_PIECES = 32
 LOSS_EPS = 1e-15
 
 
@@ -91,19 +101,34 @@ class TokenFeatures:
         return df.select(*keep, idx.alias("idx"), (F.array(*num) if num else F.array().cast("array<double>")).alias("num"))
 
 
-def write_chunks(rows: DataFrame, id_col: str, chunk_rows: int = CHUNK_ROWS) -> list[DataFrame]:
+class Chunks(list):
+    """The chunks as frames, and all of them as ``table`` of ``n`` rows with columns ``chunk`` and ``file`` (of ``files`` a chunk)."""
+
+    def __init__(self, table: DataFrame, n: int, chunks: int, files: int):
+        super().__init__(table.where(F.col("chunk") == c).drop("chunk", "file") for c in range(chunks))
+        self.table, self.files = table, files
+        self.together = max(1, FILE_ROWS * chunks // max(1, n)) if files == 1 else 1
+
+    def pieces(self, dim: int) -> RDD:
+        """The packed rows of every file, ``together`` consecutive files in a partition, in the order of chunks."""
+        files = len(self) * self.files
+        at = F.floor((F.col("chunk") * F.lit(self.files) + F.col("file")) / F.lit(self.together)).cast("int")
+        dealt = self.table.repartitionById(-(-files // self.together), at).select("chunk", "y", "idx", "num")
+        return dealt.mapInArrow(lambda batches: _pack(batches, dim), "piece binary").rdd.map(lambda r: bytes(r[0]))
+
+
+def write_chunks(rows: DataFrame, id_col: str, chunk_rows: int = CHUNK_ROWS) -> Chunks:
     """The rows as chunks of about ``chunk_rows`` (more, if there would be over ``MAX_STEPS``), each its own folder
     of files of about ``FILE_ROWS`` rows, however many tasks the rows come from."""
     spark = rows.sparkSession
     n = rows.count()
     chunks = int(min(MAX_STEPS, max(1, -(-n // chunk_rows))))
+    files = max(1, -(-n // (chunks * FILE_ROWS)))
     path = scratch_path(spark, "sgd-chunks")
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(chunks)).cast("int"))
-    files = -(-n // (chunks * FILE_ROWS))
-    file = F.pmod(F.xxhash64(id_col, F.lit(8)), F.lit(max(1, files))).cast("int")
-    dealt.repartition("chunk", file).write.partitionBy("chunk").parquet(path)
-    table = spark.read.schema(dealt.schema).parquet(path)
-    return [table.where(F.col("chunk") == c).drop("chunk") for c in range(chunks)]
+    dealt = rows.withColumns({"chunk": F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(chunks)).cast("int"),
+                              "file": F.pmod(F.xxhash64(id_col, F.lit(8)), F.lit(files)).cast("int")})
+    dealt.repartition("chunk", "file").write.partitionBy("chunk").parquet(path)
+    return Chunks(spark.read.schema(dealt.schema).parquet(path), n, chunks, files)
 
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +159,51 @@ def _margins(b: pa.RecordBatch, at: np.ndarray, coef: np.ndarray, intercept: np.
     return z, feature, value, row
 
 
+@dataclass
+class Piece:
+    """Rows as arrays that no step changes: labels, entries a row, features, and of each entry, row by row, the place of its feature and its value."""
+
+    y: np.ndarray
+    width: np.ndarray
+    which: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+
+def _pack(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """A pickled :class:`Piece` of each chunk, in their order."""
+    of: dict[int, list[tuple]] = {}
+    for whole in batches:
+        chunk = whole.column("chunk").to_numpy()
+        for c in np.unique(chunk).tolist():
+            b = whole.filter(pa.array(chunk == c))
+            feature, value, row = _entries(b, dim)
+            y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
+            of.setdefault(c, []).append((y, np.bincount(row, minlength=b.num_rows), feature, value))
+    for c in sorted(of):
+        y, width, feature, value = map(np.concatenate, zip(*of.pop(c), strict=True))
+        which, place = np.unique(feature, return_inverse=True)
+        piece = Piece(y, width.astype(np.min_scalar_type(width.max())), which, place.reshape(-1).astype(np.min_scalar_type(len(which))), value)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(piece, 5)], pa.binary())], ["piece"])
+
+
+def _piece_gradients(piece: Piece, at: np.ndarray, coef: np.ndarray, intercept: np.ndarray, class_weight: tuple[float, float],
+                     balanced: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, features, their summed gradients, the intercepts') of a piece."""
+    y, width, place, value = piece.y, piece.width.astype(np.int64), piece.place, piece.value
+    row = np.repeat(np.arange(len(y)), width)
+    z = np.tile(intercept, (len(y), 1)).astype(float)
+    if len(at) and len(row):
+        seen = np.minimum(np.searchsorted(at, piece.which), len(at) - 1)
+        part = coef[seen][place] * np.where((at[seen] == piece.which)[place], value, 0.0)[:, None]
+        some = width > 0
+        z[some] += np.add.reduceat(part, (np.cumsum(width) - width)[some], axis=0)
+    weight = np.where(balanced[None, :], np.where(y > 0, class_weight[1], class_weight[0])[:, None], 1.0)
+    err = (_sigmoid(z) - y[:, None]) * weight
+    g = [np.bincount(place, weights=e[row] * value, minlength=len(piece.which)) for e in np.ascontiguousarray(err.T)]
+    return len(y), piece.which, np.stack(g, axis=1), err.sum(axis=0)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
@@ -192,9 +262,43 @@ class AveragedSgd:
             return 0, np.empty(0, np.int64), np.empty((0, len(names))), np.zeros(len(names))
         return int(got["n"].iloc[0]), got["at"].to_numpy()[1:], g[1:], g[0]
 
+    def piece_gradients(self, pieces: RDD, partitions: range) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`gradients`, of the packed rows in some partitions."""
+        state = (self.at, self.coef, self.intercept, self.class_weight, np.array([c.balanced for c in self.configs]))
+        got = pieces.context.runJob(pieces, lambda some: [_piece_gradients(pickle.loads(x), *state) for x in some], list(partitions))
+        if not got:
+            return 0, np.empty(0, np.int64), np.empty((0, len(self.configs))), np.zeros(len(self.configs))
+        features = np.unique(np.concatenate([which for _, which, _, _ in got]))
+        g = np.zeros((len(features), len(self.configs)))
+        for _, which, part, _ in got:
+            g[np.searchsorted(features, which)] += part
+        return sum(n for n, *_ in got), features, g, sum(bias for *_, bias in got)
+
     def step(self, chunk: DataFrame) -> int:
         """One gradient step; the chunk's rows (an empty one changes nothing)."""
-        n, features, g, bias = self.gradients(chunk)
+        return self._move(*self.gradients(chunk))
+
+    def replay(self, pieces: RDD, chunks: Chunks) -> None:
+        """One gradient step a chunk over its packed rows."""
+        if chunks.files == 1:
+            for i in range(pieces.getNumPartitions()):
+                self._follow(pieces, i)
+            return
+        for c in range(len(chunks)):
+            self._move(*self.piece_gradients(pieces, range(c * chunks.files, (c + 1) * chunks.files)))
+
+    def _follow(self, pieces: RDD, partition: int) -> None:
+        """The steps of a partition's chunks, each whole there, one after another in its task."""
+        state, balanced = self, np.array([c.balanced for c in self.configs])
+
+        def run(some):
+            for x in some:
+                state._move(*_piece_gradients(pickle.loads(x), state.at, state.coef, state.intercept, state.class_weight, balanced))
+            return [state]
+
+        self.__dict__.update(pieces.context.runJob(pieces, run, [partition])[0].__dict__)
+
+    def _move(self, n: int, features: np.ndarray, g: np.ndarray, bias: np.ndarray) -> int:
         if n == 0:
             return 0
         fresh = np.setdiff1d(features, self.at)
@@ -236,9 +340,16 @@ def fit_sgd(rows: DataFrame, configs: list[SgdConfig], id_col: str = "id", passe
     n = sum(counts.values())
     state = AveragedSgd(configs, dim, mean_curvature(rows), (n / (2 * max(1, counts[0])), n / (2 * max(1, counts[1]))))
     chunks = write_chunks(rows.select(id_col, "y", "idx", "num"), id_col, chunk_rows)
+    if chunks.files > MOST_PIECES:
+        for _ in range(passes):
+            for chunk in chunks:
+                state.step(chunk)
+        return state
+    pieces = chunks.pieces(dim).persist(StorageLevel.MEMORY_AND_DISK)
+    pieces.count()  # all are packed at once, not chunk by chunk
     for _ in range(passes):
-        for chunk in chunks:
-            state.step(chunk)
+        state.replay(pieces, chunks)
+    pieces.unpersist()
     return state
 
 

@@ -132,3 +132,19 @@ def test_a_chunk_is_one_file_however_many_tasks_the_rows_come_from(spark, rows):
     files = {f for c in chunks for f in c.inputFiles()}
     assert len(files) == len(chunks) == 4
     assert sorted(r["id"] for c in chunks for r in c.collect()) == list(range(240))
+
+
+def test_small_chunks_share_jobs_and_larger_ones_give_the_same(spark, rows, monkeypatch):
+    sc, configs = spark.sparkContext, [SG.SgdConfig(1e-3), SG.SgdConfig(1e-2, 0.15, balanced=True)]
+    fits = {}
+    for name, file_rows, most in (("one file", 100, 32), ("files", 5, 32), ("query", 5, 0)):
+        monkeypatch.setattr(SG, "FILE_ROWS", file_rows)
+        monkeypatch.setattr(SG, "MOST_PIECES", most)
+        sc.setJobGroup(name, name)
+        fits[name] = SG.fit_sgd(rows, configs, passes=1, dim=DIM, chunk_rows=12), len(sc.statusTracker().getJobIdsForGroup(name))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert all(state.steps == 20 and state.rows_seen == 240 for state, _ in fits.values())
+    for state, _ in fits.values():
+        for a, b in zip(state.models(), fits["query"][0].models(), strict=True):
+            assert np.array_equal(a.at, b.at) and np.allclose(a.coef, b.coef, atol=1e-10) and a.intercept == pytest.approx(b.intercept)
+    assert fits["one file"][1] < 20 <= fits["files"][1] < fits["query"][1]
