@@ -213,3 +213,39 @@ def test_a_fitting_frame_grows_by_rows(spark, rows, monkeypatch):
 def test_encoded_frames_do_not_join_the_customers_again(spark):
     from foldwise.plans import tabular as TB
     assert not [f for f in TB.encode_frame(spark, "/root/testdata/sf0.001").train.inputFiles() if "customer" in f]
+
+
+def test_as_many_fits_at_once_as_memory_holds(rows, monkeypatch):
+    import threading
+    import time
+
+    running, most, lock = [0], [0], threading.Lock()
+
+    class Counted(LogisticRegression):
+        def fit(self, dataset, params=None):
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            time.sleep(0.5)
+            try:
+                return super().fit(dataset, params)
+            finally:
+                with lock:
+                    running[0] -= 1
+
+    scores = []
+    for room, at_once in ((400 * CF.FIT_ROW_BYTES, 1), (10**9, 3)):
+        monkeypatch.setattr(CF, "storage_bytes", lambda spark, room=room: room)
+        most[0] = 0
+        res = CF.cross_fit(rows, lambda s: Counted(regParam=0.1), n_folds=3)
+        scores.append({r.id: r.oof_pred for r in res.oof.collect()})
+        assert most[0] == at_once
+    assert scores[0] == scores[1]
+
+
+def test_a_frame_leaves_the_learner_its_memory(spark):
+    assert CF.fit_memory(1000, 10**9, 5) == (CF.FIT_THREADS, CF.StorageLevel.MEMORY_AND_DISK)
+    assert CF.fit_memory(1000, 2 * 1000 * CF.FIT_ROW_BYTES, 5) == (2, CF.StorageLevel.DISK_ONLY)
+    assert CF.fit_memory(10**9, 10**9, 5) == (1, CF.StorageLevel.DISK_ONLY)
+    assert CF.fit_memory(0, 10**9, 2)[0] == 2
+    assert CF.storage_bytes(spark) > 10**8
